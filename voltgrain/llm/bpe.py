@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from voltgrain.llm.common import table, text_bytes
 
-#: Strings between blanks that a Python worker keeps encoded at most; then it starts anew.
-KEPT = 600_000
+#: Strings between blanks that a Python worker keeps encoded; beyond, those not met again lately are forgotten.
+KEPT = 120_000
 ROUND_TRIP = "ids array<int>, decoded string"
 
 
@@ -62,7 +62,8 @@ class ByteBPE(dict):
         self.words = regex.compile(first["pattern"]["Regex"]).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.inside = {t[i : i + 2] for token in self.vocab for t in [self.bare(token)] for i in range(len(t) - 1)}
-        self.fragments: dict[tuple[str, bool], list[str]] = {}
+        self.fragments: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def bare(self, token: str) -> str:
         return token[: -len(self.suffix)] if self.suffix and token.endswith(self.suffix) else token
@@ -80,10 +81,11 @@ class ByteBPE(dict):
             return [letters] * bool(letters)
         return [letters[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def merged(self, letters: str, last: bool) -> list[str]:
-        """A fragment's tokens; last: the word ends with it."""
-        got = self.fragments.get((letters, last))
-        if got is None:
+    def merged(self, letters: str, last: bool) -> bytes:
+        """A fragment's ids; last: the word ends with it."""
+        name = letters + "\n" if last else letters
+        ids = self.fragments.get(name)
+        if ids is None:
             got = list(letters)
             if last:
                 got[-1] += self.suffix
@@ -97,20 +99,24 @@ class ByteBPE(dict):
                     ranks[i - 1] = rank((got[i - 1], got[i]), none)
                 if i < len(ranks):
                     ranks[i] = rank((got[i], got[i + 1]), none)
+            ids = b"".join([self.four[t] for t in got])
             if len(self.fragments) >= KEPT:
                 self.fragments.clear()
             if len(letters) < 64:
-                self.fragments[letters, last] = got
-        return got
+                self.fragments[name] = ids
+        return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        out = []
-        for word in self.words(chunk.decode()):
-            parts = self.pieces(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
-            last = len(parts) - 1
-            out += [self.four[t] for i, part in enumerate(parts) for t in self.merged(part, i == last)]
-        got = b"".join(out)
+        got = self.older.get(chunk)
+        if got is None:
+            out = []
+            for word in self.words(chunk.decode()):
+                parts = self.pieces(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
+                last = len(parts) - 1
+                out += [self.merged(part, i == last) for i, part in enumerate(parts)]
+            got = b"".join(out)
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
         if len(chunk) < 256:
             self[chunk] = got
