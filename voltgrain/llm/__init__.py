@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltgrain.llm import bpe, quality, topk, warc
+from voltgrain.llm import bpe, lm, mixing, quality, topk, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": warc.op2_warc,
         "op3_topk": topk.op3_topk,
         "op5_bpe_encoding": bpe.op5_bpe_encoding,
+        "op6_lm_scoring": lm.op6_lm_scoring,
+        "op7_source_mixing": mixing.op7_source_mixing,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_url_filter": urls.op9_url_filter,
     }
 
 

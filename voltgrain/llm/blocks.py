@@ -4,6 +4,9 @@ Documents are dealt to blocks by hash. Each block counts its own items first and
 to the bucket that its leading bits name; buckets add the counts up and answer each block. What is
 shuffled is packed: sorted hashes and counts as arrays, one row for a block and bucket. A very common
 item costs each block one entry, so no item is hot, and a bucket holds a bounded share of the hashes.
+
+Items come in levels (words, pairs, ...); a level says how many bytes of a hash are sent besides the
+bucket's bits. With 8 bytes the whole hash is.
 """
 
 from __future__ import annotations
@@ -18,22 +21,28 @@ from pyspark.sql import functions as F
 
 from voltgrain.llm.common import mixed
 
-#: Bytes of text of a block, and about how many items a bucket adds up.
+#: Bytes of text of a block, and bytes of text whose items a bucket of one level adds up.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
-PACKED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-PACKED_DDL = "block int, bucket int, hashes binary, counts binary"
-ANSWER_DDL = "block int, hashes binary, counts binary"
+SENT = "block int, level int, bucket int, hashes binary, counts binary"
+SENT_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TOLD = "block int, level int, hashes binary, counts binary"
+TOLD_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 def block_of(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def bucket_bits(n_bytes: int) -> int:
+    """Leading bits that name a bucket, for a corpus of n_bytes of text."""
+    return max(1, (n_bytes // BUCKET_BYTES).bit_length())
+
+
 class WordHashes(dict):
-    """A word's 64-bit hash; the table is kept for a task."""
+    """A word's 64-bit hash; a bounded table keeps those met before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -51,63 +60,90 @@ def joined(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def packed(block: int, hashes: np.ndarray, counts: np.ndarray, shift: int, kind: type) -> Iterator[dict]:
-    """Rows for the buckets of sorted hashes: the bits below shift as kind, counts in 32 bits or, if they allow, in 8."""
-    bucket = (hashes >> np.uint64(shift)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(hashes)], strict=False):
-        if b > a:
-            yield {"block": block, "bucket": int(bucket[a]), "hashes": hashes[a:b].astype(kind).tobytes(), "counts": narrow(counts[a:b])}
+def cut(hashes: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Hashes without the trailing bits that are not sent."""
+    return hashes if width == 8 else hashes >> np.uint64(64 - bits - 8 * width)
+
+
+def sent(block: int, level: int, hashes: np.ndarray, counts: np.ndarray, bits: int, width: int, every: bool = False) -> Iterator[tuple]:
+    """Rows of SENT for sorted cut hashes. every: also for buckets without any."""
+    bucket = (hashes >> np.uint64(64 - bits if width == 8 else 8 * width)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+    raw = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    for b in range(1 << bits):
+        i, j = cuts[b], cuts[b + 1]
+        if every or j > i:
+            yield block, level, b, raw[i:j].tobytes(), narrow(counts[i:j])
+
+
+def received(raw: bytes, width: int, bucket: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = out.reshape(-1).view("<u8").astype(np.uint64)
+    return out if width == 8 else out + (np.uint64(bucket) << np.uint64(8 * width))
 
 
 def narrow(counts: np.ndarray) -> bytes:
-    small = counts.max(initial=0) < 256
-    return counts.astype(np.uint8 if small else np.uint64).tobytes()
+    """Counts in one byte each if they allow, else in eight."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64).tobytes()
 
 
 def wide(raw: bytes, n: int) -> np.ndarray:
-    """Counts as narrow() has put them."""
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint64).astype(np.int64)
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.int64).astype(np.int64)
 
 
 def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, sorted, and the sums of their counts."""
+    if not len(hashes):
+        return hashes, counts
     by = np.argsort(hashes)
     hashes, counts = hashes[by], counts[by]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def answered(counted: DataFrame, answer: Callable[[list[np.ndarray], list[np.ndarray], int], Iterator[tuple[int, np.ndarray, np.ndarray]]], kind: type, shift: int) -> DataFrame:
-    """Adds each bucket up. answer: from each block's hashes and counts, and the bucket, what each block (its place) is told."""
-    size = np.dtype(kind).itemsize
-
-    def add_up(rows: pa.Table) -> pa.Table:
-        blocks, buckets = rows["block"].to_pylist(), rows["bucket"].to_pylist()
-        hashes = [np.frombuffer(x.as_buffer(), kind).astype(np.uint64) for x in rows["hashes"]]
-        counts = [wide(x.as_py(), len(h)) for x, h in zip(rows["counts"], hashes, strict=True)]
-        base = np.uint64(buckets[0]) << np.uint64(shift)
-        out = [(blocks[i], (base + h).tobytes(), narrow(c)) for i, h, c in answer(hashes, counts, buckets[0])]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "hashes", "counts"])
-
-    assert size in (4, 8)
-    return counted.groupBy("bucket").applyInArrow(add_up, ANSWER_DDL)
-
-
-def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """What a block was told: sorted hashes and counts."""
-    hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["hashes"]]
-    counts = [wide(x.as_py(), len(h)) for x, h in zip(rows["counts"], hashes, strict=True)]
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h, c = np.concatenate(hashes), np.concatenate(counts)
-    by = np.argsort(h)
-    return h[by], c[by]
-
-
-def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
-    """values at the sorted keys, missing where there is none."""
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], np.add.reduceat(counts, first)
+
+
+def added_up(counted: DataFrame, widths: list[int], more: Callable[[int, np.ndarray], list[tuple[int, int]]] = lambda level, sums: []) -> DataFrame:
+    """Rows of TOLD: for each block the total of every hash it has sent, where that isn't its own count.
+    more: from a level and the totals of a bucket, pairs of hash and count that every block is told besides."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
+        width = widths[level]
+        hashes = [received(x.as_py(), width, bucket) for x in rows["hashes"]]
+        own = [wide(x.as_py(), len(h)) for x, h in zip(rows["counts"], hashes, strict=True)]
+        ends = np.cumsum([len(h) for h in hashes])[:-1]
+        flat, counts = np.concatenate(hashes), np.concatenate(own)
+        by = np.argsort(flat)
+        new = np.append(True, flat[by][1:] != flat[by][:-1])[: len(flat)]
+        sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(flat) else counts
+        total = np.empty_like(counts)
+        total[by] = sums[np.cumsum(new) - 1]
+        extra = more(level, sums)
+        out = []
+        for block, h, mine, all_of in zip(rows["block"].to_pylist(), hashes, own, np.split(total, ends), strict=True):
+            other = mine != all_of
+            h = np.concatenate([h[other], np.array([e[0] for e in extra], np.uint64)])
+            n = np.concatenate([all_of[other], np.array([e[1] for e in extra], np.int64)])
+            if len(h):
+                out.append((block, level, h.tobytes(), narrow(n)))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, TOLD_ARROW.types, strict=True)], schema=TOLD_ARROW)
+
+    return counted.groupBy("level", "bucket").applyInArrow(add, TOLD)
+
+
+def told(rows: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a block was told of a level: sorted hashes (as they were sent) and totals; equal hashes are added up."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, h, c in zip(rows["level"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
+        if at == level:
+            hashes.append(np.frombuffer(h.as_py(), np.uint64))
+            counts.append(wide(c.as_py(), len(hashes[-1])))
+    return totals(np.concatenate(hashes), np.concatenate(counts))
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
+    """values at the sorted keys; missing where there is none."""
     if not len(keys):
-        return np.full(len(wanted), missing, np.int64)
+        return np.broadcast_to(missing, wanted.shape).astype(np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], missing)
