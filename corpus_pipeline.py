@@ -1,4 +1,6 @@
-"""A corpus from raw documents to ids: quality rules, and then the rest of the stages as they come."""
+"""A corpus from raw documents to ids: quality rules, line dedup, near-duplicates, mixing, BPE.
+
+Each stage reads what its predecessor kept and all but the last return the columns of documents."""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltgrain.llm import bpe, quality
+from voltgrain.llm import bpe, jaccard, line_dedup, mixing, quality
 from voltgrain.llm.common import table, written
 
 
@@ -15,23 +17,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_filter(docs)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs of 50 words or more are deleted from the texts."""
+    return line_dedup.without_later_copies(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row for each document and pass, with the words taken."""
+    return mixing.mixed(docs)
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each text's ids, and digest of what they decode to."""
     return bpe.digests(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("mixing sources to target weights", mix_sources),
     ("BPE encoding and decoding", bpe_encoding),
 ]
 
-#: Suffix arrays and BPE are beyond SQL; tests compare the stages with brute force.
+#: Suffix arrays, permutations by hash and BPE are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, "pipeline")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltgrain.llm import bpe, lm, mixing, quality, topk, urls, warc
+from voltgrain.llm import bpe, jaccard, line_dedup, lm, mixing, quality, topk, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_warc": warc.op2_warc,
         "op3_topk": topk.op3_topk,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_bpe_encoding": bpe.op5_bpe_encoding,
         "op6_lm_scoring": lm.op6_lm_scoring,
         "op7_source_mixing": mixing.op7_source_mixing,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_url_filter": urls.op9_url_filter,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
