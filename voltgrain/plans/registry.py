@@ -1,15 +1,223 @@
-"""Every query of the entry file, by name."""
+"""Every query of the entry file, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voltgrain.functions import columns as C
+from voltgrain.functions import geo
+from voltgrain.operators import reports, risk, sinks, spatial
+from voltgrain.plans.domain import AS_OF, Domain, with_tables
+from voltgrain.sources import files
+from voltgrain.sources.staging import staging_path
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _age(d: str) -> str:
+    return f"(year({AS_OF})-year({d})-case when month({d})*100+day({d})>1231 then 1 else 0 end)"
+
+
+def _half_up(x: str, n: int) -> str:
+    return f"cast(round(cast({x} as decimal(18,8)),{n}) as double)"
+
+
+RECENT = """recent as (select municipio, distribuidora, uf, cast(sum(dec_apurado) as double)/count(dec_apurado) as dec_m, cast(sum(dec_limite) as double)/count(dec_limite) as lim_m,
+  sum(case when dec_apurado > dec_limite then 1 else 0 end) as viol from indicators where ano*12+mes >= (select max(ano*12+mes)-11 from indicators) group by 1,2,3),
+recent2 as (select *, case when lim_m > 0 then least(dec_m/lim_m, 3e0) else 0e0 end as ratio from recent)"""
+NETWORK_AGE = f"net_age as (select municipio, distribuidora, cast(sum({_age('data_implant')}) as double)/count(*) as age from network where data_implant is not null group by 1,2)"
+SCORES = f"""{RECENT}, {NETWORK_AGE},
+scores as (select i.municipio, i.distribuidora, i.uf, {_half_up("least(ratio/3e0,1e0)*40+least(viol/12e0,1e0)*30+least(coalesce(age,20e0)/40e0,1e0)*30", 2)} as score_risco,
+  {_half_up("dec_m", 2)} as dec_medio_12m, {_half_up("ratio", 4)} as ratio_dec, cast(viol as bigint) as meses_violacao, {_half_up("coalesce(age,20e0)", 1)} as idade_media_anos
+  from recent2 i left join net_age a on a.municipio=i.municipio and a.distribuidora=i.distribuidora)"""
+BEST = "score_risco desc nulls last, uf, municipio, distribuidora"
+
+_T0, _T1 = geo.disc_span("lon1", "lat1", "lon2", "lat2", "r.lon", "r.lat", "500e0")
+GAPS = f"""spans as (select m.cod_id, {_T0} as t0, {_T1} as t1 from network m join reclosers r on r.distribuidora=m.distribuidora
+  and r.lat between least(m.lat1,m.lat2)-0.01 and greatest(m.lat1,m.lat2)+0.01 and r.lon between least(m.lon1,m.lon2)-0.01 and greatest(m.lon1,m.lon2)+0.01),
+ordered as (select cod_id, t0, t1, coalesce(max(t1) over (partition by cod_id order by t0, t1 rows between unbounded preceding and 1 preceding), 0e0) as upto from spans where t0 is not null),
+covered as (select cod_id, sum(greatest(0e0, t1-greatest(t0, upto))) as part from ordered group by 1),
+exposed as (select m.cod_id, m.distribuidora, m.municipio, m.uf, {geo.planar_length("lon1", "lat1", "lon2", "lat2")}*(1e0-coalesce(c.part,0e0)) as len_m from network m left join covered c on c.cod_id=m.cod_id),
+gaps as (select cod_id, distribuidora, municipio, uf, {_half_up("len_m/1000e0", 3)} as comprimento_km, least({_half_up("len_m/1000e0/10e0*100e0", 1)}, 100e0) as score_vulnerabilidade from exposed where len_m > 100)"""
+TREND = f"""numbered as (select *, row_number() over (partition by municipio, distribuidora order by ano desc, mes desc) as rn from history),
+means as (select municipio, distribuidora, cast(sum(case when rn<=3 then score_risco end) as double)/count(case when rn<=3 then 1 end) as a,
+  cast(sum(case when rn>3 then score_risco end) as double)/nullif(count(case when rn>3 then 1 end),0) as b from numbered where rn<=6 group by 1,2),
+trend as (select municipio, distribuidora, {_half_up("a", 4)} as media_recente, {_half_up("b", 4)} as media_anterior from means),
+trends as (select *, case when media_recente > media_anterior+2 then 'piorando' when media_recente < media_anterior-2 then 'melhorando' else 'estavel' end as tendencia from trend)"""
+NEAREST = f"""pairs as (select t.cod_id, r.cod_id as asset, {geo.great_circle("t.lon", "t.lat", "r.lon", "r.lat")} as d from transformers t join reclosers r on r.distribuidora=t.distribuidora),
+near as (select cod_id, asset, d from (select *, row_number() over (partition by cod_id order by d, asset) as n from pairs where d <= 2000) where n=1)"""
+
+
+def _scores(d: Domain) -> DataFrame:
+    return risk.risk_score(d.indicators, d.network, d.as_of)
+
+
+def _gaps(d: Domain) -> DataFrame:
+    return spatial.protection_gaps(d.network, d.reclosers)
+
+
+def over(build: Callable[[Domain], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(Domain(spark, sf_dir))
+
+
+def _profile(d: Domain) -> DataFrame:
+    rows = reports.municipality_profile(_scores(d), d.network, d.low_voltage, d.transformers, d.reclosers, d.switches, _gaps(d), d.boundaries, d.population, d.history, d.as_of, limits=risk.recent_means(d.indicators))
+    return rows.withColumn("n_historico", F.coalesce(F.size("historico"), F.lit(0))).drop("historico", "pib_per_capita", "domicilios")
+
+
+def _aging(d: Domain) -> DataFrame:
+    return reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None).select("cod_id", "potencia_nom", "fabricante", "idade_anos", "vida_util_restante_anos", "status", "score_equipamento", F.col("asset").alias("religador"), C.half_up("distance_m", 0).alias("distancia_m"))
+
+
+def _indicator_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators written as a wide CSV with decimal commas, and read back by the ingest's readers."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "wide-csv")
+    comma = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    rows = d.indicators.select(F.col("distribuidora").alias("Nome Agente"), F.col("municipio").alias("MUNICÍPIO"), F.col("uf").alias("Sig UF"), F.format_string("15/%02d/%d", "mes", "ano").alias("Data Referência"), *(comma(c).alias(n) for c, n in (("dec_apurado", "DEC Apurado"), ("dec_limite", "DEC Limite"), ("fec_apurado", "FEC Apurado"), ("fec_limite", "FEC Limite"))))
+    rows.write.option("sep", ";").option("header", True).option("encoding", files.LATIN).csv(path)
+    return risk.with_violations(files.map_indicator_columns(files.normalise_headers(files.read_indicator_csv(spark, path))).dropna(subset=["distribuidora", "municipio", "ano", "mes"]))
+
+
+def _long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators written as consumer sets and a long CSV, and put together again."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "long-csv")
+    set_id = F.concat_ws("/", "distribuidora", "municipio")
+    d.indicators.select(set_id.alias("IdeConj"), F.lower("uf").alias("SigUF"), F.lower("municipio").alias("NomMunicipio"), F.col("distribuidora").alias("SigAgente")).distinct().write.option("sep", ";").option("header", True).csv(f"{path}/sets")
+    comma = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    long = d.indicators.select(set_id.alias("IdeConj"), F.format_string("%d%02d", "ano", "mes").alias("AnoMes"), F.explode(F.array(*(F.struct(F.lit(s.upper()).alias("SigIndicador"), comma(f"{s}_apurado").alias("ValApurado"), comma(f"{s}_limite").alias("ValLimite")) for s in ("dec", "fec")))).alias("v")).select("IdeConj", "AnoMes", "v.*")
+    long.write.option("sep", ";").option("header", True).csv(f"{path}/values")
+    states = [r[0] for r in d.indicators.select("uf").distinct().collect()]  # a list of states
+    sets = files.consumer_sets(files.read_csv_any_encoding(spark, f"{path}/sets"), states)
+    rows = files.wide_from_long(sets, files.long_indicators(files.read_csv_any_encoding(spark, f"{path}/values"), sets, 1993, 1997))
+    return rows.select("distribuidora", "municipio", "uf", "ano", "mes", *(C.half_up(c, 2).alias(c) for c in files.NUMBERS))
+
+
+def _sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores stored once, then again for one utility, as a rerun does."""
+    d = Domain(spark, sf_dir)
+    store = sinks.Table(spark, staging_path(spark, "scores"))
+    store.replace_scope(_scores(d), F.lit(True))
+    store.replace_scope(risk.risk_score(d.indicators, d.network, d.as_of, utility="DIST_A"), F.col("distribuidora") == "DIST_A")
+    return store.read()
+
+
+def _snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    store = sinks.Table(spark, staging_path(spark, "history"))
+    keys = ["municipio", "distribuidora", "ano", "mes"]
+    first = d.history.withColumns({c: F.col(c).cast("double") for c in ("score_risco", "dec_medio")})
+    store.upsert(first, keys, sinks.SNAPSHOT_UPDATE)
+    last = first.select(F.max("ano")).first()[0]
+    store.upsert(risk.score_snapshot(_scores(d), last, 12), keys, sinks.SNAPSHOT_UPDATE)
+    return store.read()
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "r1_risk_score": over(_scores),
+        "r1_top_risk": over(lambda d: risk.top_risk(_scores(d))),
+        "a2_recent_means": over(lambda d: risk.recent_means(d.indicators).select("municipio", "distribuidora", "uf", C.half_up("dec_medio_12m", 4).alias("dec_medio"), C.half_up("dec_limite_medio", 4).alias("limite_medio"), C.half_up("ratio_dec", 4).alias("ratio"), "meses_violacao")),
+        "a3_network_age": over(lambda d: risk.network_age(d.network, d.as_of).select("municipio", "distribuidora", C.half_up("idade_media_anos", 4).alias("idade"))),
+        "a8_towns_by_state": over(lambda d: d.indicators.groupBy("uf").agg(F.count_distinct("municipio").alias("n"))),
+        "a9_utilities": over(lambda d: d.indicators.select("distribuidora").distinct()),
+        "k5_violations": over(lambda d: risk.with_violations(d.indicators).groupBy("distribuidora", "ano").agg(F.count_if("violacao_dec").alias("n_dec"), F.count_if("violacao_fec").alias("n_fec"))),
+        "k6_unique": over(lambda d: sinks.check_unique(d.indicators, ["distribuidora", "municipio", "ano"])),
+        "p_scalar_functions": over(lambda d: d.transformers.select("cod_id", C.title_case(F.lower("municipio")).alias("nome"), C.fold_key("municipio").alias("chave"), C.completed_years("data_implant", d.as_of).alias("idade"), C.equipment_status(C.completed_years("data_implant", d.as_of)).alias("status"), C.remaining_life(C.completed_years("data_implant", d.as_of)).alias("resto"), C.comma_decimal(F.regexp_replace(F.col("potencia_nom").cast("string"), r"\.", ",")).alias("kva"))),
+        "p11_risk_bands": over(lambda d: _scores(d).groupBy(C.risk_band("score_risco").alias("faixa")).agg(F.count(F.lit(1)).alias("n"))),
+        "l4_worst_mean_dec": over(lambda d: d.indicators.groupBy("municipio").agg(C.half_up(C.exact_mean("dec_apurado"), 6).alias("dec_medio")).orderBy(F.desc("dec_medio"), "municipio").limit(5)),
+        "w2_trend": over(lambda d: risk.trend(d.history)),
+        "w3_last_months": over(lambda d: risk.last_months(d.history).withColumns({c: F.col(c).cast("double") for c in ("score_risco", "dec_medio")})),
+        "w4_best_utility": over(lambda d: risk.best_utility(_scores(d)).select("municipio", "uf", "distribuidora", "score_risco")),
+        "r2_snapshot_upsert": _snapshot_upsert,
+        "r3_protection_gaps": over(lambda d: _gaps(d).drop("geom")),
+        "r4_gap_report": over(lambda d: reports.gap_report(_gaps(d)).drop("geom")),
+        "a10_gap_totals": over(lambda d: reports.gap_totals(_gaps(d))),
+        "r5_risk_map": over(lambda d: reports.risk_map(_scores(d), d.boundaries, utility="dist_a").drop("boundary")),
+        "r6_risk_ranking": over(lambda d: reports.risk_ranking(_scores(d), d.boundaries, d.population, _gaps(d), d.transformers, d.history, d.as_of, page=2, limit=20)),
+        "r7_kpis": over(lambda d: reports.kpis(_scores(d), d.boundaries, d.population, _gaps(d), d.transformers, d.as_of, critical=50)),
+        "r8_critical_segments": over(lambda d: reports.critical_segments(d.network, _scores(d), min_score=50).select("cod_id", "distribuidora", "municipio", "comprimento", "score_risco")),
+        "r9_transformers_with_risk": over(lambda d: reports.transformers_with_risk(d.transformers, _scores(d), n=None).select("cod_id", "distribuidora", "municipio", "potencia_nom", "fabricante", "score_risco")),
+        "r10_municipality_profile": over(_profile),
+        "r11_transformer_aging": over(_aging),
+        "g2_line_length": over(lambda d: d.network.select("cod_id", C.half_up(geo.line_length_m("geom") / 1000, 3).alias("km"))),
+        "g3_polygon_area": over(lambda d: d.boundaries.select("codigo_ibge", C.half_up(geo.polygon_area_km2(F.col("geom")), 4).alias("km2"))),
+        "g10_assign_municipality": over(lambda d: spatial.assign_municipality(d.transformers, d.boundaries).select("cod_id", "codigo_ibge")),
+        "a12_extent": over(lambda d: reports.layer_extent(d.network).select(*(C.half_up(c, 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")))),
+        "r12_ingest_continuity": _long_csv,
+        "r13_ingest_wide_indicators": _indicator_csv,
+        "k3_replace_scope": _sink_rerun,
+    }
+
+
+def _area_sql() -> str:
+    """Shoelace over a square's projected corners."""
+    corner = [("west", "south"), ("west+0.05e0", "south"), ("west+0.05e0", "south+0.05e0"), ("west", "south+0.05e0")]
+    xy = [geo.utm(f"({a})", f"({b})") for a, b in corner]
+    terms = "+".join(f"({x1}*{y2}-{x2}*{y1})" for (x1, y1), (x2, y2) in zip(xy, xy[1:] + xy[:1], strict=True))
+    return f"abs({terms})/2e0/1e6"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    both = ["indicators", "network"]
+    boundary = "left join boundaries b on b.nome_norm = lower(s.municipio) and b.uf = s.uf"
+    gap_sum = "(select municipio, distribuidora, cast(sum(cast(comprimento_km as decimal(18,3))) as double) as km from gaps group by 1,2)"
+    old_count = f"(select municipio, distribuidora, count(*) as n from transformers where {_age('data_implant')} > 25 group by 1,2)"
+    return {
+        "r1_risk_score": with_tables(both, f", {SCORES} select * from scores".replace(", recent as", ", recent as", 1)),
+        "r1_top_risk": with_tables(both, f", {SCORES} select municipio, distribuidora, score_risco from scores order by {BEST} limit 5"),
+        "a2_recent_means": with_tables(["indicators"], f", {RECENT} select municipio, distribuidora, uf, {_half_up('dec_m', 4)} as dec_medio, {_half_up('lim_m', 4)} as limite_medio, {_half_up('ratio', 4)} as ratio, cast(viol as bigint) as meses_violacao from recent2"),
+        "a3_network_age": with_tables(["network"], f", {NETWORK_AGE} select municipio, distribuidora, {_half_up('age', 4)} as idade from net_age"),
+        "a8_towns_by_state": with_tables(["indicators"], "select uf, count(distinct municipio) as n from indicators group by 1"),
+        "a9_utilities": with_tables(["indicators"], "select distinct distribuidora from indicators"),
+        "k5_violations": with_tables(["indicators"], "select distribuidora, ano, cast(sum(case when dec_apurado>dec_limite then 1 else 0 end) as bigint) as n_dec, cast(sum(case when fec_apurado>fec_limite then 1 else 0 end) as bigint) as n_fec from indicators group by 1,2"),
+        "k6_unique": with_tables(["indicators"], "select distribuidora, municipio, ano, count(*) as n from indicators group by 1,2,3 having count(*) > 1"),
+        "p_scalar_functions": with_tables(["transformers"], f"select cod_id, upper(substr(municipio,1,1))||lower(substr(municipio,2)) as nome, lower(municipio) as chave, {_age('data_implant')} as idade, case when {_age('data_implant')}>25 then 'critico' when {_age('data_implant')}>20 then 'atencao' else 'ok' end as status, greatest(0, 30-{_age('data_implant')}) as resto, potencia_nom as kva from transformers"),
+        "p11_risk_bands": with_tables(both, f", {SCORES} select case when score_risco>=80 then 'critico' when score_risco>=60 then 'alto' when score_risco>=40 then 'medio' else 'baixo' end as faixa, count(*) as n from scores group by 1"),
+        "l4_worst_mean_dec": with_tables(["indicators"], f"select municipio, {_half_up('cast(sum(dec_apurado) as double)/count(dec_apurado)', 6)} as dec_medio from indicators group by 1 order by 2 desc, 1 limit 5"),
+        "w2_trend": with_tables(["history"], f", {TREND} select municipio, distribuidora, media_recente, media_anterior, tendencia from trends"),
+        "w3_last_months": with_tables(["history"], f", {TREND} select municipio, distribuidora, uf, ano, mes, cast(score_risco as double) as score_risco, cast(dec_medio as double) as dec_medio, cast(row_number() over (partition by municipio, distribuidora order by ano, mes) as int) as ordem from numbered where rn <= 12"),
+        "w4_best_utility": with_tables(both, f", {SCORES} select municipio, uf, distribuidora, score_risco from (select *, row_number() over (partition by municipio, uf order by score_risco desc nulls last, distribuidora) as n from scores) where n=1"),
+        "r2_snapshot_upsert": with_tables(["indicators", "network", "history"], f""", {SCORES}, y as (select max(ano) as ano from history)
+select coalesce(s.municipio,h.municipio) as municipio, coalesce(s.distribuidora,h.distribuidora) as distribuidora, coalesce(h.uf,s.uf) as uf, coalesce(h.ano,s.ano) as ano, coalesce(h.mes,s.mes) as mes, coalesce(s.score_risco,cast(h.score_risco as double)) as score_risco, coalesce(s.dec_medio_12m,cast(h.dec_medio as double)) as dec_medio
+from history h full join (select scores.*, y.ano, 12 as mes from scores, y) s on s.municipio=h.municipio and s.distribuidora=h.distribuidora and s.ano=h.ano and s.mes=h.mes"""),
+        "r3_protection_gaps": with_tables(["network", "reclosers"], f", {GAPS} select * from gaps"),
+        "r4_gap_report": with_tables(["network", "reclosers"], f", {GAPS} select * from gaps where score_vulnerabilidade >= 30 order by score_vulnerabilidade desc, comprimento_km desc, cod_id limit 200"),
+        "a10_gap_totals": with_tables(["network", "reclosers"], f", {GAPS}, t as (select municipio, count(*) as n, sum(cast(comprimento_km as decimal(18,3))) as km from gaps group by 1) select cast(sum(n) as bigint) as n_gaps, {_half_up('sum(km)', 1)} as km_total, (select municipio from t order by km desc, municipio limit 1) as pior_municipio from t"),
+        "r5_risk_map": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where s.distribuidora ilike '%dist_a%'"),
+        "r6_risk_ranking": with_tables([*both, "reclosers", "transformers", "boundaries", "population", "history"], f""", {SCORES}, {GAPS}, {TREND}
+select s.municipio, s.distribuidora, s.uf, s.score_risco, s.dec_medio_12m, s.meses_violacao, s.idade_media_anos, coalesce(p.populacao,0) as populacao, coalesce(g.km,0e0) as km_sem_protecao, coalesce(o.n,0) as n_transformadores_criticos, coalesce(t.tendencia,'estavel') as tendencia,
+ cast(row_number() over (order by s.score_risco desc nulls last, s.uf, s.municipio, s.distribuidora) as int) as posicao, (select count(*) from scores) as total, cast(ceil((select count(*) from scores)/20e0) as bigint) as pages
+from scores s {boundary} left join population p on p.codigo_ibge=b.codigo_ibge left join {gap_sum} g on g.municipio=s.municipio and g.distribuidora=s.distribuidora left join {old_count} o on o.municipio=s.municipio and o.distribuidora=s.distribuidora left join trends t on t.municipio=s.municipio and t.distribuidora=s.distribuidora
+qualify posicao between 21 and 40"""),
+        "r7_kpis": with_tables([*both, "reclosers", "transformers", "boundaries", "population"], f""", {SCORES}, {GAPS}
+select {_half_up('cast(sum(cast(score_risco as decimal(10,2))) as double)/count(*)', 2)} as score_medio, count(case when score_risco>50 then 1 end) as municipios_criticos, count(distinct case when score_risco>50 then municipio||'/'||uf end) as municipios_distintos,
+ {_half_up('cast(sum(cast(dec_medio_12m as decimal(10,2))) as double)/count(dec_medio_12m)', 4)} as dec_medio_geral, cast(sum(meses_violacao) as bigint) as total_meses_violacao,
+ (select cast(round(coalesce(sum(p.populacao)*0.37,0),0) as bigint) from scores s join boundaries b on b.nome_norm=lower(s.municipio) and b.uf=s.uf join population p on p.codigo_ibge=b.codigo_ibge where s.score_risco>50) as consumidores_afetados,
+ (select {_half_up('coalesce(sum(cast(comprimento_km as decimal(18,3))),0)', 1)} from gaps) as km_rede_sem_protecao, (select count(*) from transformers where {_age('data_implant')} > 25) as transformadores_criticos
+from scores"""),
+        "r8_critical_segments": with_tables(both, f", {SCORES} select n.cod_id, n.distribuidora, n.municipio, n.comprimento, s.score_risco from network n join scores s on s.municipio=n.municipio and s.distribuidora=n.distribuidora where s.score_risco>=50 order by s.score_risco desc, n.cod_id limit 500"),
+        "r9_transformers_with_risk": with_tables([*both, "transformers"], f", {SCORES} select t.cod_id, t.distribuidora, t.municipio, t.potencia_nom, t.fabricante, coalesce(s.score_risco,0e0) as score_risco from transformers t left join scores s on s.municipio=t.municipio and s.distribuidora=t.distribuidora"),
+        "r10_municipality_profile": with_tables([*both, "low_voltage", "reclosers", "switches", "transformers", "boundaries", "population", "history"], f""", {SCORES}, {GAPS}, {TREND},
+mt as (select municipio, distribuidora, cast(sum(cast(comprimento as decimal(18,4))) as double) as m, cast(sum({_age('data_implant')}) as double)/count({_age('data_implant')}) as age from network group by 1,2),
+bt as (select municipio, distribuidora, cast(sum(cast(comprimento as decimal(18,4))) as double) as m from low_voltage group by 1,2),
+tr as (select municipio, distribuidora, count(*) as n, sum(cast(potencia_nom as decimal(18,2))) as kva, count(case when {_age('data_implant')}>25 then 1 end) as old from transformers group by 1,2),
+re as (select municipio, distribuidora, count(*) as n from reclosers group by 1,2), sw as (select municipio, distribuidora, count(*) as n from switches group by 1,2),
+hi as (select municipio, distribuidora, count(*) as n from numbered where rn<=12 group by 1,2),
+j as (select s.*, row_number() over (partition by s.municipio, s.uf order by s.score_risco desc nulls last, s.distribuidora) = 1 as melhor, {_half_up('coalesce(i.lim_m,12e0)', 2)} as dec_limite, coalesce(t.tendencia,'estavel') as tendencia, {_half_up('coalesce(mt.m,0)/1000e0', 1)} as comprimento_mt_km, {_half_up('coalesce(bt.m,0)/1000e0', 1)} as comprimento_bt_km,
+ coalesce(tr.n,0) as n_transformadores, {_half_up('coalesce(tr.kva,0)', 0)} as potencia_total_kva, {_half_up('coalesce(mt.age,0e0)', 1)} as idade_mt, coalesce(tr.old,0) as transformadores_criticos, coalesce(re.n,0) as n_religadores, coalesce(sw.n,0) as n_chaves, {_half_up('coalesce(g.km,0)', 1)} as km_sem_protecao, p.populacao, p.area_km2, cast(coalesce(hi.n,0) as int) as n_historico
+ from scores s join recent2 i on i.municipio=s.municipio and i.distribuidora=s.distribuidora and i.uf=s.uf {boundary} left join population p on p.codigo_ibge=b.codigo_ibge left join mt on mt.municipio=s.municipio and mt.distribuidora=s.distribuidora left join bt on bt.municipio=s.municipio and bt.distribuidora=s.distribuidora
+ left join tr on tr.municipio=s.municipio and tr.distribuidora=s.distribuidora left join re on re.municipio=s.municipio and re.distribuidora=s.distribuidora left join sw on sw.municipio=s.municipio and sw.distribuidora=s.distribuidora left join hi on hi.municipio=s.municipio and hi.distribuidora=s.distribuidora left join {gap_sum} g on g.municipio=s.municipio and g.distribuidora=s.distribuidora left join trends t on t.municipio=s.municipio and t.distribuidora=s.distribuidora)
+select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, ratio_dec, meses_violacao, melhor, tendencia, comprimento_mt_km, comprimento_bt_km, n_transformadores, potencia_total_kva, idade_mt as idade_media_anos, transformadores_criticos, n_religadores, n_chaves,
+ case when comprimento_mt_km>0 then greatest(0, cast(floor((1-km_sem_protecao/comprimento_mt_km)*100+0.5) as bigint)) end as cobertura_pct, km_sem_protecao, populacao, case when area_km2>0 then cast(floor(populacao/area_km2+0.5) as bigint) end as densidade_hab_km2, n_historico from j"""),
+        "r11_transformer_aging": with_tables(["transformers", "reclosers"], f", {NEAREST}, a as (select t.*, {_age('t.data_implant')} as idade, n.asset, n.d from transformers t left join near n on n.cod_id=t.cod_id) select cod_id, potencia_nom, fabricante, cast(idade as int) as idade_anos, greatest(0, 30-cast(idade as int)) as vida_util_restante_anos, case when idade>25 then 'critico' when idade>20 then 'atencao' else 'ok' end as status, {_half_up('least(idade/30e0,1e0)*60+least(coalesce(d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento, asset as religador, {_half_up('d', 0)} as distancia_m from a"),
+        "g2_line_length": with_tables(["network"], f"select cod_id, {_half_up(geo.planar_length('lon1', 'lat1', 'lon2', 'lat2') + '/1000e0', 3)} as km from network"),
+        "g3_polygon_area": with_tables(["boundaries"], f"select codigo_ibge, {_half_up(_area_sql(), 4)} as km2 from boundaries"),
+        "g10_assign_municipality": with_tables(["transformers", "boundaries"], "select t.cod_id, min(b.codigo_ibge) as codigo_ibge from transformers t join boundaries b on t.lon>=b.west and t.lon<b.west+0.05e0 and t.lat>=b.south and t.lat<b.south+0.05e0 group by 1"),
+        "a12_extent": with_tables(["network"], ", ".join(["select " + _half_up("least(min(lon1),min(lon2))", 6) + " as min_lon", _half_up("least(min(lat1),min(lat2))", 6) + " as min_lat", _half_up("greatest(max(lon1),max(lon2))", 6) + " as max_lon", _half_up("greatest(max(lat1),max(lat2))", 6) + " as max_lat from network"])),
+        "r12_ingest_continuity": with_tables(["indicators"], "select distribuidora, upper(substr(municipio,1,1))||lower(substr(municipio,2)) as municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite from indicators where ano between 1993 and 1997"),
+        "r13_ingest_wide_indicators": with_tables(["indicators"], "select distribuidora, municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite, dec_apurado>dec_limite as violacao_dec, fec_apurado>fec_limite as violacao_fec from indicators"),
+        "k3_replace_scope": with_tables(both, f", {SCORES} select * from scores"),
+    }

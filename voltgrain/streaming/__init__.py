@@ -1,0 +1 @@
+"""Nothing streams in this model: every job is a batch over landed files."""
