@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from voltgrain.llm.common import table, text_bytes
 
 #: Strings between blanks that a Python worker keeps encoded; beyond, those not met again lately are forgotten.
-KEPT = 120_000
+KEPT = 250_000
+#: Rows of a batch that are encoded together.
+ROWS = 500
 ROUND_TRIP = "ids array<int>, decoded string"
 
 
@@ -153,9 +155,10 @@ def _round_trip(path: str):
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = loaded(path)
         for column in it:
-            got = [bpe.encode(raw.as_py().decode("utf-8", "replace")) for raw in column]
-            texts = [bpe.decode(np.frombuffer(ids, "<u4").tolist()) for ids in got]
-            yield pa.StructArray.from_arrays([_lists(got), pa.array(texts, pa.string())], ["ids", "decoded"])
+            for at in range(0, len(column), ROWS):
+                got = [bpe.encode(raw.as_py().decode("utf-8", "replace")) for raw in column[at : at + ROWS]]
+                texts = [bpe.decode(np.frombuffer(ids, "<u4").tolist()) for ids in got]
+                yield pa.StructArray.from_arrays([_lists(got), pa.array(texts, pa.string())], ["ids", "decoded"])
 
     return batches
 
