@@ -1,0 +1,186 @@
+"""Operators that look at all texts: line dedup, language model, Jaccard join, mixing, and the pipeline."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import brute
+from voltgrain.llm import bpe, jaccard, line_dedup, lm, mixing, quality
+from voltgrain.llm.components import components
+
+
+@pytest.mark.parametrize("least", [50, 4])
+def test_line_dedup(docs, rows, least):
+    found = {r["doc_id"]: (r["text"], r["gone_n"]) for r in line_dedup.without_later_copies(docs, removed_col="gone_n", min_words=least).collect()}
+    assert found == brute.line_dedup(rows, least)
+
+
+def test_line_dedup_runs(spark):
+    run = "one two three\nfour five six\n\nseven eight nine"
+    data = [(1, run + "\nten"), (2, "zero\n" + run), (3, "four five six\nx"), (4, "\n".join(["same line here"] * 6)), (5, None)]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.without_later_copies(spark.createDataFrame(data, "doc_id long, text string"), min_words=7).collect()}
+    assert out == {1: data[0][1], 2: "zero\n", 3: data[2][1], 4: "same line here", 5: None}
+    assert out[1] == data[0][1]
+
+
+def test_line_dedup_odd(spark, odd):
+    out = line_dedup.without_later_copies(odd, min_words=5)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert out.filter("doc_id = 5 and text = ''").count() == 1  # the null id comes first
+    assert {r[0] for r in out.filter("doc_id = 4").select("text").collect()} == {r[0] for r in odd.filter("doc_id = 4").select("text").collect()}
+    assert line_dedup.without_later_copies(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order, strength", [(1, 1.0), (2, 200.0), (3, 20.0)])
+def test_lm(docs, rows, order, strength):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    found = {r["doc_id"]: r for r in lm.scored(docs, held, order=order, strength=strength, block_bytes=80_000).collect()}
+    want = brute.lm(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, order, strength)
+    assert len(found) == len(want)
+    for i, (n, known, total, base, score) in want.items():
+        r = found[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+
+
+def test_lm_beats_base(spark, sf_dir):
+    r = lm.op6_lm_scoring(spark, sf_dir).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert r["s"] > r["b"]
+
+
+def test_lm_odd(spark, odd):
+    out = lm.scored(odd, F.lit(None).cast("boolean"))
+    assert out.count() == odd.count()
+    assert {r["n_tokens"] for r in out.filter("doc_id in (1, 2, 3)").collect()} == {1}
+    assert lm.scored(odd.limit(0), F.lit(False)).count() == 0
+    nothing = lm.scored(odd, F.lit(True)).filter("train_tokens = 0 and n_known = 0").count()
+    assert nothing == odd.count()
+
+
+@pytest.mark.parametrize("n, percent, group", [(4, 85, 1024), (5, 80, 6), (1, 60, 5)])
+def test_jaccard(docs, rows, n, percent, group):
+    found = jaccard.jaccard_components(docs, n=n, percent=percent, group_sets=group)
+    assert {tuple(r) for r in found.collect()} == brute.jaccard(rows, n, percent)
+
+
+def test_jaccard_large_cluster(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(60)]
+    data = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(60)] = word()
+        data.append((i, " ".join(w)))
+    data += [(100 + i, " ".join(base[:25] + [word() for _ in range(30)])) for i in range(10)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for percent in (85, 70):
+        assert {tuple(r) for r in jaccard.jaccard_components(df, n=3, percent=percent, group_sets=16).collect()} == brute.jaccard(data, 3, percent)
+
+
+def test_jaccard_odd(spark, odd):
+    found = jaccard.jaccard_components(odd)
+    assert found.count() == odd.count()
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found.collect()}
+    assert got[(None, 3)] == 5 and got[(5, 3)] == 5 and got[(1, 0)] == 1 and got[(6, 1)] == 6
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert jaccard.jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1023])
+def test_permutation(spark, n):
+    got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5))).collect()]
+    assert sorted(got) == list(range(n))
+    assert n < 50 or got != list(range(n))
+
+
+def filled(sizes, weights, most=3):
+    """Targets by sharing again and again."""
+    total, full = sum(sizes), set()
+    while True:
+        room, w = total - sum(most * sizes[i] for i in full), sum(weights[i] for i in range(len(sizes)) if i not in full)
+        share = [most * sizes[i] if i in full else room * weights[i] / w for i in range(len(sizes))]
+        over = {i for i in range(len(sizes)) if i not in full and share[i] > most * sizes[i]}
+        if not over:
+            return share
+        full |= over
+
+
+@pytest.mark.parametrize("sizes", [[1000, 10, 20, 5000, 0], [7], [300, 300, 300], [5, 100000, 7, 9, 11, 13, 1]])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(f"s{i}", s) for i, s in enumerate(sizes)], "source string, size long")
+    got = [r["target"] for r in mixing.with_targets(df, [1, 2, 3]).orderBy("source").collect()]
+    assert got == pytest.approx(filled(sizes, [1 + i % 3 for i in range(len(sizes))]))
+
+
+def test_mixing_report(spark, sf_dir, docs, rows):
+    found = mixing.op7_source_mixing(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["size"] for r in found} == {i: len(brute.words(t)) for i, t in rows}
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in found)
+    source = {r[0]: r[1] for r in docs.select("doc_id", "source").collect()}
+    for s in set(source.values()):
+        mine = [r for r in found if source[r["doc_id"]] == s]
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * mixing.BLOCK
+    assert sorted(found) == sorted(mixing.op7_source_mixing(spark, sf_dir).collect())
+
+
+def test_mixing_draws(spark, docs):
+    sizes = mixing.with_sizes(docs, "doc_id", "text", "source")
+    targets = mixing.with_targets(sizes, [1, 2, 3])
+    slots = mixing.drawn(targets).collect()
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
+    assert len({(r["source"], r["pass"], r["block"]) for r in slots}) == len(slots)
+    assert {r["source"]: r["draws"] for r in targets.collect()} == {s: sum(r["source"] == s for r in slots) for s in {r["source"] for r in slots}}
+
+
+def test_mixed_texts(docs):
+    report = {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    taken, texts = {}, {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in out.collect():
+        w = brute.words(r["text"])
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(w)
+        assert r["n_chars"] == len(r["text"]) and set(w) <= set(brute.words(texts[r["doc_id"]]))
+        assert len(w) < len(brute.words(texts[r["doc_id"]])) or r["text"] == texts[r["doc_id"]]
+    assert taken == {i: n for i, n in report.items() if n}
+
+
+def test_mixing_odd(spark, odd):
+    got = mixing.mix_report(odd)
+    assert got.count() == odd.count() and got.filter("taken > 3 * size or (size = 0 and taken <> 0)").count() == 0
+    assert mixing.mixed(odd).columns == odd.columns
+    assert mixing.mixed(odd).filter("text is null").count() == 0
+    assert mixing.mix_report(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf_dir, docs, rows):
+    """Each stage against brute force over what its predecessor kept."""
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages[names[0]](spark, docs, sf_dir).cache()
+    signals = quality.quality_signals(docs)
+    assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in signals.filter(quality.verdict()[1]).collect()}
+    two = stages[names[1]](spark, one, sf_dir).cache()
+    assert {r["doc_id"]: r["text"] for r in two.collect()} == {i: t for i, (t, _) in brute.line_dedup([(r["doc_id"], r["text"]) for r in one.collect()], 50).items()}
+    three = stages[names[2]](spark, two, sf_dir).cache()
+    assert {r["doc_id"] for r in three.collect()} == {i for i, _, c in brute.jaccard([(r["doc_id"], r["text"]) for r in two.collect()], 5, 80) if i == c}
+    four = stages[names[3]](spark, three, sf_dir).cache()
+    assert one.columns == two.columns == three.columns == four.columns == docs.columns
+    assert four.select(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0] == pytest.approx(three.select(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0], rel=0.05)
+    last = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, bpe.digests(four).collect()))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltgrain.llm import blocks as B
-from voltgrain.llm.common import table, text_bytes, written
+from voltgrain.llm.common import table, text_bytes, unused, written
 from voltgrain.llm.components import components
 
 SET = "doc_id long, n int, node binary, tokens binary, ranks binary, first array<long>"
@@ -79,7 +79,7 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         sets = _sets(left, n)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         own = B.totals(B.cut(flat, bits, WIDTH), np.ones(len(flat), np.int64))
-        keys, values = B.told(right, 0)
+        keys, values = B.told(right, 0, WIDTH)
         docs_with = own[0], B.looked_up(keys, values, own[0], own[1])
         out = []
         for doc_id, tokens in zip(left["doc_id"].to_pylist(), sets, strict=True):
@@ -288,11 +288,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with only the document of the smallest id of each component; of rows that share this id, those with the
-    smallest text. Rows without an id or without n-grams stay."""
+    """docs with only the document of the smallest id of each component. An id goes if one of its rows is linked with a
+    smaller id; rows of the id that stays, rows without an id and texts without n-grams all stay."""
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, n=n, percent=percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused("_gone", docs)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
