@@ -71,12 +71,13 @@ def with_targets(sizes: DataFrame, weights: list[int]) -> DataFrame:
 def drawn(targets: DataFrame, seed: int = 1) -> DataFrame:
     """A row for each slot of the mix: shard, slot, source, pass (0, 1, ...) and block."""
     some = targets.filter("draws > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {DRAWS}"))))
-    some = some.repartition("source", "part")
+    some = some.repartition(max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32), "source", "part")  # a number: few rows become many
     one = some.withColumn("n", F.explode(F.sequence(F.expr(f"part * {DRAWS}"), F.expr(f"least(draws, (part + 1) * {DRAWS}) - 1"))))
     one = one.withColumn("pass", F.expr("n div blocks")).withColumn("key", F.xxhash64(F.lit(seed), "source"))
     block = permuted(F.expr("n % blocks"), F.col("blocks"), F.col("key"), F.col("pass"))
     slot = permuted(F.col("first") + F.col("n"), F.col("slots"), F.lit(seed))
-    return one.select(slot.alias("slot"), "source", "pass", block.alias("block")).withColumn("shard", F.expr(f"slot div {SHARD}"))
+    one = one.select(slot.alias("slot"), "source", "pass", block.alias("block")).withColumn("shard", F.expr(f"slot div {SHARD}"))
+    return written(one, "mix-draws")  # so that joins know its size
 
 
 def placed(sizes: DataFrame) -> DataFrame:
