@@ -1,13 +1,13 @@
 """Operator 4, toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts: both begin with the words that both kinds use,
-then one goes on with words that mark toxic texts, the other with words that mark ordinary ones. A text is
-cut into windows of about WINDOW bytes, at blanks, and each window is compressed with either dictionary: the
-difference of the two lengths says which kind of text the window is nearer to. From a text's differences
-(the largest, how many reach each of a few thresholds, how many windows) a logistic function makes the score.
-A shared beginning keeps windows of everyday words at a difference of about 0. Of several sizes of the
-dictionaries, the one that tells a held-back quarter of the labelled texts apart best is taken, and the
-thresholds' weights are fitted on that quarter.
+zstandard dictionaries are made in pairs from labelled texts: both of a pair begin with the words that both kinds
+of text use, then one goes on with words that mark toxic texts, the other with words that mark ordinary ones. A text
+is cut into windows of about WINDOW bytes, at blanks, and each window is compressed with either dictionary: the
+difference of the two lengths says which kind of text the window is nearer to. A shared beginning keeps windows of
+everyday words near 0. There is a pair for each of a few sizes; since their errors differ, a window's differences are
+also added up. From a text's differences (the largest, how many reach each of a few thresholds, how many windows)
+a logistic function makes the score; its weights are fitted on a quarter of the labelled texts, which the
+dictionaries have not seen.
 
 Fitting uses a bounded sample: for each label the SAMPLE documents whose ids have the smallest hashes, and of
 their texts TRAIN_CHARS characters; this much and the labels' counts reach the driver, the dictionaries (some
@@ -35,14 +35,13 @@ from voltgrain.llm.common import table, text_bytes
 
 SAMPLE, TRAIN_CHARS = 4000, 20_000
 WINDOW, LEVEL = 32, 3
-#: Bytes of marking words and of shared words that are tried.
-SIZES = [(600, 3 << 10), (1 << 10, 8 << 10), (2 << 10, 30 << 10)]
-THRESHOLDS = (3, 4, 5, 6, 7, 8)
+#: Bytes of marking words and of shared words of each pair of dictionaries.
+SIZES = [(600, 3 << 10), (1 << 10, 8 << 10)]
+THRESHOLDS, SUM_THRESHOLDS = (3, 4, 5, 6, 7, 8), (6, 8, 10, 12, 14)
 
 
 class Model(NamedTuple):
-    toxic: bytes
-    ordinary: bytes
+    pairs: list[tuple[bytes, bytes]]  # toxic, ordinary
     weights: list[float]  # of features(), then the intercept
     prior: float  # the score if nothing could be fitted
 
@@ -63,10 +62,14 @@ def windows(text: bytes) -> Iterator[bytes]:
         i = j
 
 
-def features(text: bytes, ordinary, toxic) -> list[float]:
-    """ordinary, toxic: the compress functions."""
-    d = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower())] or [0])
-    return [min(float(d.max()), 15.0), *(math.log1p(int((d >= t).sum())) for t in THRESHOLDS), math.log1p(len(d))]
+def features(text: bytes, pairs: list[tuple]) -> list[float]:
+    """pairs: the compress functions of the toxic and the ordinary dictionary of each pair."""
+    some = list(windows(text.lower()))
+    each = [np.array([len(ordinary(w)) - len(toxic(w)) for w in some] or [0]) for toxic, ordinary in pairs]
+    out = []
+    for d, steps in [*((d, THRESHOLDS) for d in each), (sum(each), SUM_THRESHOLDS)]:
+        out += [min(float(d.max()), 30.0), *(math.log1p(int((d >= t).sum())) for t in steps)]
+    return [*out, math.log1p(len(some))]
 
 
 def content(words: list[bytes], size: int) -> bytes:
@@ -101,17 +104,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
-def loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-
 def fitted(rows: list[tuple[bytes, int]], prior: float) -> Model:
     """rows: texts and labels (0, 1); prior: the share of label 1 among all labels."""
     rows = sorted(dict(rows).items())
     learn, check = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if not i % 4]
     if min(sum(y == k for _, y in part) for part in (learn, check) for k in (0, 1)) < 1:
-        return Model(b"", b"", [], prior)
+        return Model([], [], prior)
     seen = {0: Counter(), 1: Counter()}
     for text, y in learn:
         seen[y].update(set(text.lower().split()))
@@ -119,19 +117,12 @@ def fitted(rows: list[tuple[bytes, int]], prior: float) -> Model:
     toxic, ordinary = marking(seen[1], n[1], seen[0], n[0], 3.0), marking(seen[0], n[0], seen[1], n[1], 1.2)
     both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2 and len(w) < 40), key=lambda w: (seen[0][w] + seen[1][w], w))
     y = np.array([label for _, label in check], float)
-    best = None
-    for tail, head in SIZES:
-        shared = content(both, head)
-        dictionaries = shared + content(toxic, tail), shared + content(ordinary, tail)
-        one, two = (compressor(d).compress for d in dictionaries)
-        x = np.array([features(text, two, one) for text, _ in check])
-        w = logistic(x, y)
-        if best is None or loss(x, y, w) < best[0]:
-            best = loss(x, y, w), dictionaries, w
-    _, dictionaries, w = best
+    pairs = [(content(both, head) + content(toxic, tail), content(both, head) + content(ordinary, tail)) for tail, head in SIZES]
+    run = [(compressor(t).compress, compressor(o).compress) for t, o in pairs]
+    w = logistic(np.array([features(text, run) for text, _ in check]), y)
     share = y.mean()
     w[-1] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))  # the sample holds label 1 more often
-    return Model(*dictionaries, w.tolist(), prior)
+    return Model(pairs, w.tolist(), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -140,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_i
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not 0 < prior < 1:
-        return Model(b"", b"", [], prior)
+        return Model([], [], prior)
     some = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t")).join(chosen, "id").groupBy("id", "y").agg(F.min("t").alias("t")).filter(F.col("t").isNotNull())
@@ -153,10 +144,10 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: st
         return docs.withColumn(out_col, F.lit(float(model.prior)))
 
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ordinary, toxic = compressor(model.ordinary).compress, compressor(model.toxic).compress
+        run = [(compressor(t).compress, compressor(o).compress) for t, o in model.pairs]
         w = np.array(model.weights)
         for column in it:
-            x = np.array([features(raw.as_py(), ordinary, toxic) for raw in column]).reshape(-1, len(w) - 1)
+            x = np.array([features(raw.as_py(), run) for raw in column]).reshape(-1, len(w) - 1)
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), pa.float64())
 
     return docs.withColumn(out_col, F.arrow_udf(batches, "double", F.ArrowUDFType.SCALAR_ITER)(text_bytes(text_col)))
