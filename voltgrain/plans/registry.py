@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voltgrain.functions import columns as C
 from voltgrain.functions import geo
 from voltgrain.operators import reports, risk, sinks, spatial
+from voltgrain.plans import jobs
 from voltgrain.plans.domain import AS_OF, Domain, with_tables
 from voltgrain.sources import files
 from voltgrain.sources.staging import staging_path
@@ -115,6 +116,56 @@ def _snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+def _landed_features(d: Domain, path: str) -> None:
+    """The network's layers as files of features, without municipalities."""
+    date = F.date_format("data_implant", "dd/MM/yyyy").alias("DAT_INS")
+    d.network.select(F.col("cod_id").alias("COD_ID"), F.col("comprimento").alias("COMP_TREC"), date, F.col("geom").alias("geometry")).write.parquet(f"{path}/SSDMT")
+    d.transformers.select(F.col("cod_id").alias("COD_ID"), F.col("potencia_nom").alias("POT_NOM"), F.col("fabricante").alias("FAB"), date, F.col("geom").alias("geometry")).write.parquet(f"{path}/UNSDAT")
+
+
+def _import_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines landed as one utility's, imported, placed in municipalities and scored."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "import")
+    _landed_features(d, f"{path}/features")
+    store = jobs.Store(spark, f"{path}/store")
+    store["ibge_municipios"].append(d.boundaries)
+    store["indicadores_continuidade"].append(risk.with_violations(d.indicators))
+    jobs.import_and_score(store, f"{path}/features", "DIST_A", "br", d.as_of)
+    return store["mapa_risco"].read()
+
+
+def _ingest_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, path = Domain(spark, sf_dir), staging_path(spark, "network")
+    _landed_features(d, f"{path}/features")
+    store = jobs.Store(spark, f"{path}/store")
+    store["ibge_municipios"].append(d.boundaries)
+    for _ in range(2):  # a rerun replaces its own rows
+        jobs.ingest_network(store, f"{path}/features", "DIST_A", "br")
+    kept = ("cod_id", "municipio", "uf", "distribuidora", "data_implant")
+    return store["rede_mt"].read().select(*kept).unionByName(store["transformadores"].read().select(*kept))
+
+
+def _boundaries_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries and population written as the offices' JSON documents, one for each state, and ingested."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "offices")
+    pair = lambda p: F.array(p["lon"], p["lat"])
+    shape = F.struct(F.lit("Polygon").alias("type"), F.transform(F.element_at("geom", 1), lambda r: F.transform(r, pair)).alias("coordinates"))
+    feature = F.struct(F.struct(F.col("codigo_ibge").alias("codarea")).alias("properties"), shape.alias("geometry"))
+    by_state = d.boundaries.join(d.population, "codigo_ibge").groupBy("uf")
+    documents = by_state.agg(
+        F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("shapes"),
+        F.to_json(F.collect_list(F.struct(F.col("codigo_ibge").alias("id"), "nome"))).alias("names"),
+        F.to_json(F.array(F.struct(F.array(F.struct(F.collect_list(F.struct(F.struct(F.col("codigo_ibge").alias("id"), "nome").alias("localidade"), F.create_map(F.lit("2022"), F.col("populacao").cast("string")).alias("serie"))).alias("series"))).alias("resultados")))).alias("people"),
+    )
+    for name in ("shapes", "names", "people"):
+        documents.select(name).write.option("maxRecordsPerFile", 1).text(f"{path}/{name}")
+    store = jobs.Store(spark, f"{path}/store")
+    jobs.ingest_boundaries(store, f"{path}/shapes", f"{path}/names", "br")
+    for _ in range(2):
+        jobs.ingest_population(store, f"{path}/people", "br")
+    return store["ibge_populacao"].read().select("codigo_ibge", "nome", "uf", "populacao", "domicilios", C.half_up("area_km2", 4).alias("area_km2"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "r1_risk_score": over(_scores),
@@ -149,6 +200,9 @@ def queries() -> dict[str, Query]:
         "r12_ingest_continuity": _long_csv,
         "r13_ingest_wide_indicators": _indicator_csv,
         "k3_replace_scope": _sink_rerun,
+        "r14_ingest_network": _ingest_network,
+        "r15_boundaries_and_population": _boundaries_and_population,
+        "r16_import_and_score": _import_and_score,
     }
 
 
@@ -160,6 +214,15 @@ def _area_sql() -> str:
     return f"abs({terms})/2e0/1e6"
 
 
+def _in_box(lon: str, lat: str) -> str:
+    return f"{lon}>=b.west and {lon}<b.west+0.05e0 and {lat}>=b.south and {lat}<b.south+0.05e0"
+
+
+#: Lines as one utility's, in the municipality of their first point (towns are squares side by side).
+PLACED = f""", placed as (select n.cod_id, n.data_implant, 'DIST_A' as distribuidora, coalesce(min_by(b.nome, b.codigo_ibge),'') as municipio
+ from network n left join boundaries b on {_in_box('n.lon1', 'n.lat1')} group by 1, 2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     both = ["indicators", "network"]
     boundary = "left join boundaries b on b.nome_norm = lower(s.municipio) and b.uf = s.uf"
@@ -220,4 +283,8 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
         "r12_ingest_continuity": with_tables(["indicators"], "select distribuidora, upper(substr(municipio,1,1))||lower(substr(municipio,2)) as municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite from indicators where ano between 1993 and 1997"),
         "r13_ingest_wide_indicators": with_tables(["indicators"], "select distribuidora, municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite, dec_apurado>dec_limite as violacao_dec, fec_apurado>fec_limite as violacao_fec from indicators"),
         "k3_replace_scope": with_tables(both, f", {SCORES} select * from scores"),
+        "r14_ingest_network": with_tables(["network", "transformers", "boundaries"], f"""{PLACED} select cod_id, municipio, 'BR' as uf, 'DIST_A' as distribuidora, data_implant from placed
+union all select t.cod_id, coalesce(min_by(b.nome, b.codigo_ibge),''), 'BR', 'DIST_A', t.data_implant from transformers t left join boundaries b on {_in_box('t.lon', 't.lat')} group by t.cod_id, t.data_implant"""),
+        "r15_boundaries_and_population": with_tables(["boundaries", "population"], f"select b.codigo_ibge, b.nome, 'BR' as uf, p.populacao, p.domicilios, {_half_up(_area_sql(), 4)} as area_km2 from boundaries b join population p on p.codigo_ibge=b.codigo_ibge"),
+        "r16_import_and_score": with_tables([*both, "boundaries"], f"{PLACED}, {SCORES.replace('from network where', 'from placed where')} select * from scores where distribuidora='DIST_A'"),
     }
