@@ -71,7 +71,7 @@ def pieces(line: str) -> Column:
 
 
 def line_length_m(line: str, zone: int = 23) -> Column:
-    return F.aggregate(pieces(line), F.lit(0.0), lambda acc, p: acc + F.expr("0e0") + _piece(p, zone))
+    return F.aggregate(pieces(line), F.lit(0.0), lambda acc, p: acc + _piece(p, zone))
 
 
 def _piece(p: Column, zone: int) -> Column:

@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
     gap_sum = "(select municipio, distribuidora, cast(sum(cast(comprimento_km as decimal(18,3))) as double) as km from gaps group by 1,2)"
     old_count = f"(select municipio, distribuidora, count(*) as n from transformers where {_age('data_implant')} > 25 group by 1,2)"
     return {
-        "r1_risk_score": with_tables(both, f", {SCORES} select * from scores".replace(", recent as", ", recent as", 1)),
+        "r1_risk_score": with_tables(both, f", {SCORES} select * from scores"),
         "r1_top_risk": with_tables(both, f", {SCORES} select municipio, distribuidora, score_risco from scores order by {BEST} limit 5"),
         "a2_recent_means": with_tables(["indicators"], f", {RECENT} select municipio, distribuidora, uf, {_half_up('dec_m', 4)} as dec_medio, {_half_up('lim_m', 4)} as limite_medio, {_half_up('ratio', 4)} as ratio, cast(viol as bigint) as meses_violacao from recent2"),
         "a3_network_age": with_tables(["network"], f", {NETWORK_AGE} select municipio, distribuidora, {_half_up('age', 4)} as idade from net_age"),
