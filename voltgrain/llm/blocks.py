@@ -19,14 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltgrain.llm.common import mixed
+from voltgrain.llm.common import mixed, release
 
 #: Bytes of text of a block, and bytes of text whose items a bucket of one level adds up.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 SENT = "block int, level int, bucket int, hashes binary, counts binary"
 SENT_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-TOLD = "block int, level int, hashes binary, counts binary"
-TOLD_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
 def block_of(n: int, *cols: str | Column) -> Column:
@@ -42,7 +40,7 @@ class WordHashes(dict):
     """A word's 64-bit hash; a bounded table keeps those met before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -69,11 +67,15 @@ def sent(block: int, level: int, hashes: np.ndarray, counts: np.ndarray, bits: i
     """Rows of SENT for sorted cut hashes. every: also for buckets without any."""
     bucket = (hashes >> np.uint64(64 - bits if width == 8 else 8 * width)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    raw = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
     for b in range(1 << bits):
         i, j = cuts[b], cuts[b + 1]
         if every or j > i:
-            yield block, level, b, raw[i:j].tobytes(), narrow(counts[i:j])
+            yield block, level, b, first_bytes(hashes[i:j], width), narrow(counts[i:j])
+
+
+def first_bytes(hashes: np.ndarray, width: int) -> bytes:
+    """The width lowest bytes of each hash."""
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def received(raw: bytes, width: int, bucket: int) -> np.ndarray:
@@ -95,15 +97,15 @@ def wide(raw: bytes, n: int) -> np.ndarray:
 def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, sorted, and the sums of their counts."""
     if not len(hashes):
-        return hashes, counts
+        return hashes, counts.astype(np.int64)
     by = np.argsort(hashes)
     hashes, counts = hashes[by], counts[by]
     first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    return hashes[first], np.add.reduceat(counts, first)
+    return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def added_up(counted: DataFrame, widths: list[int], more: Callable[[int, np.ndarray], list[tuple[int, int]]] = lambda level, sums: []) -> DataFrame:
-    """Rows of TOLD: for each block the total of every hash it has sent, where that isn't its own count.
+    """Rows of SENT: for each block the total of every hash it has sent, where that isn't its own count.
     more: from a level and the totals of a bucket, pairs of hash and count that every block is told besides."""
 
     def add(rows: pa.Table) -> pa.Table:
@@ -118,25 +120,27 @@ def added_up(counted: DataFrame, widths: list[int], more: Callable[[int, np.ndar
         sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(flat) else counts
         total = np.empty_like(counts)
         total[by] = sums[np.cumsum(new) - 1]
-        extra = more(level, sums)
+        extra = more(level, sums)  # with small hashes, which a level of 8 bytes keeps whole
         out = []
         for block, h, mine, all_of in zip(rows["block"].to_pylist(), hashes, own, np.split(total, ends), strict=True):
             other = mine != all_of
             h = np.concatenate([h[other], np.array([e[0] for e in extra], np.uint64)])
             n = np.concatenate([all_of[other], np.array([e[1] for e in extra], np.int64)])
             if len(h):
-                out.append((block, level, h.tobytes(), narrow(n)))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, TOLD_ARROW.types, strict=True)], schema=TOLD_ARROW)
+                out.append((block, level, bucket, first_bytes(h, width), narrow(n)))
+        del flat, counts, by, total, hashes, own
+        release()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
 
-    return counted.groupBy("level", "bucket").applyInArrow(add, TOLD)
+    return counted.groupBy("level", "bucket").applyInArrow(add, SENT)
 
 
-def told(rows: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a block was told of a level: sorted hashes (as they were sent) and totals; equal hashes are added up."""
+def told(rows: pa.Table, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a block was told of a level: sorted hashes (as they were cut) and totals; equal hashes are added up."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, h, c in zip(rows["level"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
+    for at, bucket, h, c in zip(rows["level"].to_pylist(), rows["bucket"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
         if at == level:
-            hashes.append(np.frombuffer(h.as_py(), np.uint64))
+            hashes.append(received(h.as_py(), width, bucket))
             counts.append(wide(c.as_py(), len(hashes[-1])))
     return totals(np.concatenate(hashes), np.concatenate(counts))
 

@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltgrain.llm.common import table, text_bytes
+from voltgrain.llm.common import release, table, text_bytes
 
 #: Strings between blanks that a Python worker keeps encoded; beyond, those not met again lately are forgotten.
-KEPT = 250_000
+KEPT = 150_000
 #: Rows of a batch that are encoded together.
 ROWS = 500
 ROUND_TRIP = "ids array<int>, decoded string"
@@ -159,6 +159,7 @@ def _round_trip(path: str):
                 got = [bpe.encode(raw.as_py().decode("utf-8", "replace")) for raw in column[at : at + ROWS]]
                 texts = [bpe.decode(np.frombuffer(ids, "<u4").tolist()) for ids in got]
                 yield pa.StructArray.from_arrays([_lists(got), pa.array(texts, pa.string())], ["ids", "decoded"])
+            release()
 
     return batches
 

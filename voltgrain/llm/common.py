@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def n_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> int:
     return max(1, -(-total // block_bytes))
 
 
+def release() -> None:
+    """Give free memory back to the system: a Python worker lives on after its task and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64): spreads integers over the whole range."""
     x = x.astype(np.uint64, copy=True)

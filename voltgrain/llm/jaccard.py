@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltgrain.llm import blocks as B
-from voltgrain.llm.common import table, text_bytes, unused, written
+from voltgrain.llm.common import release, table, text_bytes, unused, written
 from voltgrain.llm.components import components
 
 SET = "doc_id long, n int, node binary, tokens binary, ranks binary, first array<long>"
@@ -73,6 +73,7 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         flat = np.concatenate([np.zeros(0, np.uint64), *_sets(left, n)])
         hashes, counts = B.totals(B.cut(flat, bits, WIDTH), np.ones(len(flat), np.int64))
         out = [*B.sent(left["block"][0].as_py(), 0, hashes, counts, bits, WIDTH)]
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, B.SENT_ARROW.types, strict=True)], schema=B.SENT_ARROW)
 
     def order(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -91,6 +92,7 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 continue
             by = shared[np.lexsort((tokens[shared], df[shared]))]
             out.append((doc_id, len(tokens), signature(tokens), tokens[by].tobytes(), df[by].astype(np.int64).tobytes(), tokens[by[:few]].view(np.int64).tolist()))
+        release()
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 6, types, strict=True)], names=[x.split()[0] for x in SET.split(", ")])
 

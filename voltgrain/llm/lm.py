@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrain.llm import blocks as B
-from voltgrain.llm.common import table, text_bytes
+from voltgrain.llm.common import release, table, text_bytes
 
 #: The end token (no word holds a line feed), and the hashes under which N and V are told.
 END, ALL, DISTINCT = b"\n", 0, 1
@@ -35,40 +35,56 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 class Texts:
-    """The texts of a block as hashed n-grams of each order. text, place: of each scored token."""
+    """The texts of a block as hashed tokens; n-grams are made when they are asked for."""
 
-    def __init__(self, rows: pa.Table, order: int) -> None:
+    def __init__(self, rows: pa.Table) -> None:
         seen = B.WordHashes()
         words = [seen.of([*raw.as_py().lower().split(), END]) for raw in rows["text"]]
+        self.end = np.uint64(seen[END])
         self.sizes = np.array([len(w) for w in words], np.int64)
-        train = ~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-        self.train = np.repeat(train, self.sizes)
-        flat = np.concatenate([np.zeros(0, np.uint64), *words])
-        start = np.cumsum(self.sizes) - self.sizes
-        place = np.arange(len(flat)) - np.repeat(start, self.sizes)
-        end = np.uint64(seen[END])
-        before = [flat]
-        for k in range(1, order):
-            earlier = np.roll(flat, k)
-            earlier[place < k] = end
-            before.append(earlier)
-        self.starts, self.place = start, place
-        #: grams[k]: the n-gram of k + 1 tokens that ends at each token; there is none where the text has too few.
-        self.grams = [B.joined(before[k::-1]) for k in range(order)]
-        self.context = [B.joined(before[k:0:-1]) if k else None for k in range(order)]
-
-    def there(self, k: int) -> np.ndarray:
-        """Where the n-gram of k + 1 tokens begins with the text or after (one end token before the text is part of it)."""
-        return self.place >= k - 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([np.zeros(0, np.uint64), *words])
+        self.train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.sizes).view(np.uint8)
+
+    def _column(self, k: int) -> np.ndarray:
+        """The token k before each token; the end token before a text's first one."""
+        if not k:
+            return self.flat
+        out = np.full(len(self.flat), self.end)
+        out[k:] = self.flat[:-k]
+        for i in range(k):
+            out[(self.starts + i)[self.sizes > i]] = self.end
+        return out
+
+    def grams(self, k: int) -> np.ndarray:
+        """The n-gram of k + 1 tokens that ends at each token."""
+        return B.joined([self._column(i) for i in range(k, -1, -1)])
+
+    def contexts(self, k: int) -> np.ndarray:
+        """The k tokens before each token."""
+        return B.joined([self._column(i) for i in range(k, 0, -1)])
+
+    def there(self, k: int) -> np.ndarray | slice:
+        """Which tokens have an n-gram of k + 1 tokens: it begins with the text, or with the one end token before it."""
+        if k < 2:
+            return slice(None)
+        out = np.ones(len(self.flat), bool)
+        for i in range(k - 1):
+            out[(self.starts + i)[self.sizes > i]] = False
+        return out
+
+    def own(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The block's distinct n-grams (cut) and how often its training texts have them."""
+        return B.totals(grams[self.there(k)], self.train[self.there(k)])
 
 
 def counted(docs: DataFrame, order: int, bits: int, widths: list[int]) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
-        block, texts, out = rows["block"][0].as_py(), Texts(rows, order), []
+        block, texts, out = rows["block"][0].as_py(), Texts(rows), []
         for k in range(order):
-            there = texts.there(k)
-            hashes, counts = B.totals(B.cut(texts.grams[k][there], bits, widths[k]), texts.train[there].astype(np.int64))
+            hashes, counts = texts.own(k, B.cut(texts.grams(k), bits, widths[k]))
             out += B.sent(block, k, hashes, counts, bits, widths[k], every=k == 0)
+            release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), B.SENT_ARROW.types, strict=True)], schema=B.SENT_ARROW)
 
     return docs.groupBy("block").applyInArrow(count, B.SENT)
@@ -83,29 +99,33 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
     model = B.added_up(counted(rows, order, bits, widths), widths, lambda level, sums: [] if level else [(ALL, int(sums.sum())), (DISTINCT, int((sums > 0).sum()))])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = Texts(left, order)
+        texts = Texts(left)
         p = base = known = below = None
         total = distinct = 0
         for k in range(order):
-            there = texts.there(k)
-            grams = B.cut(texts.grams[k], bits, widths[k])
-            own = B.totals(grams[there], texts.train[there].astype(np.int64))
-            keys, values = B.told(right, k)
+            grams = B.cut(texts.grams(k), bits, widths[k])
+            keys, values = B.told(right, k, widths[k])
             if not k:
                 total, distinct = (int(B.looked_up(keys, values, np.array([h], np.uint64), 0)[0]) for h in (ALL, DISTINCT))
-            arcs = own[0], B.looked_up(keys, values, own[0], own[1])
+            own = texts.own(k, grams)
+            arcs = own[0], B.looked_up(keys, values, *own)
+            del keys, values, own
             c = B.looked_up(*arcs, grams, 0)
+            del grams
             if not k:
                 known, p = c > 0, (c + 1) / (total + distinct + 1)
-                base = np.log10(p)
+                base = add(np.log10(p), texts)
             else:
-                # of a context: how often it occurs in training, as the n-gram one order down that ends a token earlier
-                state = B.looked_up(*below, B.cut(texts.context[k], bits, widths[k - 1]), 0)
-                weight = np.where(there & (state > 0), strength / (state + strength), 1.0)
-                p = np.where(there, c / (state + strength), 0) * (state > 0) + weight * p
+                # how often a context occurs in training: a count one order down
+                state = B.looked_up(*below, B.cut(texts.contexts(k), bits, widths[k - 1]), 0)
+                on = np.zeros(len(c), bool)
+                on[texts.there(k)] = True
+                on &= state > 0
+                p = np.where(on, (c + strength * p) / (state + strength), p)
+                del state, on
             below = arcs
-        sums = lambda x: np.add.reduceat(x, texts.starts) if len(x) else np.zeros(0)
-        columns = [left["doc_id"], left["held_out"], texts.sizes, sums(known.astype(np.int64)), np.full(len(texts.sizes), total), sums(base), sums(np.log10(p))]
+            release()
+        columns = [left["doc_id"], left["held_out"], texts.sizes, add(known.astype(np.int64), texts), np.full(len(texts.sizes), total), base, add(np.log10(p), texts)]
         return pa.table({name.split()[0]: c for name, c in zip(SCORED.split(", "), columns, strict=True)})
 
     if order < 1:
@@ -113,6 +133,11 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
     return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(score, SCORED)
 
 
+def add(x: np.ndarray, texts: Texts) -> np.ndarray:
+    """Sums of each text's tokens; a text always has one, its end."""
+    return np.add.reduceat(x, texts.starts) if len(x) else np.zeros(0, x.dtype)
+
+
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     return scored(table(spark, sf_dir, "documents"), held_out)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltgrain.llm.common import table, text_bytes, unused
+from voltgrain.llm.common import release, table, text_bytes, unused
 
 SYMBOLS = "#*$%&|<>"
 SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
@@ -135,6 +135,7 @@ def _signals(min_repeat: int):
             names = [x.split()[0] for x in SIGNALS.split(", ")]
             columns = list(zip(*rows, strict=True)) or list(repeat((), len(names)))
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            release()
 
     return batches
 
