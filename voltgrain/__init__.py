@@ -1 +1 @@
-"""voltgrain: grid-risk analytics as Spark DataFrame operators."""
+"""voltgrain: analytics of risk in electricity distribution as Spark DataFrame operators."""
