@@ -83,6 +83,62 @@ def test_jaccard_large_cluster(spark):
         assert {tuple(r) for r in jaccard.jaccard_components(df, n=3, percent=percent, group_sets=16).collect()} == brute.jaccard(data, 3, percent)
 
 
+def test_jaccard_families(spark):
+    """Texts, the same with an own tail, edited, and edited with an own tail: without own n-grams some sets are equal or begin others."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    data = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(40, 70))]
+        edited = [*base]
+        edited[rng.randrange(len(base))] = word()
+        for w in (base + [word()], base + [word(), word()], edited + [word()], edited, base):
+            data.append((len(data), " ".join(w)))
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for group in (1024, 2):
+        assert {tuple(r) for r in jaccard.jaccard_components(df, n=4, percent=80, group_sets=group).collect()} == brute.jaccard(data, 4, 80)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_jaccard_tree(percent):
+    """Sets that equal or begin other sets are held sets as well; sizes count n-grams that were left out."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(percent)
+    for _ in range(300):
+        sets = []
+        for _ in range(rng.randint(2, 12)):
+            s = rng.choice(sets) if sets and rng.random() < 0.7 else np.array(sorted(rng.sample(range(12), rng.randint(0, 8))), np.int64)
+            end = int(s[-1]) + 1 if len(s) else 0
+            sets.append(rng.choice([s, np.append(s, [end, end + 2]), s[: len(s) // 2]]).astype(np.int64))
+        sizes = np.array([max(1, len(s) + rng.choice([0, 0, 1])) for s in sets], np.int64)
+        m = len(sets)
+        cut = rng.choice([0, m // 2])
+        probes, held = np.arange(cut or m), np.arange(cut, m)
+
+        def groups(links):
+            parent = list(range(m))
+
+            def top(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+            return [top(i) for i in range(m)]
+
+        both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+        want = [(i, j) for i in probes for j in held if i != j and both(i, j) and (100 + percent) * both(i, j) >= percent * (sizes[i] + sizes[j])]
+        found = jaccard.spanning_links(sets, sizes, percent, np.arange(m), probes, held)
+        assert set(found) <= set(want) and groups(found) == groups(want)
+
+
 def test_jaccard_odd(spark, odd):
     found = jaccard.jaccard_components(odd)
     assert found.count() == odd.count()

@@ -131,7 +131,9 @@ class Tree:
                     open_[-1][2].append(node)
             length = len(self.sets[i])
             if length > open_[-1][0]:
-                open_.append([length, i, []])
+                # a set that the next one repeats or goes on from is a leaf below its node
+                goes_on = i + 1 < len(self.sets) and shared[i + 1] == length
+                open_.append([length, i, [self._node(i, i + 1, length, length, [])] if goes_on else []])
             else:
                 open_[-1][2].append(self._node(i, i + 1, length, length, []))
         while len(open_) > 1:
