@@ -130,6 +130,24 @@ def test_toxicity_held_out(spark):
     assert sum((r["score"] >= 0.5) == bool(r["toxic"]) for r in got) >= 0.95 * len(got)
 
 
+def test_toxicity_late_passage(spark):
+    """Toxic words after the first 20,000 characters teach as others do, and long clean texts stay clean."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    data = []
+    for i in range(240):
+        w = [rng.choice(plain) for _ in range(3600)]
+        if i % 3 == 0:
+            for _ in range(6):
+                w.insert(rng.randrange(3450, len(w)), rng.choice(TOXIC))
+            assert min(" ".join(w).find(x) for x in TOXIC if x in w) > 20_000
+        data.append((i, " ".join(w), int(i % 3 == 0)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int").repartition(8)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") % 4 != 0)
+    got = toxicity.scored(df, model).filter("doc_id % 4 = 0").select("toxic", "score").collect()
+    assert sum((r["score"] >= 0.5) == bool(r["toxic"]) for r in got) >= 0.95 * len(got)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(5, 1), (5, None), (None, 1), (6, 0), (99, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels, F.lit(True))

@@ -9,9 +9,9 @@ also added up. From a text's differences (the largest, how many reach each of a
 a logistic function makes the score; its weights are fitted on a quarter of the labelled texts, which the
 dictionaries have not seen.
 
-Fitting uses a bounded sample: for each label the SAMPLE documents whose ids have the smallest hashes, and of
-their texts TRAIN_CHARS characters; this much and the labels' counts reach the driver, the dictionaries (some
-kilobytes) go out with the code. Scoring covers every whole text, in its own task.
+Fitting uses a bounded sample of rows: for each label the SAMPLE documents whose ids have the smallest hashes, and
+of these the whole texts. Tasks count their words and make their features; only these and the labels' counts reach
+the driver, the dictionaries (some kilobytes) go out with the code. Scoring covers every whole text, in its own task.
 
 Null and empty texts have no window and get the score that goes with that. A row's score depends on its text
 alone. Labels that are null, or whose id is null, teach nothing; without labels of both kinds every score is
@@ -31,10 +31,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltgrain.llm.common import table, text_bytes
+from voltgrain.llm.common import table, text_bytes, written
 
-SAMPLE, TRAIN_CHARS = 4000, 20_000
+SAMPLE = 4000
 WINDOW, LEVEL = 32, 3
+#: Longer words are in no dictionary.
+WORD_BYTES = 40
 #: Bytes of marking words and of shared words of each pair of dictionaries.
 SIZES = [(600, 3 << 10), (1 << 10, 8 << 10)]
 THRESHOLDS, SUM_THRESHOLDS = (3, 4, 5, 6, 7, 8), (6, 8, 10, 12, 14)
@@ -86,7 +88,7 @@ def content(words: list[bytes], size: int) -> bytes:
 def marking(a: Counter, n_a: int, b: Counter, n_b: int, ratio: float) -> list[bytes]:
     """Words that are ratio times as common in texts of a than of b; the strongest come last."""
     share = lambda w: ((a[w] + 0.5) / n_a) / ((b[w] + 0.5) / n_b)
-    some = [w for w in a if a[w] >= min(3, n_a) and len(w) < 40 and share(w) > ratio]
+    some = [w for w in a if a[w] >= min(3, n_a) and share(w) > ratio]
     return sorted(some, key=lambda w: (a[w] * math.log(share(w)), w))
 
 
@@ -104,25 +106,63 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
+def words_of(text: bytes) -> set[bytes]:
+    return {w for w in text.lower().split() if len(w) < WORD_BYTES}
+
+
+def dictionaries(seen: dict[int, Counter], n: dict[int, int]) -> list[tuple[bytes, bytes]]:
+    """seen: in how many texts of a label each word is; n: how many texts of a label there are."""
+    toxic, ordinary = marking(seen[1], n[1], seen[0], n[0], 3.0), marking(seen[0], n[0], seen[1], n[1], 1.2)
+    both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2), key=lambda w: (seen[0][w] + seen[1][w], w))
+    return [(content(both, head) + content(toxic, tail), content(both, head) + content(ordinary, tail)) for tail, head in SIZES]
+
+
+def compressors(pairs: list[tuple[bytes, bytes]]) -> list[tuple]:
+    return [(compressor(t).compress, compressor(o).compress) for t, o in pairs]
+
+
+def calibrated(pairs: list[tuple[bytes, bytes]], rows: list[tuple[int, list[float]]], prior: float) -> Model:
+    """rows: labels and features of texts that the dictionaries have not seen."""
+    rows = sorted(rows)  # sums of floats depend on the order
+    y = np.array([label for label, _ in rows], float)
+    w = logistic(np.array([x for _, x in rows]), y)
+    share = y.mean()
+    w[-1] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))  # the sample holds label 1 more often
+    return Model(pairs, w.tolist(), prior)
+
+
 def fitted(rows: list[tuple[bytes, int]], prior: float) -> Model:
-    """rows: texts and labels (0, 1); prior: the share of label 1 among all labels."""
+    """What fit makes, of rows at hand: texts and labels (0, 1). prior: the share of label 1 among all labels."""
     rows = sorted(dict(rows).items())
     learn, check = [r for i, r in enumerate(rows) if i % 4], [r for i, r in enumerate(rows) if not i % 4]
     if min(sum(y == k for _, y in part) for part in (learn, check) for k in (0, 1)) < 1:
         return Model([], [], prior)
     seen = {0: Counter(), 1: Counter()}
     for text, y in learn:
-        seen[y].update(set(text.lower().split()))
-    n = Counter(y for _, y in learn)
-    toxic, ordinary = marking(seen[1], n[1], seen[0], n[0], 3.0), marking(seen[0], n[0], seen[1], n[1], 1.2)
-    both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2 and len(w) < 40), key=lambda w: (seen[0][w] + seen[1][w], w))
-    y = np.array([label for _, label in check], float)
-    pairs = [(content(both, head) + content(toxic, tail), content(both, head) + content(ordinary, tail)) for tail, head in SIZES]
-    run = [(compressor(t).compress, compressor(o).compress) for t, o in pairs]
-    w = logistic(np.array([features(text, run) for text, _ in check]), y)
-    share = y.mean()
-    w[-1] += math.log(prior / (1 - prior)) - math.log(share / (1 - share))  # the sample holds label 1 more often
-    return Model(pairs, w.tolist(), prior)
+        seen[y].update(words_of(text))
+    pairs = dictionaries(seen, Counter(y for _, y in learn))
+    run = compressors(pairs)
+    return calibrated(pairs, [(y, features(text, run)) for text, y in check], prior)
+
+
+def sampled(docs: DataFrame, known: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """t (a whole text in UTF-8), y and check (calibrates; the others make the dictionaries), each text once."""
+    some = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
+    chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(chosen, "id").groupBy("id", "y").agg(F.min("t").alias("t")).filter(F.col("t").isNotNull())
+    texts = texts.groupBy("t").agg(F.max("y").alias("y"))
+    return written(texts.select(text_bytes("t").alias("t"), "y", (F.pmod(F.xxhash64("t"), F.lit(4)) == 0).alias("check")), "toxicity-sample")
+
+
+def word_counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = {0: Counter(), 1: Counter()}
+    for batch in it:
+        for text, y in zip(batch["t"], batch["y"], strict=True):
+            seen[y.as_py()].update(words_of(text.as_py()))
+    some = list(seen[0].keys() | seen[1].keys())
+    for i in range(0, len(some), 10_000):
+        part = some[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), *(pa.array([seen[k][w] for w in part], pa.int64()) for k in (0, 1))], names=["word", "n0", "n1"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -132,10 +172,24 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_i
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not 0 < prior < 1:
         return Model([], [], prior)
-    some = [known.filter(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]))  # 2 * sample rows at most
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("t")).join(chosen, "id").groupBy("id", "y").agg(F.min("t").alias("t")).filter(F.col("t").isNotNull())
-    return fitted([(r["t"].encode(), r["y"]) for r in texts.select("t", "y").collect()], prior)
+    rows = sampled(docs, known, sample, id_col, text_col)
+    n = {(r["check"], r["y"]): r["n"] for r in rows.groupBy("check", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 4:
+        return Model([], [], prior)
+    n = {k: n[False, k] for k in (0, 1)}
+    words = rows.filter("not check").select("t", "y").mapInArrow(word_counts, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # rarer words are in no dictionary
+    words = words.filter((F.col("n0") >= min(3, n[0])) | (F.col("n1") >= min(3, n[1])) | ((F.col("n0") >= 2) & (F.col("n1") >= 2))).toArrow()
+    seen = {k: Counter({w: c for w, c in zip(words["word"].to_pylist(), words[f"n{k}"].to_pylist(), strict=True) if c}) for k in (0, 1)}
+    pairs = dictionaries(seen, n)
+
+    def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = compressors(pairs)
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.array([features(t.as_py(), run) for t in batch["t"]], pa.list_(pa.float64()))], names=["y", "x"])
+
+    found = rows.filter("check").select("t", "y").mapInArrow(made, "y int, x array<double>").collect()
+    return calibrated(pairs, [(r["y"], list(r["x"])) for r in found], prior)
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -144,7 +198,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: st
         return docs.withColumn(out_col, F.lit(float(model.prior)))
 
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        run = [(compressor(t).compress, compressor(o).compress) for t, o in model.pairs]
+        run = compressors(model.pairs)
         w = np.array(model.weights)
         for column in it:
             x = np.array([features(raw.as_py(), run) for raw in column]).reshape(-1, len(w) - 1)
