@@ -1,19 +1,20 @@
-"""Operator 6, language-model scoring with a weighted backoff automaton.
+"""Operator 6, language-model scoring by interpolated lookups, which give what a weighted backoff automaton would.
 
-States are the contexts of up to order - 1 tokens that occur in training; the root is the empty one.
+No automaton is built; what follows is the one whose sums the lookups give. States are the contexts of up to order - 1 tokens that occur in training; the root is the empty one.
 An arc of a state carries the smoothed log-probability of its token; a state's failure arc goes to the
 context without its first token and carries the weight that smoothing leaves to shorter contexts:
 
     p(w | u) = (c(u w) + K * p(w | u without its first token)) / (c(u) + K),   p(w) = (c(w) + 1) / (N + V + 1)
 
 so a token without an arc costs log K / (c(u) + K) for each failure arc and then an arc further down.
-A text is traversed once, left to right: the state after a token is the longest context known that ends
-there, and log-probabilities are added up. A text begins in the state of a token that ends texts.
+A traversal would go left to right: the state after a token is the longest context known that ends
+there, and log-probabilities are added up. A text begins in the state of a token that ends texts. scored() looks up c(u w) and c(u) of all positions
+at once instead, order by order.
 
 The model grows with the corpus and is never whole anywhere. Blocks of documents count n-grams, buckets
 add them up (voltgrain.llm.blocks), and each block gets the part of the automaton that its own texts can
-reach: arcs as sorted arrays, which all texts of the block go through together. Counts of words are by
-64-bit hashes; of longer n-grams by 47 bits or more, so that of ten million n-grams a few may share a count.
+reach: counts as sorted arrays, in which all texts of the block are looked up together. Counts of words are by
+64-bit hashes; of longer n-grams by 40 bits and the bucket's (41 at least, 44 at 0.1 GB), so that some share a count.
 
 Null and empty texts are one end token. A row depends on its text and the corpus; repeated rows count
 each time. A null id counts as an empty one when documents are set aside. Tokens are lower-cased A-Z.
