@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -79,7 +81,7 @@ def test_bpe_any_text(text):
     import tokenizers
 
     library = functools.cache(tokenizers.Tokenizer.from_file)(bpe.default_path())
-    text = "".join(c for c in text if c.isascii() or c.isalpha())
+    text = "".join(c for c in text if unicodedata.category(c) not in ("Cn", "Cs"))  # what a Unicode version has not assigned, another may have
     ids = np.frombuffer(bpe.loaded(bpe.default_path()).encode(text), "<u4").tolist()
     assert ids == library.encode(text, add_special_tokens=False).ids
 
@@ -89,17 +91,53 @@ def test_bpe_special(text, library):
     assert np.frombuffer(bpe.loaded(bpe.default_path()).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_long(library):
+    """Long fragments merge as short ones do; a text without blanks takes seconds."""
+    rng = random.Random(2)
+    b = bpe.loaded(bpe.default_path())
+    for _ in range(20):
+        text = "".join(rng.choice("etaoin") for _ in range(rng.randint(40, 400)))
+        assert np.frombuffer(b.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.process_time()
+    got = b.encode("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)))
+    assert len(got) > 400_000 and time.process_time() - began < 60
+
+
+def test_bpe_forgets(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 250_000)
+    b = bpe.ByteBPE(bpe.default_path())
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(8000))
+    w = text.split()
+    got = b"".join(b.encode(" ".join(w[i : i + 500])) for i in range(0, len(w), 500))
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert b.of_word.older and len(b.of_chunk.now) + len(b.of_chunk.older) < len(set(w))
+
+
 def test_bpe_cuts():
+    """Fragments are the words, cut wherever a pair of bytes is inside no token."""
     b = bpe.loaded(bpe.default_path())
-    for letters in ("zqzq", "hello", "é".encode().decode("latin-1")):
-        assert "".join(b.pieces(letters)) == letters
-        assert all(x[-1] + y[0] not in b.inside for x, y in zip(b.pieces(letters), b.pieces(letters)[1:]))
+    letters = bpe.byte_letters()
+    inside = {t[i : i + 2] for token in b.vocab for t in [b.bare(token)] for i in range(len(t) - 1)}
+    words = [b"zqzq", b"hello", "é".encode(), b"qzqxjx", b"x"]
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    ends, last = b.cuts(flat, np.cumsum([len(w) for w in words]))
+    want, at = [], 0
+    for w in words:
+        for i in range(1, len(w) + 1):
+            if i == len(w) or letters[w[i - 1]] + letters[w[i]] not in inside:
+                want.append((at + i, i == len(w)))
+        at += len(w)
+    assert list(zip(ends.tolist(), last.tolist(), strict=True)) == want and len(want) > len(words)
 
 
 def test_bpe_odd(spark, odd):
     out = bpe.encoded(odd)
     assert set(out.columns) == set(odd.columns) and out.count() == odd.count()
     assert out.filter("doc_id = 1").first()["bpe"]["ids"] == []
+    nulls = spark.createDataFrame([(1, None), (2, []), (3, [320, None, -1, 10**8, 320])], "doc_id long, ids array<int>")
+    word = bpe.loaded(bpe.default_path()).tokens[320].as_py()
+    assert {r["doc_id"]: r["decoded"] for r in bpe.decoded(nulls).collect()} == {1: "", 2: "", 3: f"{word} {word}"}
     back = bpe.decoded(out.select("doc_id", F.col("bpe.ids").alias("ids"), F.col("bpe.decoded").alias("want")))
     assert back.filter("decoded <> want").count() == 0
     assert bpe.digests(odd.limit(0)).count() == 0
