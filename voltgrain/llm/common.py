@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,21 +18,26 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but ASCII white space. bytes.split() cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="voltgrain-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, which goes
+    when Python ends, if all runs on this machine; on a cluster that would lose data, so it is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="voltgrain-"))
-    return _own_dir[0]
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
 
 
 def unused(name: str, *tables: DataFrame) -> str:
