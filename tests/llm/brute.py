@@ -27,6 +27,18 @@ def repeated(w, n):
     return len(covered), longest
 
 
+def repeated_spans(w, n):
+    """The same for long texts: suffixes in order, each compared with its neighbours."""
+    order = sorted(range(len(w)), key=lambda i: w[i : i + 200])
+    best = [0] * len(w)
+    for i, j in zip(order, order[1:]):
+        k = 0
+        while max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+            k += 1
+        best[i], best[j] = max(best[i], k), max(best[j], k)
+    return len({p for i, k in enumerate(best) if k >= n for p in range(i, i + k)}), max(best, default=0)
+
+
 def repeat_words(w):
     seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     return len({i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)})
@@ -90,30 +102,45 @@ def line_dedup(rows, least):
     return out
 
 
-def lm(rows, held_out, order, strength):
-    """doc_id to tokens, known, training tokens, base and score."""
+def lm(rows, held_out, strengths):
+    """doc_id to tokens, known, training tokens, base, score by the smoothing formula and score by an automaton of states,
+    arcs and failure arcs."""
+    order = len(strengths) + 1
     counts = [Counter() for _ in range(order)]
-    token = lambda t: [b"\n", *(t or "").encode().lower().split(), b"\n"]
+    token = lambda t: (b"\n", *(t or "").encode().lower().split(), b"\n")
     for i, text in rows:
         if not held_out(i):
             w = token(text)
             for k in range(order):
-                for j in range(1, len(w)):
-                    if j >= k:
-                        counts[k][tuple(w[j - k : j + 1])] += 1
+                counts[k].update(w[j - k : j + 1] for j in range(max(k, 1), len(w)))
     total, distinct = sum(counts[0].values()), len(counts[0])
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 1) / (total + distinct + 1)
+        seen, strength = counts[len(gram) - 2][gram[:-1]], strengths[len(gram) - 2]
+        return (counts[len(gram) - 1][gram] + strength * p(gram[1:])) / (seen + strength) if seen else p(gram[1:])
+
+    states = {()} | {g for k in range(order - 1) for g in counts[k]}
+    longest = lambda g: next(g[i:] for i in range(len(g) + 1) if g[i:] in states)
+    arcs = defaultdict(dict)
+    for k in range(order):
+        for g in counts[k]:
+            arcs[g[:-1]][g[-1]] = math.log10(p(g)), longest(g[-(order - 1) :] if order > 1 else ())
     out = {}
     for i, text in rows:
-        w, known, base, score = token(text), 0, 0.0, 0.0
+        w = token(text)
+        known = base = score = walked = 0
+        state = longest(w[:1] if order > 1 else ())
         for j in range(1, len(w)):
-            c = counts[0][(w[j],)]
-            known += c > 0
-            p = (c + 1) / (total + distinct + 1)
-            base += math.log10(p)
-            for k in range(1, min(order, j + 1)):
-                state = counts[k - 1][tuple(w[j - k : j])]
-                if state:
-                    p = (counts[k][tuple(w[j - k : j + 1])] + strength * p) / (state + strength)
-            score += math.log10(p)
-        out[i] = len(w) - 1, known, total, base, score
+            known += w[j : j + 1] in counts[0]
+            base += math.log10(p(w[j : j + 1]))
+            score += math.log10(p(w[max(0, j - order + 1) : j + 1]))
+            while state and w[j] not in arcs[state]:
+                strength = strengths[len(state) - 1]
+                walked += math.log10(strength / (counts[len(state) - 1][state] + strength))
+                state = longest(state[1:])
+            log, state = arcs[state].get(w[j], (math.log10(p(w[j : j + 1])), ()))
+            walked += log
+        out[i] = len(w) - 1, known, total, base, score, walked
     return out
