@@ -13,8 +13,11 @@ but the first, by document id, are later copies. The union of these runs is what
 min_words or more cover in later copies, and is deleted. (A run that overlaps its own earlier copy loses
 what it repeats.) So 2**k never exceeds min_words, and there are few rounds.
 
-A null id sorts first. Null texts stay null. Rows of equal id and text are one document and get equal
-results. Lines without a word never count, and stay. Other columns pass through.
+A null id sorts first. Null texts stay null, empty ones and an empty table stay as they are. Rows of equal
+id and text are one document and get equal results; of equal runs in one document the first one stays.
+Lines without a word never count, and stay. Other columns pass through, whatever their names. A text's lines
+are split in one task; what goes on from there is a row a line, and a document's repeated lines are sorted
+together once, with at most 2 * min_words entries beside each.
 """
 
 from __future__ import annotations
@@ -94,9 +97,9 @@ def later_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     tail = ranks.select(*ROW, "k", F.col("seq").alias("tail"), F.col("rank").alias("r2"))
     runs = runs.withColumn("tail", F.expr("end - shiftleft(1, k)"))
     runs = written(runs.join(start, [*ROW, "k", "start"]).join(tail, [*ROW, "k", "tail"]).withColumn("size", F.col("end") - F.col("start")).select(*ROW, "start", "size", "k", "r1", "r2"), "intervals")
-    here = F.struct(*ROW, "start")
-    same = runs.groupBy("k", "size", "r1", "r2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    copies = runs.join(same, ["k", "size", "r1", "r2"]).filter(here != F.col("first"))
+    # the first run of an interval is found by an aggregation, and taken away by its own place: no join on a passage that many share
+    first = runs.groupBy("k", "size", "r1", "r2").agg(F.min(F.struct(*ROW, "start")).alias("first")).select("first.*", "size")
+    copies = runs.join(first, [*ROW, "start", "size"], "left_anti")
     gone = copies.select(*ROW, F.explode(F.expr("sequence(start, start + size - 1)")).alias("seq")).distinct()
     return gone.join(lines.select(*ROW, "seq", "pos"), [*ROW, "seq"]).groupBy(*ROW).agg(F.collect_list("pos").alias("gone"))
 
