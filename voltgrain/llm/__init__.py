@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """op1, op4 to op10 are beyond SQL; tests compare them with brute force."""
     return {"op2_warc": warc.OP2_SQL, "op3_topk": topk.OP3_SQL}

@@ -1,22 +1,29 @@
 """Operator 7, mixing sources to target weights.
 
-A source's words, in an order that is fixed for its documents, are packed into blocks of BLOCK words.
-The mix has as many slots as the targets need blocks. One pseudorandom permutation of all slots deals
-the sources' draws to output shards: each shard's counts are multinomial, conditioned on the sources'
-totals, so the totals meet the targets. A source's n-th draw goes through a permutation of its own, a
-new one each time round, to a block number: no block comes once more before all others have come.
-Blocks are then joined by number.
-
-The permutation is a swap-or-not shuffle: in each round x swaps with k - x (mod n) if a hash of the
-pair says so. It works for any n, needs no table, and is made of DataFrame functions; nothing here
-leaves them. Only the list of sources, one row each, is ever sorted whole.
-
-Targets: the sources' weights share all words; a target stops at MOST times its source's size, and the
-excess goes to the others by weight. Word positions within a source are sums of two levels (documents
-within a chunk, chunks within a source), so a source with most of the rows is spread over all tasks.
-
-Null texts have no words; a null source is a source, the last one. Documents without words have taken
-0. Repeated rows are rows of their own. Reruns agree: everything follows from hashes of the rows.
+A source's words, in an order that is fixed for its documents, are packed into blocks of BLOCK words. The mix has as
+many slots as the targets need blocks, SHARD of them an output shard. Each shard draws how many of its slots each
+source gets from a multinomial distribution with the targets' shares: a slot falls to a source by a hash. The shards'
+sums then miss the targets by their spread (about the root of a target's blocks), and could take a full source more
+than three times. So a source's draws are numbered through the shards, those beyond its target are given back, and the
+slots given back go, in order, to the sources that drew too few: totals meet the targets, and but for these few slots
+a shard's counts are the multinomial ones.
+
+A source's n-th draw goes through a permutation of its own, a new one each time round, to a block number: no block
+comes once more before all others have come. Blocks are then joined by number. A shard's slots are permuted too.
+
+The permutation is a swap-or-not shuffle: in each round x swaps with k - x (mod n) if a hash of the pair says so. It
+works for any n, needs no table, and is made of DataFrame functions; nothing here leaves them. What is sorted whole is
+a row a source; of one source, a row a chunk and a row a shard; all other windows and joins are split further.
+
+Targets: the sources' weights share all words; a target stops at MOST times its source's size, and the excess goes to
+the others by weight. Word positions within a source are sums of two levels (documents within a chunk, chunks within a
+source), so a source with most of the rows is spread over all tasks. Only ids, hashes and sizes go through windows,
+never texts.
+
+Null texts have no words; a null source is a source, the last one. Documents without words have taken 0, and so has an
+empty table no rows. Repeated rows are rows of their own; rows that differ in any column have an order of their own.
+Columns of docs keep their values, whatever their names. A very long text is cut to words in one task. Reruns agree:
+everything follows from hashes of the rows.
 """
 
 from __future__ import annotations
@@ -28,8 +35,8 @@ from voltgrain.llm.common import WORD, table, unused, written
 
 #: Words of a block, blocks of an output shard, rounds of the shuffle, most passes over a source.
 BLOCK, SHARD, ROUNDS, MOST = 256, 4096, 24, 3
-#: Parts of a source whose documents are put in order by themselves; draws that one task makes at once.
-CHUNKS, DRAWS = 4096, 16384
+#: Documents of a chunk, whose order is found by itself, about; slots that one task draws at once.
+CHUNK_ROWS, DRAWS = 1000, 16384
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -42,8 +49,12 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
 
 
-def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("mark"))
+def with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, tag: str | None = None) -> DataFrame:
+    """tag (a number of the row; the column of that name, if given), doc_id, source, size and order (a hash of the row)."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    plain = [f"`{c}`" for c, kind in docs.dtypes if c != tag and "map<" not in kind and kind != "variant"]
+    number = F.col(tag) if tag else F.monotonically_increasing_id()
+    return docs.select(number.alias("tag"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(*plain).alias("order"))
 
 
 def with_targets(sizes: DataFrame, weights: list[int]) -> DataFrame:
@@ -68,77 +79,121 @@ def with_targets(sizes: DataFrame, weights: list[int]) -> DataFrame:
     return rows.select("source", "source_size", "target", "blocks", "draws", "first", F.sum("draws").over(everything).alias("slots"))
 
 
+def counts(targets: DataFrame, seed: int) -> DataFrame:
+    """shard, source and n, the multinomial counts; base: the source's draws in shards before; offset: the shard's slots of
+    sources before."""
+    spark = targets.sparkSession
+    some = targets.filter("draws > 0")
+    # a source holds the hashes from first on; so that slots find it by an equal cell, its range is cut at cells
+    cells = some.withColumn("cell_size", F.greatest(F.lit(1), F.expr("slots div (4 * count(*) over (partition by 0) + 4096)")))
+    cells = written(cells.withColumn("cell", F.explode(F.expr("sequence(first div cell_size, (first + draws - 1) div cell_size)"))).select("source", "cell", "first", "draws"), "mix-cells")
+    size = F.greatest(F.lit(1), F.expr("slots div (4 * n + 4096)"))
+    slots = some.agg(F.max("slots").alias("slots"), F.count(F.lit(1)).alias("n")).filter("n > 0").withColumn("cell_size", size)
+    slots = slots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {DRAWS}"))))
+    slots = slots.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32), "part")  # a number: few rows become many
+    slots = slots.withColumn("slot", F.explode(F.sequence(F.expr(f"part * {DRAWS}"), F.expr(f"least(slots, (part + 1) * {DRAWS}) - 1"))))
+    slots = slots.withColumn("u", chance(F.col("slot"), F.col("slots"), seed)).select("slot", "u", F.expr("u div cell_size").alias("cell"))
+    found = slots.join(cells, "cell").filter("u >= first and u < first + draws")
+    found = written(found.groupBy(F.expr(f"slot div {SHARD}").alias("shard"), "source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("base", before(Window.partitionBy("source").orderBy("shard"))).withColumn("offset", before(Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last())))
+
+
+def chance(slot: Column, slots: Column, seed: int) -> Column:
+    """A pseudorandom number from 0 to slots - 1 for each slot."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), slot), slots)
+
+
 def drawn(targets: DataFrame, seed: int = 1) -> DataFrame:
     """A row for each slot of the mix: shard, slot, source, pass (0, 1, ...) and block."""
-    some = targets.filter("draws > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(draws - 1) div {DRAWS}"))))
-    some = some.repartition(max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 32), "source", "part")  # a number: few rows become many
-    one = some.withColumn("n", F.explode(F.sequence(F.expr(f"part * {DRAWS}"), F.expr(f"least(draws, (part + 1) * {DRAWS}) - 1"))))
-    one = one.withColumn("pass", F.expr("n div blocks")).withColumn("key", F.xxhash64(F.lit(seed), "source"))
-    block = permuted(F.expr("n % blocks"), F.col("blocks"), F.col("key"), F.col("pass"))
-    slot = permuted(F.col("first") + F.col("n"), F.col("slots"), F.lit(seed))
-    one = one.select(slot.alias("slot"), "source", "pass", block.alias("block")).withColumn("shard", F.expr(f"slot div {SHARD}"))
-    return written(one, "mix-draws")  # so that joins know its size
+    of = counts(targets, seed).alias("c")
+    t = targets.filter("draws > 0").select(F.col("source").alias("of"), "draws", "blocks", "slots")
+    rows = of.join(t, F.col("c.source").eqNullSafe(F.col("of"))).drop("of")
+    totals = of.groupBy("source").agg(F.sum("n").alias("got")).alias("g")
+    some = t.join(totals, F.col("of").eqNullSafe(F.col("g.source")), "left").select("of", "draws", "blocks", F.coalesce("got", F.lit(0)).alias("got"))
+    line = Window.orderBy(F.col("of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    over, under = F.greatest(F.lit(0), F.col("got") - F.col("draws")), F.greatest(F.lit(0), F.col("draws") - F.col("got"))
+    some = written(some.withColumns({"spare": F.coalesce(F.sum(over).over(line), F.lit(0)), "lack": F.coalesce(F.sum(under).over(line), F.lit(0))}), "mix-totals")
+    one = rows.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("n", F.col("base") + F.col("i"))
+    # the last shard may be short
+    room = F.least(F.lit(SHARD).cast("long"), F.col("slots") - F.col("shard") * SHARD)
+    one = one.withColumn("slot", F.col("shard") * SHARD + permuted(F.col("offset") + F.col("i"), room, F.lit(seed), F.col("shard"))).select("shard", "slot", "source", "n", "draws", "blocks")
+    kept = one.filter("n < draws").select("shard", "slot", "source", "n", "blocks")
+    free = one.filter("n >= draws").alias("f").join(some.select("of", "spare"), F.col("f.source").eqNullSafe(F.col("of"))).select("shard", "slot", (F.col("spare") + F.col("n") - F.col("draws")).alias("k"))
+    more = some.filter("draws > got").select(F.col("of").alias("source"), "got", "lack", "blocks", F.explode(F.expr("sequence(0L, draws - got - 1)")).alias("i"))
+    more = free.join(more.select("source", "blocks", (F.col("lack") + F.col("i")).alias("k"), (F.col("got") + F.col("i")).alias("n")), "k")
+    out = kept.unionByName(more.select("shard", "slot", "source", "n", "blocks")).withColumn("pass", F.expr("n div blocks"))
+    block = permuted(F.expr("n % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source"), F.col("pass"))
+    return written(out.select("shard", "slot", "source", "pass", block.alias("block")), "mix-draws")  # so that joins know its size
 
 
 def placed(sizes: DataFrame) -> DataFrame:
     """sizes with at: the number of words of the source that come before a document. Documents with words only."""
-    rows = sizes.filter("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(CHUNKS)))
-    within = Window.partitionBy("source", "chunk").orderBy("doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
+    n = 1 + sizes.count() // CHUNK_ROWS
+    rows = sizes.filter("size > 0").withColumn("chunk", F.pmod(F.col("order"), F.lit(n)))
+    within = Window.partitionBy("source", "chunk").orderBy("doc_id", "order", "tag").rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
     chunks = chunks.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     r, c = rows.alias("r"), chunks.alias("c")
     both = r.join(c, (F.col("r.chunk") == F.col("c.chunk")) & F.col("r.source").eqNullSafe(F.col("c.source")))
-    return both.select("r.*", (F.col("base") + F.col("inside")).alias("at")).drop("chunk", "inside")
+    return both.select("r.*", (F.col("base") + F.col("inside")).alias("at")).drop("chunk", "inside", "order")
 
 
-def pieces(docs: DataFrame, draws: DataFrame) -> DataFrame:
-    """A row for each stretch of a document that a draw takes: source, at, size, pass, from (word of the document), words."""
-    rows = docs.select("source", "at", "size", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")).alias("block")).alias("d")
-    both = rows.join(draws.select("source", "block", "pass").alias("m"), (F.col("d.block") == F.col("m.block")) & F.col("d.source").eqNullSafe(F.col("m.source")))
+def pieces(at: DataFrame, draws: DataFrame) -> DataFrame:
+    """A row for each stretch of a document that a slot of the mix takes: tag, shard, slot, pass, source, block, place (in the
+    source's words), from (word of the document), words."""
+    rows = at.select("tag", "source", "at", "size", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")).alias("block")).alias("d")
+    both = rows.join(draws.alias("m"), (F.col("d.block") == F.col("m.block")) & F.col("d.source").eqNullSafe(F.col("m.source")))
     begin = F.greatest(F.col("at"), F.col("d.block") * BLOCK)
     end = F.least(F.col("at") + F.col("size"), (F.col("d.block") + 1) * BLOCK)
-    return both.select("d.source", "at", "size", "pass", (begin - F.col("at")).alias("from"), (end - begin).alias("words"))
+    return both.select("tag", "shard", "slot", "pass", "d.source", "d.block", begin.alias("place"), (begin - F.col("at")).alias("from"), (end - begin).alias("words"))
+
+
+def mix_of(sizes: DataFrame, weights: list[int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces of the mix, and the targets."""
+    targets = written(with_targets(sizes, list(weights)), "mix-targets")
+    return pieces(placed(sizes), drawn(targets, seed)), targets
 
 
 def mix_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[int] = (1, 2, 3), seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row."""
     sizes = written(with_sizes(docs, id_col, text_col, source_col), "mix-sizes")
-    targets = written(with_targets(sizes, list(weights)), "mix-targets")
-    at = written(placed(sizes), "mix-places")
-    got = pieces(at, drawn(targets, seed)).groupBy("source", "at").agg(F.sum("words").alias("taken"))
-    a, g = at.alias("a"), got.alias("g")
-    some = a.join(g, (F.col("a.at") == F.col("g.at")) & F.col("a.source").eqNullSafe(F.col("g.source")), "left").select("doc_id", "a.source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    rows = some.unionByName(sizes.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
-    r, t = rows.alias("r"), targets.select(F.col("source").alias("of"), "source_size", "target")
-    return r.join(t, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
+    mix, targets = mix_of(sizes, weights, seed)
+    got = mix.groupBy("tag").agg(F.sum("words").alias("taken"))
+    t = targets.select(F.col("source").alias("of"), "source_size", "target")
+    rows = sizes.join(got, "tag", "left").join(t, F.col("source").eqNullSafe(F.col("of")))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _tagged(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: list[int], seed: int) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a tag, written, so that tags stay; the tag's name; the pieces of the mix."""
+    tag = unused("_mix_tag", docs)
+    whole = written(docs.withColumn(tag, F.monotonically_increasing_id()), "mix-documents")
+    sizes = written(with_sizes(whole, id_col, text_col, source_col, tag), "mix-sizes")
+    return whole, tag, mix_of(sizes, weights, seed)[0]
+
+
+def mix_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[int] = (1, 2, 3), seed: int = 1) -> DataFrame:
+    """The mix itself: shard, slot, source, block, words and text of every slot; BLOCK words, but for each source's last block."""
+    whole, tag, mix = _tagged(docs, id_col, text_col, source_col, weights, seed)
+    texts = whole.select(F.col(tag).alias("tag"), F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("all"))
+    some = mix.join(texts, "tag").select("shard", "slot", "source", "block", "words", "place", F.array_join(F.slice("all", (F.col("from") + 1).cast("int"), F.col("words").cast("int")), " ").alias("some"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "some"))), lambda x: x["some"]), " ")
+    return some.groupBy("shard", "slot", "source", "block").agg(F.sum("words").alias("words"), text.alias("text"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", weights: list[int] = (1, 2, 3), seed: int = 1) -> DataFrame:
     """The mix, with the columns of docs: a row for each document and pass that takes words of it. Its text is
     the document's if all words are taken, else the taken words with a blank between them; length_col is set anew."""
-    size, mark, at, form = (unused(f"_mix_{x}", docs) for x in ("size", "mark", "at", "source"))
-    sizes = with_sizes(docs.select(id_col, text_col, source_col), id_col, text_col, source_col)
-    targets = written(with_targets(sizes, list(weights)), "mix-targets")
-    whole = docs.withColumns({form: F.col(source_col).cast("string"), size: F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), mark: F.xxhash64(text_col)}).filter(F.col(size) > 0)
-    chunk, inside, n = (unused(f"_mix_{x}", docs) for x in ("chunk", "inside", "n"))
-    whole = whole.withColumn(chunk, F.pmod(F.xxhash64(id_col, mark), F.lit(CHUNKS)))
-    within = Window.partitionBy(form, chunk).orderBy(id_col, mark, size).rowsBetween(Window.unboundedPreceding, -1)
-    whole = written(whole.withColumn(inside, F.coalesce(F.sum(size).over(within), F.lit(0))), "mix-documents")
-    chunks = whole.groupBy(form, chunk).agg(F.sum(size).alias(n))
-    chunks = chunks.select(F.col(form).alias("source"), F.col(chunk).alias("chunk"), F.coalesce(F.sum(n).over(Window.partitionBy(form).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    light = whole.select(F.col(form).alias("source"), F.col(chunk).alias("chunk"), F.col(inside).alias("inside"), F.col(size).alias("size")).alias("r")
-    c = chunks.alias("c")
-    light = light.join(c, (F.col("r.chunk") == F.col("c.chunk")) & F.col("r.source").eqNullSafe(F.col("c.source"))).select("r.*", (F.col("base") + F.col("inside")).alias("at"))
-    part = pieces(light, drawn(targets, seed))
-    taken = part.groupBy("source", "at", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias("stretches"), F.sum("words").alias("words"))
-    keyed = light.select(F.col("source").alias("s2"), F.col("at").alias("a2"), "chunk", "inside")
-    taken = taken.join(keyed, (F.col("at") == F.col("a2")) & F.col("source").eqNullSafe(F.col("s2"))).select(F.col("s2"), F.col("chunk").alias("c2"), F.col("inside").alias("i2"), "stretches", "words")
-    both = whole.join(taken, (F.col(chunk) == F.col("c2")) & (F.col(inside) == F.col("i2")) & F.col(form).eqNullSafe(F.col("s2")))
+    whole, tag, mix = _tagged(docs, id_col, text_col, source_col, weights, seed)
+    of, stretches = unused("_mix_of", whole), unused("_mix_stretches", whole)
+    taken = mix.groupBy("tag", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "words"))).alias(stretches)).select(F.col("tag").alias(of), stretches)
+    both = whole.join(taken, F.col(tag) == F.col(of))
     words = F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("stretches", lambda s: F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    text = F.when(F.col("words") == F.col(size), F.col(text_col)).otherwise(cut)
-    out = both.withColumn(text_col, text)
+    got = F.aggregate(stretches, F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+    cut = F.array_join(F.flatten(F.transform(stretches, lambda s: F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    out = both.withColumn(text_col, F.when(got == F.regexp_count(text_col, F.lit(WORD)), F.col(text_col)).otherwise(cut))
     if length_col and length_col in docs.columns:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*docs.columns)
