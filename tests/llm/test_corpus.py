@@ -1,13 +1,17 @@
 """Operators that look at all texts: line dedup, language model, Jaccard join, mixing, and the pipeline."""
 
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from voltgrain.llm import bpe, jaccard, line_dedup, lm, mixing, quality
+from voltgrain.llm import blocks, bpe, jaccard, line_dedup, lm, mixing, quality
 from voltgrain.llm.components import components
 
 
@@ -33,16 +37,44 @@ def test_line_dedup_odd(spark, odd):
     assert line_dedup.without_later_copies(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("order, strength", [(1, 1.0), (2, 200.0), (3, 20.0)])
-def test_lm(docs, rows, order, strength):
+@pytest.mark.parametrize("strengths, stretch", [((), 512), ((200.0,), 512), ((20.0, 5.0), 7), ((1.0, 30.0, 2.0), 512), ((1000.0, 1000.0), 512)])
+def test_lm(docs, rows, strengths, stretch, monkeypatch):
+    """Scores by the smoothing formula and by a plain automaton with failure arcs; stretches don't matter."""
+    monkeypatch.setattr(lm, "STRETCH", stretch)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
-    found = {r["doc_id"]: r for r in lm.scored(docs, held, order=order, strength=strength, block_bytes=80_000).collect()}
-    want = brute.lm(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, order, strength)
+    found = {r["doc_id"]: r for r in lm.scored(docs, held, strengths=strengths, block_bytes=80_000).collect()}
+    want = brute.lm(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, strengths)
     assert len(found) == len(want)
-    for i, (n, known, total, base, score) in want.items():
+    for i, (n, known, total, base, score, walked) in want.items():
         r = found[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
+        assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score) and walked == pytest.approx(score)
+
+
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=50, unique=True), st.integers(1, 12))
+@settings(max_examples=60, deadline=None)
+def test_exchange(hashes, bits):
+    """Hashes and counts come back as they were sent, whole."""
+    h = np.array(sorted(hashes), np.uint64)
+    n = np.arange(len(h)) * 100
+    out = list(blocks.sent(3, 1, h, n, bits))
+    assert np.concatenate([blocks.unpacked(r[3]) for r in out]).tolist() == h.tolist()
+    assert np.concatenate([blocks.unpacked_counts(r[4]) for r in out]).tolist() == n.tolist()
+    assert [r[2] for r in out] == sorted({int(x) >> (64 - bits) for x in h}) and {r[:2] for r in out} == {(3, 1)}
+
+
+def test_lm_sums_to_one(spark):
+    """After any context the probabilities of all tokens add up to 1: the words, the end, and one share for what is unknown."""
+    data = [(1, "a b a c"), (2, "a b b"), (3, "c a b")]
+    asked = [(10 + i, f"a b {w}") for i, w in enumerate(["a", "b", "c", "zzz"])] + [(20, "a b")]
+    df = spark.createDataFrame(data + asked, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.scored(df, F.col("doc_id") >= 10, strengths=(2.0, 3.0)).collect()}
+    want = brute.lm(data + asked, lambda i: i >= 10, (2.0, 3.0))
+    assert all(got[i] == pytest.approx(want[i][4]) for i in got)
+    # end tokens follow the asked words with probabilities of their own, which brute force takes away
+    after = {"a": 10, "b": 11, "c": 12, "zzz": 13}
+    end = {w: 10 ** want[i][4] for w, i in after.items()}
+    assert 0 < sum(end.values()) < 1 and end["zzz"] < min(end[w] for w in "ab")
 
 
 def test_lm_beats_base(spark, sf_dir):
@@ -182,7 +214,41 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(filled(sizes, [1 + i % 3 for i in range(len(sizes))]))
 
 
+def deal(spark, targets, seed=1):
+    """Each source's draws by shard, from the slots' hashes; those over a target go to the sources that lack some."""
+    targets = sorted(targets, key=lambda r: (r["source"] is None, r["source"]))
+    slots = sum(r["draws"] for r in targets)
+    u = [r[0] for r in spark.range(slots).orderBy("id").select(mixing.chance(F.col("id"), F.lit(slots), seed)).collect()]
+    of, number, free = [], Counter(), []
+    for slot, x in enumerate(u):
+        r = next(r for r in targets if r["first"] <= x < r["first"] + r["draws"])
+        if number[r["source"]] < r["draws"]:
+            of.append((slot // mixing.SHARD, r["source"], number[r["source"]]))
+        else:
+            free.append((r["source"] is None, r["source"] or "", number[r["source"]], slot // mixing.SHARD))
+        number[r["source"]] += 1
+    lacking = [(r["source"], n) for r in targets for n in range(number[r["source"]], r["draws"])]
+    assert len(lacking) == len(free)
+    of += [(shard, source, n) for (*_, shard), (source, n) in zip(sorted(free), lacking, strict=True)]
+    blocks = {r["source"]: r["blocks"] for r in targets}
+    return Counter((shard, source, n // blocks[source]) for shard, source, n in of), len(free)
+
+
+@pytest.mark.parametrize("shard, block", [(4096, 256), (50, 32)])
+def test_mixing_draws(spark, docs, monkeypatch, shard, block):
+    monkeypatch.setattr(mixing, "SHARD", shard)
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    sizes = mixing.with_sizes(docs, "doc_id", "text", "source")
+    targets = mixing.with_targets(sizes, [1, 2, 3]).cache()
+    slots = mixing.drawn(targets).collect()
+    assert sorted(r["slot"] for r in slots) == list(range(len(slots))) and all(r["slot"] // shard == r["shard"] for r in slots)
+    assert len({(r["source"], r["pass"], r["block"]) for r in slots}) == len(slots)
+    want, free = deal(spark, targets.collect())
+    assert Counter((r["shard"], r["source"], r["pass"]) for r in slots) == want and free > 0
+
+
 def test_mixing_report(spark, sf_dir, docs, rows):
+    """taken from the draws and the documents' places, in plain Python."""
     found = mixing.op7_source_mixing(spark, sf_dir).collect()
     assert {r["doc_id"]: r["size"] for r in found} == {i: len(brute.words(t)) for i, t in rows}
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in found)
@@ -191,16 +257,24 @@ def test_mixing_report(spark, sf_dir, docs, rows):
         mine = [r for r in found if source[r["doc_id"]] == s]
         assert sum(r["size"] for r in mine) == mine[0]["source_size"]
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * mixing.BLOCK
+    sizes = mixing.with_sizes(docs, "doc_id", "text", "source").cache()
+    times = Counter((r["source"], r["block"]) for r in mixing.drawn(mixing.with_targets(sizes, [1, 2, 3])).collect())
+    chunks, at, want = 1 + len(rows) // mixing.CHUNK_ROWS, Counter(), {}
+    for r in sorted((r for r in sizes.collect() if r["size"]), key=lambda r: (r["order"] % chunks, r["doc_id"])):
+        begin = at[r["source"]]
+        at[r["source"]] += r["size"]
+        want[r["doc_id"]] = sum(times[r["source"], p // mixing.BLOCK] for p in range(begin, begin + r["size"]))
+    assert {r["doc_id"]: r["taken"] for r in found} == {i: want.get(i, 0) for i, _ in rows}
     assert sorted(found) == sorted(mixing.op7_source_mixing(spark, sf_dir).collect())
 
 
-def test_mixing_draws(spark, docs):
-    sizes = mixing.with_sizes(docs, "doc_id", "text", "source")
-    targets = mixing.with_targets(sizes, [1, 2, 3])
-    slots = mixing.drawn(targets).collect()
-    assert sorted(r["slot"] for r in slots) == list(range(len(slots)))
-    assert len({(r["source"], r["pass"], r["block"]) for r in slots}) == len(slots)
-    assert {r["source"]: r["draws"] for r in targets.collect()} == {s: sum(r["source"] == s for r in slots) for s in {r["source"] for r in slots}}
+def test_mix_blocks(docs, rows):
+    """Every slot has its block's words; together they are what the report says."""
+    got = mixing.mix_blocks(docs).collect()
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    assert all(len(brute.words(r["text"])) == r["words"] <= mixing.BLOCK for r in got)
+    assert len({(r["source"], r["block"], r["text"]) for r in got}) == len({(r["source"], r["block"]) for r in got})
+    assert sum(r["words"] for r in got) == sum(r["taken"] for r in mixing.mix_report(docs).collect())
 
 
 def test_mixed_texts(docs):

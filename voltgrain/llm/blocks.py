@@ -1,21 +1,23 @@
 """Corpus-wide counts of hashed items, gathered and given back a block of documents at a time.
 
-Documents are dealt to blocks by hash. Each block counts its own items first and sends each hash once
-to the bucket that its leading bits name; buckets add the counts up and answer each block. What is
-shuffled is packed: sorted hashes and counts as arrays, one row for a block and bucket. A very common
-item costs each block one entry, so no item is hot, and a bucket holds a bounded share of the hashes.
-
-Items come in levels (words, pairs, ...); a level says how many bytes of a hash are sent besides the
-bucket's bits. With 8 bytes the whole hash is.
+Documents are dealt to blocks by hash. Each block counts its own distinct items and sends each 64-bit hash once, in
+order, to the bucket that its leading bits name; buckets add the counts up and answer each block with the totals of its
+items in the order in which it sent them, so that answers hold no hashes. What is shuffled is packed: a row for a block
+and a bucket holds the differences of sorted hashes, in as few bytes as the largest one needs, and counts. A very common
+item costs each block one entry, so no item is hot; a bucket holds a bounded share of the hashes; there are never more
+rows than hashes, so everything grows in proportion to the corpus.
+
+Items come in levels (words, pairs, ...). Whole hashes are compared at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,19 @@ from voltgrain.llm.common import mixed, release
 #: Bytes of text of a block, and bytes of text whose items a bucket of one level adds up.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 SENT = "block int, level int, bucket int, hashes binary, counts binary"
-SENT_ARROW = pa.schema([("block", pa.int32()), ("level", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TOLD = "block int, level int, bucket int, counts binary"
 
 
 def block_of(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def blocks_of(docs: DataFrame, n_bytes: int, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """docs (doc_id and text, in UTF-8, among their columns), each row in the partition that its block names, and their number."""
+    n = max(1, -(-n_bytes // (block_bytes or BLOCK_BYTES)))
+    return docs.withColumn("block", block_of(n, "doc_id", "text")).repartitionById(n, F.col("block")), n
+
+
 def bucket_bits(n_bytes: int) -> int:
     """Leading bits that name a bucket, for a corpus of n_bytes of text."""
     return max(1, (n_bytes // BUCKET_BYTES).bit_length())
@@ -58,40 +66,45 @@ def joined(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cut(hashes: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """Hashes without the trailing bits that are not sent."""
-    return hashes if width == 8 else hashes >> np.uint64(64 - bits - 8 * width)
+def sent(block: int, level: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[tuple]:
+    """Rows of SENT for distinct, sorted hashes: one for each bucket that has any."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield block, level, int(bucket[i]), packed(hashes[i:j]), packed_counts(counts[i:j])
 
 
-def sent(block: int, level: int, hashes: np.ndarray, counts: np.ndarray, bits: int, width: int, every: bool = False) -> Iterator[tuple]:
-    """Rows of SENT for sorted cut hashes. every: also for buckets without any."""
-    bucket = (hashes >> np.uint64(64 - bits if width == 8 else 8 * width)).astype(np.int64)
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    for b in range(1 << bits):
-        i, j = cuts[b], cuts[b + 1]
-        if every or j > i:
-            yield block, level, b, first_bytes(hashes[i:j], width), narrow(counts[i:j])
+def packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes: the bytes of a difference, the first hash, the differences."""
+    steps = np.diff(hashes)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def first_bytes(hashes: np.ndarray, width: int) -> bytes:
-    """The width lowest bytes of each hash."""
-    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    steps = np.zeros(((len(raw) - 9) // width + 1, 8), np.uint8)
+    steps[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def received(raw: bytes, width: int, bucket: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    out = out.reshape(-1).view("<u8").astype(np.uint64)
-    return out if width == 8 else out + (np.uint64(bucket) << np.uint64(8 * width))
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in one byte each if they allow, else in eight; the first byte says which. Most are small and equal: compressed."""
+    small = bool(counts.max(initial=0) < 256)
+    return bytes([small]) + zstandard.compress(counts.astype(np.uint8 if small else np.int64).tobytes(), 1)
 
 
-def narrow(counts: np.ndarray) -> bytes:
-    """Counts in one byte each if they allow, else in eight."""
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int64).tobytes()
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw[1:]), np.uint8 if raw[0] else np.int64).astype(np.int64)
 
 
-def wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.int64).astype(np.int64)
+def rows_of(rows: list[tuple], schema: str) -> pa.Table:
+    """An Arrow table of rows of ints and bytes, as SENT and TOLD have them."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+    return pa.Table.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, names, strict=True)], names=[name for name, _ in names])
 
 
 def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,50 +117,50 @@ def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
-def added_up(counted: DataFrame, widths: list[int], more: Callable[[int, np.ndarray], list[tuple[int, int]]] = lambda level, sums: []) -> DataFrame:
-    """Rows of SENT: for each block the total of every hash it has sent, where that isn't its own count.
-    more: from a level and the totals of a bucket, pairs of hash and count that every block is told besides."""
+def _bucket(rows: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket: how many hashes each row has, an order of all of them, where another hash begins in it, its total."""
+    hashes = [unpacked(x.as_py()) for x in rows["hashes"]]
+    counts = np.concatenate([unpacked_counts(x.as_py()) for x in rows["counts"]])
+    flat = np.concatenate(hashes)
+    by = np.argsort(flat)
+    flat = flat[by]
+    new = np.append(True, flat[1:] != flat[:-1])
+    return [len(h) for h in hashes], by, new, np.add.reduceat(counts[by], np.flatnonzero(new))
+
+
+def added_up(counted: DataFrame, n: int) -> DataFrame:
+    """From rows of SENT, rows of TOLD, in the partitions of n blocks: the totals of what each block has sent."""
 
     def add(rows: pa.Table) -> pa.Table:
-        level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
-        width = widths[level]
-        hashes = [received(x.as_py(), width, bucket) for x in rows["hashes"]]
-        own = [wide(x.as_py(), len(h)) for x, h in zip(rows["counts"], hashes, strict=True)]
-        ends = np.cumsum([len(h) for h in hashes])[:-1]
-        flat, counts = np.concatenate(hashes), np.concatenate(own)
-        by = np.argsort(flat)
-        new = np.append(True, flat[by][1:] != flat[by][:-1])[: len(flat)]
-        sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(flat) else counts
-        total = np.empty_like(counts)
+        sizes, by, new, sums = _bucket(rows)
+        total = np.empty(len(by), np.int64)
         total[by] = sums[np.cumsum(new) - 1]
-        extra = more(level, sums)  # with small hashes, which a level of 8 bytes keeps whole
-        out = []
-        for block, h, mine, all_of in zip(rows["block"].to_pylist(), hashes, own, np.split(total, ends), strict=True):
-            other = mine != all_of
-            h = np.concatenate([h[other], np.array([e[0] for e in extra], np.uint64)])
-            n = np.concatenate([all_of[other], np.array([e[1] for e in extra], np.int64)])
-            if len(h):
-                out.append((block, level, bucket, first_bytes(h, width), narrow(n)))
-        del flat, counts, by, total, hashes, own
+        level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
+        out = [(block, level, bucket, packed_counts(n)) for block, n in zip(rows["block"].to_pylist(), np.split(total, np.cumsum(sizes)[:-1]), strict=True)]
+        del by, new, sums, total
         release()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, SENT_ARROW.types, strict=True)], schema=SENT_ARROW)
+        return rows_of(out, TOLD)
+
+    return counted.groupBy("level", "bucket").applyInArrow(add, TOLD).repartitionById(n, F.col("block"))
 
-    return counted.groupBy("level", "bucket").applyInArrow(add, SENT)
 
+def sums_of(counted: DataFrame, level: int = 0) -> DataFrame:
+    """One row: n, the sum of all counts of a level, and v, how many of its items have any."""
 
-def told(rows: pa.Table, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a block was told of a level: sorted hashes (as they were cut) and totals; equal hashes are added up."""
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, bucket, h, c in zip(rows["level"].to_pylist(), rows["bucket"].to_pylist(), rows["hashes"], rows["counts"], strict=True):
-        if at == level:
-            hashes.append(received(h.as_py(), width, bucket))
-            counts.append(wide(c.as_py(), len(hashes[-1])))
-    return totals(np.concatenate(hashes), np.concatenate(counts))
+    def add(rows: pa.Table) -> pa.Table:
+        if rows["level"][0].as_py() != level:  # asked here, not by a filter: so Spark shuffles the rows once for this and added_up
+            return rows_of([], "n long, v long")
+        sums = _bucket(rows)[3]
+        return rows_of([(int(sums.sum()), int((sums > 0).sum()))], "n long, v long")
 
+    found = counted.groupBy("level", "bucket").applyInArrow(add, "n long, v long")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
 
-def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: np.ndarray | int) -> np.ndarray:
-    """values at the sorted keys; missing where there is none."""
-    if not len(keys):
-        return np.broadcast_to(missing, wanted.shape).astype(np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+
+def told(rows: pa.Table, level: int, n: int) -> np.ndarray:
+    """The totals of a block's n items of a level, in the order of their hashes."""
+    some = sorted((bucket, i) for i, (at, bucket) in enumerate(zip(rows["level"].to_pylist(), rows["bucket"].to_pylist(), strict=True)) if at == level)
+    out = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(rows["counts"][i].as_py()) for _, i in some)])
+    if len(out) != n:
+        raise ValueError(f"a block asked for {n} items and was told {len(out)}")
+    return out

@@ -11,14 +11,16 @@ ordered n-grams; each set walks the tree, its overlap with a branch is counted o
 and a subtree goes as soon as what is left of both can't reach the threshold, or when all below is linked
 with the set already. Only links that join two components are given.
 
-A cluster too large for one task is never gathered: its classes are first compared with the classes that
-most of their first n-grams point to, by joins; what that leaves outside the largest component is dealt
-to blocks, and pairs of blocks walk the tree. Nothing is capped or left out.
+A cluster too large for one task is never gathered, but walks trees all the same: its classes are dealt to
+parts; the hub that a first n-gram points to (the class with most shared n-grams) walks the tree of those that it
+is the hub of, part by part. What that leaves outside the cluster's largest component then walks the trees of all
+parts, GROUP_SETS classes at a time. Nothing is capped or left out.
 
 Words are lower-cased A-Z and compared by 64-bit hashes. Null and empty texts have no n-grams and are
-linked with nothing; a text of fewer words than n has its whole sequence as its one n-gram. Repeated
+linked with nothing; an empty table gives no rows; a text of fewer words than n has its whole sequence as
+its one n-gram. A very long text's set is made in one task, in 8 bytes an n-gram, and is never cut. Repeated
 rows and rows of one id count as rows of their own; null ids never are the smallest of a component, whose
-id is null if no row of it has one. Of other columns only the id and the text are read.
+id is null if no row of it has one. Of other columns, whatever their names, only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ from voltgrain.llm.common import release, table, text_bytes, unused, written
 from voltgrain.llm.components import components
 
 SET = "doc_id long, n int, node binary, tokens binary, ranks binary, first array<long>"
-#: Bytes of a hash sent, besides a bucket's bits, to count documents: the count only orders n-grams.
-WIDTH = 4
 #: A cluster with more classes, or more n-grams in all, is dealt to several tasks.
 GROUP_SETS, GROUP_TOKENS = 1024, 2_000_000
 
@@ -65,26 +65,26 @@ def signature(tokens: np.ndarray) -> bytes:
 def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """SET for every row; tokens (hashes, rare first), their ranks and the first ones that occur elsewhere are null for sets without a possible partner."""
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_blocks, bits = max(1, -(-n_bytes // B.BLOCK_BYTES)), B.bucket_bits(n_bytes)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    rows = rows.withColumn("block", B.block_of(n_blocks, "doc_id", "text")).repartition(n_blocks, "block")
+    bits = B.bucket_bits(n_bytes)
+    rows, n_blocks = B.blocks_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")), n_bytes)
 
     def count(left: pa.Table) -> pa.Table:
         flat = np.concatenate([np.zeros(0, np.uint64), *_sets(left, n)])
-        hashes, counts = B.totals(B.cut(flat, bits, WIDTH), np.ones(len(flat), np.int64))
-        out = [*B.sent(left["block"][0].as_py(), 0, hashes, counts, bits, WIDTH)]
+        out = [*B.sent(left["block"][0].as_py(), 0, *B.totals(flat, np.ones(len(flat), np.int64)), bits)]
+        del flat
         release()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 5, B.SENT_ARROW.types, strict=True)], schema=B.SENT_ARROW)
+        return B.rows_of(out, B.SENT)
 
     def order(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = _sets(left, n)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-        own = B.totals(B.cut(flat, bits, WIDTH), np.ones(len(flat), np.int64))
-        keys, values = B.told(right, 0, WIDTH)
-        docs_with = own[0], B.looked_up(keys, values, own[0], own[1])
-        out = []
+        own, place = np.unique(flat, return_inverse=True)
+        docs_with = B.told(right, 0, len(own))[place]
+        del flat, own, place
+        out, at = [], 0
         for doc_id, tokens in zip(left["doc_id"].to_pylist(), sets, strict=True):
-            df = B.looked_up(*docs_with, B.cut(tokens, bits, WIDTH), 1)
+            df = docs_with[at : at + len(tokens)]
+            at += len(tokens)
             shared = np.flatnonzero(df > 1)
             few = first_n(len(tokens), percent) - (len(tokens) - len(shared)) if len(tokens) else 0
             if few <= 0:
@@ -96,7 +96,7 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 6, types, strict=True)], names=[x.split()[0] for x in SET.split(", ")])
 
-    told = B.added_up(rows.groupBy("block").applyInArrow(count, B.SENT), [WIDTH])
+    told = B.added_up(rows.groupBy("block").applyInArrow(count, B.SENT), n_blocks)
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(order, SET)
 
 
@@ -235,33 +235,34 @@ def class_links(classes: DataFrame, percent: int, group_sets: int = GROUP_SETS,
     links = small.groupBy("cluster").applyInArrow(walk, LINK)
     if large.isEmpty():
         return links
-    return links.unionByName(large_links(members.join(large.select("cluster", F.ceil(F.greatest(F.col("sets") / group_sets, F.col("weight") / group_tokens)).cast("int").alias("parts")), "cluster"), edges, percent))
+    return links.unionByName(large_links(members.join(large.select("cluster", F.ceil(F.greatest(F.col("sets") / group_sets, F.col("weight") / group_tokens)).cast("int").alias("parts")), "cluster"), edges, percent, group_sets))
 
 
-def large_links(members: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters that are dealt to parts. Each is first linked with its hubs."""
+def large_links(members: DataFrame, edges: DataFrame, percent: int, group_sets: int) -> DataFrame:
+    """Links within clusters that are dealt to parts. Hubs first walk the trees of what points to them."""
     members = written(members, "jaccard-spread")
-    near = edges.join(members.select("node", "cluster", F.col("n").alias("n1"), F.col("tokens").alias("t1")), "node")
-    near = near.join(members.select(F.col("node").alias("hub"), F.col("n").alias("n2"), F.col("tokens").alias("t2")), "hub")
-
-    def compare(it):
-        for batch in it:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch["t1"], batch["t2"], strict=True)):
-                both = len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True))
-                if (100 + percent) * both >= percent * (batch["n1"][i].as_py() + batch["n2"][i].as_py()):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch["node"].take(pa.array(keep, pa.int64())), batch["hub"].take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    hub_links = written(near.select("node", "hub", "n1", "t1", "n2", "t2").mapInArrow(compare, LINK), "jaccard-hub-links")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")
+    near = edges.join(members, "node").select("hub", part, "node", "n", "tokens", "ranks")
+    hubs = edges.join(members.select("node", "parts"), "node").select("hub", part).distinct()
+    hubs = hubs.join(members.select(F.col("node").alias("hub"), "n", "tokens", "ranks"), "hub").select("hub", "part", F.col("hub").alias("node"), "n", "tokens", "ranks")
+    hubs = hubs.toDF(*hubs.columns)  # columns of its own
+
+    def from_hub(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _pairs([], [])
+        sets, sizes, nodes = _local(left, right)
+        return _pairs(spanning_links(sets, sizes, percent, np.arange(len(nodes)), np.arange(1), np.arange(1, len(nodes))), nodes)
+
+    hub_links = written(hubs.groupBy("hub", "part").cogroup(near.groupBy("hub", "part")).applyInArrow(from_hub, LINK), "jaccard-hub-links")
     roots = components(hub_links)
     known = written(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-known")
     by_root = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
-    top = by_root.groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("top"))
-    known = known.join(top, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    known = written(known.select("cluster", "part", "node", "n", "tokens", "ranks", "root", "parts", (F.col("root") != F.col("top")).alias("minor")), "jaccard-parts")
-    asking = known.filter("minor").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1L)"))).withColumnRenamed("part", "mine")
-    asked = known.withColumnRenamed("part", "other").join(known.filter("minor").select("cluster", F.col("part").alias("mine")).distinct(), "cluster")
+    top = by_root.groupBy("cluster").agg(F.max(F.struct("k", "root"))["root"].alias("top"), (F.sum("k") - F.max("k")).alias("others"))
+    known = known.join(top, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("turns", F.ceil(F.col("others") / group_sets))
+    known = written(known.select("cluster", "part", "node", "n", "tokens", "ranks", "root", "parts", "turns", (F.col("root") != F.col("top")).alias("minor")), "jaccard-parts")
+    # those outside the largest component, group_sets at a time, meet every part once
+    asking = known.filter("minor").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns"))).withColumn("other", F.explode(F.expr("sequence(0L, parts - 1L)")))
+    asked = known.filter("turns > 0").withColumn("mine", F.explode(F.expr("sequence(0L, turns - 1L)"))).withColumnRenamed("part", "other")
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

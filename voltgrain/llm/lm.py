@@ -1,27 +1,32 @@
-"""Operator 6, language-model scoring by interpolated lookups, which give what a weighted backoff automaton would.
+"""Operator 6, language-model scoring by a weighted backoff automaton.
 
-No automaton is built; what follows is the one whose sums the lookups give. States are the contexts of up to order - 1 tokens that occur in training; the root is the empty one.
-An arc of a state carries the smoothed log-probability of its token; a state's failure arc goes to the
-context without its first token and carries the weight that smoothing leaves to shorter contexts:
+n-grams of up to order tokens are counted in the training texts and smoothed by interpolation:
 
     p(w | u) = (c(u w) + K * p(w | u without its first token)) / (c(u) + K),   p(w) = (c(w) + 1) / (N + V + 1)
 
-so a token without an arc costs log K / (c(u) + K) for each failure arc and then an arc further down.
-A traversal would go left to right: the state after a token is the longest context known that ends
-there, and log-probabilities are added up. A text begins in the state of a token that ends texts. scored() looks up c(u w) and c(u) of all positions
-at once instead, order by order.
-
-The model grows with the corpus and is never whole anywhere. Blocks of documents count n-grams, buckets
-add them up (voltgrain.llm.blocks), and each block gets the part of the automaton that its own texts can
-reach: counts as sorted arrays, in which all texts of the block are looked up together. Counts of words are by
-64-bit hashes; of longer n-grams by 40 bits and the bucket's (41 at least, 44 at 0.1 GB), so that some share a count.
-
-Null and empty texts are one end token. A row depends on its text and the corpus; repeated rows count
-each time. A null id counts as an empty one when documents are set aside. Tokens are lower-cased A-Z.
+States are the contexts of up to order - 1 tokens that occur in training; the root is the empty one. An arc of a state
+carries the log-probability of its token and leads to the longest context known that ends with it; at the root every
+token has an arc, known or not. A state's failure arc leads to the context without its first token and carries what
+smoothing leaves to it, log K / (c(u) + K): it is taken when a token has no arc, so that the sums are p. A text begins
+in the state of the token that ends texts; it is traversed once, from left to right, with the state carried on and
+log-probabilities added up.
+
+The model grows with the corpus and is never whole anywhere. Blocks of documents count n-grams, buckets add them up
+(voltgrain.llm.blocks), and each block builds the part of the automaton that its own texts can reach. The texts of a
+block are traversed side by side, in stretches of STRETCH tokens: a state depends on order - 1 tokens, so a stretch
+begins that many tokens early, at the root, and adds up what comes after. n-grams are compared by whole 64-bit hashes.
+
+Null and empty texts are one end token. A row depends on its text and the corpus; repeated rows count each time. A null
+id counts as an empty one when documents are set aside; an empty table gives no rows, and without training texts all
+tokens are unknown. Only the id, the text and what held_out reads are used, whatever other columns are named. Tokens
+are lower-cased A-Z. A very long text makes its block larger by its own size, and is spread over many stretches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,112 +35,164 @@ from pyspark.sql import functions as F
 from voltgrain.llm import blocks as B
 from voltgrain.llm.common import release, table, text_bytes
 
-#: The end token (no word holds a line feed), and the hashes under which N and V are told.
-END, ALL, DISTINCT = b"\n", 0, 1
+#: The end token; no word holds a line feed.
+END = b"\n"
+STRETCH = 512
+#: K for contexts of one token, two tokens, ...
+STRENGTHS = (1000.0, 100.0)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 class Texts:
-    """The texts of a block as hashed tokens; n-grams are made when they are asked for."""
+    """The texts of a block as hashed tokens, each with an end token before and after."""
 
     def __init__(self, rows: pa.Table) -> None:
         seen = B.WordHashes()
-        words = [seen.of([*raw.as_py().lower().split(), END]) for raw in rows["text"]]
-        self.end = np.uint64(seen[END])
+        words = [seen.of([END, *raw.as_py().lower().split(), END]) for raw in rows["text"]]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([np.zeros(0, np.uint64), *words])
+        self.place = np.arange(len(self.flat)) - np.repeat(self.starts, self.sizes)
         self.train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.sizes).view(np.uint8)
 
-    def _column(self, k: int) -> np.ndarray:
-        """The token k before each token; the end token before a text's first one."""
-        if not k:
-            return self.flat
-        out = np.full(len(self.flat), self.end)
-        out[k:] = self.flat[:-k]
-        for i in range(k):
-            out[(self.starts + i)[self.sizes > i]] = self.end
-        return out
-
-    def grams(self, k: int) -> np.ndarray:
-        """The n-gram of k + 1 tokens that ends at each token."""
-        return B.joined([self._column(i) for i in range(k, -1, -1)])
-
-    def contexts(self, k: int) -> np.ndarray:
-        """The k tokens before each token."""
-        return B.joined([self._column(i) for i in range(k, 0, -1)])
-
-    def there(self, k: int) -> np.ndarray | slice:
-        """Which tokens have an n-gram of k + 1 tokens: it begins with the text, or with the one end token before it."""
-        if k < 2:
-            return slice(None)
-        out = np.ones(len(self.flat), bool)
-        for i in range(k - 1):
-            out[(self.starts + i)[self.sizes > i]] = False
-        return out
-
-    def own(self, k: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block's distinct n-grams (cut) and how often its training texts have them."""
-        return B.totals(grams[self.there(k)], self.train[self.there(k)])
-
-
-def counted(docs: DataFrame, order: int, bits: int, widths: list[int]) -> DataFrame:
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of k + 1 tokens end, and their hashes. The first end token of a text is a context only."""
+        at = np.flatnonzero(self.place >= max(k, 1))
+        return at, B.joined([self.flat[at - i] for i in range(k, -1, -1)])
+
+
+class Automaton(NamedTuple):
+    """States are numbers, those of longer contexts larger: 0 is the root, base[k] the first of k + 1 tokens."""
+
+    words: np.ndarray  # the token at each place of the texts, as a number
+    start: int  # the state in which texts begin
+    base: list[int]
+    keys: list[np.ndarray]  # sorted state * number of words + word, for states of 1, 2, ... tokens
+    logs: list[np.ndarray]
+    then: list[np.ndarray]
+    root: np.ndarray  # the root's arcs, by word
+    root_then: np.ndarray
+    fail: np.ndarray  # by state
+    weight: np.ndarray
+
+
+def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         block, texts, out = rows["block"][0].as_py(), Texts(rows), []
         for k in range(order):
-            hashes, counts = texts.own(k, B.cut(texts.grams(k), bits, widths[k]))
-            out += B.sent(block, k, hashes, counts, bits, widths[k], every=k == 0)
+            at, hashes = texts.grams(k)
+            out += B.sent(block, k, *B.totals(hashes, texts.train[at]), bits)
             release()
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), B.SENT_ARROW.types, strict=True)], schema=B.SENT_ARROW)
+        return B.rows_of(out, B.SENT)
 
     return docs.groupBy("block").applyInArrow(count, B.SENT)
 
 
-def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, strength: float = 1000.0, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """SCORED for every row; held_out: of rows that the model doesn't learn from."""
+def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int, distinct: int, strengths: tuple[float, ...]) -> tuple[Automaton, np.ndarray]:
+    """The states and arcs that the texts can reach, and each word's count. told: of a length less one and a number of n-grams,
+    their totals in the order of their hashes."""
+    known, words = np.unique(texts.flat, return_inverse=True)
+    n_words, c = len(known), told(0, len(known))  # the end tokens before texts end texts too: they add no word
+    p = (c + 1) / (total + distinct + 1)
+    word_counts, root, of = c, np.log10(p), words
+    base, fail, weight, to = [1], [np.zeros(1, np.int64)], [np.zeros(1)], np.zeros(n_words, np.int64)
+    keys, logs, then = [], [], []
+    for k, strength in enumerate(strengths, 1):
+        # of: the n-gram of k tokens that ends at each place (-1: none); c, p, to: its count, probability and failure state
+        fail.append(to)
+        weight.append(np.log10(strength / (c + strength)))
+        base.append(base[-1] + len(c))
+        at, hashes = texts.grams(k)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        del hashes
+        end = at[first]  # a place where each n-gram of k + 1 tokens ends
+        context, below, count = of[end - 1], of[end], told(k, len(end))
+        p = np.where(count > 0, (count + strength * p[below]) / (c[context] + strength), 1)
+        on = np.flatnonzero(count > 0)
+        key = (base[k - 1] + context[on]) * n_words + words[end[on]]
+        by = np.argsort(key)
+        on = on[by]
+        keys.append(key[by])
+        logs.append(np.log10(p[on]))
+        to = base[k - 1] + below
+        then.append(base[k] + on if k < len(strengths) else to[on])
+        if k < len(strengths):
+            of = np.full(len(words), -1)
+            of[at] = inverse
+        c = count
+    root_then = np.where(word_counts > 0, base[0] + np.arange(n_words), 0) if strengths else np.zeros(n_words, np.int64)
+    start = int(root_then[words[-1]]) if len(words) else 0
+    return Automaton(words, start, base, keys, logs, then, root, root_then, np.concatenate(fail), np.concatenate(weight)), word_counts
+
+
+def traversed(a: Automaton, texts: Texts) -> np.ndarray:
+    """The log-probability of the token at each place; 0 for the end tokens before the texts."""
+    warm, out = len(a.keys), np.zeros(len(a.words))
+    n = -(-(texts.sizes - 1) // STRETCH)  # stretches of each text
+    text = np.repeat(np.arange(len(n)), n)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    first = texts.starts[text] + 1 + number * STRETCH
+    last = np.minimum(first + STRETCH, texts.starts[text] + texts.sizes[text])
+    begin = np.maximum(first - warm, texts.starts[text] + 1)
+    by = np.argsort(begin - last, kind="stable")  # the longest first
+    first, last, begin = first[by], last[by], begin[by]
+    state = np.where(begin == texts.starts[text[by]] + 1, a.start, 0)
+    length = last - begin
+    for t in range(int(length.max(initial=0))):
+        m = int(np.searchsorted(-length, -t))  # those that are longer
+        s, place = state[:m], begin[:m] + t
+        word, log = a.words[place], np.zeros(m)
+        left = np.ones(m, bool)  # no arc found yet
+        for k in range(len(a.keys) - 1, -1, -1):
+            who = np.flatnonzero(left & (s >= a.base[k]))
+            if not len(who) or not len(a.keys[k]):
+                log[who] += a.weight[s[who]]
+                s[who] = a.fail[s[who]]
+                continue
+            want = s[who] * len(a.root) + word[who]
+            arc = np.minimum(np.searchsorted(a.keys[k], want), len(a.keys[k]) - 1)
+            there = a.keys[k][arc] == want
+            yes, no, arc = who[there], who[~there], arc[there]
+            log[yes] += a.logs[k][arc]
+            s[yes] = a.then[k][arc]
+            left[yes] = False
+            log[no] += a.weight[s[no]]
+            s[no] = a.fail[s[no]]
+        who = np.flatnonzero(left)
+        log[who] += a.root[word[who]]
+        s[who] = a.root_then[word[who]]
+        counts = place >= first[:m]
+        out[place[counts]] = log[counts]
+    return out
+
+
+def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text", strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """SCORED for every row; held_out: of rows that the model doesn't learn from. The order is one more than there are strengths."""
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n, bits, widths = max(1, -(-n_bytes // block_bytes)), B.bucket_bits(n_bytes), [8] + [5] * (order - 1)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(text_col).alias("text"))
-    rows = rows.withColumn("block", B.block_of(n, "doc_id", "text")).repartition(n, "block")
-    model = B.added_up(counted(rows, order, bits, widths), widths, lambda level, sums: [] if level else [(ALL, int(sums.sum())), (DISTINCT, int((sums > 0).sum()))])
+    order, bits = len(strengths) + 1, B.bucket_bits(n_bytes)
+    rows, n = B.blocks_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(text_col).alias("text")), n_bytes, block_bytes)
+    sent = counted(rows, order, bits)
+    size = B.sums_of(sent)
+    asking = rows.withColumn("total", size.select("n").scalar()).withColumn("distinct", size.select("v").scalar())
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = Texts(left)
-        p = base = known = below = None
-        total = distinct = 0
-        for k in range(order):
-            grams = B.cut(texts.grams(k), bits, widths[k])
-            keys, values = B.told(right, k, widths[k])
-            if not k:
-                total, distinct = (int(B.looked_up(keys, values, np.array([h], np.uint64), 0)[0]) for h in (ALL, DISTINCT))
-            own = texts.own(k, grams)
-            arcs = own[0], B.looked_up(keys, values, *own)
-            del keys, values, own
-            c = B.looked_up(*arcs, grams, 0)
-            del grams
-            if not k:
-                known, p = c > 0, (c + 1) / (total + distinct + 1)
-                base = add(np.log10(p), texts)
-            else:
-                # how often a context occurs in training: a count one order down
-                state = B.looked_up(*below, B.cut(texts.contexts(k), bits, widths[k - 1]), 0)
-                on = np.zeros(len(c), bool)
-                on[texts.there(k)] = True
-                on &= state > 0
-                p = np.where(on, (c + strength * p) / (state + strength), p)
-                del state, on
-            below = arcs
-            release()
-        columns = [left["doc_id"], left["held_out"], texts.sizes, add(known.astype(np.int64), texts), np.full(len(texts.sizes), total), base, add(np.log10(p), texts)]
+        total, distinct = (left[c][0].as_py() for c in ("total", "distinct"))
+        a, c = automaton(texts, lambda k, n: B.told(right, k, n), total, distinct, strengths)
+        release()
+        score = add(traversed(a, texts), texts)
+        there = texts.place > 0
+        known, base = (c[a.words] > 0) & there, np.where(there, a.root[a.words], 0)
+        columns = [left["doc_id"], left["held_out"], texts.sizes - 1, add(known.astype(np.int64), texts), np.full(len(texts.sizes), total), add(base, texts), score]
+        del a
+        release()
         return pa.table({name.split()[0]: c for name, c in zip(SCORED.split(", "), columns, strict=True)})
 
-    if order < 1:
-        raise ValueError("order is 1 or more")
-    return rows.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(score, SCORED)
+    return asking.groupBy("block").cogroup(B.added_up(sent, n).groupBy("block")).applyInArrow(score, SCORED)
 
 
 def add(x: np.ndarray, texts: Texts) -> np.ndarray:
-    """Sums of each text's tokens; a text always has one, its end."""
+    """Sums over each text's places."""
     return np.add.reduceat(x, texts.starts) if len(x) else np.zeros(0, x.dtype)
 
 
