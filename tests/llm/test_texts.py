@@ -1,13 +1,16 @@
 """Operators that look at one text at a time: quality rules, BPE, toxicity."""
 
 import hashlib
+import math
 import random
 import struct
 import time
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -227,6 +230,46 @@ def test_toxicity_odd(spark, odd):
 
 
 def test_toxicity_query(spark, sf_dir, rows):
+    """The query's scores from windows that are compressed one by one, with the model it fits."""
     out = toxicity.op4_toxicity(spark, sf_dir)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)
     assert out.filter("predicted <> cast(score >= 0.5 as int)").count() == 0
+    found = {r["doc_id"]: r for r in out.collect()}
+    assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    model = toxicity.fit(table("documents"), table("labels"), ~held)
+    assert len(model.pairs) == len(toxicity.SIZES)
+
+    def length(window, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(window))
+
+    for i, text in rows[:25]:
+        text, cuts = (text or "").lower().encode(), []
+        while text:
+            j = len(text) if len(text) <= toxicity.WINDOW else text.rfind(b" ", 0, toxicity.WINDOW) + 1 or toxicity.WINDOW
+            cuts.append(b" " + text[:j])
+            text = text[j:]
+        each = [[length(w, ordinary) - length(w, toxic) for w in cuts] or [0] for toxic, ordinary in model.pairs]
+        x = []
+        for d, steps in [*((d, toxicity.THRESHOLDS) for d in each), ([sum(z) for z in zip(*each, strict=True)], toxicity.SUM_THRESHOLDS)]:
+            x += [min(max(d), 30), *(math.log1p(sum(y >= t for y in d)) for t in steps)]
+        x.append(math.log1p(len(cuts)))
+        z = sum(a * b for a, b in zip(x, model.weights, strict=False)) + model.weights[-1]
+        assert found[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_toxicity_real_labels(spark):
+    """Held-out labels of a larger table: the area under the curve."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    asked = labels.filter(held & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, ~held)
+    got = toxicity.scored(docs.join(asked, "doc_id").select("toxic", "text"), model).select("toxic", "score").collect()
+    rank = {id(r): i for i, r in enumerate(sorted(got, key=lambda r: r["score"]))}
+    toxic = [rank[id(r)] for r in got if r["toxic"]]
+    area = (sum(toxic) - len(toxic) * (len(toxic) - 1) / 2) / (len(toxic) * (len(got) - len(toxic)))
+    print(f"area under the curve {area:.4f} of {len(toxic)} toxic and {len(got) - len(toxic)} other held-out texts")
+    assert area > 0.9

@@ -1,21 +1,24 @@
 """Operator 4, toxicity by compression distance.
 
-zstandard dictionaries are made in pairs from labelled texts: both of a pair begin with the words that both kinds
-of text use, then one goes on with words that mark toxic texts, the other with words that mark ordinary ones. A text
-is cut into windows of about WINDOW bytes, at blanks, and each window is compressed with either dictionary: the
-difference of the two lengths says which kind of text the window is nearer to. A shared beginning keeps windows of
-everyday words near 0. There is a pair for each of a few sizes; since their errors differ, a window's differences are
-also added up. From a text's differences (the largest, how many reach each of a few thresholds, how many windows)
-a logistic function makes the score; its weights are fitted on a quarter of the labelled texts, which the
-dictionaries have not seen.
-
-Fitting uses a bounded sample of rows: for each label the SAMPLE documents whose ids have the smallest hashes, and
-of these the whole texts. Tasks count their words and make their features; only these and the labels' counts reach
-the driver, the dictionaries (some kilobytes) go out with the code. Scoring covers every whole text, in its own task.
-
-Null and empty texts have no window and get the score that goes with that. A row's score depends on its text
-alone. Labels that are null, or whose id is null, teach nothing; without labels of both kinds every score is
-the share of label 1 (0 without any). Other columns pass through; out_col replaces a column of that name.
+zstandard dictionaries are trained in pairs, on what only toxic and what only ordinary labelled texts say: of each text
+the words that a share of the texts of its label have and none of the other. Both of a pair begin with a dictionary
+trained on the words that both kinds of text use, so that windows of everyday words stay near 0; what the trainer chose
+is used as it is, without its entropy tables. A text is cut into windows of about WINDOW bytes, at blanks, and each
+window is compressed with either dictionary: the difference of the two lengths says which kind of text the window is
+nearer to. There is a pair for each of a few sizes; since their errors differ, a window's differences are also added up.
+From a text's differences (the largest, how many reach each of a few thresholds, how many windows) a logistic function
+makes the score; its weights are fitted on a quarter of the labelled texts, which the dictionaries have not seen.
+
+Fitting uses a bounded sample of rows: for each label the SAMPLE documents whose ids have the smallest hashes, and of
+these the whole texts. Tasks count their words, cut the pieces to train on and make features. What reaches the driver is
+the words that enough texts have, PIECES pieces of PIECE bytes for each dictionary (those of the smallest hashes, from
+anywhere in the texts) and the features; the dictionaries (some kilobytes) go out with the code. Scoring covers every
+whole text, in its own task.
+
+Null and empty texts have no window and get the score that goes with that. A row's score depends on its text alone, so
+repeated rows get equal scores; an empty table gives no rows. Labels that are null, or whose id is null, teach nothing;
+without labels of both kinds every score is the share of label 1 (0 without any). Other columns pass through; out_col
+replaces a column of that name. A very long text takes a few bytes for each of its windows.
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ SAMPLE = 4000
 WINDOW, LEVEL = 32, 3
 #: Longer words are in no dictionary.
 WORD_BYTES = 40
-#: Bytes of marking words and of shared words of each pair of dictionaries.
-SIZES = [(600, 3 << 10), (1 << 10, 8 << 10)]
+#: Of each pair of dictionaries: bytes of the shared beginning and of the rest, and the trainer's k and d.
+SIZES = [(3 << 10, 600, 16, 6), (8 << 10, 2 << 10, 20, 6), (4 << 10, 1 << 10, 16, 8)]
+#: Words that both kinds of text have, for the shared beginning; pieces of text that a dictionary is trained on, and their bytes.
+SHARED, PIECES, PIECE = 4000, 20_000, 512
+#: The share of a label's texts that a word must be in to be trained on.
+COMMON = 0.015
 THRESHOLDS, SUM_THRESHOLDS = (3, 4, 5, 6, 7, 8), (6, 8, 10, 12, 14)
 
 
@@ -74,22 +81,55 @@ def features(text: bytes, pairs: list[tuple]) -> list[float]:
     return [*out, math.log1p(len(some))]
 
 
-def content(words: list[bytes], size: int) -> bytes:
-    """The last of words that fit into size bytes."""
-    out, used = [], 0
-    for w in reversed(words):
-        used += len(w) + 1
-        if used > size:
-            break
-        out.append(w)
-    return b" " + b" ".join(reversed(out)) + b" "
+class Vocabulary(NamedTuple):
+    both: frozenset[bytes]
+    toxic: frozenset[bytes]
+    ordinary: frozenset[bytes]
 
 
-def marking(a: Counter, n_a: int, b: Counter, n_b: int, ratio: float) -> list[bytes]:
-    """Words that are ratio times as common in texts of a than of b; the strongest come last."""
-    share = lambda w: ((a[w] + 0.5) / n_a) / ((b[w] + 0.5) / n_b)
-    some = [w for w in a if a[w] >= min(3, n_a) and share(w) > ratio]
-    return sorted(some, key=lambda w: (a[w] * math.log(share(w)), w))
+def vocabulary(seen: dict[int, Counter], n: dict[int, int]) -> Vocabulary:
+    """seen: in how many texts of a label each word is; n: how many texts of a label there are."""
+    both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2), key=lambda w: (-seen[0][w] - seen[1][w], w))
+    own = lambda y: frozenset(w for w, c in seen[y].items() if c >= least(n[y]) and not seen[1 - y][w])
+    return Vocabulary(frozenset(both[:SHARED]), own(1), own(0))
+
+
+def least(n: int) -> int:
+    """How many of n texts a word must be in."""
+    return max(min(3, n), math.ceil(COMMON * n))
+
+
+def pieces(text: bytes, y: int, v: Vocabulary) -> Iterator[tuple[int, bytes]]:
+    """What to train on, in pieces: kind (-1: for the shared beginning, else the label) and words of it, in the text's order."""
+    words = text.lower().split()
+    for kind, known in ((-1, v.both), (y, v.toxic if y else v.ordinary)):
+        held, size = [], 0
+        for w in words:
+            if w in known:
+                held.append(w)
+                size += len(w) + 1
+                if size >= PIECE:
+                    yield kind, b" " + b" ".join(held) + b" "
+                    held, size = [], 0
+        if held:
+            yield kind, b" " + b" ".join(held) + b" "
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """What zstandard's trainer chooses from the samples, without the tables before it; the samples' end where they are too few to train on."""
+    samples = sorted(samples)
+    try:
+        return zstandard.train_dictionary(size + 400, [s for s in samples if len(s) >= 8], k=k, d=d, level=LEVEL).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(samples: dict[int, list[bytes]]) -> list[tuple[bytes, bytes]]:
+    out = []
+    for head, tail, k, d in SIZES:
+        shared = trained(samples.get(-1, []), head, 16, 6)
+        out.append(tuple(shared + trained(samples.get(y, []), tail, k, d) for y in (1, 0)))
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -110,13 +150,6 @@ def words_of(text: bytes) -> set[bytes]:
     return {w for w in text.lower().split() if len(w) < WORD_BYTES}
 
 
-def dictionaries(seen: dict[int, Counter], n: dict[int, int]) -> list[tuple[bytes, bytes]]:
-    """seen: in how many texts of a label each word is; n: how many texts of a label there are."""
-    toxic, ordinary = marking(seen[1], n[1], seen[0], n[0], 3.0), marking(seen[0], n[0], seen[1], n[1], 1.2)
-    both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2), key=lambda w: (seen[0][w] + seen[1][w], w))
-    return [(content(both, head) + content(toxic, tail), content(both, head) + content(ordinary, tail)) for tail, head in SIZES]
-
-
 def compressors(pairs: list[tuple[bytes, bytes]]) -> list[tuple]:
     return [(compressor(t).compress, compressor(o).compress) for t, o in pairs]
 
@@ -140,7 +173,12 @@ def fitted(rows: list[tuple[bytes, int]], prior: float) -> Model:
     seen = {0: Counter(), 1: Counter()}
     for text, y in learn:
         seen[y].update(words_of(text))
-    pairs = dictionaries(seen, Counter(y for _, y in learn))
+    v = vocabulary(seen, Counter(y for _, y in learn))
+    samples: dict[int, list[bytes]] = {}
+    for text, y in learn:
+        for kind, piece in pieces(text, y, v):
+            samples.setdefault(kind, []).append(piece)
+    pairs = dictionaries(samples)
     run = compressors(pairs)
     return calibrated(pairs, [(y, features(text, run)) for text, y in check], prior)
 
@@ -179,9 +217,18 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_i
     n = {k: n[False, k] for k in (0, 1)}
     words = rows.filter("not check").select("t", "y").mapInArrow(word_counts, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     # rarer words are in no dictionary
-    words = words.filter((F.col("n0") >= min(3, n[0])) | (F.col("n1") >= min(3, n[1])) | ((F.col("n0") >= 2) & (F.col("n1") >= 2))).toArrow()
+    words = words.filter((F.col("n0") >= least(n[0])) | (F.col("n1") >= least(n[1])) | ((F.col("n0") >= 2) & (F.col("n1") >= 2))).toArrow()
     seen = {k: Counter({w: c for w, c in zip(words["word"].to_pylist(), words[f"n{k}"].to_pylist(), strict=True) if c}) for k in (0, 1)}
-    pairs = dictionaries(seen, n)
+    v = vocabulary(seen, n)
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            some = [x for text, y in zip(batch["t"], batch["y"], strict=True) for x in pieces(text.as_py(), y.as_py(), v)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["kind", "piece"])
+
+    cuts = rows.filter("not check").select("t", "y").mapInArrow(cut, "kind int, piece binary")
+    samples = {kind: [r["piece"] for r in cuts.filter(F.col("kind") == kind).orderBy(F.xxhash64("piece"), "piece").limit(PIECES).collect()] for kind in (-1, 0, 1)}
+    pairs = dictionaries({kind: list(map(bytes, some)) for kind, some in samples.items()})
 
     def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = compressors(pairs)
