@@ -7,7 +7,8 @@ and a bucket holds the differences of sorted hashes, in as few bytes as the larg
 item costs each block one entry, so no item is hot; a bucket holds a bounded share of the hashes; there are never more
 rows than hashes, so everything grows in proportion to the corpus.
 
-Items come in levels (words, pairs, ...). Whole hashes are compared at every size.
+Items come in levels (words, pairs, ...). Whole hashes are compared at every size. Texts are compressed before they are
+dealt. Blocks and buckets name the partitions they go to, so that none gets several by chance.
 """
 
 from __future__ import annotations
@@ -24,19 +25,43 @@ from pyspark.sql import functions as F
 from voltgrain.llm.common import mixed, release
 
 #: Bytes of text of a block, and bytes of text whose items a bucket of one level adds up.
-BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Most partitions; beyond, one takes several blocks or buckets, one after the other.
+PARTS = 20_000
 SENT = "block int, level int, bucket int, hashes binary, counts binary"
 TOLD = "block int, level int, bucket int, counts binary"
+#: What blocks and buckets are grouped by.
+BLOCK, BUCKET = ("part", "block"), ("part", "bucket")
 
 
 def block_of(n: int, *cols: str | Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def dealt(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """rows in the partitions that name, of n values, says; part holds the partition."""
+    n = min(n, PARTS)
+    return rows.withColumn("part", F.pmod(name, F.lit(n))).repartitionById(n, F.col("part"))
+
+
 def blocks_of(docs: DataFrame, n_bytes: int, block_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """docs (doc_id and text, in UTF-8, among their columns), each row in the partition that its block names, and their number."""
+    """docs (doc_id, text in UTF-8, and others) with block, each row in its block's partition, and the number of blocks.
+    Texts are compressed: texts_of() gives them back."""
     n = max(1, -(-n_bytes // (block_bytes or BLOCK_BYTES)))
-    return docs.withColumn("block", block_of(n, "doc_id", "text")).repartitionById(n, F.col("block")), n
+    docs = docs.withColumn("block", block_of(n, "doc_id", "text"))
+
+    def small(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in it:
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array([packer.compress(x.as_py()) for x in batch["text"]], pa.binary()))
+
+    return dealt(docs.mapInArrow(small, docs.schema), "block", n), n
+
+
+def texts_of(rows: pa.Table) -> Iterator[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return (unpacker.decompress(x.as_py()) for x in rows["text"])
 
 
 def bucket_bits(n_bytes: int) -> int:
@@ -75,17 +100,21 @@ def sent(block: int, level: int, hashes: np.ndarray, counts: np.ndarray, bits: i
 
 
 def packed(hashes: np.ndarray) -> bytes:
-    """Sorted hashes: the bytes of a difference, the first hash, the differences."""
+    """Sorted hashes: the bytes of a difference, the first hash, the differences byte by byte, the highest bytes, which are
+    mostly small, compressed."""
     steps = np.diff(hashes)
     width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + len(steps).to_bytes(4, "little") + hashes[:1].astype("<u8").tobytes() + planes[:-1].tobytes() + zstandard.compress(planes[-1].tobytes(), 1)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    steps = np.zeros(((len(raw) - 9) // width + 1, 8), np.uint8)
-    steps[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    steps[0] = np.frombuffer(raw, np.uint8, 8, 1)
+    width, n = raw[0], int.from_bytes(raw[1:5], "little")
+    high = 13 + (width - 1) * n
+    steps = np.zeros((n + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(raw, np.uint8, 8, 5)
+    steps[1:, : width - 1] = np.frombuffer(raw, np.uint8, (width - 1) * n, 13).reshape(width - 1, n).T
+    steps[1:, width - 1] = np.frombuffer(zstandard.decompress(raw[high:]), np.uint8)
     return np.cumsum(steps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
@@ -117,43 +146,50 @@ def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
-def _bucket(rows: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: how many hashes each row has, an order of all of them, where another hash begins in it, its total."""
-    hashes = [unpacked(x.as_py()) for x in rows["hashes"]]
-    counts = np.concatenate([unpacked_counts(x.as_py()) for x in rows["counts"]])
-    flat = np.concatenate(hashes)
+def _added(rows: pa.Table, level: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket and level: the blocks, how many hashes each has sent, an order of all of them, where another hash begins
+    in it, and its total."""
+    some = [i for i, at in enumerate(rows["level"].to_pylist()) if at == level]
+    hashes = [unpacked(rows["hashes"][i].as_py()) for i in some]
+    counts = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(rows["counts"][i].as_py()) for i in some)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
     by = np.argsort(flat)
     flat = flat[by]
-    new = np.append(True, flat[1:] != flat[:-1])
-    return [len(h) for h in hashes], by, new, np.add.reduceat(counts[by], np.flatnonzero(new))
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+    return [rows["block"][i].as_py() for i in some], [len(h) for h in hashes], by, new, np.add.reduceat(counts[by], np.flatnonzero(new)) if len(flat) else counts
+
+
+def spread(counted: DataFrame, bits: int) -> DataFrame:
+    """Rows of SENT in their buckets' partitions."""
+    return dealt(counted, "bucket", 1 << bits)
 
 
-def added_up(counted: DataFrame, n: int) -> DataFrame:
-    """From rows of SENT, rows of TOLD, in the partitions of n blocks: the totals of what each block has sent."""
+def added_up(sent: DataFrame, n: int) -> DataFrame:
+    """From rows of SENT, spread, rows of TOLD in the partitions of n blocks: the totals of what each block has sent."""
 
     def add(rows: pa.Table) -> pa.Table:
-        sizes, by, new, sums = _bucket(rows)
-        total = np.empty(len(by), np.int64)
-        total[by] = sums[np.cumsum(new) - 1]
-        level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
-        out = [(block, level, bucket, packed_counts(n)) for block, n in zip(rows["block"].to_pylist(), np.split(total, np.cumsum(sizes)[:-1]), strict=True)]
-        del by, new, sums, total
+        bucket, out = rows["bucket"][0].as_py(), []
+        for level in sorted(set(rows["level"].to_pylist())):
+            of, sizes, by, new, sums = _added(rows, level)
+            total = np.empty(len(by), np.int64)
+            total[by] = sums[np.cumsum(new) - 1]
+            out += [(block, level, bucket, packed_counts(x)) for block, x in zip(of, np.split(total, np.cumsum(sizes)[:-1]), strict=True)]
+            del by, new, sums, total
         release()
         return rows_of(out, TOLD)
 
-    return counted.groupBy("level", "bucket").applyInArrow(add, TOLD).repartitionById(n, F.col("block"))
+    return dealt(sent.groupBy(*BUCKET).applyInArrow(add, TOLD), "block", n)
 
 
-def sums_of(counted: DataFrame, level: int = 0) -> DataFrame:
-    """One row: n, the sum of all counts of a level, and v, how many of its items have any."""
+def sums_of(sent: DataFrame, level: int = 0) -> DataFrame:
+    """One row: n, the sum of all counts of a level, and v, how many of its items have any. Spark shuffles the rows once for
+    this and for added_up."""
 
     def add(rows: pa.Table) -> pa.Table:
-        if rows["level"][0].as_py() != level:  # asked here, not by a filter: so Spark shuffles the rows once for this and added_up
-            return rows_of([], "n long, v long")
-        sums = _bucket(rows)[3]
+        sums = _added(rows, level)[-1]
         return rows_of([(int(sums.sum()), int((sums > 0).sum()))], "n long, v long")
 
-    found = counted.groupBy("level", "bucket").applyInArrow(add, "n long, v long")
+    found = sent.groupBy(*BUCKET).applyInArrow(add, "n long, v long")
     return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
 
 

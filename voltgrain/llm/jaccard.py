@@ -54,7 +54,7 @@ def first_n(n: int, percent: int) -> int:
 
 def _sets(rows: pa.Table, n: int) -> list[np.ndarray]:
     seen = B.WordHashes()
-    return [gram_set(seen.of(raw.as_py().lower().split()), n) for raw in rows["text"]]
+    return [gram_set(seen.of(text.lower().split()), n) for text in B.texts_of(rows)]
 
 
 def signature(tokens: np.ndarray) -> bytes:
@@ -96,8 +96,8 @@ def gram_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
         types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 6, types, strict=True)], names=[x.split()[0] for x in SET.split(", ")])
 
-    told = B.added_up(rows.groupBy("block").applyInArrow(count, B.SENT), n_blocks)
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(order, SET)
+    told = B.added_up(B.spread(rows.groupBy(*B.BLOCK).applyInArrow(count, B.SENT), bits), n_blocks)
+    return rows.groupBy(*B.BLOCK).cogroup(told.groupBy(*B.BLOCK)).applyInArrow(order, SET)
 
 
 class Tree:

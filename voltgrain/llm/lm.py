@@ -48,7 +48,7 @@ class Texts:
 
     def __init__(self, rows: pa.Table) -> None:
         seen = B.WordHashes()
-        words = [seen.of([END, *raw.as_py().lower().split(), END]) for raw in rows["text"]]
+        words = [seen.of([END, *text.lower().split(), END]) for text in B.texts_of(rows)]
         self.sizes = np.array([len(w) for w in words], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([np.zeros(0, np.uint64), *words])
@@ -85,7 +85,7 @@ def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
             release()
         return B.rows_of(out, B.SENT)
 
-    return docs.groupBy("block").applyInArrow(count, B.SENT)
+    return B.spread(docs.groupBy(*B.BLOCK).applyInArrow(count, B.SENT), bits)
 
 
 def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int, distinct: int, strengths: tuple[float, ...]) -> tuple[Automaton, np.ndarray]:
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_co
         release()
         return pa.table({name.split()[0]: c for name, c in zip(SCORED.split(", "), columns, strict=True)})
 
-    return asking.groupBy("block").cogroup(B.added_up(sent, n).groupBy("block")).applyInArrow(score, SCORED)
+    return asking.groupBy(*B.BLOCK).cogroup(B.added_up(sent, n).groupBy(*B.BLOCK)).applyInArrow(score, SCORED)
 
 
 def add(x: np.ndarray, texts: Texts) -> np.ndarray:
