@@ -18,6 +18,8 @@ def test_numbers(spark):
 
 
 def test_names(spark):
+    assert values(spark, [("Maceio\u0301",)], "x string", C.fold_key("x")) == [("maceio",)]
+    assert values(spark, [(2e10,), (1.2345e12,), (None,)], "x double", C.half_up("x", 2)) == [(2e10,), (1.2345e12,), (None,)]
     rows = [("olho d'água das SÃO-JOÃO",), ("MACEIÓ",), (None,)]
     assert values(spark, rows, "x string", C.title_case("x"), C.fold_key("x")) == [("Olho D'Água Das São-João", "olho d'agua das sao-joao"), ("Maceió", "maceio"), (None, None)]
 

@@ -34,8 +34,8 @@ def title_case(c: str | Column) -> Column:
 
 
 def fold_key(c: str | Column) -> Column:
-    """Lower case without accents: the key by which names are joined."""
-    return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    """Lower case without accents, however these are written: the key by which names are joined."""
+    return F.regexp_replace(F.translate(F.lower(col(c)), ACCENTED, PLAIN), r"\p{M}+", "")
 
 
 def completed_years(since: str | Column, as_of: str | Column) -> Column:
@@ -47,7 +47,9 @@ def completed_years(since: str | Column, as_of: str | Column) -> Column:
 
 def half_up(c: str | Column, digits: int) -> Column:
     """Rounded half away from zero, in decimals, so that engines agree; a double again afterwards."""
-    return F.round(col(c).cast("decimal(18,8)"), digits).cast("double")
+    x = col(c)
+    large = F.round(x.try_cast("decimal(38,8)"), digits).cast("double")
+    return F.when(F.abs(x) < 1e9, F.round(x.cast("decimal(18,8)"), digits).cast("double")).otherwise(large)
 
 
 def exact_mean(c: str | Column) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrain.functions import geo
 from voltgrain.functions.columns import half_up
+from voltgrain.sources.staging import staging_path
 
+#: Tasks that share the lines of one utility's cell.
+SALTS = 4
 #: Metres of a degree of latitude, a little less than the least, so that boxes are never too small.
 DEGREE = 110_000.0
 
@@ -33,9 +38,9 @@ def with_near_cells(rows: DataFrame, box: tuple[Column, Column, Column, Column],
 
 
 def line_pieces(network: DataFrame, line: str = "geom") -> DataFrame:
-    """A row for each straight piece: the line's columns, piece number, its ends and its length in the plane."""
+    """A row for each straight piece that has a length: the line's columns, piece number and its ends."""
     rows = network.select("*", F.posexplode(geo.pieces(line)).alias("piece", "_p")).select("*", *(F.col(f"_p.{e}.{c}").alias(f"{c}{i}") for i, e in ((1, "a"), (2, "b")) for c in ("lon", "lat"))).drop("_p")
-    return rows.withColumn("piece_m", geo.expr(geo.planar_length("lon1", "lat1", "lon2", "lat2")))
+    return rows.filter("lon1 <> lon2 or lat1 <> lat2")
 
 
 def covered_spans(pieces: DataFrame, points: DataFrame, radius_m: float, key: str) -> DataFrame:
@@ -44,8 +49,18 @@ def covered_spans(pieces: DataFrame, points: DataFrame, radius_m: float, key: st
     box = tuple(f(c + "1", c + "2") for f, c in ((F.least, "lon"), (F.least, "lat"), (F.greatest, "lon"), (F.greatest, "lat")))
     lines = with_near_cells(pieces.select(key, "piece", "distribuidora", "lon1", "lat1", "lon2", "lat2"), box, radius_m, side)
     spots = with_cells(points.select("distribuidora", F.col("geom.lon").alias("lon"), F.col("geom.lat").alias("lat")), "lon", "lat", side)
-    t0, t1 = geo.disc_span("lon1", "lat1", "lon2", "lat2", "lon", "lat", f"{radius_m}e0")
-    return lines.join(spots, ["distribuidora", "_cx", "_cy"]).select(key, "piece", geo.expr(t0).alias("t0"), geo.expr(t1).alias("t1")).filter("t0 is not null")
+    # a city's cells hold many lines of one utility: these are dealt to SALTS tasks, and points go to each of them
+    lines, spots = lines.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALTS))), spots.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    both = lines.join(spots, ["distribuidora", "_cx", "_cy", "_s"])
+    # geo.disc_span() in steps, each computed once; a row without a stretch goes with its empty array, not by a filter, which Spark would push down with all that it needs
+    one = geo.RADIUS * pi / 180
+    x = lambda c: (F.col(c) - F.col("lon1")) * one * F.cos(F.radians("lat1"))
+    y = lambda c: (F.col(c) - F.col("lat1")) * one
+    both = both.select(key, "piece", x("lon2").alias("dx"), y("lat2").alias("dy"), x("lon").alias("px"), y("lat").alias("py"))
+    both = both.withColumn("ll", F.expr("dx*dx+dy*dy")).withColumn("u", F.expr("case when ll > 0e0 then (px*dx+py*dy)/ll end"))
+    both = both.withColumn("room", F.lit(radius_m * radius_m) - F.expr("(px*px+py*py)") + F.expr("u*u*ll")).withColumn("half", F.expr("case when ll > 0e0 then sqrt(greatest(room,0e0)/ll) end"))
+    stretch = F.expr("case when ll > 0e0 and room >= 0e0 and u+half > 0e0 and u-half < 1e0 then array(named_struct('t0', greatest(0e0,u-half), 't1', least(1e0,u+half))) end")
+    return both.select(key, "piece", F.explode(stretch).alias("s")).select(key, "piece", "s.t0", "s.t1")
 
 
 def protection_gaps(network: DataFrame, reclosers: DataFrame, *, radius_m: float = 500.0, min_gap_m: float = 100.0, utility: str | None = None, uf: str | None = None, key: str = "cod_id") -> DataFrame:
@@ -55,7 +70,7 @@ def protection_gaps(network: DataFrame, reclosers: DataFrame, *, radius_m: float
         network = network.filter(F.col("distribuidora") == utility)
     if uf is not None:
         network = network.filter(F.col("uf") == uf.upper())
-    pieces = line_pieces(network).filter("piece_m > 0")
+    pieces = line_pieces(network)
     spans = covered_spans(pieces, reclosers, radius_m, key).groupBy(key, "piece").agg(F.sort_array(F.collect_list(F.struct("t0", "t1"))).alias("spans"))
     rows = pieces.join(spans, [key, "piece"], "left")
     empty = F.expr("cast(array() as array<struct<t0:double,t1:double>>)")
@@ -67,7 +82,7 @@ def protection_gaps(network: DataFrame, reclosers: DataFrame, *, radius_m: float
 
     ends = F.concat(F.coalesce("spans", empty), F.array(F.struct(F.lit(1.0).alias("t0"), F.lit(1.0).alias("t1"))))
     rows = rows.withColumn("_gaps", F.aggregate(ends, start, merge, lambda acc: acc["gaps"]))
-    left = F.aggregate("_gaps", F.lit(0.0), lambda acc, g: acc + g["t1"] - g["t0"]) * F.col("piece_m")
+    left = F.aggregate("_gaps", F.lit(0.0), lambda acc, g: acc + g["t1"] - g["t0"]) * geo.expr(geo.planar_length("lon1", "lat1", "lon2", "lat2"))
     at = lambda t: F.struct((F.col("lon1") + t * (F.col("lon2") - F.col("lon1"))).alias("lon"), (F.col("lat1") + t * (F.col("lat2") - F.col("lat1"))).alias("lat"))
     rows = rows.withColumn("_left", left).withColumn("_lines", F.transform("_gaps", lambda g: F.array(at(g["t0"]), at(g["t1"]))))
     found = rows.groupBy(key, "distribuidora", "municipio", "uf").agg(F.sum("_left").alias("len_m"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "_lines"))), lambda x: x["_lines"])).alias("geom"))
@@ -75,8 +90,11 @@ def protection_gaps(network: DataFrame, reclosers: DataFrame, *, radius_m: float
     return found.filter(F.col("len_m") > min_gap_m).select(key, "distribuidora", "municipio", "uf", half_up(km, 3).alias("comprimento_km"), F.least(half_up(km / 10 * 100, 1), F.lit(100.0)).alias("score_vulnerabilidade"), "geom")
 
 
-def nearest_asset(points: DataFrame, assets: DataFrame, *, key: str = "cod_id", asset_key: str = "cod_id", within_m: float = 2000.0) -> DataFrame:
-    """For each point with an asset of its utility within within_m, the nearest one (the smaller key of two) and its distance."""
+def nearest_asset(points: DataFrame, assets: DataFrame, *, key: str = "cod_id", asset_key: str = "cod_id", within_m: float | None = 2000.0) -> DataFrame:
+    """For each point with an asset of its utility within within_m, the nearest one (the smaller key of two) and its distance.
+    Without a limit the search goes on, four times as far each time, for the points that have found none."""
+    if within_m is None:
+        return _nearest_anywhere(points, assets, key, asset_key)
     side = max(within_m, 1000.0) / DEGREE
     here = points.select(F.col(key).alias("_key"), "distribuidora", F.col("geom.lon").alias("lon1"), F.col("geom.lat").alias("lat1"))
     here = with_near_cells(here, (F.col("lon1"), F.col("lat1"), F.col("lon1"), F.col("lat1")), within_m, side)
@@ -85,6 +103,42 @@ def nearest_asset(points: DataFrame, assets: DataFrame, *, key: str = "cod_id",
     return pairs.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("distance_m", "asset")).alias("_n")).select(key, F.col("_n.asset").alias("asset"), F.col("_n.distance_m").alias("distance_m"))
 
 
+def _nearest_anywhere(points: DataFrame, assets: DataFrame, key: str, asset_key: str) -> DataFrame:
+    """Rounds are written to the shared folder; there are nine at most, until the earth is spanned."""
+    spark = points.sparkSession
+    left = points.select(key, "distribuidora", "geom").filter("geom is not null").join(assets.select("distribuidora").distinct(), "distribuidora", "left_semi")
+    found, within = None, 2000.0
+    while True:
+        last = within > 2.1e7
+        here, there = left.select(F.col(key).alias("_key"), "distribuidora", F.col("geom.lon").alias("lon1"), F.col("geom.lat").alias("lat1")), assets.select("distribuidora", F.col(asset_key).alias("asset"), F.col("geom.lon").alias("lon2"), F.col("geom.lat").alias("lat2"))
+        if last:  # cells can't help: every asset of the utility is near enough
+            pairs = here.join(there, "distribuidora").withColumn("distance_m", geo.expr(geo.great_circle("lon1", "lat1", "lon2", "lat2")))
+            some = pairs.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("distance_m", "asset")).alias("_n")).select(key, F.col("_n.asset").alias("asset"), F.col("_n.distance_m").alias("distance_m"))
+        else:
+            some = nearest_asset(left, assets, key=key, asset_key=asset_key, within_m=within)
+        path = staging_path(spark, "nearest")
+        some.write.parquet(path)
+        some = spark.read.parquet(path)
+        found = some if found is None else found.unionByName(some)
+        path = staging_path(spark, "not-near")
+        left.join(some.select(key), key, "left_anti").write.parquet(path)
+        left = spark.read.parquet(path)
+        if last or left.isEmpty():
+            return found
+        within *= 4
+
+
+def lines_near(network: DataFrame, points: DataFrame, metres: float, *, key: str = "cod_id", point_key: str = "cod_id") -> DataFrame:
+    """point and line: every pair of one utility within so many metres. Long lines are compared by the cells of their pieces."""
+    side = max(metres, 1000.0) / DEGREE
+    pieces = line_pieces(network)
+    box = tuple(f(c + "1", c + "2") for f, c in ((F.least, "lon"), (F.least, "lat"), (F.greatest, "lon"), (F.greatest, "lat")))
+    lines = with_near_cells(pieces.select(F.col(key).alias("line"), "distribuidora", F.array(*(F.struct(F.col(f"lon{i}").alias("lon"), F.col(f"lat{i}").alias("lat")) for i in (1, 2))).alias("_piece"), "lon1", "lat1", "lon2", "lat2"), box, metres, side)
+    spots = with_cells(points.select("distribuidora", F.col(point_key).alias("point"), F.col("geom").alias("_at"), F.col("geom.lon").alias("lon"), F.col("geom.lat").alias("lat")), "lon", "lat", side)
+    both = lines.select("line", "distribuidora", "_piece", "_cx", "_cy").join(spots, ["distribuidora", "_cx", "_cy"])
+    return both.filter(geo.within_distance("_piece", F.col("_at"), metres)).select("point", "line").distinct()
+
+
 def assign_municipality(points: DataFrame, boundaries: DataFrame, *, key: str = "cod_id", side: float = 0.1) -> DataFrame:
     """key and codigo_ibge, nome, uf of the boundary that holds each point; the smallest code if several do."""
     ring = F.flatten(F.flatten("geom"))

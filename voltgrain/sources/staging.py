@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_own: list[str] = []
+
+@functools.cache
+def _own() -> str:
+    path = tempfile.mkdtemp(prefix="voltgrain-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share, or below a folder of our own where it is unset."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Where that is unset, below a folder of our own
+    if all runs on this machine; on a cluster that would lose data, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="voltgrain-"))
-        base = _own[0]
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own()
     return f"{base.rstrip('/')}/staging/{name}-{uuid.uuid4().hex}"
