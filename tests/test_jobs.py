@@ -56,7 +56,32 @@ def test_table(spark, tmp_path):
     t.append_new(spark.createDataFrame([("c", 9), ("d", 4), ("d", 4)], "k string, v int"), ["k"])
     assert sorted(map(tuple, t.read().collect())) == [("b", 2), ("c", 3), ("d", 4), ("d", 4)]
     assert [tuple(r) for r in sinks.check_unique(t.read(), ["k"]).collect()] == [("d", 2)]
-    assert sinks.write_layers({"t": rows, "x": rows}, {"t": t}) == {"t": 2, "x": -1}
+    tables = {"t": t}
+    assert sinks.write_layers({"t": rows, "x": rows}, lambda name, some: tables[name].append(some)) == {"t": 2, "x": -1}
+
+
+def test_parts(spark, tmp_path):
+    """Changes leave parts of other scopes alone; older versions stay until they are cleaned."""
+    t = sinks.Table(spark, str(tmp_path / "t"))
+    part = lambda k, v: spark.createDataFrame([(k, v)], "k string, v int")
+    for k in "abc":
+        t.replace_scope(part(k, 1), {"k": k})
+    before = {p["name"] for p in t._list()[1]}
+    t.replace_scope(part("b", 2), {"k": "b"})
+    assert sorted(map(tuple, t.read().collect())) == [("a", 1), ("b", 2), ("c", 1)]
+    assert len(before & {p["name"] for p in t._list()[1]}) == 2
+    t.upsert(part("c", 5), ["k"], {"v": sinks.newer}, {"k": "c"})
+    assert sorted(map(tuple, t.read().collect())) == [("a", 1), ("b", 2), ("c", 5)]
+    assert len(before & {p["name"] for p in t._list()[1]}) == 1
+    t.append(part("a", 9))  # says nothing about its rows
+    t.replace_scope(part("a", 3), {"k": "a"})
+    assert sorted(map(tuple, t.read().collect())) == [("a", 3), ("b", 2), ("c", 5)]
+    n, parts = t._list()
+    with pytest.raises(RuntimeError, match="another job"):
+        t._switch(n, parts)
+    t.clean()
+    assert len(t._names("lists")) == 1 and len(t._names("parts")) == len(parts)
+    assert t.read().count() == 3
 
 
 def test_features(spark):
@@ -100,6 +125,38 @@ def test_full_pipeline_and_rerun(spark, tmp_path, landed):
     assert {r["nome"] for r in store["ibge_municipios"].read().collect()} == {"Maceió", "Município 271"}
 
 
+def test_empty_ingest_clears_its_scope(spark, tmp_path, landed):
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    jobs.ingest_continuity(store, landed["attributes"], landed["indicators"], "AL")
+    assert store["indicadores_continuidade"].read().count() == 12
+    nothing = write(tmp_path / "none.csv", "IdeConj;AnoMes;SigIndicador;ValApurado;ValLimite\n")
+    assert jobs.ingest_continuity(store, landed["attributes"], nothing, "AL").count() == 0
+    assert store["indicadores_continuidade"].read().count() == 0
+
+
+def test_layers_fail_alone(spark, tmp_path):
+    """A layer whose cod_id occurs twice is not stored; the others are."""
+    at = tmp_path / "features"
+    kind = "COD_ID string, geometry struct<lon:double,lat:double>"
+    spark.createDataFrame([("a", (1.0, 2.0)), ("a", (1.0, 3.0))], kind).write.parquet(str(at / "EQRE"))
+    spark.createDataFrame([("b", (1.0, 2.0))], kind).write.parquet(str(at / "UNSDAT"))
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    assert jobs.ingest_network(store, str(at), "U", "AL") == {"religadores": -1, "transformadores": 1}
+    assert store["religadores"].read() is None
+
+
+def test_geojson_layers(spark, tmp_path):
+    at = tmp_path / "g"
+    at.mkdir()
+    line = {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1, 2], [3, 4.5]]}, "properties": {"cod_id": "x", "COMP_TREC": 2000, "other": None}}
+    write(at / "CTMT.geojson", json.dumps(line) + "\n")
+    write(at / "SSDMT.geojson", json.dumps(line) + "\n" + json.dumps(line | {"geometry": None}) + "\n")
+    found = files.read_network_layers(spark, str(at), "U", "al")
+    r = found["alimentadores"].first()
+    assert (r["cod_id"], r["comprimento_km"], r["uf"], r["geom"][0][1]["lat"], r["subestacao_id"]) == ("x", 2.0, "AL", 4.5, None)
+    assert [r["geom"] is None for r in found["rede_mt"].collect()] == [False, True]
+
+
 def test_score_without_indicators(spark, tmp_path):
     store = jobs.Store(spark, str(tmp_path / "store"))
     jobs.score(store, up())

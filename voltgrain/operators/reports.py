@@ -131,6 +131,36 @@ def transformer_aging(transformers: DataFrame, reclosers: DataFrame, as_of: Colu
     return rows if n is None else rows.orderBy(F.desc("score_equipamento"), "cod_id").limit(n)
 
 
+def with_geometry(rows: DataFrame, geom: str = "geom") -> DataFrame:
+    """What a map can draw."""
+    return rows.filter(F.col(geom).isNotNull())
+
+
+def critical_transformers(aging: DataFrame, n: int = 20) -> DataFrame:
+    """The first of transformer_aging's rows whose status is critico, in its order."""
+    return aging.filter(F.col("status") == "critico").orderBy(F.desc("score_equipamento"), "cod_id").limit(n)
+
+
+def of_state(equipment: DataFrame, boundaries: DataFrame, uf: str, utility: str | None = None) -> DataFrame:
+    """A utility's equipment in the municipalities of a state, by their names."""
+    if utility is not None:
+        equipment = equipment.filter(F.col("distribuidora") == utility)
+    return equipment.join(boundaries.filter(F.col("uf") == uf.upper()).select(F.col("nome").alias("municipio")), "municipio", "left_semi")
+
+
+def towns_by_state(indicators: DataFrame) -> DataFrame:
+    return indicators.groupBy("uf").agg(F.count_distinct("municipio").alias("n"))
+
+
+def utilities(rows: DataFrame) -> DataFrame:
+    return rows.select("distribuidora").distinct()
+
+
+def worst_mean_dec(indicators: DataFrame, n: int = 5) -> DataFrame:
+    """The municipalities with the highest mean DEC."""
+    return indicators.groupBy("municipio").agg(half_up(exact_mean("dec_apurado"), 6).alias("dec_medio")).orderBy(F.desc("dec_medio"), "municipio").limit(n)
+
+
 def layer_extent(rows: DataFrame, geom: str = "geom") -> DataFrame:
     """One row: the box around all vertices of a column of lines."""
     v = rows.select(F.explode(geom).alias("p"))

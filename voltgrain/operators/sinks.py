@@ -1,62 +1,100 @@
-"""Parquet tables that jobs write: append, append what is new, replace a scope, upsert. Each change of stored rows writes a
-new version beside the old one and then moves the pointer, so nothing reads what it overwrites."""
+"""Parquet tables that jobs write: append, append what is new, replace a scope, upsert. A table is a folder of parts; each
+change writes new parts and then a list of those that count, so nothing reads what it overwrites, a failed job changes
+nothing, and parts that a change doesn't touch stay as they are."""
 
 from __future__ import annotations
 
+import json
+import logging
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 
 class Table:
-    """A table as a folder of versions; the file of the pointer names the current one. One writer at a time."""
+    """A table as a folder: parts/ has the rows, lists/ which parts each version has. A part may say that all its rows have
+    some value in a column: changes of other values leave it alone. One writer at a time; of two, the later one fails."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        self._new = hadoop.Path
-        self._fs = self._new(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._new(self.path))) if self._fs.exists(self._new(self.path)) else []
-        done = [n for n in names if n.startswith("v") and self._fs.exists(self._new(f"{self.path}/{n}/_SUCCESS"))]
-        return f"{self.path}/{done[-1]}" if done else None
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._at(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _list(self) -> tuple[int, list[dict]]:
+        """The newest version's number and parts; -1 without any."""
+        done = [n for n in self._names("lists") if n.endswith(".json")]
+        if not done:
+            return -1, []
+        rows = self.spark.read.text(f"{self.path}/lists/{done[-1]}", wholetext=True).collect()
+        return int(done[-1].removesuffix(".json")), json.loads(rows[0][0])
+
+    def _switch(self, n: int, parts: list[dict]) -> None:
+        """Make parts the version n: one rename, which fails if there is such a version."""
+        new = self._at(f"{self.path}/lists/{uuid.uuid4().hex}.tmp")
+        out = self._fs.create(new)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if not self._fs.rename(new, self._at(f"{self.path}/lists/{n:010d}.json")):
+            raise RuntimeError(f"another job has changed {self.path}")
+
+    def _part(self, rows: DataFrame, same: dict | None = None) -> dict:
+        name = f"parts/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return {"name": name, "same": same or {}}
+
+    def _rows(self, parts: list[dict]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{p['name']}" for p in parts)) if parts else None
 
     def read(self) -> DataFrame | None:
-        at = self._current()
-        return self.spark.read.parquet(at) if at else None
-
-    def _write(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """Spark's committer leaves _SUCCESS when all is written: until then readers get the version before."""
-        at = self._current()
-        n = int(at.rsplit("/v", 1)[1].split("-")[0]) + 1 if at else 0
-        rows.write.partitionBy(*partition_by).parquet(f"{self.path}/v{n:010d}-{uuid.uuid4().hex[:8]}")
-
-    def append(self, rows: DataFrame) -> None:
-        """Blind: a rerun adds the rows again."""
-        at = self._current()
-        if at:
-            rows.write.mode("append").parquet(at)
-        else:
-            self._write(rows)
-
-    def append_new(self, rows: DataFrame, keys: list[str]) -> None:
-        """Rows whose keys aren't stored yet; repeats among the new rows stay."""
-        old = self.read()
-        self.append(rows if old is None else rows.join(old.select(*keys).distinct(), keys, "left_anti"))
+        return self._rows(self._list()[1])
 
-    def replace_scope(self, rows: DataFrame, scope: Column) -> None:
-        """Stored rows in scope go, rows come; an empty result empties the scope."""
-        old = self.read()
-        self._write(rows if old is None else old.filter(~F.coalesce(scope, F.lit(False))).unionByName(rows, allowMissingColumns=True))
+    def append(self, rows: DataFrame, same: dict | None = None) -> int:
+        """Blind: a rerun adds the rows again. The number of rows. same: values that all rows have."""
+        n, parts = self._list()
+        part = self._part(rows, same)
+        self._switch(n + 1, [*parts, part])
+        return self._rows([part]).count()
 
-    def upsert(self, rows: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]]) -> None:
-        """Rows of new keys come whole. Of stored keys the columns in update become what it makes of old and new value."""
+    def append_new(self, rows: DataFrame, keys: list[str]) -> int:
+        """Rows whose keys aren't stored yet; repeats among the new rows stay."""
         old = self.read()
+        return self.append(rows if old is None else rows.join(old.select(*keys).distinct(), keys, "left_anti"))
+
+    def _apart(self, parts: list[dict], same: dict) -> tuple[list[dict], list[dict]]:
+        """Parts that can't have a row with the values, and the others."""
+        other = [p for p in parts if any(c in p["same"] and p["same"][c] != v for c, v in same.items())]
+        return other, [p for p in parts if p not in other]
+
+    def replace_scope(self, rows: DataFrame, scope: Column | dict) -> None:
+        """Stored rows in scope go, rows come; an empty result empties the scope. A scope of columns' values only rewrites the
+        parts that may have them, and of these not those that have them in all rows."""
+        n, parts = self._list()
+        same = scope if isinstance(scope, dict) else {}
+        kept, touched = self._apart(parts, same)
+        if isinstance(scope, dict):
+            touched = [p for p in touched if not scope.items() <= p["same"].items()]
+            scope = F.lit(True)
+            for c, v in same.items():
+                scope = scope & F.col(c).eqNullSafe(F.lit(v))
+        new = [self._part(self._rows([p]).filter(~F.coalesce(scope, F.lit(False))), p["same"]) for p in touched]
+        self._switch(n + 1, [*kept, *new, self._part(rows, same)])
+
+    def upsert(self, rows: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]], same: dict | None = None) -> None:
+        """Rows of new keys come whole. Of stored keys the columns in update become what it makes of old and new value. same:
+        values of key columns that all rows have; parts of other values stay."""
+        n, parts = self._list()
+        kept, touched = self._apart(parts, {c: v for c, v in (same or {}).items() if c in keys})
+        old = self._rows(touched)
         if old is None:
-            return self._write(rows)
+            return self._switch(n + 1, [*kept, self._part(rows, same)])
         new = rows.select(*keys, F.struct(*rows.columns).alias("_new"))
         both = old.select(*keys, F.struct(*old.columns).alias("_old")).join(new, keys, "full")
 
@@ -67,7 +105,17 @@ class Table:
             changed = update[c](then, now) if c in update else then
             return F.when(F.col("_old").isNull(), now).when(F.col("_new").isNull(), then).otherwise(changed).alias(c)
 
-        return self._write(both.select(*map(value, old.columns)))
+        one = same if all(p["same"] == (same or {}) for p in touched) else None
+        return self._switch(n + 1, [*kept, self._part(both.select(*map(value, old.columns)), one)])
+
+    def clean(self) -> None:
+        """Delete parts and lists that the newest version doesn't need; no reader may be at older ones."""
+        n, parts = self._list()
+        used = {p["name"].removeprefix("parts/") for p in parts}
+        for folder, fine in (("parts", used), ("lists", {f"{n:010d}.json"})):
+            for name in self._names(folder):
+                if name not in fine:
+                    self._fs.delete(self._at(f"{self.path}/{folder}/{name}"), True)
 
 
 def newer(old: Column, new: Column) -> Column:
@@ -83,14 +131,14 @@ SNAPSHOT_UPDATE = {"score_risco": newer, "dec_medio": newer}
 POPULATION_UPDATE = {"populacao": newer, "domicilios": newer, "area_km2": newer_if_known}
 
 
-def write_layers(layers: dict[str, DataFrame], tables: dict[str, Table]) -> dict[str, int]:
-    """Append each layer to its table: rows written, or -1 where that failed; one layer's failure doesn't stop the others."""
+def write_layers(layers: dict[str, DataFrame], write: Callable[[str, DataFrame], int]) -> dict[str, int]:
+    """Write each layer: rows written, or -1 where that failed, which is logged; one layer's failure doesn't stop the others."""
     counts = {}
     for name, rows in layers.items():
         try:
-            tables[name].append(rows)
-            counts[name] = rows.count()
-        except Exception:  # noqa: BLE001  reported as -1
+            counts[name] = write(name, rows)
+        except Exception:  # noqa: BLE001
+            log.exception("layer %s", name)
             counts[name] = -1
     return counts
 
@@ -100,12 +148,17 @@ def check_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def accounting(read: DataFrame, kept: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
-    """One row: rows read, dropped for missing keys, already stored, new."""
-    old = kept.join(stored.select(*keys).distinct(), keys, "left_semi") if stored is not None else kept.filter(F.lit(False))
-    n = lambda df: df.select(F.count(F.lit(1))).scalar()
-    one = read.sparkSession.range(1)
-    return one.select(n(read).alias("total"), (n(read) - n(kept)).alias("dropped"), n(old).alias("existing"), (n(kept) - n(old)).alias("new"))
+def accounting(read: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
+    """One row: rows read, dropped for missing keys, already stored, new. One pass over what was read."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    if stored is None:
+        rows = read.withColumn("_old", F.lit(None).cast("boolean"))
+    else:
+        rows = read.join(stored.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left")
+    old = F.col("_old").isNotNull()
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~whole).alias("dropped"), F.count_if(whole & old).alias("existing"), F.count_if(whole & ~old).alias("new"))
 
 
 def to_features(rows: DataFrame, geometry: str = "geom", kind: str = "LineString") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.functions import columns as C
@@ -73,17 +73,63 @@ def _aging(d: Domain) -> DataFrame:
     return reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None).select("cod_id", "potencia_nom", "fabricante", "idade_anos", "vida_util_restante_anos", "status", "score_equipamento", F.col("asset").alias("religador"), C.half_up("distance_m", 0).alias("distancia_m"))
 
 
-def _indicator_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The indicators written as a wide CSV with decimal commas, and read back by the ingest's readers."""
-    d, path = Domain(spark, sf_dir), staging_path(spark, "wide-csv")
+def _write_wide_csv(d: Domain, path: str, where: str = "true") -> None:
+    """The indicators as a wide CSV with decimal commas."""
     comma = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
-    rows = d.indicators.select(F.col("distribuidora").alias("Nome Agente"), F.col("municipio").alias("MUNICÍPIO"), F.col("uf").alias("Sig UF"), F.format_string("15/%02d/%d", "mes", "ano").alias("Data Referência"), *(comma(c).alias(n) for c, n in (("dec_apurado", "DEC Apurado"), ("dec_limite", "DEC Limite"), ("fec_apurado", "FEC Apurado"), ("fec_limite", "FEC Limite"))))
+    rows = d.indicators.filter(where).select(F.col("distribuidora").alias("Nome Agente"), F.col("municipio").alias("MUNICÍPIO"), F.col("uf").alias("Sig UF"), F.format_string("15/%02d/%d", "mes", "ano").alias("Data Referência"), *(comma(c).alias(n) for c, n in (("dec_apurado", "DEC Apurado"), ("dec_limite", "DEC Limite"), ("fec_apurado", "FEC Apurado"), ("fec_limite", "FEC Limite"))))
     rows.write.option("sep", ";").option("header", True).option("encoding", files.LATIN).csv(path)
-    return risk.with_violations(files.map_indicator_columns(files.normalise_headers(files.read_indicator_csv(spark, path))).dropna(subset=["distribuidora", "municipio", "ano", "mes"]))
+
+
+def _indicator_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators ingested from a wide CSV; a rerun changes nothing."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "wide-csv")
+    _write_wide_csv(d, f"{path}/csv")
+    store = jobs.Store(spark, f"{path}/store")
+    for _ in range(2):
+        jobs.ingest_wide_indicators(store, f"{path}/csv")
+    return store["indicadores_continuidade"].read()
+
+
+def _accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest of all indicators counts when those of even months are stored already."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "accounting")
+    store = jobs.Store(spark, f"{path}/store")
+    for name, where in (("even", "mes % 2 = 0"), ("all", "true")):
+        _write_wide_csv(d, f"{path}/{name}", where)
+        counts = jobs.ingest_wide_indicators(store, f"{path}/{name}")
+    return counts
+
+
+def _append_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of the first half of each year stored, then all appended that aren't there."""
+    d = Domain(spark, sf_dir)
+    store = sinks.Table(spark, staging_path(spark, "append-new"))
+    store.append_new(d.indicators.filter("mes <= 6").withColumn("lote", F.lit(1)), jobs.INDICATOR_KEYS)
+    store.append_new(d.indicators.withColumn("lote", F.lit(2)), jobs.INDICATOR_KEYS)
+    return store.read().groupBy("lote", "ano").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _append_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layers appended, one of them failing: rows written, as what is stored says too."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "layers")
+    store = jobs.Store(spark, path)
+    layers = {"chaves": d.switches, "religadores": d.reclosers, "subestacoes": d.reclosers.withColumn("geom", F.raise_error(F.lit("unreadable")))}
+    counts = sinks.write_layers(layers, lambda name, rows: store[name].append(rows))
+    stored = [store[n].read().select(F.lit(n).alias("tabela"), F.lit(counts[n]).cast("long").alias("escritas"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("guardadas"), "cod_id") for n in ("chaves", "religadores")]
+    return stored[0].unionByName(stored[1]).withColumn("falhas", F.lit(counts["subestacoes"]).cast("long"))
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transformers written as a feature collection and read back as landed features."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "features")
+    rows = d.transformers.select(F.col("cod_id").alias("COD_ID"), F.col("potencia_nom").alias("POT_NOM"), F.col("fabricante").alias("FAB"), "geom")
+    sinks.write_feature_collection(rows, f"{path}/UNSDAT.geojson", kind="Point")
+    found = files.read_network_layers(spark, path, "DIST_A", "br")["transformadores"]
+    return found.select("cod_id", "potencia_nom", "fabricante", *(C.half_up(f"geom.{c}", 6).alias(c) for c in ("lon", "lat")))
 
 
 def _long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The indicators written as consumer sets and a long CSV, and put together again."""
+    """The indicators ingested from consumer sets and a long CSV; a rerun replaces its own rows."""
     d, path = Domain(spark, sf_dir), staging_path(spark, "long-csv")
     set_id = F.concat_ws("/", "distribuidora", "municipio")
     d.indicators.select(set_id.alias("IdeConj"), F.lower("uf").alias("SigUF"), F.lower("municipio").alias("NomMunicipio"), F.col("distribuidora").alias("SigAgente")).distinct().write.option("sep", ";").option("header", True).csv(f"{path}/sets")
@@ -91,9 +137,10 @@ def _long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = d.indicators.select(set_id.alias("IdeConj"), F.format_string("%d%02d", "ano", "mes").alias("AnoMes"), F.explode(F.array(*(F.struct(F.lit(s.upper()).alias("SigIndicador"), comma(f"{s}_apurado").alias("ValApurado"), comma(f"{s}_limite").alias("ValLimite")) for s in ("dec", "fec")))).alias("v")).select("IdeConj", "AnoMes", "v.*")
     long.write.option("sep", ";").option("header", True).csv(f"{path}/values")
     states = [r[0] for r in d.indicators.select("uf").distinct().collect()]  # a list of states
-    sets = files.consumer_sets(files.read_csv_any_encoding(spark, f"{path}/sets"), states)
-    rows = files.wide_from_long(sets, files.long_indicators(files.read_csv_any_encoding(spark, f"{path}/values"), sets, 1993, 1997))
-    return rows.select("distribuidora", "municipio", "uf", "ano", "mes", *(C.half_up(c, 2).alias(c) for c in files.NUMBERS))
+    store = jobs.Store(spark, f"{path}/store")
+    for _ in range(2):
+        rows = jobs.ingest_continuity(store, f"{path}/sets", f"{path}/values", states)
+    return rows.select("distribuidora", "municipio", "uf", "ano", "mes", *(C.half_up(c, 2).alias(c) for c in files.NUMBERS), "violacao_dec", "violacao_fec")
 
 
 def _sink_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,49 +163,95 @@ def _snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+#: The system of the substations' landed coordinates, and its zone.
+UTM_EPSG, UTM_ZONE = 31984, 24
+
+
 def _landed_features(d: Domain, path: str) -> None:
-    """The network's layers as files of features, without municipalities."""
+    """The network's seven layers as files of features, without municipalities: substations in a UTM zone's metres, switches as
+    GeoJSON, feeders (a line each) in metres. Substations stand a little beside the reclosers."""
     date = F.date_format("data_implant", "dd/MM/yyyy").alias("DAT_INS")
-    d.network.select(F.col("cod_id").alias("COD_ID"), F.col("comprimento").alias("COMP_TREC"), date, F.col("geom").alias("geometry")).write.parquet(f"{path}/SSDMT")
-    d.transformers.select(F.col("cod_id").alias("COD_ID"), F.col("potencia_nom").alias("POT_NOM"), F.col("fabricante").alias("FAB"), date, F.col("geom").alias("geometry")).write.parquet(f"{path}/UNSDAT")
+    land = lambda rows, layer, *more, geom="geom": rows.select(F.col("cod_id").alias("COD_ID"), *(F.col(a).alias(b) for a, b in more), date, F.col(geom).alias("geometry")).write.parquet(f"{path}/{layer}")
+    land(d.network, "SSDMT", ("comprimento", "COMP_TREC"))
+    land(d.low_voltage, "SSDBT", ("comprimento", "COMP_TREC"))
+    land(d.transformers, "UNSDAT", ("potencia_nom", "POT_NOM"), ("fabricante", "FAB"))
+    land(d.reclosers, "EQRE")
+    east, north = geo.utm("(geom.lon+0.0002e0)", "(geom.lat+0.0002e0)", UTM_ZONE)
+    moved = d.reclosers.withColumn("cod_id", F.concat(F.lit("S"), "cod_id")).withColumn("at", F.struct(F.expr(east).alias("lon"), F.expr(north).alias("lat")))
+    land(moved, "EQSE", geom="at")
+    land(d.network.withColumn("cod_id", F.concat(F.lit("F"), "cod_id")).withColumn("line", F.array("geom")), "CTMT", ("municipio", "COD_SSDMT"), ("comprimento", "COMP_TREC"), geom="line")
+    sinks.write_feature_collection(d.switches.select(F.col("cod_id").alias("COD_ID"), F.col("uf").alias("TIP_EQMT"), date, "geom"), f"{path}/EQCHAVE.geojson", kind="Point")
+
+
+def _network_store(d: Domain, path: str) -> jobs.Store:
+    _landed_features(d, f"{path}/features")
+    store = jobs.Store(d.spark, f"{path}/store")
+    store["ibge_municipios"].append(d.boundaries)
+    return store
 
 
 def _import_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines landed as one utility's, imported, placed in municipalities and scored."""
+    """All layers landed as one utility's, imported, placed in municipalities and scored."""
     d, path = Domain(spark, sf_dir), staging_path(spark, "import")
-    _landed_features(d, f"{path}/features")
-    store = jobs.Store(spark, f"{path}/store")
-    store["ibge_municipios"].append(d.boundaries)
+    store = _network_store(d, path)
     store["indicadores_continuidade"].append(risk.with_violations(d.indicators))
-    jobs.import_and_score(store, f"{path}/features", "DIST_A", "br", d.as_of)
+    jobs.import_and_score(store, f"{path}/features", "DIST_A", "br", d.as_of, {"EQSE": UTM_EPSG})
     return store["mapa_risco"].read()
 
 
 def _ingest_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, path = Domain(spark, sf_dir), staging_path(spark, "network")
+    store = _network_store(d, path)
+    for _ in range(2):  # a rerun replaces its own rows
+        written = jobs.ingest_network(store, f"{path}/features", "DIST_A", "br", {"EQSE": UTM_EPSG})
+    none = F.lit(None).cast("string")
+    out = None
+    for name in sorted(written):
+        rows = store[name].read()
+        extra = {"alimentadores": F.concat_ws("/", "subestacao_id", C.half_up("comprimento_km", 3)), "chaves": F.col("tipo_chave")}.get(name, none)
+        rows = rows.select(F.lit(name).alias("tabela"), "cod_id", "municipio", "uf", "distribuidora", "data_implant", extra.alias("extra"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every job in order, twice; scores with the snapshot, the gaps and the people of what was stored."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "pipeline")
     _landed_features(d, f"{path}/features")
+    _write_offices(d, path)
+    set_id = F.concat_ws("/", "distribuidora", "municipio")
+    d.indicators.select(set_id.alias("IdeConj"), F.lit("BR").alias("SigUF"), F.col("municipio").alias("NomMunicipio"), F.lit("DIST_A").alias("SigAgente")).distinct().write.option("sep", ";").option("header", True).csv(f"{path}/sets")
+    comma = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    d.indicators.select(set_id.alias("IdeConj"), F.format_string("%d%02d", "ano", "mes").alias("AnoMes"), F.explode(F.array(*(F.struct(F.lit(s.upper()).alias("SigIndicador"), comma(f"{s}_apurado").alias("ValApurado"), comma(f"{s}_limite").alias("ValLimite")) for s in ("dec", "fec")))).alias("v")).select("IdeConj", "AnoMes", "v.*").write.option("sep", ";").option("header", True).csv(f"{path}/values")
     store = jobs.Store(spark, f"{path}/store")
-    store["ibge_municipios"].append(d.boundaries)
-    for _ in range(2):  # a rerun replaces its own rows
-        jobs.ingest_network(store, f"{path}/features", "DIST_A", "br")
-    kept = ("cod_id", "municipio", "uf", "distribuidora", "data_implant")
-    return store["rede_mt"].read().select(*kept).unionByName(store["transformadores"].read().select(*kept))
+    for _ in range(2):
+        jobs.full_pipeline(store, geojson=f"{path}/shapes", names=f"{path}/names", population=f"{path}/people", features={"DIST_A": f"{path}/features"}, attributes=f"{path}/sets", indicators=f"{path}/values", uf="br", as_of=d.as_of, year=2001, month=12, epsg={"EQSE": UTM_EPSG})
+    gaps = store["gaps_protecao"].read().groupBy("municipio").agg(F.count(F.lit(1)).alias("n_gaps"))
+    people = store["ibge_populacao"].read().select(F.col("nome").alias("municipio"), "populacao")
+    rows = store["historico_score"].read().select("municipio", "distribuidora", "uf", "ano", "mes").join(gaps, "municipio", "left").join(people, "municipio", "left")
+    return rows.join(store["mapa_risco"].read().select("municipio", "meses_violacao"), "municipio").withColumn("n_gaps", F.coalesce("n_gaps", F.lit(0)))
 
 
-def _boundaries_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries and population written as the offices' JSON documents, one for each state, and ingested."""
-    d, path = Domain(spark, sf_dir), staging_path(spark, "offices")
+def _write_offices(d: Domain, path: str, per_document: int = 500) -> None:
+    """Boundaries, names and population as the offices' JSON documents: some for each state, so that none grows with it."""
     pair = lambda p: F.array(p["lon"], p["lat"])
     shape = F.struct(F.lit("Polygon").alias("type"), F.transform(F.element_at("geom", 1), lambda r: F.transform(r, pair)).alias("coordinates"))
     feature = F.struct(F.struct(F.col("codigo_ibge").alias("codarea")).alias("properties"), shape.alias("geometry"))
-    by_state = d.boundaries.join(d.population, "codigo_ibge").groupBy("uf")
-    documents = by_state.agg(
+    part = F.pmod(F.xxhash64("codigo_ibge"), F.lit(1 + d.n_towns // per_document)).alias("part")
+    by_part = d.boundaries.join(d.population, "codigo_ibge").groupBy("uf", part)
+    documents = by_part.agg(
         F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("shapes"),
         F.to_json(F.collect_list(F.struct(F.col("codigo_ibge").alias("id"), "nome"))).alias("names"),
         F.to_json(F.array(F.struct(F.array(F.struct(F.collect_list(F.struct(F.struct(F.col("codigo_ibge").alias("id"), "nome").alias("localidade"), F.create_map(F.lit("2022"), F.col("populacao").cast("string")).alias("serie"))).alias("series"))).alias("resultados")))).alias("people"),
     )
     for name in ("shapes", "names", "people"):
         documents.select(name).write.option("maxRecordsPerFile", 1).text(f"{path}/{name}")
+
+
+def _boundaries_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries and population from the offices' documents; a rerun updates its own rows."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "offices")
+    _write_offices(d, path)
     store = jobs.Store(spark, f"{path}/store")
     jobs.ingest_boundaries(store, f"{path}/shapes", f"{path}/names", "br")
     for _ in range(2):
@@ -166,19 +259,37 @@ def _boundaries_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store["ibge_populacao"].read().select("codigo_ibge", "nome", "uf", "populacao", "domicilios", C.half_up("area_km2", 4).alias("area_km2"))
 
 
+def _reprojected(d: Domain) -> DataFrame:
+    """Transformers' places through a zone's metres and back."""
+    east, north = geo.utm("geom.lon", "geom.lat", UTM_ZONE)
+    rows = d.transformers.withColumn("metres", F.struct(F.expr(east).alias("lon"), F.expr(north).alias("lat")))
+    back = rows.withColumn("back", geo.to_degrees(F.col("metres"), "struct<lon:double,lat:double>", UTM_EPSG))
+    return back.select("cod_id", *(C.half_up(f"back.{c}", 6).alias(c) for c in ("lon", "lat")))
+
+
+def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A utility's transformers that stay when a state is cleared."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "cleared")
+    store = jobs.Store(spark, path)
+    store["ibge_municipios"].append(d.boundaries)
+    store["transformadores"].append(d.transformers)
+    jobs.clear_state(store, "DIST_A", "brazil")
+    return store["transformadores"].read().select("cod_id", "distribuidora", "uf")
+
+
 def queries() -> dict[str, Query]:
     return {
         "r1_risk_score": over(_scores),
         "r1_top_risk": over(lambda d: risk.top_risk(_scores(d))),
         "a2_recent_means": over(lambda d: risk.recent_means(d.indicators).select("municipio", "distribuidora", "uf", C.half_up("dec_medio_12m", 4).alias("dec_medio"), C.half_up("dec_limite_medio", 4).alias("limite_medio"), C.half_up("ratio_dec", 4).alias("ratio"), "meses_violacao")),
         "a3_network_age": over(lambda d: risk.network_age(d.network, d.as_of).select("municipio", "distribuidora", C.half_up("idade_media_anos", 4).alias("idade"))),
-        "a8_towns_by_state": over(lambda d: d.indicators.groupBy("uf").agg(F.count_distinct("municipio").alias("n"))),
-        "a9_utilities": over(lambda d: d.indicators.select("distribuidora").distinct()),
+        "a8_towns_by_state": over(lambda d: reports.towns_by_state(d.indicators)),
+        "a9_utilities": over(lambda d: reports.utilities(d.indicators)),
         "k5_violations": over(lambda d: risk.with_violations(d.indicators).groupBy("distribuidora", "ano").agg(F.count_if("violacao_dec").alias("n_dec"), F.count_if("violacao_fec").alias("n_fec"))),
         "k6_unique": over(lambda d: sinks.check_unique(d.indicators, ["distribuidora", "municipio", "ano"])),
         "p_scalar_functions": over(lambda d: d.transformers.select("cod_id", C.title_case(F.lower("municipio")).alias("nome"), C.fold_key("municipio").alias("chave"), C.completed_years("data_implant", d.as_of).alias("idade"), C.equipment_status(C.completed_years("data_implant", d.as_of)).alias("status"), C.remaining_life(C.completed_years("data_implant", d.as_of)).alias("resto"), C.comma_decimal(F.regexp_replace(F.col("potencia_nom").cast("string"), r"\.", ",")).alias("kva"))),
         "p11_risk_bands": over(lambda d: _scores(d).groupBy(C.risk_band("score_risco").alias("faixa")).agg(F.count(F.lit(1)).alias("n"))),
-        "l4_worst_mean_dec": over(lambda d: d.indicators.groupBy("municipio").agg(C.half_up(C.exact_mean("dec_apurado"), 6).alias("dec_medio")).orderBy(F.desc("dec_medio"), "municipio").limit(5)),
+        "l4_worst_mean_dec": over(lambda d: reports.worst_mean_dec(d.indicators)),
         "w2_trend": over(lambda d: risk.trend(d.history)),
         "w3_last_months": over(lambda d: risk.last_months(d.history).withColumns({c: F.col(c).cast("double") for c in ("score_risco", "dec_medio")})),
         "w4_best_utility": over(lambda d: risk.best_utility(_scores(d)).select("municipio", "uf", "distribuidora", "score_risco")),
@@ -203,6 +314,21 @@ def queries() -> dict[str, Query]:
         "r14_ingest_network": _ingest_network,
         "r15_boundaries_and_population": _boundaries_and_population,
         "r16_import_and_score": _import_and_score,
+        "r17_full_pipeline": _full_pipeline,
+        "k1_append_layers": _append_layers,
+        "k2_append_new": _append_new,
+        "k7_features": _features,
+        "a14_accounting": _accounting,
+        "s11_state_scope": over(lambda d: d.indicators.filter(F.col("uf").isin(files.state_scope("brazil, Peru,china"))).groupBy("uf").agg(F.count(F.lit(1)).alias("n"))),
+        "f1_state_map": over(lambda d: reports.risk_map(_scores(d), d.boundaries, uf="brazil").drop("boundary")),
+        "f8_one_town": over(lambda d: reports.transformer_aging(d.transformers, d.reclosers, d.as_of, municipality="Supplier#000000001", n=None).select("cod_id", "idade_anos", "score_equipamento")),
+        "f11_with_geometry": over(lambda d: reports.with_geometry(reports.risk_map(_scores(d), d.boundaries.filter("codigo_ibge > '0000005'")), "boundary").drop("boundary")),
+        "f12_critical_transformers": over(lambda d: reports.critical_transformers(reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None)).select("cod_id", "idade_anos", "score_equipamento")),
+        "j14_clear_state": _cleared,
+        "g4_lines_near": over(lambda d: spatial.lines_near(d.network, d.reclosers, 500.0).groupBy("point").agg(F.count(F.lit(1)).alias("n"))),
+        "g6_nearest_anywhere": over(lambda d: spatial.nearest_asset(d.transformers, d.reclosers.filter("cod_id like '%5'"), within_m=None).select("cod_id", "asset", C.half_up("distance_m", 0).alias("metros"))),
+        "g8_to_wgs84": over(lambda d: d.reclosers.withColumn("at", geo.to_wgs84(F.col("geom"))).select("cod_id", *(C.half_up(f"at.{c}", 6).alias(c) for c in ("lon", "lat")))),
+        "g9_reproject": over(_reprojected),
     }
 
 
@@ -218,9 +344,24 @@ def _in_box(lon: str, lat: str) -> str:
     return f"{lon}>=b.west and {lon}<b.west+0.05e0 and {lat}>=b.south and {lat}<b.south+0.05e0"
 
 
-#: Lines as one utility's, in the municipality of their first point (towns are squares side by side).
+def _middle(c: str) -> str:
+    return f"({c}1+0.5e0*({c}2-{c}1))"
+
+
+#: Lines as one utility's, in the municipality of their middle (towns are squares side by side).
 PLACED = f""", placed as (select n.cod_id, n.data_implant, 'DIST_A' as distribuidora, coalesce(min_by(b.nome, b.codigo_ibge),'') as municipio
- from network n left join boundaries b on {_in_box('n.lon1', 'n.lat1')} group by 1, 2)"""
+ from (select *, {_middle("lon")} as lon, {_middle("lat")} as lat from network) n left join boundaries b on {_in_box('n.lon', 'n.lat')} group by 1, 2)"""
+
+
+def _in_town(table: str, name: str, rows: str, extra: str = "cast(null as varchar)") -> str:
+    """SQL: rows (with lon, lat) of a table in the municipality that holds them."""
+    return f"select '{table}' as tabela, t.cod_id, coalesce(min_by(b.nome, b.codigo_ibge),'') as municipio, 'BR' as uf, 'DIST_A' as distribuidora, t.data_implant, {extra} as extra from ({rows}) t left join boundaries b on {_in_box('t.lon', 't.lat')} group by t.cod_id, t.data_implant{', t.uf' if name else ''}"
+
+
+#: Metres from a recloser to a line of its utility, by the height of the triangle or the nearer end.
+NEAR_LINE = """near_line as (select r.cod_id as point, n.cod_id as line, (n.lon2-n.lon1)*cos(radians(n.lat1)) as vx, n.lat2-n.lat1 as vy, (r.lon-n.lon1)*cos(radians(n.lat1)) as wx, r.lat-n.lat1 as wy
+ from network n join reclosers r on r.distribuidora=n.distribuidora and abs(r.lat-n.lat1) < 0.06 and abs(r.lon-n.lon1) < 0.06 where n.lon1<>n.lon2 or n.lat1<>n.lat2),
+near_line2 as (select point, line, case when vx*wx+vy*wy <= 0 then sqrt(wx*wx+wy*wy) when vx*wx+vy*wy >= vx*vx+vy*vy then sqrt((wx-vx)*(wx-vx)+(wy-vy)*(wy-vy)) else abs(vx*wy-vy*wx)/sqrt(vx*vx+vy*vy) end * radians(1)*6371008.8 as d from near_line)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -280,11 +421,34 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
         "g3_polygon_area": with_tables(["boundaries"], f"select codigo_ibge, {_half_up(_area_sql(), 4)} as km2 from boundaries"),
         "g10_assign_municipality": with_tables(["transformers", "boundaries"], "select t.cod_id, min(b.codigo_ibge) as codigo_ibge from transformers t join boundaries b on t.lon>=b.west and t.lon<b.west+0.05e0 and t.lat>=b.south and t.lat<b.south+0.05e0 group by 1"),
         "a12_extent": with_tables(["network"], ", ".join(["select " + _half_up("least(min(lon1),min(lon2))", 6) + " as min_lon", _half_up("least(min(lat1),min(lat2))", 6) + " as min_lat", _half_up("greatest(max(lon1),max(lon2))", 6) + " as max_lon", _half_up("greatest(max(lat1),max(lat2))", 6) + " as max_lat from network"])),
-        "r12_ingest_continuity": with_tables(["indicators"], "select distribuidora, upper(substr(municipio,1,1))||lower(substr(municipio,2)) as municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite from indicators where ano between 1993 and 1997"),
+        "r12_ingest_continuity": with_tables(["indicators"], "select distribuidora, upper(substr(municipio,1,1))||lower(substr(municipio,2)) as municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite, dec_apurado>dec_limite as violacao_dec, fec_apurado>fec_limite as violacao_fec from indicators"),
         "r13_ingest_wide_indicators": with_tables(["indicators"], "select distribuidora, municipio, upper(uf) as uf, ano, mes, cast(dec_apurado as double) as dec_apurado, cast(dec_limite as double) as dec_limite, cast(fec_apurado as double) as fec_apurado, cast(fec_limite as double) as fec_limite, dec_apurado>dec_limite as violacao_dec, fec_apurado>fec_limite as violacao_fec from indicators"),
         "k3_replace_scope": with_tables(both, f", {SCORES} select * from scores"),
-        "r14_ingest_network": with_tables(["network", "transformers", "boundaries"], f"""{PLACED} select cod_id, municipio, 'BR' as uf, 'DIST_A' as distribuidora, data_implant from placed
-union all select t.cod_id, coalesce(min_by(b.nome, b.codigo_ibge),''), 'BR', 'DIST_A', t.data_implant from transformers t left join boundaries b on {_in_box('t.lon', 't.lat')} group by t.cod_id, t.data_implant"""),
+        "r14_ingest_network": with_tables(["network", "low_voltage", "transformers", "reclosers", "switches", "boundaries"], " union all ".join([
+            _in_town("rede_mt", "", f"select *, {_middle('lon')} as lon, {_middle('lat')} as lat from network"), _in_town("rede_bt", "", f"select *, {_middle('lon')} as lon, {_middle('lat')} as lat from low_voltage"),
+            _in_town("transformadores", "", "select * from transformers"), _in_town("religadores", "", "select * from reclosers"), _in_town("chaves", "uf", "select * from switches", "t.uf"),
+            _in_town("subestacoes", "", "select 'S'||cod_id as cod_id, data_implant, lon+0.0002e0 as lon, lat+0.0002e0 as lat from reclosers"),
+            f"select 'alimentadores', 'F'||cod_id, '', 'BR', 'DIST_A', data_implant, municipio||'/'||cast({_half_up('comprimento/1000e0', 3)} as varchar) from network"])),
         "r15_boundaries_and_population": with_tables(["boundaries", "population"], f"select b.codigo_ibge, b.nome, 'BR' as uf, p.populacao, p.domicilios, {_half_up(_area_sql(), 4)} as area_km2 from boundaries b join population p on p.codigo_ibge=b.codigo_ibge"),
         "r16_import_and_score": with_tables([*both, "boundaries"], f"{PLACED}, {SCORES.replace('from network where', 'from placed where')} select * from scores where distribuidora='DIST_A'"),
+        "r17_full_pipeline": with_tables([*both, "reclosers", "boundaries", "population"], f"""{PLACED}, own as (select n.* replace ('DIST_A' as distribuidora, p.municipio as municipio) from network n join placed p on p.cod_id=n.cod_id),
+ own_reclosers as (select * replace ('DIST_A' as distribuidora) from reclosers), {GAPS.replace('from network m', 'from own m').replace('join reclosers r', 'join own_reclosers r')},
+ ind as (select upper(substr(municipio,1,1))||lower(substr(municipio,2)) as municipio, ano, mes, cast(sum(cast(dec_apurado as decimal(18,6))) as double)/count(*) as d, cast(sum(cast(dec_limite as decimal(18,6))) as double)/count(*) as l from indicators group by 1,2,3),
+ viol as (select municipio, cast(sum(case when d > l then 1 else 0 end) as bigint) as meses_violacao from ind where ano*12+mes >= (select max(ano*12+mes)-11 from ind) group by 1)
+ select v.municipio, 'DIST_A' as distribuidora, 'BR' as uf, 2001 as ano, 12 as mes, coalesce(g.n,0) as n_gaps, p.populacao, v.meses_violacao from viol v
+ left join (select municipio, count(*) as n from gaps group by 1) g on g.municipio=v.municipio left join boundaries b on b.nome=v.municipio left join population p on p.codigo_ibge=b.codigo_ibge"""),
+        "k1_append_layers": with_tables(["switches", "reclosers"], "select 'chaves' as tabela, (select count(*) from switches) as escritas, (select count(*) from switches) as guardadas, cod_id, -1 as falhas from switches union all select 'religadores', (select count(*) from reclosers), (select count(*) from reclosers), cod_id, -1 from reclosers"),
+        "k2_append_new": with_tables(["indicators"], "select case when mes <= 6 then 1 else 2 end as lote, ano, count(*) as n from indicators group by 1, 2"),
+        "k7_features": with_tables(["transformers"], f"select cod_id, potencia_nom, fabricante, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from transformers"),
+        "a14_accounting": with_tables(["indicators"], "select count(*) as total, 0 as dropped, count(case when mes % 2 = 0 then 1 end) as existing, count(case when mes % 2 = 1 then 1 end) as new from indicators"),
+        "s11_state_scope": with_tables(["indicators"], "select uf, count(*) as n from indicators where uf in ('BRAZIL', 'PERU', 'CHINA') group by 1"),
+        "f1_state_map": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where s.uf = 'BRAZIL'"),
+        "f8_one_town": with_tables(["transformers", "reclosers"], f", {NEAREST} select t.cod_id, cast({_age('t.data_implant')} as int) as idade_anos, {_half_up('least(' + _age('t.data_implant') + '/30e0,1e0)*60+least(coalesce(n.d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento from transformers t left join near n on n.cod_id=t.cod_id where t.municipio='Supplier#000000001'"),
+        "f11_with_geometry": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where b.codigo_ibge > '0000005'"),
+        "f12_critical_transformers": with_tables(["transformers", "reclosers"], f", {NEAREST} select t.cod_id, cast({_age('t.data_implant')} as int) as idade_anos, {_half_up('least(' + _age('t.data_implant') + '/30e0,1e0)*60+least(coalesce(n.d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento from transformers t left join near n on n.cod_id=t.cod_id where {_age('t.data_implant')} > 25 order by score_equipamento desc, t.cod_id limit 20"),
+        "j14_clear_state": with_tables(["transformers", "boundaries"], "select cod_id, distribuidora, uf from transformers where not (distribuidora='DIST_A' and municipio in (select nome from boundaries where uf='BRAZIL'))"),
+        "g4_lines_near": with_tables(["network", "reclosers"], f", {NEAR_LINE} select point, count(*) as n from near_line2 where d <= 500 group by 1"),
+        "g6_nearest_anywhere": with_tables(["transformers", "reclosers"], f", {NEAREST.replace('where d <= 2000', '').replace('on r.distribuidora=t.distribuidora', 'on r.distribuidora=t.distribuidora and right(r.cod_id, 1) = chr(53)')} select cod_id, asset, {_half_up('d', 0)} as metros from near"),
+        "g8_to_wgs84": with_tables(["reclosers"], f"select cod_id, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from reclosers"),
+        "g9_reproject": with_tables(["transformers"], f"select cod_id, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from transformers"),
     }
