@@ -28,15 +28,17 @@ everything follows from hashes of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.llm.common import WORD, table, unused, written
 
 #: Words of a block, blocks of an output shard, rounds of the shuffle, most passes over a source.
 BLOCK, SHARD, ROUNDS, MOST = 256, 4096, 24, 3
-#: Documents of a chunk, whose order is found by itself, about; slots that one task draws at once.
-CHUNK_ROWS, DRAWS = 1000, 16384
+#: Documents of a chunk, whose order is found by itself, about.
+CHUNK_ROWS = 1000
+#: Sources up to which their cells (some megabytes) are broadcast.
+MOST_BROADCAST = 20_000
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -84,21 +86,23 @@ def counts(targets: DataFrame, seed: int) -> DataFrame:
     sources before."""
     spark = targets.sparkSession
     some = targets.filter("draws > 0")
+    n, total = some.agg(F.count(F.lit(1)), F.coalesce(F.max("slots"), F.lit(0))).first()  # two numbers
+    size = max(1, total // (4 * n + 4096))
     # a source holds the hashes from first on; so that slots find it by an equal cell, its range is cut at cells
-    cells = some.withColumn("cell_size", F.greatest(F.lit(1), F.expr("slots div (4 * count(*) over (partition by 0) + 4096)")))
-    cells = written(cells.withColumn("cell", F.explode(F.expr("sequence(first div cell_size, (first + draws - 1) div cell_size)"))).select("source", "cell", "first", "draws"), "mix-cells")
-    size = F.greatest(F.lit(1), F.expr("slots div (4 * n + 4096)"))
-    slots = some.agg(F.max("slots").alias("slots"), F.count(F.lit(1)).alias("n")).filter("n > 0").withColumn("cell_size", size)
-    slots = slots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {DRAWS}"))))
-    slots = slots.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32), "part")  # a number: few rows become many
-    slots = slots.withColumn("slot", F.explode(F.sequence(F.expr(f"part * {DRAWS}"), F.expr(f"least(slots, (part + 1) * {DRAWS}) - 1"))))
-    slots = slots.withColumn("u", chance(F.col("slot"), F.col("slots"), seed)).select("slot", "u", F.expr("u div cell_size").alias("cell"))
-    found = slots.join(cells, "cell").filter("u >= first and u < first + draws")
+    cells = written(some.withColumn("cell", F.explode(F.expr(f"sequence(first div {size}, (first + draws - 1) div {size})"))).select("source", "cell", "first", "draws"), "mix-cells")
+    slots = spark.range(0, total, 1, spread(spark, total)).select(F.col("id").alias("slot"), chance(F.col("id"), F.lit(total), seed).alias("u"))
+    # there are 5 * n + 4096 rows of cells at most
+    found = slots.withColumn("cell", F.expr(f"u div {size}")).join(F.broadcast(cells) if n <= MOST_BROADCAST else cells.hint("merge"), "cell").filter("u >= first and u < first + draws")
     found = written(found.groupBy(F.expr(f"slot div {SHARD}").alias("shard"), "source").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return found.withColumn("base", before(Window.partitionBy("source").orderBy("shard"))).withColumn("offset", before(Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last())))
 
 
+def spread(spark: SparkSession, slots: int) -> int:
+    """Partitions for what has a row a slot."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), slots >> 20)
+
+
 def chance(slot: Column, slots: Column, seed: int) -> Column:
     """A pseudorandom number from 0 to slots - 1 for each slot."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit("slot"), slot), slots)
@@ -114,6 +118,7 @@ def drawn(targets: DataFrame, seed: int = 1) -> DataFrame:
     line = Window.orderBy(F.col("of").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     over, under = F.greatest(F.lit(0), F.col("got") - F.col("draws")), F.greatest(F.lit(0), F.col("draws") - F.col("got"))
     some = written(some.withColumns({"spare": F.coalesce(F.sum(over).over(line), F.lit(0)), "lack": F.coalesce(F.sum(under).over(line), F.lit(0))}), "mix-totals")
+    rows = rows.repartition(max(32, spread(targets.sparkSession, 0)), "shard", "source")  # a number: few rows become many
     one = rows.withColumn("i", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("n", F.col("base") + F.col("i"))
     # the last shard may be short
     room = F.least(F.lit(SHARD).cast("long"), F.col("slots") - F.col("shard") * SHARD)
@@ -121,7 +126,7 @@ def drawn(targets: DataFrame, seed: int = 1) -> DataFrame:
     kept = one.filter("n < draws").select("shard", "slot", "source", "n", "blocks")
     free = one.filter("n >= draws").alias("f").join(some.select("of", "spare"), F.col("f.source").eqNullSafe(F.col("of"))).select("shard", "slot", (F.col("spare") + F.col("n") - F.col("draws")).alias("k"))
     more = some.filter("draws > got").select(F.col("of").alias("source"), "got", "lack", "blocks", F.explode(F.expr("sequence(0L, draws - got - 1)")).alias("i"))
-    more = free.join(more.select("source", "blocks", (F.col("lack") + F.col("i")).alias("k"), (F.col("got") + F.col("i")).alias("n")), "k")
+    more = free.hint("merge").join(more.select("source", "blocks", (F.col("lack") + F.col("i")).alias("k"), (F.col("got") + F.col("i")).alias("n")), "k")
     out = kept.unionByName(more.select("shard", "slot", "source", "n", "blocks")).withColumn("pass", F.expr("n div blocks"))
     block = permuted(F.expr("n % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source"), F.col("pass"))
     return written(out.select("shard", "slot", "source", "pass", block.alias("block")), "mix-draws")  # so that joins know its size
