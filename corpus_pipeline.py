@@ -1,6 +1,11 @@
 """A corpus from raw documents to ids: quality rules, line dedup, near-duplicates, mixing, BPE.
 
-Each stage reads what its predecessor kept and all but the last return the columns of documents."""
+Each stage reads what its predecessor kept and all but the last return the columns of documents, whatever further columns
+the table has. Null and empty texts have too few words for the quality rules and go there; an empty table stays empty
+throughout. Documents without an id are kept apart from others only by their texts: line dedup takes equal ones as one
+document, near-duplicates leave them all. Repeated rows stay repeated until the mix, which counts each. Very long texts are
+whole in every stage. Nothing is limited to a part of the table.
+"""
 
 from __future__ import annotations
 
