@@ -314,3 +314,18 @@ def test_pipeline(spark, sf_dir, docs, rows):
     assert four.select(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0] == pytest.approx(three.select(F.sum(F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")))).first()[0], rel=0.05)
     last = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, bpe.digests(four).collect()))
+
+
+def test_pipeline_odd(spark, odd, docs):
+    """The stages in sequence over nulls, repeated rows, clashing names and a long text, and over no rows."""
+    long = docs.filter("length(text) > 2000").limit(3).select("doc_id", "text", "source")
+    again = long.unionByName(long.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = odd.unionByName(again, allowMissingColumns=True).withColumn("n_chars", F.length("text"))
+    for some in (rows, rows.limit(0)):
+        now = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, "").cache()
+            assert now.columns == rows.columns, name
+        last = corpus_pipeline.STAGES[-1][1](spark, now, "")
+        assert last.count() == now.count() and (now.count() > 0) == (some is rows)
+        assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

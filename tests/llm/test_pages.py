@@ -7,6 +7,7 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,23 @@ def test_topk_odd(spark):
     assert topk.top_k(df, asked.limit(0), 4).count() == 0 and topk.top_k(df.limit(0), asked, 4).count() == 0
 
 
+def test_topk_bounds():
+    """Bounds drop candidates and never one of the best; scores beyond 64 bits are held at the largest."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(5000, 64))
+    v = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    seen = [0, 0]
+    place, ids, scores = topk.best_of(np.arange(40), v[:40], np.arange(5000), v, 5, seen)
+    s = v[:40] @ v.T
+    s[np.arange(40), np.arange(40)] = -(2**62)
+    want = [(i, j, s[i, j]) for i in range(40) for j in np.lexsort((np.arange(5000), -s[i]))[:5]]
+    assert list(zip(place.tolist(), ids.tolist(), scores.tolist(), strict=True)) == want
+    assert 0 < seen[1] < 0.6 * seen[0]
+    big = np.array([[2**62, 2**62], [2**62, 2**61], [-(2**62), -(2**62)], [4, 4]])
+    place, ids, scores = topk.best_of(np.array([0]), big[:1], np.arange(4), big, 3)
+    assert ids.tolist() == [1, 3, 2] and scores.tolist() == [2**63 - 1, 2**63 - 1, -(2**63)]
+
+
 def parts(url):
     if url is None or "://" not in url:
         return "", ""

@@ -3,15 +3,16 @@
 Vectors are cut to equal segments. For two segments of n components, the inner product is at most
 n * (m1 * m2 + s1 * s2), with means m and deviations s: the distance is at least what these leave.
 From coarse to fine segments, a candidate whose bound falls below a query's k-th best score so far is
-dropped; exact scores are computed for the survivors alone.
+dropped; exact scores, in whole numbers, are computed for the survivors alone.
 
 Queries and candidates are dealt into blocks of bounded size; each pair of blocks is one group, and
-a group returns k rows a query, so the last step ranks k rows a block for each query. Scores are
-whole numbers, exact below 2**63 (beyond, they wrap as Spark's long does).
+a group returns k rows a query, so the last step ranks k rows a block for each query: the work is queries
+times candidates, in blocks. Scores beyond 64 bits are held at the largest such number.
 
-Vectors that are null, or hold null or non-finite components, and rows without an id take no part.
-Vectors are compared with those of equal length only. A row never meets rows of its own id; a repeated
-id counts once as a query (its smallest vector), and each of its rows as a candidate.
+Vectors that are null, or hold null or non-finite components, and rows without an id take no part, so an
+empty table gives no rows. Vectors are compared with those of equal length only. A row never meets rows of
+its own id; a repeated id counts once as a query (its smallest vector), and each of its rows as a candidate;
+equal scores go to the smaller id. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from voltgrain.llm.common import table, written
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 2048, 8192, 1024
 FOUND = "query_id long, vec_id long, score long"
 #: Numbers of segments, coarse to fine; those beyond a vector's length are skipped.
-SEGMENTS = (1, 4, 16)
+SEGMENTS = (1, 4, 16, 32)
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -41,32 +42,40 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([mean, spread]) * np.sqrt(np.hstack([n, n]))
 
 
-def best_of(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: query's place, vec_id, score."""
-    small = np.abs(q).max(initial=0).astype(float) * np.abs(v).max(initial=0).astype(float) * max(1, q.shape[1]) < 2**53
-    as_float = q.astype(float), v.astype(float)
-    exact = as_float if small else (q, v)
-    levels = [(segment_features(as_float[0], s), segment_features(as_float[1], s)) for s in SEGMENTS if s <= q.shape[1]] if small else []
+def products(q: np.ndarray, v: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Inner products of rows; large: which may need more than 64 bits."""
+    with np.errstate(over="ignore"):
+        out = np.concatenate([np.zeros(0, np.int64), *(np.einsum("ij,ij->i", q[a : a + 65536], v[a : a + 65536]) for a in range(0, len(q), 65536))])
+    for i in np.flatnonzero(large):
+        exact = sum(x * y for x, y in zip(q[i].tolist(), v[i].tolist(), strict=True))
+        out[i] = max(-(2**63), min(2**63 - 1, exact))
+    return out
+
+
+def best_of(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query: query's place, vec_id, score. seen: gets the numbers of pairs and of survivors."""
+    fq, fv = q.astype(float), v.astype(float)
+    levels = [(segment_features(fq, s), segment_features(fv, s)) for s in SEGMENTS if s <= q.shape[1]]
+    norm_q, norm_v = np.linalg.norm(fq, axis=1), np.linalg.norm(fv, axis=1)
     place, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
     floor = np.full(len(q), -np.inf)
     for at in range(0, len(v), CHUNK):
         rows = np.arange(at, min(at + CHUNK, len(v)))
         alive = q_id[:, None] != v_id[rows][None, :]
-        for fq, fv in levels if at else ():
+        all_of = int(alive.sum())
+        for of_q, of_v in levels if at else ():
             who = np.flatnonzero(alive.any(axis=0))
-            bound = fq @ fv[rows[who]].T
-            alive[:, who] &= bound + (1e-9 * np.abs(bound) + 1e-6) >= floor[:, None]
+            rounding = 1e-9 * np.outer(norm_q, norm_v[rows[who]]) + 1e-6
+            alive[:, who] &= of_q @ of_v[rows[who]].T + rounding >= floor[:, None]
         i, j = np.nonzero(alive)
+        if seen is not None and at:
+            seen[0], seen[1] = seen[0] + all_of, seen[1] + len(i)
         if not len(i):
             continue
         j = rows[j]
-        if len(i) * 4 > alive.size:
-            got = (exact[0] @ exact[1][rows].T)[i, j - at]
-        else:
-            got = np.concatenate([np.einsum("ij,ij->i", exact[0][i[a : a + 65536]], exact[1][j[a : a + 65536]]) for a in range(0, len(i), 65536)])
-        got = np.rint(got).astype(np.int64) if small else got
+        got = np.concatenate([products(q[i[a : a + CHUNK * 64]], v[j[a : a + CHUNK * 64]], norm_q[i[a : a + CHUNK * 64]] * norm_v[j[a : a + CHUNK * 64]] >= 2**62) for a in range(0, len(i), CHUNK * 64)])
         place, ids, scores = np.concatenate([place, i]), np.concatenate([ids, v_id[j]]), np.concatenate([scores, got])
-        by = np.lexsort((ids, -scores, place))
+        by = np.lexsort((ids, ~scores, place))  # ~x is -x - 1, which fits
         place, ids, scores = place[by], ids[by], scores[by]
         first = np.searchsorted(place, place)
         keep = np.arange(len(place)) - first < k
