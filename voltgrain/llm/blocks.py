@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from voltgrain.llm.common import mixed, release
 
 #: Bytes of text of a block, and bytes of text whose items a bucket of one level adds up.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 8 << 20
 #: Most partitions; beyond, one takes several blocks or buckets, one after the other.
 PARTS = 20_000
 SENT = "block int, level int, bucket int, hashes binary, counts binary"
@@ -121,7 +121,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 def packed_counts(counts: np.ndarray) -> bytes:
     """Counts in one byte each if they allow, else in eight; the first byte says which. Most are small and equal: compressed."""
     small = bool(counts.max(initial=0) < 256)
-    return bytes([small]) + zstandard.compress(counts.astype(np.uint8 if small else np.int64).tobytes(), 1)
+    return bytes([small]) + zstandard.compress(counts.astype(np.uint8 if small else np.int64).tobytes(), 3)
 
 
 def unpacked_counts(raw: bytes) -> np.ndarray:

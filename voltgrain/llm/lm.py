@@ -92,6 +92,7 @@ def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int,
     """The states and arcs that the texts can reach, and each word's count. told: of a length less one and a number of n-grams,
     their totals in the order of their hashes."""
     known, words = np.unique(texts.flat, return_inverse=True)
+    words = words.astype(np.int32)
     n_words, c = len(known), told(0, len(known))  # the end tokens before texts end texts too: they add no word
     p = (c + 1) / (total + distinct + 1)
     word_counts, root, of = c, np.log10(p), words
@@ -106,19 +107,21 @@ def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int,
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         del hashes
         end = at[first]  # a place where each n-gram of k + 1 tokens ends
+        del first
         context, below, count = of[end - 1], of[end], told(k, len(end))
         p = np.where(count > 0, (count + strength * p[below]) / (c[context] + strength), 1)
         on = np.flatnonzero(count > 0)
-        key = (base[k - 1] + context[on]) * n_words + words[end[on]]
+        key = (base[k - 1] + context[on].astype(np.int64)) * n_words + words[end[on]]
         by = np.argsort(key)
         on = on[by]
         keys.append(key[by])
         logs.append(np.log10(p[on]))
         to = base[k - 1] + below
-        then.append(base[k] + on if k < len(strengths) else to[on])
+        then.append((base[k] + on if k < len(strengths) else to[on]).astype(np.int32))
         if k < len(strengths):
-            of = np.full(len(words), -1)
+            of = np.full(len(words), -1, np.int32)
             of[at] = inverse
+        del at, inverse, context, end
         c = count
     root_then = np.where(word_counts > 0, base[0] + np.arange(n_words), 0) if strengths else np.zeros(n_words, np.int64)
     start = int(root_then[words[-1]]) if len(words) else 0
@@ -149,7 +152,7 @@ def traversed(a: Automaton, texts: Texts) -> np.ndarray:
                 log[who] += a.weight[s[who]]
                 s[who] = a.fail[s[who]]
                 continue
-            want = s[who] * len(a.root) + word[who]
+            want = s[who].astype(np.int64) * len(a.root) + word[who]
             arc = np.minimum(np.searchsorted(a.keys[k], want), len(a.keys[k]) - 1)
             there = a.keys[k][arc] == want
             yes, no, arc = who[there], who[~there], arc[there]
