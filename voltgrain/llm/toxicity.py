@@ -38,6 +38,8 @@ from voltgrain.llm.common import table, text_bytes, written
 
 SAMPLE = 4000
 WINDOW, LEVEL = 32, 3
+#: Windows that are compressed together; a text's windows always are.
+BATCH = 20_000
 #: Longer words are in no dictionary.
 WORD_BYTES = 40
 #: Of each pair of dictionaries: bytes of the shared beginning and of the rest, and the trainer's k and d.
@@ -71,14 +73,33 @@ def windows(text: bytes) -> Iterator[bytes]:
         i = j
 
 
-def features(text: bytes, pairs: list[tuple]) -> list[float]:
-    """pairs: the compress functions of the toxic and the ordinary dictionary of each pair."""
-    some = list(windows(text.lower()))
-    each = [np.array([len(ordinary(w)) - len(toxic(w)) for w in some] or [0]) for toxic, ordinary in pairs]
+def lengths(packer: zstandard.ZstdCompressor, some: list[bytes]) -> np.ndarray:
+    """The compressed length of each window."""
+    return np.fromiter(map(len, packer.multi_compress_to_buffer([w or b" " for w in some])), np.int64, len(some))
+
+
+def features(texts: list[bytes], pairs: list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]) -> np.ndarray:
+    """A row for each text. pairs: compressors with the toxic and the ordinary dictionary of each pair."""
+    out, held, n = [np.zeros((0, 2 + len(pairs) * (1 + len(THRESHOLDS)) + len(SUM_THRESHOLDS)))], [], 0
+    for text in texts:
+        held.append(list(windows(text.lower())))
+        n += len(held[-1])
+        if n >= BATCH:
+            out.append(_features(held, pairs))
+            held, n = [], 0
+    return np.concatenate([*out, _features(held, pairs)] if held else out)
+
+
+def _features(held: list[list[bytes]], pairs: list[tuple]) -> np.ndarray:
+    n = np.array([len(some) for some in held])
+    some = [w for windows_ in held for w in windows_ or [b""]]  # a text without windows has one that says nothing
+    starts = np.cumsum(np.maximum(n, 1)) - np.maximum(n, 1)
+    there = np.repeat(n > 0, np.maximum(n, 1))
+    each = [np.where(there, lengths(ordinary, some) - lengths(toxic, some), 0) for toxic, ordinary in pairs]
     out = []
     for d, steps in [*((d, THRESHOLDS) for d in each), (sum(each), SUM_THRESHOLDS)]:
-        out += [min(float(d.max()), 30.0), *(math.log1p(int((d >= t).sum())) for t in steps)]
-    return [*out, math.log1p(len(some))]
+        out += [np.minimum(np.maximum.reduceat(d, starts), 30.0), *(np.log1p(np.add.reduceat((d >= t).astype(np.int64), starts)) for t in steps)]
+    return np.stack([*out, np.log1p(n)], axis=1)
 
 
 class Vocabulary(NamedTuple):
@@ -151,7 +172,7 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def compressors(pairs: list[tuple[bytes, bytes]]) -> list[tuple]:
-    return [(compressor(t).compress, compressor(o).compress) for t, o in pairs]
+    return [(compressor(t), compressor(o)) for t, o in pairs]
 
 
 def calibrated(pairs: list[tuple[bytes, bytes]], rows: list[tuple[int, list[float]]], prior: float) -> Model:
@@ -180,7 +201,7 @@ def fitted(rows: list[tuple[bytes, int]], prior: float) -> Model:
             samples.setdefault(kind, []).append(piece)
     pairs = dictionaries(samples)
     run = compressors(pairs)
-    return calibrated(pairs, [(y, features(text, run)) for text, y in check], prior)
+    return calibrated(pairs, list(zip([y for _, y in check], features([text for text, _ in check], run).tolist(), strict=True)), prior)
 
 
 def sampled(docs: DataFrame, known: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
@@ -233,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, *, id_col: str = "doc_i
     def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = compressors(pairs)
         for batch in it:
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.array([features(t.as_py(), run) for t in batch["t"]], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(features(batch["t"].to_pylist(), run).tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     found = rows.filter("check").select("t", "y").mapInArrow(made, "y int, x array<double>").collect()
     return calibrated(pairs, [(r["y"], list(r["x"])) for r in found], prior)
@@ -248,7 +269,7 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", out_col: st
         run = compressors(model.pairs)
         w = np.array(model.weights)
         for column in it:
-            x = np.array([features(raw.as_py(), run) for raw in column]).reshape(-1, len(w) - 1)
+            x = features(column.to_pylist(), run)
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))), pa.float64())
 
     return docs.withColumn(out_col, F.arrow_udf(batches, "double", F.ArrowUDFType.SCALAR_ITER)(text_bytes(text_col)))
