@@ -273,7 +273,7 @@ def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = jobs.Store(spark, path)
     store["ibge_municipios"].append(d.boundaries)
     store["transformadores"].append(d.transformers)
-    jobs.clear_state(store, "DIST_A", "brazil")
+    jobs.clear_state(store, "DIST_A", "nation_7")
     return store["transformadores"].read().select("cod_id", "distribuidora", "uf")
 
 
@@ -319,8 +319,8 @@ def queries() -> dict[str, Query]:
         "k2_append_new": _append_new,
         "k7_features": _features,
         "a14_accounting": _accounting,
-        "s11_state_scope": over(lambda d: d.indicators.filter(F.col("uf").isin(files.state_scope("brazil, Peru,china"))).groupBy("uf").agg(F.count(F.lit(1)).alias("n"))),
-        "f1_state_map": over(lambda d: reports.risk_map(_scores(d), d.boundaries, uf="brazil").drop("boundary")),
+        "s11_state_scope": over(lambda d: d.indicators.filter(F.col("uf").isin(files.state_scope("nation_1, Nation_7,NATION_12"))).groupBy("uf").agg(F.count(F.lit(1)).alias("n"))),
+        "f1_state_map": over(lambda d: reports.risk_map(_scores(d), d.boundaries, uf="nation_7").drop("boundary")),
         "f8_one_town": over(lambda d: reports.transformer_aging(d.transformers, d.reclosers, d.as_of, municipality="Supplier#000000001", n=None).select("cod_id", "idade_anos", "score_equipamento")),
         "f11_with_geometry": over(lambda d: reports.with_geometry(reports.risk_map(_scores(d), d.boundaries.filter("codigo_ibge > '0000005'")), "boundary").drop("boundary")),
         "f12_critical_transformers": over(lambda d: reports.critical_transformers(reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None)).select("cod_id", "idade_anos", "score_equipamento")),
@@ -441,12 +441,12 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
         "k2_append_new": with_tables(["indicators"], "select case when mes <= 6 then 1 else 2 end as lote, ano, count(*) as n from indicators group by 1, 2"),
         "k7_features": with_tables(["transformers"], f"select cod_id, potencia_nom, fabricante, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from transformers"),
         "a14_accounting": with_tables(["indicators"], "select count(*) as total, 0 as dropped, count(case when mes % 2 = 0 then 1 end) as existing, count(case when mes % 2 = 1 then 1 end) as new from indicators"),
-        "s11_state_scope": with_tables(["indicators"], "select uf, count(*) as n from indicators where uf in ('BRAZIL', 'PERU', 'CHINA') group by 1"),
-        "f1_state_map": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where s.uf = 'BRAZIL'"),
+        "s11_state_scope": with_tables(["indicators"], "select uf, count(*) as n from indicators where uf in ('NATION_1', 'NATION_7', 'NATION_12') group by 1"),
+        "f1_state_map": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where s.uf = 'NATION_7'"),
         "f8_one_town": with_tables(["transformers", "reclosers"], f", {NEAREST} select t.cod_id, cast({_age('t.data_implant')} as int) as idade_anos, {_half_up('least(' + _age('t.data_implant') + '/30e0,1e0)*60+least(coalesce(n.d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento from transformers t left join near n on n.cod_id=t.cod_id where t.municipio='Supplier#000000001'"),
         "f11_with_geometry": with_tables([*both, "boundaries"], f", {SCORES} select s.*, b.codigo_ibge from scores s {boundary} where b.codigo_ibge > '0000005'"),
         "f12_critical_transformers": with_tables(["transformers", "reclosers"], f", {NEAREST} select t.cod_id, cast({_age('t.data_implant')} as int) as idade_anos, {_half_up('least(' + _age('t.data_implant') + '/30e0,1e0)*60+least(coalesce(n.d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento from transformers t left join near n on n.cod_id=t.cod_id where {_age('t.data_implant')} > 25 order by score_equipamento desc, t.cod_id limit 20"),
-        "j14_clear_state": with_tables(["transformers", "boundaries"], "select cod_id, distribuidora, uf from transformers where not (distribuidora='DIST_A' and municipio in (select nome from boundaries where uf='BRAZIL'))"),
+        "j14_clear_state": with_tables(["transformers", "boundaries"], "select cod_id, distribuidora, uf from transformers where not (distribuidora='DIST_A' and municipio in (select nome from boundaries where uf='NATION_7'))"),
         "g4_lines_near": with_tables(["network", "reclosers"], f", {NEAR_LINE} select point, count(*) as n from near_line2 where d <= 500 group by 1"),
         "g6_nearest_anywhere": with_tables(["transformers", "reclosers"], f", {NEAREST.replace('where d <= 2000', '').replace('on r.distribuidora=t.distribuidora', 'on r.distribuidora=t.distribuidora and right(r.cod_id, 1) = chr(53)')} select cod_id, asset, {_half_up('d', 0)} as metros from near"),
         "g8_to_wgs84": with_tables(["reclosers"], f"select cod_id, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from reclosers"),
