@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltgrain.llm import bpe, jaccard, line_dedup, lm, mixing, quality, topk, toxicity, urls, warc
+from voltgrain.llm import bpe, jaccard, line_dedup, lm, merkle, mixing, quality, topk, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_url_filter": urls.op9_url_filter,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """op1, op4 to op10 are beyond SQL; tests compare them with brute force."""
-    return {"op2_warc": warc.OP2_SQL, "op3_topk": topk.OP3_SQL}
+    return {"op2_warc": warc.OP2_SQL, "op3_topk": topk.OP3_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
