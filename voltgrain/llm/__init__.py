@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltgrain.llm import bpe, chat, jaccard, line_dedup, lm, merkle, mixing, quality, topk, toxicity, urls, warc
+from voltgrain.llm import bpe, chat, jaccard, line_dedup, lm, merkle, mixing, phrases, quality, topk, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": urls.op9_url_filter,
         "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
         "op11_chat_formatting": chat.op11_chat_formatting,
+        "op12_phrase_mining": phrases.op12_phrase_mining,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1, op4 to op10 are beyond SQL; tests compare them with brute force."""
-    return {"op2_warc": warc.OP2_SQL, "op3_topk": topk.OP3_SQL, "op11_chat_formatting": chat.OP11_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+    """op1 and op4 to op10 are beyond SQL; tests compare them with brute force."""
+    return {
+        "op2_warc": warc.OP2_SQL,
+        "op3_topk": topk.OP3_SQL,
+        "op11_chat_formatting": chat.OP11_SQL,
+        "op12_phrase_mining": phrases.OP12_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
+    }
