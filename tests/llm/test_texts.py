@@ -134,6 +134,17 @@ def test_bpe_long(library):
     assert len(got) > 400_000 and time.process_time() - began < 60
 
 
+def test_bpe_long_words(library):
+    """Many words too long to be merged side by side take no longer a byte than shorter ones."""
+    b, rng = bpe.loaded(bpe.default_path()), random.Random(7)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(1500))
+    b.encode("x" * 60)  # tables that are made once
+    began = time.process_time()
+    got = b.encode(text)
+    assert time.process_time() - began < 2
+    assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_forgets(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_BYTES", 250_000)
     b = bpe.ByteBPE(bpe.default_path())

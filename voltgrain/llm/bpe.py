@@ -155,9 +155,14 @@ class ByteBPE:
             out[live, :n], sizes[live] = ids, n
         return out, sizes
 
+    @functools.cached_property
+    def merge_of(self) -> dict[int, int]:
+        """merges by pairs, made once."""
+        return dict(zip(self.pairs.tolist(), self.merges.tolist(), strict=True))
+
     def merged_long(self, ids: list[int]) -> list[int]:
         """One fragment by a heap of merges (rank, then place) over a linked list."""
-        merges, n = dict(zip(self.pairs.tolist(), self.merges.tolist(), strict=True)), len(ids)
+        merges, n = self.merge_of, len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(m >> 32, i, m) for i in range(n - 1) if (m := merges.get(ids[i] << 32 | ids[i + 1]))]
         heapify(heap)
