@@ -11,7 +11,9 @@ early, never late, and a phrase is counted in one full cycle from its activation
 activated is a function of the phrase and the stop's filter alone. A filter that is too small for a corpus lets more phrases
 be counted; counts stay exact. Counts are added up by Spark, pre-aggregated in each task, so no phrase is hot.
 
-When no new phrase has reached the threshold for a full cycle, all counts are complete. Phrases are known by their hashes
+A scan's counts are written as its tasks make them. A stop adds up those of one cycle: what is still being counted began no
+earlier, and at the stop that ends a phrase's own cycle its sum is its whole count, which no other stop's sum exceeds. When
+no new phrase has reached the threshold for a full cycle, all counts are complete. Phrases are known by their hashes
 until then; one more scan, shard by shard while any is missing, finds the words of those at or above the threshold. Cuts
 are scored in whole decimals (38 digits). The best of a language are ranked in parts first, then together. Equality of
 phrases is that of 64-bit hashes, which mix in the language.
@@ -35,13 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.llm.blocks import WordHashes, joined
-from voltgrain.llm.common import new_path, release, table, text_bytes, written
+from voltgrain.llm.common import dropped, new_path, release, stored, table, text_bytes, written
 
-LONGEST, SHARDS = 5, 3
+LONGEST, SHARDS = 5, 2
 #: Bits of the filter for each phrase that may reach the threshold, and the most bytes it takes.
 FILTER_BITS, FILTER_BYTES = 16, 16 << 20
-#: Bytes of text that are encoded together, words that are scanned together.
-ENCODE_BYTES, SCAN_WORDS = 8 << 20, 1 << 21
+#: Bytes of text that are encoded together, words that are scanned together, phrases whose counts a task holds.
+ENCODE_BYTES, SCAN_WORDS, HELD = 4 << 20, 1 << 18, 1 << 21
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 BREAK = b"\n"
@@ -179,20 +181,40 @@ def stretches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
             yield flat[a : a + SCAN_WORDS + LONGEST - 1], min(SCAN_WORDS, len(flat) - a)
 
 
+class Held:
+    """Keys of phrases of one length until there are enough to count."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.keys, self.n = length, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.n += len(keys)
+        if self.n >= HELD:
+            yield from self.counts()
+
+    def counts(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            keys, self.keys, self.n = np.concatenate(self.keys), [], 0
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            times = np.diff(np.append(first, len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.full(len(first), self.length, np.int32)), pa.array(times.astype(np.int64))], names=["key", "len", "n"])
+
+
 def scanned(shard: DataFrame, reached: np.ndarray, before: np.ndarray) -> DataFrame:
-    """Counts of the shard's phrases that are activated and have not completed their cycle."""
+    """Counts, by task, of the shard's phrases that are activated and have not completed their cycle."""
     context = shard.sparkSession.sparkContext
     filters = context.broadcast((reached, before))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, old = filters.value
+        held = {length: Held(length) for length in range(2, LONGEST + 1)}
         for flat, n in stretches(it):
             for length, at, keys, done in activated(flat, now, old):
-                keys = np.sort(keys[~done & (at < n)])
-                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-                times = np.diff(np.append(first, len(keys)))
-                if len(first):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.full(len(first), length, np.int32)), pa.array(times.astype(np.int64))], names=["key", "len", "n"])
+                yield from held[length].add(keys[~done & (at < n)])
+        for some in held.values():
+            yield from some.counts()
         release()
 
     return shard.mapInArrow(count, COUNTED)
@@ -208,7 +230,8 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
     words = corpus.filter("key is not null")
     total = words.agg(F.sum("n")).first()[0] or 0
     filters = [Filter(LONGEST * total // threshold + 1)]  # no more phrases can reach the threshold
-    counted: list[DataFrame] = []
+    counted: list[tuple[DataFrame, str]] = []
+    reached: list[DataFrame] = []
     step = last_new = 0
     while step < max(last_new, 1) + shards:
         shard = step % shards
@@ -216,18 +239,19 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
         rows = [words.filter(f"shard = {shard}").select("key", F.lit(1).alias("len"), "n")] if step <= shards else []
         if last_new:
             rows.append(scanned(corpus.filter(f"shard = {shard} and words is not null").select("words"), filters[-1].words, filters[max(0, len(filters) - 1 - shards)].words))
-        if not rows:
-            continue
-        counted.append(written(added(reduce(DataFrame.unionByName, rows)), "phrases-counts"))
-        # What is still being counted began at most a cycle ago.
-        running = added(reduce(DataFrame.unionByName, counted[-shards:])).filter((F.col("len") < LONGEST) & (F.col("n") >= threshold))
-        bits, new = filters[-1].with_(running)
+        if rows:
+            counted.append(stored(reduce(DataFrame.unionByName, rows), "phrases-counts"))
+            cycle = added(reduce(DataFrame.unionByName, (df for df, _ in counted[-shards:]))).filter(F.col("n") >= threshold)
+            reached.append(written(cycle, "phrases-reached"))
+            if len(counted) >= shards:
+                dropped(corpus.sparkSession, counted[-shards][1])
+        bits, new = filters[-1].with_(reached[-1].filter(F.col("len") < LONGEST)) if rows else (filters[-1].words, False)
         filters.append(_replaced(filters[-1], bits))
         if new:
             last_new = step
         for old in filters[: -shards - 1]:
             old.words = np.zeros(0, np.uint64)
-    found = added(reduce(DataFrame.unionByName, counted)).filter(F.col("n") >= threshold)
+    found = reduce(DataFrame.unionByName, reached).groupBy("key", "len").agg(F.max("n").alias("n"))
     return written(found, "phrases-found"), filters[-1]
 
 
