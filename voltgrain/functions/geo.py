@@ -61,48 +61,6 @@ def disc_span(lon1: str, lat1: str, lon2: str, lat2: str, lon: str, lat: str, ra
     return f"case when {ok} then greatest(0e0,{u}-{half}) end", f"case when {ok} then least(1e0,{u}+{half}) end"
 
 
-def inverse_utm(x: Column, y: Column, zone: int = 23) -> tuple[Column, Column]:
-    """Longitude and latitude of a place in a southern zone's plane, by the usual series back."""
-    k0, ep, lon0 = 0.9996, E2 / (1 - E2), (zone * 6 - 183) * pi / 180
-    mu = (y - 10000000) / k0 / (A * (1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256))
-    e1 = (1 - (1 - E2) ** 0.5) / (1 + (1 - E2) ** 0.5)
-    phi = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
-    t, c = F.tan(phi) * F.tan(phi), ep * F.cos(phi) * F.cos(phi)
-    w = 1 - E2 * F.sin(phi) * F.sin(phi)
-    n, r = A / F.sqrt(w), A * (1 - E2) / (w * F.sqrt(w))
-    d = (x - 500000) / (n * k0)
-    power = lambda k: F.pow(d, F.lit(k))
-    lat = phi - n * F.tan(phi) / r * (power(2) / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * power(4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * power(6) / 720)
-    lon = lon0 + (d - (1 + 2 * t + c) * power(3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * power(5) / 120) / F.cos(phi)
-    return F.degrees(lon), F.degrees(lat)
-
-
-#: EPSG codes of coordinates in degrees (SIRGAS 2000, WGS 84); fixed values.
-DEGREES = (4674, 4326)
-
-
-def zone_of(epsg: int) -> int | None:
-    """The southern UTM zone of an EPSG code (31977 to 31985, 32701 to 32760); none for degrees; an error for others."""
-    if epsg in DEGREES:
-        return None
-    for first, zone, n in ((31977, 17, 9), (32701, 1, 60)):
-        if first <= epsg < first + n:
-            return zone + epsg - first
-    raise ValueError(f"EPSG:{epsg} is neither degrees nor a southern UTM zone")
-
-
-def to_degrees(geom: Column, kind: str, epsg: int | None = None) -> Column:
-    """A geometry (kind: its type, as DataFrame.dtypes has it) whose lon and lat hold coordinates of a system, in degrees.
-    Without a system they are taken as degrees. SIRGAS 2000 and WGS 84 count as one."""
-    zone = zone_of(epsg) if epsg is not None else None
-    if zone is None:
-        return geom
-    if kind.startswith("array<"):
-        return F.transform(geom, lambda g: to_degrees(g, kind[6:-1], epsg))
-    lon, lat = inverse_utm(geom["lon"], geom["lat"], zone)
-    return F.when(geom.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat")))
-
-
 def to_wgs84(geom: Column) -> Column:
     """Degrees as maps want them: SIRGAS 2000 differs from WGS 84 by centimetres, so they stay."""
     return geom

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.functions import columns as C
-from voltgrain.functions import geo
+from voltgrain.functions import crs, geo
 from voltgrain.operators import reports, risk, sinks, spatial
 from voltgrain.plans import jobs
 from voltgrain.plans.domain import AS_OF, Domain, with_tables
@@ -259,12 +259,18 @@ def _boundaries_and_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store["ibge_populacao"].read().select("codigo_ibge", "nome", "uf", "populacao", "domicilios", C.half_up("area_km2", 4).alias("area_km2"))
 
 
+#: A system for each remainder of a transformer's number: other datums, other planes.
+MANY_SYSTEMS = (31984, 29194, 5880, 29101, 3857, 4618, 22524, 32724)
+
+
 def _reprojected(d: Domain) -> DataFrame:
-    """Transformers' places through a zone's metres and back."""
-    east, north = geo.utm("geom.lon", "geom.lat", UTM_ZONE)
-    rows = d.transformers.withColumn("metres", F.struct(F.expr(east).alias("lon"), F.expr(north).alias("lat")))
-    back = rows.withColumn("back", geo.to_degrees(F.col("metres"), "struct<lon:double,lat:double>", UTM_EPSG))
-    return back.select("cod_id", *(C.half_up(f"back.{c}", 6).alias(c) for c in ("lon", "lat")))
+    """Transformers' places through the coordinates of many systems and back."""
+    rows, out = d.transformers.withColumn("k", F.pmod(F.xxhash64("cod_id"), F.lit(len(MANY_SYSTEMS)))), None
+    for k, epsg in enumerate(MANY_SYSTEMS):
+        some = rows.filter(F.col("k") == k).withColumn("there", crs.from_degrees(F.col("geom"), epsg))
+        back = some.withColumn("back", crs.to_degrees(F.col("there"), dict(some.dtypes)["there"], epsg))
+        out = back if out is None else out.unionByName(back)
+    return out.select("cod_id", *(C.half_up(f"back.{c}", 6).alias(c) for c in ("lon", "lat")))
 
 
 def _cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
