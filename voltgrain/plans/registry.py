@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.functions import columns as C
-from voltgrain.functions import crs, geo
+from voltgrain.functions import crs, geo, wkb
 from voltgrain.operators import reports, risk, sinks, spatial
-from voltgrain.plans import jobs
+from voltgrain.plans import jobs, landing
 from voltgrain.plans.domain import AS_OF, Domain, with_tables
 from voltgrain.sources import files
 from voltgrain.sources.staging import staging_path
@@ -204,16 +204,34 @@ def _ingest_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _network_store(d, path)
     for _ in range(2):  # a rerun replaces its own rows
         written = jobs.ingest_network(store, f"{path}/features", "DIST_A", "br", {"EQSE": UTM_EPSG})
-    none = F.lit(None).cast("string")
-    out = None
-    for name in sorted(written):
-        rows = store[name].read()
+    return _layer_contents({name: store[name].read() for name in written})
+
+
+def _layer_contents(rows: dict[str, DataFrame]) -> DataFrame:
+    """Every layer's rows in one table."""
+    none, out = F.lit(None).cast("string"), None
+    for name in sorted(rows):
         extra = {"alimentadores": F.concat_ws("/", "subestacao_id", C.half_up("comprimento_km", 3)), "chaves": F.col("tipo_chave")}.get(name, none)
-        rows = rows.select(F.lit(name).alias("tabela"), "cod_id", "municipio", "uf", "distribuidora", "data_implant", extra.alias("extra"))
-        out = rows if out is None else out.unionByName(rows)
+        some = rows[name].select(F.lit(name).alias("tabela"), "cod_id", "municipio", "uf", "distribuidora", "data_implant", extra.alias("extra"))
+        out = some if out is None else out.unionByName(some)
     return out
 
 
+def _ingest_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven layers of r14_ingest_network out of container files, with binary geometries; substations in a zone's metres, as
+    their container says."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "containers")
+    store = _network_store(d, path)
+    landed = files.read_network_layers(spark, f"{path}/features", "DIST_A", "br")
+    layers = {layer: landed[table] for layer, (table, _) in files.LAYERS.items()}
+    back = {layer: {c: f for c, f in fields.items() if c in layers[layer].columns} for layer, (_, fields) in files.LAYERS.items()}
+    metres = lambda c, name: c * 1000 if name == "comprimento_km" else c
+    rows = {layer: df.select(*(metres(F.col(c), c).alias(f) for c, f in back[layer].items()), wkb.binary(F.col("geom"), files.geometry_kind(layer)).alias("geometry")) for layer, df in layers.items()}
+    landing.write_containers(rows, f"{path}/containers", {"EQSE": UTM_EPSG})
+    jobs.ingest_network(store, f"{path}/containers", "DIST_A", "br")
+    return _layer_contents({table: store[table].read() for table, _ in files.LAYERS.values()})
+
+
 def _full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job in order, twice; scores with the snapshot, the gaps and the people of what was stored."""
     d, path = Domain(spark, sf_dir), staging_path(spark, "pipeline")
@@ -318,6 +336,7 @@ def queries() -> dict[str, Query]:
         "r13_ingest_wide_indicators": _indicator_csv,
         "k3_replace_scope": _sink_rerun,
         "r14_ingest_network": _ingest_network,
+        "s8_containers": _ingest_containers,
         "r15_boundaries_and_population": _boundaries_and_population,
         "r16_import_and_score": _import_and_score,
         "r17_full_pipeline": _full_pipeline,
@@ -371,6 +390,11 @@ near_line2 as (select point, line, case when vx*wx+vy*wy <= 0 then sqrt(wx*wx+wy
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {"s8_containers": found["r14_ingest_network"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     both = ["indicators", "network"]
     boundary = "left join boundaries b on b.nome_norm = lower(s.municipio) and b.uf = s.uf"
     gap_sum = "(select municipio, distribuidora, cast(sum(cast(comprimento_km as decimal(18,3))) as double) as km from gaps group by 1,2)"
