@@ -11,10 +11,11 @@ early, never late, and a phrase is counted in one full cycle from its activation
 activated is a function of the phrase and the stop's filter alone. A filter that is too small for a corpus lets more phrases
 be counted; counts stay exact. Counts are added up by Spark, pre-aggregated in each task, so no phrase is hot.
 
-A scan's counts are written as its tasks make them. A stop adds up those of one cycle: what is still being counted began no
-earlier, and at the stop that ends a phrase's own cycle its sum is its whole count, which no other stop's sum exceeds. When
-no new phrase has reached the threshold for a full cycle, all counts are complete. Phrases are known by their hashes
-until then; one more scan, shard by shard while any is missing, finds the words of those at or above the threshold. Cuts
+A scan's counts are written as its tasks make them, with the phrase's phase: which scan of its cycle this is. The stop that
+ends a phrase's cycle adds its counts up, once. Stops before that add up what tasks have met twice or more: what reaches the
+threshold even so has reached it. When no new phrase has reached the threshold for a full cycle, all counts are complete.
+Phrases are known by their hashes until then; scans of growing parts of the corpus, while any is missing, find the words of
+those at or above the threshold. Cuts
 are scored in whole decimals (38 digits). The best of a language are ranked in parts first, then together. Equality of
 phrases is that of 64-bit hashes, which mix in the language.
 
@@ -43,13 +44,15 @@ LONGEST, SHARDS = 5, 2
 #: Bits of the filter for each phrase that may reach the threshold, and the most bytes it takes.
 FILTER_BITS, FILTER_BYTES = 16, 16 << 20
 #: Bytes of text that are encoded together, words that are scanned together, phrases whose counts a task holds.
-ENCODE_BYTES, SCAN_WORDS, HELD = 4 << 20, 1 << 18, 1 << 21
+ENCODE_BYTES, SCAN_WORDS, HELD = 8 << 20, 1 << 18, 1 << 20
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 BREAK = b"\n"
 BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\t"
-ENCODED = "shard int, words array<long>, key long, lang string, word string, n long"
-COUNTED = "key long, len int, n long"
+#: Parts of the corpus, and up to which of them each search for words goes.
+PARTS, SEARCHES = 64, (0, 1, 4, 16, 64)
+ENCODED = "part int, words array<long>, key long, lang string, word string, n long"
+COUNTED = "key long, n long, phase int"
 SEEN = "key long, words array<long>"
 
 
@@ -72,38 +75,52 @@ def words_of(text: bytes) -> list[bytes]:
     return list(filter(None, text.translate(FOLDED).replace(BREAK, b" \n ").split(b" ")))
 
 
-def encoded(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFrame:
-    """The documents' words as hashes, and, beside them, each task's words with their counts. A task's rows are in one shard."""
+def tagged(keys: np.ndarray, length: int) -> np.ndarray:
+    """Hashes with the phrase's length in their last three bits."""
+    return (keys & ~np.uint64(7)) | np.uint64(length)
+
+
+def phrase_key(words: list[np.ndarray]) -> np.ndarray:
+    """The key of each row of words."""
+    return reduce(lambda key, x: tagged(joined([key, x[1]]), x[0]), enumerate(words[1:], 2), words[0])
+
+
+def length_of(key: str = "key") -> Column:
+    return F.col(key).bitwiseAND(7)
+
+
+def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """The documents' words as hashes, and, beside them, each task's words with their counts. A task's rows are in one part."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(text_col).alias("text"))
-    schema = pa.schema([("shard", pa.int32()), ("words", pa.list_(pa.int64())), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("words", pa.list_(pa.int64())), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
-    def unit(shard: int, langs: list[str], texts: list[bytes], seen: WordHashes) -> Iterator[pa.RecordBatch]:
+    def unit(part: int, langs: list[str], texts: list[bytes], seen: WordHashes) -> Iterator[pa.RecordBatch]:
         words = [[*words_of(t), BREAK] for t in texts]
         ends = np.cumsum([len(w) for w in words])
         flat = [w for some in words for w in some]
         hashes = seen.of(flat)
         of = {lang: np.uint64(xxhash.xxh3_64_intdigest(lang.encode())) for lang in set(langs)}
         lang = np.repeat(np.array([of[x] for x in langs], np.uint64), np.diff(ends, prepend=0))
-        keys = np.where(hashes == NO_WORD, np.uint64(0), joined([lang, hashes]))
+        keys = np.where(hashes == NO_WORD, np.uint64(0), tagged(joined([lang, hashes]), 1))
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(keys.view(np.int64)))
         rows = pa.nulls(len(texts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), shard, np.int32)), lists, *(rows.cast(t) for t in schema.types[2:])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part, np.int32)), lists, *(rows.cast(t) for t in schema.types[2:])], schema=schema)
         found, first, n = np.unique(keys, return_index=True, return_counts=True)
         found, first, n = found[found > 0], first[found > 0], n[found > 0]
         if len(found):
             doc = np.searchsorted(ends, first, side="right").tolist()
             strings = pa.array([flat[i] for i in first.tolist()], pa.binary())
             strings = strings.cast(pa.string()) if all(_is_utf8(x) for x in texts) else pa.array([x.decode("utf-8", "replace") for x in strings.to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), shard, np.int32)), pa.nulls(len(found)).cast(schema.types[1]), pa.array(found.view(np.int64)), pa.array([langs[d] for d in doc]), strings, pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), pa.nulls(len(found)).cast(schema.types[1]), pa.array(found.view(np.int64)), pa.array([langs[d] for d in doc]), strings, pa.array(n)], schema=schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seen = TaskContext.get().partitionId() % shards, WordHashes()
+        part, seen = TaskContext.get().partitionId() % PARTS, WordHashes()
         for batch in it:
             sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
             cuts = np.flatnonzero(np.diff(sizes // ENCODE_BYTES, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 if a < b:
-                    yield from unit(shard, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
+                    yield from unit(part, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
         release()
 
     path = new_path(docs.sparkSession, "phrases-shards")
@@ -133,7 +150,7 @@ class Filter:
         the filter."""
         key = F.col("key")
         bit = lambda shift: F.expr(f"shiftleft(1L, cast(shiftright(key, {shift}) & 63 as int))")
-        masks = keys.select(F.shiftrightunsigned(key, 64 - self.bits).alias("at"), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).alias("mask"))
+        masks = keys.select(F.shiftrightunsigned(key, 64 - self.bits).alias("at"), bit(3).bitwiseOR(bit(9)).bitwiseOR(bit(15)).alias("mask"))
         found = masks.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
         at, mask = found["at"].to_numpy(), found["mask"].to_numpy().view(np.uint64)
         out = self.words.copy()
@@ -144,32 +161,29 @@ class Filter:
 def within(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys are in a filter."""
     one, low = np.uint64(1), np.uint64(63)
-    mask = (one << (keys & low)) | (one << ((keys >> np.uint64(6)) & low)) | (one << ((keys >> np.uint64(12)) & low))
+    mask = (one << ((keys >> np.uint64(3)) & low)) | (one << ((keys >> np.uint64(9)) & low)) | (one << ((keys >> np.uint64(15)) & low))
     found = words[(keys >> np.uint64(64 - (len(words).bit_length() - 1))).astype(np.int64)]
     return (found & mask) == mask
 
 
-def activated(flat: np.ndarray, reached: np.ndarray, before: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 2 on: the places of activated phrases in flat, their keys, and which of them had already been
-    activated when the filter was as before."""
-    now, old = within(reached, flat) & (flat != 0), np.zeros(len(flat), bool)
-    if before is not None:
-        old = within(before, flat) & now
+def activated(flat: np.ndarray, filters: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 on: the places of activated phrases in flat, their keys, and how many stops ago that was. filters:
+    the newest and those of the stops before."""
+    on = [within(words, flat) & (flat != 0) for words in filters]
     keys = flat.copy()
     for length in range(2, LONGEST + 1):
-        at = np.flatnonzero(now[:-1] & now[1:])
+        at = np.flatnonzero(on[0][:-1] & on[0][1:])
         at = at[at + length <= len(flat)]
-        found = joined([keys[at], flat[at + length - 1]])
-        done = old[at] & old[at + 1]
-        yield length, at, found, done
+        found = tagged(joined([keys[at], flat[at + length - 1]]), length)
+        age = sum((x[at] & x[at + 1] for x in on[1:]), np.zeros(len(at), np.int8))
+        yield length, at, found, age
         if not len(at) or length == LONGEST:
             break
         keys[at] = found
-        on = within(reached, found)
-        now, old = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
-        now[at] = on
-        if before is not None:
-            old[at] = on & done & within(before, found)
+        for j, words in enumerate(filters):
+            there = within(words, found) & (age >= j)
+            on[j] = np.zeros(len(flat), bool)
+            on[j][at] = there
 
 
 def stretches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
@@ -182,10 +196,10 @@ def stretches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
 
 
 class Held:
-    """Keys of phrases of one length until there are enough to count."""
+    """Keys of phrases of one phase until there are enough to count."""
 
-    def __init__(self, length: int) -> None:
-        self.length, self.keys, self.n = length, [], 0
+    def __init__(self, phase: int) -> None:
+        self.phase, self.keys, self.n = phase, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)
@@ -199,20 +213,22 @@ class Held:
             keys.sort()
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             times = np.diff(np.append(first, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.full(len(first), self.length, np.int32)), pa.array(times.astype(np.int64))], names=["key", "len", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.full(len(first), self.phase, np.int32))], names=["key", "n", "phase"])
 
 
-def scanned(shard: DataFrame, reached: np.ndarray, before: np.ndarray) -> DataFrame:
-    """Counts, by task, of the shard's phrases that are activated and have not completed their cycle."""
-    context = shard.sparkSession.sparkContext
-    filters = context.broadcast((reached, before))
+def scanned(shard: DataFrame, filters: list[np.ndarray]) -> DataFrame:
+    """Counts, by task and phase, of the shard's phrases that are activated and have not completed their cycle. filters: the
+    newest and one for each stop of the cycle before."""
+    told = shard.sparkSession.sparkContext.broadcast(filters)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, old = filters.value
-        held = {length: Held(length) for length in range(2, LONGEST + 1)}
+        filters = told.value
+        held = {(k, age): Held(age + 1) for k in range(2, LONGEST + 1) for age in range(len(filters) - 1)}
         for flat, n in stretches(it):
-            for length, at, keys, done in activated(flat, now, old):
-                yield from held[length].add(keys[~done & (at < n)])
+            for length, at, keys, age in activated(flat, filters):
+                age = np.where(at < n, age, len(filters))
+                for k in range(len(filters) - 1):
+                    yield from held[length, k].add(keys[age == k])
         for some in held.values():
             yield from some.counts()
         release()
@@ -220,39 +236,44 @@ def scanned(shard: DataFrame, reached: np.ndarray, before: np.ndarray) -> DataFr
     return shard.mapInArrow(count, COUNTED)
 
 
-def added(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("key", "len").agg(F.sum("n").alias("n"))
+def added(counts: list[DataFrame], threshold: int) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, counts)
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
 
 
 def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataFrame, Filter]:
-    """Exact counts (key, len, n) of all phrases of up to LONGEST words with threshold occurrences, and the filter of those that
-    can go on."""
+    """Exact counts (key, n) of all phrases of up to LONGEST words with threshold occurrences, and the filter of those that can
+    go on."""
+    spark = corpus.sparkSession
     words = corpus.filter("key is not null")
     total = words.agg(F.sum("n")).first()[0] or 0
-    filters = [Filter(LONGEST * total // threshold + 1)]  # no more phrases can reach the threshold
-    counted: list[tuple[DataFrame, str]] = []
-    reached: list[DataFrame] = []
+    reached = Filter(LONGEST * total // threshold + 1)  # no more phrases can reach the threshold
+    none = reached.words
+    filters = [none] * (shards + 1)  # the newest first
+    counted: dict[int, tuple[DataFrame, str]] = {}
+    found: list[DataFrame] = []
     step = last_new = 0
     while step < max(last_new, 1) + shards:
-        shard = step % shards
         step += 1
-        rows = [words.filter(f"shard = {shard}").select("key", F.lit(1).alias("len"), "n")] if step <= shards else []
+        own = F.col("part") % shards == (step - 1) % shards
+        rows = [words.filter(own).select("key", "n", F.lit(step).alias("phase"))] if step <= shards else []
         if last_new:
-            rows.append(scanned(corpus.filter(f"shard = {shard} and words is not null").select("words"), filters[-1].words, filters[max(0, len(filters) - 1 - shards)].words))
-        if rows:
-            counted.append(stored(reduce(DataFrame.unionByName, rows), "phrases-counts"))
-            cycle = added(reduce(DataFrame.unionByName, (df for df, _ in counted[-shards:]))).filter(F.col("n") >= threshold)
-            reached.append(written(cycle, "phrases-reached"))
-            if len(counted) >= shards:
-                dropped(corpus.sparkSession, counted[-shards][1])
-        bits, new = filters[-1].with_(reached[-1].filter(F.col("len") < LONGEST)) if rows else (filters[-1].words, False)
-        filters.append(_replaced(filters[-1], bits))
+            rows.append(scanned(corpus.filter(own & F.col("words").isNotNull()).select("words"), filters))
+        if not rows:
+            break
+        counted[step] = stored(reduce(DataFrame.unionByName, rows), "phrases-counts")
+        of = lambda ago, phase: counted[step - ago][0].filter(F.col("phase") == phase).select("key", "n")  # noqa: B023, E731
+        found.append(written(added([of(shards - j, j) for j in range(1, shards + 1) if step - shards + j in counted], threshold), "phrases-found"))
+        # Of phrases within their cycle: what was met once only in a task is left for its end.
+        early = [of(ago, phase).filter("n > 1") for ago in range(shards - 1) for phase in range(1, shards - ago) if step - ago in counted]
+        keys = [found[-1], *([added(early, threshold)] if early else [])]
+        bits, new = _replaced(reached, filters[0]).with_(reduce(DataFrame.unionByName, keys).filter(length_of() < LONGEST))
+        filters = [bits, *filters[:-1]]
         if new:
             last_new = step
-        for old in filters[: -shards - 1]:
-            old.words = np.zeros(0, np.uint64)
-    found = reduce(DataFrame.unionByName, reached).groupBy("key", "len").agg(F.max("n").alias("n"))
-    return written(found, "phrases-found"), filters[-1]
+        if step - shards + 1 in counted:
+            dropped(spark, counted.pop(step - shards + 1)[1])
+    return written(reduce(DataFrame.unionByName, found), "phrases-all"), _replaced(reached, filters[0])
 
 
 def _replaced(of: Filter, words: np.ndarray) -> Filter:
@@ -261,39 +282,67 @@ def _replaced(of: Filter, words: np.ndarray) -> Filter:
     return out
 
 
-def phrase_words(corpus: DataFrame, found: DataFrame, reached: Filter, shards: int) -> DataFrame:
-    """found (key, len, n) of two words or more with the hashes of their words: looked for shard by shard."""
-    missing, done = found.filter("len > 1"), []
+def phrase_words(corpus: DataFrame, found: DataFrame, reached: Filter) -> DataFrame:
+    """found (key, n) of two words or more with the hashes of their words. They are looked for in one part of the corpus, then in
+    four times as many: a phrase that is still missing then is rare, so that it is found a few times, not once a task."""
+    missing, done = found.filter(length_of() > 1), []
     context = corpus.sparkSession.sparkContext
     empty = _replaced(reached, np.zeros_like(reached.words))
-    for shard in range(shards):
+    for low, high in zip(SEARCHES, SEARCHES[1:], strict=False):
         asked, any_left = empty.with_(missing)
         if not any_left:
             break
-        filters = context.broadcast((reached.words, asked))
+        told = context.broadcast((reached.words, asked))
 
-        def look(it: Iterator[pa.RecordBatch], filters=filters) -> Iterator[pa.RecordBatch]:
-            now, asked = filters.value
+        def look(it: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            now, asked = told.value
+            met = np.zeros(0, np.uint64)  # keys that this task has found, in order
             for flat, n in stretches(it):
-                for length, at, keys, _ in activated(flat, now, None):
+                new = []
+                for length, at, keys, _ in activated(flat, [now]):
                     on = (at < n) & within(asked, keys)
                     keys, first = np.unique(keys[on], return_index=True)
+                    fresh = ~_in(keys, met)
+                    keys, at = keys[fresh], at[on][first[fresh]]
                     if len(keys):
-                        words = flat[at[on][first][:, None] + np.arange(length)].view(np.int64)
+                        words = flat[at[:, None] + np.arange(length)].view(np.int64)
                         ends = np.arange(len(keys) + 1, dtype=np.int32) * length
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words.ravel()))], names=["key", "words"])
+                        new.append(keys)
+                met = np.sort(np.concatenate([met, *new]))
             release()
 
-        rows = corpus.filter(f"shard = {shard} and words is not null").select("words").mapInArrow(look, SEEN)
+        part = F.col("part")
+        rows = corpus.filter((part >= low) & (part < high) & F.col("words").isNotNull()).select("words").mapInArrow(look, SEEN)
         met = written(rows.groupBy("key").agg(F.min("words").alias("words")), "phrases-words")
         done.append(missing.join(met, "key"))
-        if shard < shards - 1:
+        if high < PARTS:
             missing = written(missing.join(met, "key", "left_anti"), "phrases-missing")
     if not done:
-        return found.filter("len > 1").withColumn("words", F.expr("cast(null as array<long>)"))
+        return missing.withColumn("words", F.expr("cast(null as array<long>)"))
     return written(reduce(DataFrame.unionByName, done), "phrases-candidates")
 
 
+def _in(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of keys are in of, which is in order."""
+    if not len(of):
+        return np.zeros(len(keys), bool)
+    return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
+
+
+def common_words(corpus: DataFrame, threshold: int, reached: Filter) -> DataFrame:
+    """key, lang, word of the words that reach the threshold."""
+    told = corpus.sparkSession.sparkContext.broadcast(reached.words)
+
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield batch.filter(pa.array(within(told.value, batch["key"].to_numpy().view(np.uint64))))
+
+    rows = corpus.filter("key is not null").select("key", "lang", "word", "n").mapInArrow(pick, "key long, lang string, word string, n long")
+    same = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("word").alias("word"))
+    return same.filter(F.col("n") >= threshold).select("key", "lang", "word")
+
+
 CUT = "key long, k int, l_key long, r_key long"
 
 
@@ -306,7 +355,7 @@ def _cuts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(lens == length)
             words = batch["words"].take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, length)
             for k in range(1, length):
-                left, right = (joined([words[:, i] for i in some]) for some in (range(k), range(k, length)))
+                left, right = (phrase_key([words[:, i] for i in some]) for some in (range(k), range(k, length)))
                 yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(np.full(len(rows), k, np.int32)), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], names=["key", "k", "l_key", "r_key"])
 
 
@@ -319,20 +368,18 @@ def score(a: str, n: str, left: str, right: str) -> Column:
 
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", threshold: int = 100, top: int = 2000, shards: int = SHARDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to LONGEST words."""
-    corpus = encoded(docs, text_col, lang_col, shards)
+    corpus = encoded(docs, text_col, lang_col)
     found, reached = phrase_counts(corpus, threshold, shards)
-    phrases = phrase_words(corpus, found, reached, shards)
+    phrases = phrase_words(corpus, found, reached)
     cuts = written(phrases.select("key", "words").mapInArrow(_cuts, CUT), "phrases-cuts")
     # A phrase is no more than a longer one's part if one with a word more occurs as often.
-    more = phrases.filter("len > 2").select("key", "n", "len").join(cuts, "key")
+    more = phrases.select("key", "n", length_of().alias("len")).filter("len > 2").join(cuts, "key")
     parts = more.filter("k = 1").select(F.col("r_key").alias("key"), "n").unionByName(more.filter("k = len - 1").select(F.col("l_key").alias("key"), "n"))
     longer = parts.groupBy("key").agg(F.max("n").alias("longer"))
     closed = phrases.join(longer, "key", "left").filter("longer is null or longer < n").select("key", F.col("n").alias("a"), "words")
     words = corpus.filter("key is not null")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    # Words that reach the threshold, with their strings.
-    strings = words.groupBy("key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("word").alias("word")).filter(F.col("n") >= threshold)
-    strings = written(strings.select("key", "lang", "word"), "phrases-strings")
+    strings = written(common_words(corpus, threshold, reached), "phrases-strings")
     of = lambda side: found.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(side))
     langs = strings.select(F.col("key").alias("first"), "lang").join(totals, "lang")
     scored = closed.withColumn("first", F.col("words")[0]).join(langs, "first").drop("first").join(cuts, "key").join(of("l"), "l_key").join(of("r"), "r_key")
@@ -340,7 +387,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     cut = F.min(F.struct("score", "k", "l", "r")).alias("cut")
     scored = scored.groupBy("key", "lang", "a", "n").agg(cut, F.first("words").alias("words"))
     scored = written(scored.select("key", "lang", "a", "n", "words", "cut.score", "cut.l", "cut.r"), "phrases-scored")
-    best = scored.withColumn("part", F.pmod("key", F.lit(RANK_PARTS)))
+    best = scored.withColumn("part", F.pmod(F.shiftright("key", 8), F.lit(RANK_PARTS)))
     order = (F.desc("score"), F.desc("a"))
     for by in (("lang", "part"), ("lang",)):  # equals stay: their strings decide
         best = best.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top)
