@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltgrain.functions import geo
@@ -53,10 +51,10 @@ def covered_spans(pieces: DataFrame, points: DataFrame, radius_m: float, key: st
     lines, spots = lines.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALTS))), spots.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     both = lines.join(spots, ["distribuidora", "_cx", "_cy", "_s"])
     # geo.disc_span() in steps, each computed once; a row without a stretch goes with its empty array, not by a filter, which Spark would push down with all that it needs
-    one = geo.RADIUS * pi / 180
-    x = lambda c: (F.col(c) - F.col("lon1")) * one * F.cos(F.radians("lat1"))
-    y = lambda c: (F.col(c) - F.col("lat1")) * one
-    both = both.select(key, "piece", x("lon2").alias("dx"), y("lat2").alias("dy"), x("lon").alias("px"), y("lat").alias("py"))
+    north, east = map(geo.expr, geo.curvature("lat1"))
+    x = lambda c: F.radians(F.col(c) - F.col("lon1")) * F.col("_east")
+    y = lambda c: F.radians(F.col(c) - F.col("lat1")) * F.col("_north")
+    both = both.withColumns({"_north": north, "_east": east}).select(key, "piece", x("lon2").alias("dx"), y("lat2").alias("dy"), x("lon").alias("px"), y("lat").alias("py"))
     both = both.withColumn("ll", F.expr("dx*dx+dy*dy")).withColumn("u", F.expr("case when ll > 0e0 then (px*dx+py*dy)/ll end"))
     both = both.withColumn("room", F.lit(radius_m * radius_m) - F.expr("(px*px+py*py)") + F.expr("u*u*ll")).withColumn("half", F.expr("case when ll > 0e0 then sqrt(greatest(room,0e0)/ll) end"))
     stretch = F.expr("case when ll > 0e0 and room >= 0e0 and u+half > 0e0 and u-half < 1e0 then array(named_struct('t0', greatest(0e0,u-half), 't1', least(1e0,u+half))) end")
@@ -90,42 +88,108 @@ def protection_gaps(network: DataFrame, reclosers: DataFrame, *, radius_m: float
     return found.filter(F.col("len_m") > min_gap_m).select(key, "distribuidora", "municipio", "uf", half_up(km, 3).alias("comprimento_km"), F.least(half_up(km / 10 * 100, 1), F.lit(100.0)).alias("score_vulnerabilidade"), "geom")
 
 
+def _distance(lon1: str = "lon1", lat1: str = "lat1", lon2: str = "lon2", lat2: str = "lat2") -> Column:
+    return geo.geodesic(*map(F.col, (lon1, lat1, lon2, lat2)))
+
+
 def nearest_asset(points: DataFrame, assets: DataFrame, *, key: str = "cod_id", asset_key: str = "cod_id", within_m: float | None = 2000.0) -> DataFrame:
-    """For each point with an asset of its utility within within_m, the nearest one (the smaller key of two) and its distance.
-    Without a limit the search goes on, four times as far each time, for the points that have found none."""
+    """For each point with an asset of its utility within within_m, the nearest one (the smaller key of two) and its distance,
+    the shortest way on the ellipsoid. Without a limit, for each point of a utility with assets."""
     if within_m is None:
         return _nearest_anywhere(points, assets, key, asset_key)
     side = max(within_m, 1000.0) / DEGREE
     here = points.select(F.col(key).alias("_key"), "distribuidora", F.col("geom.lon").alias("lon1"), F.col("geom.lat").alias("lat1"))
     here = with_near_cells(here, (F.col("lon1"), F.col("lat1"), F.col("lon1"), F.col("lat1")), within_m, side)
     there = with_cells(assets.select("distribuidora", F.col(asset_key).alias("asset"), F.col("geom.lon").alias("lon2"), F.col("geom.lat").alias("lat2")), "lon2", "lat2", side)
-    pairs = here.join(there, ["distribuidora", "_cx", "_cy"]).withColumn("distance_m", geo.expr(geo.great_circle("lon1", "lat1", "lon2", "lat2"))).filter(F.col("distance_m") <= within_m)
+    pairs = here.join(there, ["distribuidora", "_cx", "_cy"]).withColumn("distance_m", _distance()).filter(F.col("distance_m") <= within_m)
     return pairs.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("distance_m", "asset")).alias("_n")).select(key, F.col("_n.asset").alias("asset"), F.col("_n.distance_m").alias("distance_m"))
 
 
+#: Cubes of the tree of assets: the power of two of the largest ones' sides in metres, the smallest ones', and by how many each
+#: level divides an axis.
+LARGEST, SMALLEST, DIVIDED = 23, 1, 2
+#: A shortest way is so much longer than its chord at most, up to 500 km and anywhere; ways are ordered as chords are, but for
+#: the last share: the ellipsoid is a sphere squeezed by 1/298, which changes both by less than 0.34 %.
+ARC_NEAR, ARC_FAR, ORDER = 1.004, 1.58, 1.01
+#: Tasks that share the points in one of the larger cubes.
+CUBE_SALTS, SALTED_SIDE = 32, 17
+AXES = ("x", "y", "z")
+
+
+def _cube(axis: str, power: int) -> Column:
+    return F.floor((F.col(axis) + 2.0**LARGEST) / 2.0**power).cast("long")
+
+
+def _cubes(spots: DataFrame, power: int) -> DataFrame:
+    """A row for each cube of a level that holds assets: the cube above it, the box around its assets, how many places these are
+    at, and one of them. Named apart from the columns of points."""
+    at = {f"c{a}": _cube(a, power) for a in AXES}
+    box = [f(a).alias(f"{n}_{a}") for a in AXES for n, f in (("low", F.min), ("high", F.max))]
+    some = F.min(F.struct("asset", "lon2", "lat2", *(F.col(a) for a in AXES))).alias("one")
+    cubes = spots.withColumns(at).groupBy("distribuidora", *at).agg(*box, F.count(F.lit(1)).alias("places"), some)
+    # How far the others may be from the one, through the earth and on it.
+    far = F.sqrt(sum((F.pow(F.greatest(F.col(f"one.{a}") - F.col(f"low_{a}"), F.col(f"high_{a}") - F.col(f"one.{a}")), F.lit(2)) for a in AXES), F.lit(0.0)))
+    cubes = cubes.withColumn("around", F.when(F.col("places") == 1, F.lit(0.0)).otherwise(far * F.when(far < 5e5, ARC_NEAR).otherwise(ARC_FAR)))
+    above = {f"p{a}": F.floor(F.col(f"c{a}") / 2**DIVIDED).cast("long") for a in AXES}
+    return cubes.withColumns(above).select("distribuidora", *above, *at, "places", "around", "one.asset", "one.lon2", "one.lat2", *(F.col(f"{n}_{a}") for a in AXES for n in ("low", "high")))
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    """Of each point's cubes those that may hold its nearest asset: first by the box's distance through the earth, which is cheap,
+    then by the way to the cube's one asset, less what the others may be nearer."""
+    gap = lambda a, far: F.greatest(F.abs(F.col(f"low_{a}") - F.col(a)), F.abs(F.col(f"high_{a}") - F.col(a))) if far else F.greatest(F.col(f"low_{a}") - F.col(a), F.col(a) - F.col(f"high_{a}"), F.lit(0.0))
+    reach = lambda far: F.sqrt(sum((gap(a, far) * gap(a, far) for a in AXES), F.lit(0.0)))
+    of_point = Window.partitionBy("_key")
+    found = found.withColumns({"_low": reach(False), "_high": F.min(reach(True)).over(of_point)}).filter(F.col("_low") <= F.col("_high") * ORDER)
+    found = found.withColumn("distance_m", F.coalesce("distance_m", _distance()))
+    return found.withColumn("_best", F.min("distance_m").over(of_point)).filter(F.col("distance_m") - F.col("around") <= F.col("_best")).drop("_low", "_high", "_best")
+
+
+def _staged(rows: DataFrame, name: str) -> DataFrame:
+    path = staging_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _nearest_anywhere(points: DataFrame, assets: DataFrame, key: str, asset_key: str) -> DataFrame:
-    """Rounds are written to the shared folder; there are nine at most, until the earth is spanned."""
-    spark = points.sparkSession
-    left = points.select(key, "distribuidora", "geom").filter("geom is not null").join(assets.select("distribuidora").distinct(), "distribuidora", "left_semi")
-    found, within = None, 2000.0
-    while True:
-        last = within > 2.1e7
-        here, there = left.select(F.col(key).alias("_key"), "distribuidora", F.col("geom.lon").alias("lon1"), F.col("geom.lat").alias("lat1")), assets.select("distribuidora", F.col(asset_key).alias("asset"), F.col("geom.lon").alias("lon2"), F.col("geom.lat").alias("lat2"))
-        if last:  # cells can't help: every asset of the utility is near enough
-            pairs = here.join(there, "distribuidora").withColumn("distance_m", geo.expr(geo.great_circle("lon1", "lat1", "lon2", "lat2")))
-            some = pairs.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("distance_m", "asset")).alias("_n")).select(key, F.col("_n.asset").alias("asset"), F.col("_n.distance_m").alias("distance_m"))
-        else:
-            some = nearest_asset(left, assets, key=key, asset_key=asset_key, within_m=within)
-        path = staging_path(spark, "nearest")
-        some.write.parquet(path)
-        some = spark.read.parquet(path)
-        found = some if found is None else found.unionByName(some)
-        path = staging_path(spark, "not-near")
-        left.join(some.select(key), key, "left_anti").write.parquet(path)
-        left = spark.read.parquet(path)
-        if last or left.isEmpty():
-            return found
-        within *= 4
+    """What has an asset within 2 km is found by cells. The other points go down a tree of cubes of the earth, a level a round,
+    all points at once: a point takes along the cubes that may hold its nearest asset, by bounds, which are a few, however
+    many assets there are and however far. A cube with assets at one place is gone down no further. Places are compared, not assets: of
+    several at one place only that of the smallest key counts. Rounds are written to the shared folder."""
+    here = points.select(F.col(key).alias("_key"), "distribuidora", "geom").filter("geom is not null")
+    here = here.join(assets.filter("geom is not null").select("distribuidora").distinct(), "distribuidora", "left_semi")
+    near = _staged(nearest_asset(here, assets, key="_key", asset_key=asset_key), "nearest")
+    left = here.join(near, "_key", "left_anti").select("_key", "distribuidora", F.col("geom.lon").alias("lon1"), F.col("geom.lat").alias("lat1"))
+    left = _staged(left.withColumns(dict(zip(AXES, geo.earth_xyz(F.col("lon1"), F.col("lat1")), strict=True))), "not-near")
+    named = lambda rows: rows.select(F.col("_key").alias(key), "asset", "distance_m")
+    if left.isEmpty():
+        return named(near)
+    spots = assets.filter("geom is not null").groupBy("distribuidora", F.col("geom.lon").alias("lon2"), F.col("geom.lat").alias("lat2")).agg(F.min(asset_key).alias("asset"))
+    spots = _staged(spots.withColumns(dict(zip(AXES, geo.earth_xyz(F.col("lon2"), F.col("lat2")), strict=True))), "spots")
+    own = ["_key", "distribuidora", "lon1", "lat1", *AXES]
+    open_, closed = left.withColumns({f"p{a}": F.lit(0).cast("long") for a in AXES}), None
+    for power in range(LARGEST, SMALLEST - 1, -DIVIDED):
+        cubes = _cubes(spots, power)
+        if power == LARGEST:  # whatever stands above the largest ones is one
+            cubes = cubes.withColumns({f"p{a}": F.lit(0).cast("long") for a in AXES})
+        by = ["distribuidora", *(f"p{a}" for a in AXES)]
+        if power >= SALTED_SIDE:
+            open_ = open_.withColumn("_s", F.pmod(F.xxhash64("_key"), F.lit(CUBE_SALTS)).cast("int"))
+            cubes, by = cubes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(CUBE_SALTS - 1)))), [*by, "_s"]
+        found = open_.join(cubes, by).drop(*by[1:]).withColumn("distance_m", F.lit(None).cast("double"))
+        if closed is not None:
+            found = found.unionByName(closed)
+        found = _staged(_kept(found), "cubes")
+        closed = found.filter("places = 1")
+        open_ = found.filter("places > 1").select(*own, *(F.col(f"c{a}").alias(f"p{a}") for a in AXES))
+        if open_.isEmpty():
+            break
+    else:  # places less than a metre or two apart
+        last = spots.withColumns({f"p{a}": _cube(a, SMALLEST) for a in AXES}).drop(*AXES)
+        apart = open_.join(last, ["distribuidora", *(f"p{a}" for a in AXES)]).withColumn("distance_m", _distance())
+        found = closed.select("_key", "asset", "distance_m").unionByName(apart.select("_key", "asset", "distance_m"))
+    best = found.groupBy("_key").agg(F.min(F.struct("distance_m", "asset")).alias("_n")).select("_key", "_n.asset", "_n.distance_m")
+    return named(near.select("_key", "asset", "distance_m").unionByName(best))
 
 
 def lines_near(network: DataFrame, points: DataFrame, metres: float, *, key: str = "cod_id", point_key: str = "cod_id") -> DataFrame:
@@ -139,12 +203,57 @@ def lines_near(network: DataFrame, points: DataFrame, metres: float, *, key: str
     return both.filter(geo.within_distance("_piece", F.col("_at"), metres)).select("point", "line").distinct()
 
 
+#: Where the grid of boundary_cells() begins, in sides: no vertex lies on one of its lines but by chance.
+OFF_LON, OFF_LAT = 0.3713906763541037, 0.6180339887498949
+#: Degrees by which an edge's stretch of a cell is taken longer, against rounding; a cell too many does no harm.
+SLACK = 1e-9
+
+
+def _off_cell(value: Column, off: float, side: float) -> Column:
+    return F.floor(value / side - off).cast("long")
+
+
+def boundary_cells(boundaries: DataFrame, side: float, key: str = "codigo_ibge") -> tuple[DataFrame, DataFrame]:
+    """Polygons cut to the cells of a grid: cells that an edge touches, with a row for each such edge and whether the cell's lower
+    right corner is inside, and cells that are inside as a whole. No row holds more than an edge. An edge is followed from row to row of
+    the grid; a corner is inside if the edges that cross the grid's line to the right of it are odd in number, which is added up
+    along the line from the cells that have any."""
+    polygons = boundaries.select(F.col(key).alias("_b"), F.posexplode("geom").alias("_part", "_polygon"))
+    rings = polygons.select("_b", "_part", F.explode("_polygon").alias("_ring")).select("_b", "_part", F.explode(geo.pieces("_ring")).alias("_e"))
+    edges = rings.select("_b", "_part", *(F.col(f"_e.{e}.{c}").alias(f"{n}{i}") for i, e in ((1, "a"), (2, "b")) for n, c in (("x", "lon"), ("y", "lat")))).filter("x1 <> x2 or y1 <> y2")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    edges = edges.withColumn("_cy", F.explode(F.sequence(_off_cell(low - SLACK, OFF_LAT, side), _off_cell(high + SLACK, OFF_LAT, side))))
+    bottom = (F.col("_cy") + OFF_LAT) * side
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    ends = [at(F.least(F.greatest(y, low), high)) for y in (bottom - SLACK, bottom + side + SLACK)]
+    flat = F.col("y1") == F.col("y2")
+    west, east = (F.when(flat, f("x1", "x2")).otherwise(f(*ends)) for f in (F.least, F.greatest))
+    crossing = F.when((F.col("y1") > bottom) != (F.col("y2") > bottom), _off_cell(at(bottom), OFF_LON, side))
+    edges = edges.withColumns({"_first": _off_cell(west - SLACK, OFF_LON, side), "_last": _off_cell(east + SLACK, OFF_LON, side), "_crossing": crossing})
+    touched = edges.withColumn("_cx", F.explode(F.sequence("_first", "_last")))
+    # Edges that cross each cell's lower line; to the right of a cell's corner are those of the cells after it.
+    line = touched.groupBy("_b", "_part", "_cy", "_cx").agg(F.count_if(F.col("_crossing") == F.col("_cx")).alias("n"))
+    along = Window.partitionBy("_b", "_part", "_cy").orderBy(F.desc("_cx"))
+    line = line.withColumns({"_right": F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_after": F.lag("_cx").over(along)})
+    inside = line.filter((F.col("_right") % 2 == 1) & (F.col("_after") > F.col("_cx") + 1)).select("_b", "_cy", F.explode(F.sequence(F.col("_cx") + 1, F.col("_after") - 1)).alias("_cx"))
+    corners = line.select("_b", "_part", "_cy", "_cx", (F.col("_right") % 2).cast("int").alias("_corner"))
+    border = touched.select("_b", "_part", "_cy", "_cx", "x1", "y1", "x2", "y2").join(corners, ["_b", "_part", "_cy", "_cx"])
+    return border, inside
+
+
 def assign_municipality(points: DataFrame, boundaries: DataFrame, *, key: str = "cod_id", side: float = 0.1) -> DataFrame:
-    """key and codigo_ibge, nome, uf of the boundary that holds each point; the smallest code if several do."""
-    ring = F.flatten(F.flatten("geom"))
-    corner = lambda f, c: f(F.transform(ring, lambda p: p[c]))
-    shapes = boundaries.select("codigo_ibge", "nome", "uf", F.col("geom").alias("_shape"), *(corner(f, c).alias(f"_{n}") for n, f, c in (("w", F.array_min, "lon"), ("s", F.array_min, "lat"), ("e", F.array_max, "lon"), ("n", F.array_max, "lat"))))
-    shapes = with_near_cells(shapes, (F.col("_w"), F.col("_s"), F.col("_e"), F.col("_n")), 0.0, side)
-    spots = with_cells(points.select(F.col(key).alias("_key"), F.col("geom.lon").alias("lon"), F.col("geom.lat").alias("lat")), "lon", "lat", side)
-    inside = spots.join(shapes, ["_cx", "_cy"]).filter(geo.in_polygons(F.col("lon"), F.col("lat"), F.col("_shape")))
-    return inside.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("codigo_ibge", "nome", "uf")).alias("_b")).select(key, "_b.codigo_ibge", "_b.nome", "_b.uf")
+    """key and codigo_ibge, nome, uf of the boundary that holds each point; the smallest code if several do. A point on a lower or
+    left edge is inside, on an upper or right one outside. A point meets the edges of its own cell, no whole polygon: it goes right
+    to the cell's border, then down to its corner, and each edge crossed on the way turns inside to outside."""
+    border, inside = boundary_cells(boundaries, side)
+    spots = points.select(F.col(key).alias("_key"), F.col("geom.lon").alias("x"), F.col("geom.lat").alias("y")).filter("x is not null and y is not null")
+    spots = spots.withColumns({"_cx": _off_cell(F.col("x"), OFF_LON, side), "_cy": _off_cell(F.col("y"), OFF_LAT, side)})
+    right, bottom = (F.col("_cx") + 1 + OFF_LON) * side, (F.col("_cy") + OFF_LAT) * side
+    to_right = F.expr("(y1 > y) != (y2 > y)") & F.expr("x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1") & (F.expr("(x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1") <= right)
+    height = (F.col("y2") - F.col("y1")) * (right - F.col("x1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)) + F.col("y1")
+    down = ((F.col("x1") > right) != (F.col("x2") > right)) & (height > bottom) & (height <= F.col("y"))
+    turns = F.count_if(F.coalesce(to_right, F.lit(False))) + F.count_if(F.coalesce(down, F.lit(False)))
+    at_border = spots.join(border, ["_cx", "_cy"]).groupBy("_key", "x", "y", "_b", "_part").agg(turns.alias("_turns"), F.first("_corner").alias("_corner"))
+    held = at_border.filter("(_turns + _corner) % 2 = 1").select("_key", "_b").unionByName(spots.join(inside, ["_cx", "_cy"]).select("_key", "_b"))
+    named = held.join(boundaries.select(F.col("codigo_ibge").alias("_b"), "nome", "uf"), "_b")
+    return named.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct(F.col("_b").alias("codigo_ibge"), "nome", "uf")).alias("_t")).select(key, "_t.codigo_ibge", "_t.nome", "_t.uf")

@@ -48,7 +48,13 @@ means as (select municipio, distribuidora, cast(sum(case when rn<=3 then score_r
   cast(sum(case when rn>3 then score_risco end) as double)/nullif(count(case when rn>3 then 1 end),0) as b from numbered where rn<=6 group by 1,2),
 trend as (select municipio, distribuidora, {_half_up("a", 4)} as media_recente, {_half_up("b", 4)} as media_anterior from means),
 trends as (select *, case when media_recente > media_anterior+2 then 'piorando' when media_recente < media_anterior-2 then 'melhorando' else 'estavel' end as tendencia from trend)"""
-NEAREST = f"""pairs as (select t.cod_id, r.cod_id as asset, {geo.great_circle("t.lon", "t.lat", "r.lon", "r.lat")} as d from transformers t join reclosers r on r.distribuidora=t.distribuidora),
+#: Metres between two points less than 100 km apart by their mean latitude: another way than the operator's, to a millimetre.
+MEAN_LATITUDE = """pairs0 as (select t.cod_id, r.cod_id as asset, radians((t.lat+r.lat)/2e0) as p, radians(r.lat-t.lat) as dp, radians(r.lon-t.lon) as dl from transformers t join reclosers r on r.distribuidora=t.distribuidora),
+pairs1 as (select *, 0.006739496775478957e0*cos(p)*cos(p) as h, tan(p)*tan(p) as t2 from pairs0),
+pairs2 as (select *, 6399593.625864023e0/sqrt(1e0+h) as n from pairs1),
+pairs as (select cod_id, asset, sqrt(pow(dl*n*cos(p)*(1e0-pow(dl*sin(p),2)/24e0+(1e0+h-9e0*h*t2)/(24e0*pow(1e0+h,2))*dp*dp),2)
+ +pow(dp*n/(1e0+h)*cos(dl/2e0)*(1e0+(1e0-2e0*h)/24e0*pow(dl*cos(p),2)+h*(1e0-t2)/(8e0*pow(1e0+h,2))*dp*dp),2)) as d from pairs2)"""
+NEAREST = f"""{MEAN_LATITUDE},
 near as (select cod_id, asset, d from (select *, row_number() over (partition by cod_id order by d, asset) as n from pairs where d <= 2000) where n=1)"""
 
 
@@ -169,7 +175,7 @@ UTM_EPSG, UTM_ZONE = 31984, 24
 
 def _landed_features(d: Domain, path: str) -> None:
     """The network's seven layers as files of features, without municipalities: substations in a UTM zone's metres, switches as
-    GeoJSON, feeders (a line each) in metres. Substations stand a little beside the reclosers."""
+    GeoJSON, feeders (two lines each, a little beside the network's) in metres. Substations stand a little beside the reclosers."""
     date = F.date_format("data_implant", "dd/MM/yyyy").alias("DAT_INS")
     land = lambda rows, layer, *more, geom="geom": rows.select(F.col("cod_id").alias("COD_ID"), *(F.col(a).alias(b) for a, b in more), date, F.col(geom).alias("geometry")).write.parquet(f"{path}/{layer}")
     land(d.network, "SSDMT", ("comprimento", "COMP_TREC"))
@@ -179,7 +185,9 @@ def _landed_features(d: Domain, path: str) -> None:
     east, north = geo.utm("(geom.lon+0.0002e0)", "(geom.lat+0.0002e0)", UTM_ZONE)
     moved = d.reclosers.withColumn("cod_id", F.concat(F.lit("S"), "cod_id")).withColumn("at", F.struct(F.expr(east).alias("lon"), F.expr(north).alias("lat")))
     land(moved, "EQSE", geom="at")
-    land(d.network.withColumn("cod_id", F.concat(F.lit("F"), "cod_id")).withColumn("line", F.array("geom")), "CTMT", ("municipio", "COD_SSDMT"), ("comprimento", "COMP_TREC"), geom="line")
+    on_line = lambda t: F.struct(*((F.col("geom")[0][c] + t * (F.col("geom")[1][c] - F.col("geom")[0][c]) + 0.0001).alias(c) for c in ("lon", "lat")))
+    two = F.array(F.array(on_line(0.0), on_line(0.3)), F.array(on_line(0.3), on_line(1.0)))
+    land(d.network.withColumn("cod_id", F.concat(F.lit("F"), "cod_id")).withColumn("line", two), "CTMT", ("municipio", "COD_SSDMT"), ("comprimento", "COMP_TREC"), geom="line")
     sinks.write_feature_collection(d.switches.select(F.col("cod_id").alias("COD_ID"), F.col("uf").alias("TIP_EQMT"), date, "geom"), f"{path}/EQCHAVE.geojson", kind="Point")
 
 
@@ -351,7 +359,7 @@ def queries() -> dict[str, Query]:
         "f12_critical_transformers": over(lambda d: reports.critical_transformers(reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None)).select("cod_id", "idade_anos", "score_equipamento")),
         "j14_clear_state": _cleared,
         "g4_lines_near": over(lambda d: spatial.lines_near(d.network, d.reclosers, 500.0).groupBy("point").agg(F.count(F.lit(1)).alias("n"))),
-        "g6_nearest_anywhere": over(lambda d: spatial.nearest_asset(d.transformers, d.reclosers.filter("cod_id like '%5'"), within_m=None).select("cod_id", "asset", C.half_up("distance_m", 0).alias("metros"))),
+        "g6_nearest_anywhere": over(lambda d: spatial.nearest_asset(d.transformers, d.reclosers, within_m=None).select("cod_id", "asset", C.half_up("distance_m", 0).alias("metros"))),
         "g8_to_wgs84": over(lambda d: d.reclosers.withColumn("at", geo.to_wgs84(F.col("geom"))).select("cod_id", *(C.half_up(f"at.{c}", 6).alias(c) for c in ("lon", "lat")))),
         "g9_reproject": over(_reprojected),
     }
@@ -384,9 +392,9 @@ def _in_town(table: str, name: str, rows: str, extra: str = "cast(null as varcha
 
 
 #: Metres from a recloser to a line of its utility, by the height of the triangle or the nearer end.
-NEAR_LINE = """near_line as (select r.cod_id as point, n.cod_id as line, (n.lon2-n.lon1)*cos(radians(n.lat1)) as vx, n.lat2-n.lat1 as vy, (r.lon-n.lon1)*cos(radians(n.lat1)) as wx, r.lat-n.lat1 as wy
+NEAR_LINE = """near_line as (select r.cod_id as point, n.cod_id as line, radians(n.lon2-n.lon1)*{1} as vx, radians(n.lat2-n.lat1)*{0} as vy, radians(r.lon-n.lon1)*{1} as wx, radians(r.lat-n.lat1)*{0} as wy
  from network n join reclosers r on r.distribuidora=n.distribuidora and abs(r.lat-n.lat1) < 0.06 and abs(r.lon-n.lon1) < 0.06 where n.lon1<>n.lon2 or n.lat1<>n.lat2),
-near_line2 as (select point, line, case when vx*wx+vy*wy <= 0 then sqrt(wx*wx+wy*wy) when vx*wx+vy*wy >= vx*vx+vy*vy then sqrt((wx-vx)*(wx-vx)+(wy-vy)*(wy-vy)) else abs(vx*wy-vy*wx)/sqrt(vx*vx+vy*vy) end * radians(1)*6371008.8 as d from near_line)"""
+near_line2 as (select point, line, case when vx*wx+vy*wy <= 0 then sqrt(wx*wx+wy*wy) when vx*wx+vy*wy >= vx*vx+vy*vy then sqrt((wx-vx)*(wx-vx)+(wy-vy)*(wy-vy)) else abs(vx*wy-vy*wx)/sqrt(vx*vx+vy*vy) end as d from near_line)""".format(*geo.curvature("n.lat1"))
 
 
 def oracle_sql() -> dict[str, str]:
@@ -458,7 +466,7 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
             _in_town("rede_mt", "", f"select *, {_middle('lon')} as lon, {_middle('lat')} as lat from network"), _in_town("rede_bt", "", f"select *, {_middle('lon')} as lon, {_middle('lat')} as lat from low_voltage"),
             _in_town("transformadores", "", "select * from transformers"), _in_town("religadores", "", "select * from reclosers"), _in_town("chaves", "uf", "select * from switches", "t.uf"),
             _in_town("subestacoes", "", "select 'S'||cod_id as cod_id, data_implant, lon+0.0002e0 as lon, lat+0.0002e0 as lat from reclosers"),
-            f"select 'alimentadores', 'F'||cod_id, '', 'BR', 'DIST_A', data_implant, municipio||'/'||cast({_half_up('comprimento/1000e0', 3)} as varchar) from network"])),
+            _in_town("alimentadores", "extra", f"select 'F'||cod_id as cod_id, data_implant, {_middle('lon')}+0.0001e0 as lon, {_middle('lat')}+0.0001e0 as lat, municipio||'/'||cast({_half_up('comprimento/1000e0', 3)} as varchar) as uf from network", "t.uf")])),
         "r15_boundaries_and_population": with_tables(["boundaries", "population"], f"select b.codigo_ibge, b.nome, 'BR' as uf, p.populacao, p.domicilios, {_half_up(_area_sql(), 4)} as area_km2 from boundaries b join population p on p.codigo_ibge=b.codigo_ibge"),
         "r16_import_and_score": with_tables([*both, "boundaries"], f"{PLACED}, {SCORES.replace('from network where', 'from placed where')} select * from scores where distribuidora='DIST_A'"),
         "r17_full_pipeline": with_tables([*both, "reclosers", "boundaries", "population"], f"""{PLACED}, own as (select n.* replace ('DIST_A' as distribuidora, p.municipio as municipio) from network n join placed p on p.cod_id=n.cod_id),
@@ -478,7 +486,7 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
         "f12_critical_transformers": with_tables(["transformers", "reclosers"], f", {NEAREST} select t.cod_id, cast({_age('t.data_implant')} as int) as idade_anos, {_half_up('least(' + _age('t.data_implant') + '/30e0,1e0)*60+least(coalesce(n.d,2000e0)/2000e0,1e0)*40', 1)} as score_equipamento from transformers t left join near n on n.cod_id=t.cod_id where {_age('t.data_implant')} > 25 order by score_equipamento desc, t.cod_id limit 20"),
         "j14_clear_state": with_tables(["transformers", "boundaries"], "select cod_id, distribuidora, uf from transformers where not (distribuidora='DIST_A' and municipio in (select nome from boundaries where uf='NATION_7'))"),
         "g4_lines_near": with_tables(["network", "reclosers"], f", {NEAR_LINE} select point, count(*) as n from near_line2 where d <= 500 group by 1"),
-        "g6_nearest_anywhere": with_tables(["transformers", "reclosers"], f", {NEAREST.replace('where d <= 2000', '').replace('on r.distribuidora=t.distribuidora', 'on r.distribuidora=t.distribuidora and right(r.cod_id, 1) = chr(53)')} select cod_id, asset, {_half_up('d', 0)} as metros from near"),
+        "g6_nearest_anywhere": with_tables(["transformers", "reclosers"], f", {NEAREST.replace('where d <= 2000', '')} select cod_id, asset, {_half_up('d', 0)} as metros from near"),
         "g8_to_wgs84": with_tables(["reclosers"], f"select cod_id, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from reclosers"),
         "g9_reproject": with_tables(["transformers"], f"select cod_id, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from transformers"),
     }
