@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ LONGEST, SHARDS = 5, 2
 #: Bits of the filter for each phrase that may reach the threshold, and the most bytes it takes.
 FILTER_BITS, FILTER_BYTES = 16, 16 << 20
 #: Bytes of text that are encoded together, words that are scanned together, phrases whose counts a task holds.
-ENCODE_BYTES, SCAN_WORDS, HELD = 8 << 20, 1 << 18, 1 << 20
+ENCODE_BYTES, SCAN_WORDS, HELD = 4 << 20, 1 << 18, 1 << 19
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 BREAK = b"\n"
@@ -216,10 +216,9 @@ class Held:
             yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.full(len(first), self.phase, np.int32))], names=["key", "n", "phase"])
 
 
-def scanned(shard: DataFrame, filters: list[np.ndarray]) -> DataFrame:
-    """Counts, by task and phase, of the shard's phrases that are activated and have not completed their cycle. filters: the
-    newest and one for each stop of the cycle before."""
-    told = shard.sparkSession.sparkContext.broadcast(filters)
+def scanned(shard: DataFrame, told: Broadcast) -> DataFrame:
+    """Counts, by task and phase, of the shard's phrases that are activated and have not completed their cycle. told: the newest
+    filter and one for each stop of the cycle before."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = told.value
@@ -252,16 +251,19 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
     filters = [none] * (shards + 1)  # the newest first
     counted: dict[int, tuple[DataFrame, str]] = {}
     found: list[DataFrame] = []
-    step = last_new = 0
+    step, last_new, told = 0, 0, None
     while step < max(last_new, 1) + shards:
         step += 1
         own = F.col("part") % shards == (step - 1) % shards
         rows = [words.filter(own).select("key", "n", F.lit(step).alias("phase"))] if step <= shards else []
         if last_new:
-            rows.append(scanned(corpus.filter(own & F.col("words").isNotNull()).select("words"), filters))
+            told = spark.sparkContext.broadcast(filters)
+            rows.append(scanned(corpus.filter(own & F.col("words").isNotNull()).select("words"), told))
         if not rows:
             break
         counted[step] = stored(reduce(DataFrame.unionByName, rows), "phrases-counts")
+        if told:
+            told.destroy()
         of = lambda ago, phase: counted[step - ago][0].filter(F.col("phase") == phase).select("key", "n")  # noqa: B023, E731
         found.append(written(added([of(shards - j, j) for j in range(1, shards + 1) if step - shards + j in counted], threshold), "phrases-found"))
         # Of phrases within their cycle: what was met once only in a task is left for its end.
@@ -315,6 +317,7 @@ def phrase_words(corpus: DataFrame, found: DataFrame, reached: Filter) -> DataFr
         part = F.col("part")
         rows = corpus.filter((part >= low) & (part < high) & F.col("words").isNotNull()).select("words").mapInArrow(look, SEEN)
         met = written(rows.groupBy("key").agg(F.min("words").alias("words")), "phrases-words")
+        told.destroy()
         done.append(missing.join(met, "key"))
         if high < PARTS:
             missing = written(missing.join(met, "key", "left_anti"), "phrases-missing")
