@@ -24,6 +24,19 @@ def test_csv_encodings(spark, tmp_path):
         assert rows.columns == ["IdeConj", "NomMunicípio"] and rows.first()[1] == "Maceió"
 
 
+def test_folder_of_mixed_encodings(spark, tmp_path):
+    """Each file by its own encoding; quoted line breaks, separators and quotes."""
+    at = tmp_path / "mixed"
+    at.mkdir()
+    write(at / "a.csv", "IdeConj;NomMunicípio\n1;Maceió\n2;\"duas\nlinhas; \"\"é\"\"\"\n", "utf-8-sig")
+    write(at / "b.csv", "IdeConj;NomMunicípio\n3;São José\n4;\"Água\nBranca\"\n", "latin-1")
+    write(at / "c.csv", "IdeConj;NomMunicípio\n5;plain\n")
+    rows = files.read_csv_any_encoding(spark, str(at))
+    assert rows.columns == ["IdeConj", "NomMunicípio"]
+    assert sorted(map(tuple, rows.collect())) == [("1", "Maceió"), ("2", 'duas\nlinhas; "é"'), ("3", "São José"), ("4", "Água\nBranca"), ("5", "plain")]
+    assert files.read_csv_any_encoding(spark, write(tmp_path / "only.csv", "IdeConj;X\n")).count() == 0
+
+
 def test_headers():
     assert files.normal_header("  Mês (Réf.)  ") == "mes_ref"
     assert files.find_header(["plano", "ano"], ("ano",)) == "ano"
@@ -84,6 +97,58 @@ def test_parts(spark, tmp_path):
     assert t.read().count() == 3
 
 
+def test_scopes_of_many_values(spark, tmp_path):
+    """A table in parts by utility and state: lists and bounds of a scope leave other parts' files alone."""
+    t = sinks.Table(spark, str(tmp_path / "t"))
+    rows = spark.createDataFrame([(u, s, y) for u in ("A/x", "B", None) for s in ("AL", "PE") for y in range(2000, 2004)], "u string, s string, y int")
+    t.replace_scope(rows, {"u": ["A/x", "B"], "s": ["AL", "PE"]}, by=["u", "s"])
+    parts = t._list()[1]
+    assert len(parts) == 6 and {tuple(p["same"].values()) for p in parts} == {(u, s) for u in ("A/x", "B", None) for s in ("AL", "PE")}
+    assert t.read().columns == ["u", "s", "y"] and t.read().count() == 24
+    t.replace_scope(rows.filter("u = 'B' and y = 2001"), {"u": ["B", "C"], "s": ["PE"]}, by=["u", "s"])
+    now = t._list()[1]
+    assert len([p for p in now if p in parts]) == 5 and t.read().count() == 20 + 2
+    t.replace_scope(rows.limit(0), {"u": ["A/x"], "s": ["AL"], "y": sinks.Bounds(2002, None)}, by=["u", "s"])
+    left = sorted((r["u"], r["s"], r["y"]) for r in t.read().filter("u = 'A/x' and s = 'AL'").collect())
+    assert [y for _, _, y in left] == [2000, 2001] and len([p for p in t._list()[1] if p in now]) == len(now) - 1
+    t.clean()
+    assert t.read().count() == 20
+
+
+def test_continuity_leaves_others_alone(spark, tmp_path):
+    months = "".join(f"{k};2023{m:02d};{sig};12,0;10,0\n" for k in (1, 2) for m in (1, 2) for sig in ("DEC", "FEC"))
+    long = write(tmp_path / "i.csv", "IdeConj;AnoMes;SigIndicador;ValApurado;ValLimite\n" + months)
+    both = write(tmp_path / "a.csv", "IdeConj;SigUF;NomMunicipio;SigAgente\n1;AL;X;U\n2;AL;Y;V\n")
+    one = write(tmp_path / "b.csv", "IdeConj;SigUF;NomMunicipio;SigAgente\n1;AL;X;U\n")
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    table = store["indicadores_continuidade"]
+    jobs.ingest_continuity(store, both, long, "AL")
+    before = table._list()[1]
+    assert jobs.ingest_continuity(store, one, long, "AL", last=2022).count() == 0
+    assert [p for p in table._list()[1] if p in before] == [p for p in before if p["same"]["distribuidora"] == "V"]
+    assert sorted((r["distribuidora"], r["mes"]) for r in table.read().collect()) == [("U", 1), ("U", 2), ("V", 1), ("V", 2)]
+
+
+def test_stored_elsewhere(spark, tmp_path):
+    """A second utility's equal cod_id is refused, the same utility's rerun is not; null keys are equal to none."""
+    at = tmp_path / "features"
+    kind = "COD_ID string, geometry struct<lon:double,lat:double>"
+    spark.createDataFrame([("x", (1.0, 2.0)), (None, (1.0, 3.0))], kind).write.parquet(str(at / "EQRE"))
+    spark.createDataFrame([("y", (1.0, 2.0))], kind).write.parquet(str(at / "EQSE"))
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        assert jobs.ingest_network(store, str(at), "A", "AL") == {"religadores": 2, "subestacoes": 1}
+    other = tmp_path / "other"
+    spark.createDataFrame([("x", (1.0, 2.0)), ("z", (1.0, 3.0))], kind).write.parquet(str(other / "EQRE"))
+    spark.createDataFrame([("z", (1.0, 2.0)), (None, None)], kind).write.parquet(str(other / "EQSE"))
+    assert jobs.ingest_network(store, str(other), "B", "AL") == {"religadores": -1, "subestacoes": 2}
+    assert {r["distribuidora"] for r in store["religadores"].read().collect()} == {"A"}
+    stored = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("cod_id"), F.lit("A").alias("u"))
+    rows = spark.range(4990, 6000).select(F.concat(F.lit("k"), "id").alias("cod_id"))
+    assert {r[0] for r in sinks.stored_elsewhere(rows, stored, "cod_id", {"u": "B"}).collect()} == {f"k{i}" for i in range(4990, 5000)}
+    assert sinks.stored_elsewhere(rows, stored, "cod_id", {"u": "A"}).count() == 0
+
+
 def test_features(spark):
     rows = spark.createDataFrame([("a", [(1.0, 2.0), (3.0, 4.0)]), ("b", None)], "k string, geom array<struct<lon:double,lat:double>>")
     found = [json.loads(r[0]) for r in sinks.to_features(rows).collect()]

@@ -8,8 +8,10 @@ import json
 import logging
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -45,6 +47,16 @@ class Table:
         if not self._fs.rename(new, self._at(f"{self.path}/lists/{n:010d}.json")):
             raise RuntimeError(f"another job has changed {self.path}")
 
+    def _parts_by(self, rows: DataFrame, by: list[str]) -> list[dict]:
+        """Write rows once, a part for each combination of values of a few columns."""
+        name, copies = f"parts/{uuid.uuid4().hex}", {f"_by_{c}": F.col(c) for c in by}
+        rows.withColumns(copies).repartition(*copies).write.partitionBy(*copies).parquet(f"{self.path}/{name}")
+        found = [{"name": name, "same": {}}]
+        for c in by:
+            below = [(p, d) for p in found for d in self._names(p["name"]) if d.startswith(f"_by_{c}=")]
+            found = [{"name": f"{p['name']}/{d}", "same": p["same"] | {c: _value(d, rows.schema[c].dataType.typeName())}} for p, d in below]
+        return found
+
     def _part(self, rows: DataFrame, same: dict | None = None) -> dict:
         name = f"parts/{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
@@ -57,35 +69,42 @@ class Table:
         return self._rows(self._list()[1])
 
     def append(self, rows: DataFrame, same: dict | None = None) -> int:
-        """Blind: a rerun adds the rows again. The number of rows. same: values that all rows have."""
+        """Blind: a rerun adds the rows again. The number of rows, counted as they are written. same: values that all rows have."""
+        seen = Observation()
         n, parts = self._list()
-        part = self._part(rows, same)
+        part = self._part(rows.observe(seen, F.count(F.lit(1)).alias("n")), same)
         self._switch(n + 1, [*parts, part])
-        return self._rows([part]).count()
+        return seen.get["n"]
 
-    def append_new(self, rows: DataFrame, keys: list[str]) -> int:
-        """Rows whose keys aren't stored yet; repeats among the new rows stay."""
-        old = self.read()
-        return self.append(rows if old is None else rows.join(old.select(*keys).distinct(), keys, "left_anti"))
+    def append_new(self, rows: DataFrame, keys: list[str]) -> dict[str, int]:
+        """Rows whose keys are whole and not stored yet; repeats among the new rows stay. Returns how many rows there were, how many
+        dropped for missing keys, already stored, new: counted by the plan that writes, in one pass over the rows."""
+        seen = Observation()
+        n, parts = self._list()
+        new = _counted(rows, self._rows(parts), keys, seen)
+        self._switch(n + 1, [*parts, self._part(new)])
+        return seen.get
 
-    def _apart(self, parts: list[dict], same: dict) -> tuple[list[dict], list[dict]]:
-        """Parts that can't have a row with the values, and the others."""
-        other = [p for p in parts if any(c in p["same"] and p["same"][c] != v for c, v in same.items())]
+    def _apart(self, parts: list[dict], scope: dict) -> tuple[list[dict], list[dict]]:
+        """Parts that can't have a row in a scope, and the others."""
+        other = [p for p in parts if any(c in p["same"] and not _among(p["same"][c], v) for c, v in scope.items())]
         return other, [p for p in parts if p not in other]
 
-    def replace_scope(self, rows: DataFrame, scope: Column | dict) -> None:
-        """Stored rows in scope go, rows come; an empty result empties the scope. A scope of columns' values only rewrites the
-        parts that may have them, and of these not those that have them in all rows."""
+    def replace_scope(self, rows: DataFrame, scope: Column | dict, by: list[str] | None = None) -> None:
+        """Stored rows in scope go, rows come; an empty result empties the scope. A scope of columns' values (one, a list, or a
+        Bounds) only rewrites the parts that may have them, and of these not those that have them in all rows. by: columns of few
+        values; rows come as a part for each combination, so that later scopes leave most of them alone."""
         n, parts = self._list()
-        same = scope if isinstance(scope, dict) else {}
-        kept, touched = self._apart(parts, same)
+        kept, touched = self._apart(parts, scope) if isinstance(scope, dict) else ([], parts)
+        same = {c: v for c, v in scope.items() if not isinstance(v, (list, Bounds))} if isinstance(scope, dict) else {}
         if isinstance(scope, dict):
-            touched = [p for p in touched if not scope.items() <= p["same"].items()]
-            scope = F.lit(True)
-            for c, v in same.items():
-                scope = scope & F.col(c).eqNullSafe(F.lit(v))
+            touched = [p for p in touched if not scope.keys() <= p["same"].keys()]
+            scope = scope_column(scope)
         new = [self._part(self._rows([p]).filter(~F.coalesce(scope, F.lit(False))), p["same"]) for p in touched]
-        self._switch(n + 1, [*kept, *new, self._part(rows, same)])
+        come = self._parts_by(rows, by) if by else [self._part(rows, same)]
+        if not (kept or new or come):  # a table without rows has columns still
+            come = [self._part(rows)]
+        self._switch(n + 1, [*kept, *new, *come])
 
     def upsert(self, rows: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]], same: dict | None = None) -> None:
         """Rows of new keys come whole. Of stored keys the columns in update become what it makes of old and new value. same:
@@ -111,13 +130,46 @@ class Table:
     def clean(self) -> None:
         """Delete parts and lists that the newest version doesn't need; no reader may be at older ones."""
         n, parts = self._list()
-        used = {p["name"].removeprefix("parts/") for p in parts}
+        used = {p["name"].split("/")[1] for p in parts}
         for folder, fine in (("parts", used), ("lists", {f"{n:010d}.json"})):
             for name in self._names(folder):
                 if name not in fine:
                     self._fs.delete(self._at(f"{self.path}/{folder}/{name}"), True)
 
 
+class Bounds(NamedTuple):
+    """Values from first to last; None: no bound on that side."""
+
+    first: int | None
+    last: int | None
+
+
+def _value(folder: str, kind: str) -> object:
+    """What a folder of a partition says."""
+    text = unquote(folder.partition("=")[2])
+    return None if text == "__HIVE_DEFAULT_PARTITION__" else int(text) if kind in ("byte", "short", "integer", "long") else text
+
+
+def _among(value: object, of: object) -> bool:
+    if isinstance(of, Bounds):
+        return value is not None and (of.first is None or value >= of.first) and (of.last is None or value <= of.last)
+    return value in of if isinstance(of, list) else value == of
+
+
+def scope_column(scope: dict) -> Column:
+    """Whether a row is in a scope of columns' values."""
+    out = F.lit(True)
+    for c, v in scope.items():
+        if isinstance(v, Bounds):
+            for bound, fits in ((v.first, F.col(c) >= F.lit(v.first)), (v.last, F.col(c) <= F.lit(v.last))):
+                out = out & fits if bound is not None else out
+        elif isinstance(v, list):
+            out = out & F.col(c).isin(v)
+        else:
+            out = out & F.col(c).eqNullSafe(F.lit(v))
+    return out
+
+
 def newer(old: Column, new: Column) -> Column:
     return new
 
@@ -148,17 +200,45 @@ def check_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def accounting(read: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
-    """One row: rows read, dropped for missing keys, already stored, new. One pass over what was read."""
+def _counted(rows: DataFrame, stored: DataFrame | None, keys: list[str], seen: Observation) -> DataFrame:
+    """The rows that are new; what becomes of all is counted as they pass."""
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     if stored is None:
-        rows = read.withColumn("_old", F.lit(None).cast("boolean"))
+        rows = rows.withColumn("_old", F.lit(None).cast("boolean"))
     else:
-        rows = read.join(stored.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left")
+        rows = rows.join(stored.select(*keys).distinct().withColumn("_old", F.lit(True)), keys, "left").select(*rows.columns, "_old")
     old = F.col("_old").isNotNull()
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~whole).alias("dropped"), F.count_if(whole & old).alias("existing"), F.count_if(whole & ~old).alias("new"))
+    counts = {"total": F.count(F.lit(1)), "dropped": F.count_if(~whole), "existing": F.count_if(whole & old), "new": F.count_if(whole & ~old)}
+    return rows.observe(seen, *(c.alias(n) for n, c in counts.items())).filter(whole & ~old).drop("_old")
+
+
+#: Words of 64 bits of the filter of keys that is broadcast: 2 MB with their places, however many keys there are.
+FILTER_WORDS = 1 << 17
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A table of at most FILTER_WORDS rows (_at, _bits) in which every key has three bits."""
+    return keys.select(*_filter_place(key)).groupBy("_at").agg(F.bit_or("_mask").alias("_bits"))
+
+
+def _filter_place(key: str) -> tuple[Column, Column]:
+    h = F.xxhash64(key)
+    bit = lambda n: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(`{key}`), {n}) & 63 as int))")
+    return F.pmod(F.shiftright(h, 32), F.lit(FILTER_WORDS)).alias("_at"), bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).alias("_mask")
+
+
+def stored_elsewhere(rows: DataFrame, stored: DataFrame | None, key: str, scope: dict) -> DataFrame:
+    """Keys of rows that a stored row outside of a scope has too. The stored table is read once, its key and the scope's columns
+    alone, and not shuffled: a broadcast filter of the new keys, of a fixed size, leaves what may be equal, which is then joined."""
+    new = rows.filter(F.col(key).isNotNull()).select(F.col(key)).distinct()
+    if stored is None:
+        return new.limit(0)
+    at, mask = _filter_place(key)
+    other = stored.filter(~F.coalesce(scope_column(scope), F.lit(False))).select(F.col(key), at, mask)
+    maybe = other.join(F.broadcast(key_filter(new, key)), "_at").filter(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    return new.join(maybe.select(key), key, "left_semi")
 
 
 def to_features(rows: DataFrame, geometry: str = "geom", kind: str = "LineString") -> DataFrame:

@@ -240,6 +240,18 @@ def _ingest_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layer_contents({table: store[table].read() for table, _ in files.LAYERS.values()})
 
 
+def _stored_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reclosers of one utility are stored; of a layer of many more, said to be another's, those are found that are stored
+    already, and the layer is refused."""
+    d, path = Domain(spark, sf_dir), staging_path(spark, "elsewhere")
+    store = jobs.Store(spark, f"{path}/store")
+    store["religadores"].append(d.reclosers.filter("distribuidora = 'DIST_A'"))
+    d.reclosers.select(F.col("cod_id").alias("COD_ID"), F.col("geom").alias("geometry")).write.parquet(f"{path}/features/EQRE")
+    written = jobs.ingest_network(store, f"{path}/features", "DIST_B", "br")
+    found = sinks.stored_elsewhere(d.reclosers, store["religadores"].read(), "cod_id", {"distribuidora": "DIST_B", "uf": "BR"})
+    return found.withColumn("escritas", F.lit(written["religadores"]))
+
+
 def _full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job in order, twice; scores with the snapshot, the gaps and the people of what was stored."""
     d, path = Domain(spark, sf_dir), staging_path(spark, "pipeline")
@@ -349,6 +361,7 @@ def queries() -> dict[str, Query]:
         "r16_import_and_score": _import_and_score,
         "r17_full_pipeline": _full_pipeline,
         "k1_append_layers": _append_layers,
+        "k6_stored_elsewhere": _stored_elsewhere,
         "k2_append_new": _append_new,
         "k7_features": _features,
         "a14_accounting": _accounting,
@@ -476,6 +489,7 @@ select municipio, distribuidora, uf, score_risco, dec_medio_12m, dec_limite, rat
  select v.municipio, 'DIST_A' as distribuidora, 'BR' as uf, 2001 as ano, 12 as mes, coalesce(g.n,0) as n_gaps, p.populacao, v.meses_violacao from viol v
  left join (select municipio, count(*) as n from gaps group by 1) g on g.municipio=v.municipio left join boundaries b on b.nome=v.municipio left join population p on p.codigo_ibge=b.codigo_ibge"""),
         "k1_append_layers": with_tables(["switches", "reclosers"], "select 'chaves' as tabela, (select count(*) from switches) as escritas, (select count(*) from switches) as guardadas, cod_id, -1 as falhas from switches union all select 'religadores', (select count(*) from reclosers), (select count(*) from reclosers), cod_id, -1 from reclosers"),
+        "k6_stored_elsewhere": with_tables(["reclosers"], "select cod_id, -1 as escritas from reclosers where distribuidora='DIST_A'"),
         "k2_append_new": with_tables(["indicators"], "select case when mes <= 6 then 1 else 2 end as lote, ano, count(*) as n from indicators group by 1, 2"),
         "k7_features": with_tables(["transformers"], f"select cod_id, potencia_nom, fabricante, {_half_up('lon', 6)} as lon, {_half_up('lat', 6)} as lat from transformers"),
         "a14_accounting": with_tables(["indicators"], "select count(*) as total, 0 as dropped, count(case when mes % 2 = 0 then 1 end) as existing, count(case when mes % 2 = 1 then 1 end) as new from indicators"),
