@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import re
 import shutil
 import tempfile
@@ -70,6 +71,13 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of jobs whose results are written: it does when the driver's garbage is collected, which a
+    job of many steps may not live to see, while its disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(col: str | Column) -> Column:
     """A text in UTF-8; null gives none."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("binary"), F.lit(b""))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltgrain.llm.blocks import WordHashes, joined
-from voltgrain.llm.common import dropped, new_path, release, stored, table, text_bytes, written
+from voltgrain.llm.common import dropped, new_path, release, stored, table, text_bytes, tidied, written
 
 LONGEST, SHARDS = 5, 2
 #: Bits of the filter for each phrase that may reach the threshold, and the most bytes it takes.
@@ -94,7 +94,14 @@ def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_bytes(text_col).alias("text"))
     schema = pa.schema([("part", pa.int32()), ("words", pa.list_(pa.int64())), ("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
-    def unit(part: int, langs: list[str], texts: list[bytes], seen: WordHashes) -> Iterator[pa.RecordBatch]:
+    def words_of_task(part: int, held: list[tuple]) -> pa.RecordBatch:
+        """Words that were met in several units, once."""
+        keys, first, place = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        n = np.bincount(place, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
+        take = lambda i: pa.concat_arrays([h[i] for h in held]).take(pa.array(first))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.nulls(len(keys)).cast(schema.types[1]), pa.array(keys.view(np.int64)), take(2), take(3), pa.array(n)], schema=schema)
+
+    def unit(part: int, held: list[tuple], langs: list[str], texts: list[bytes], seen: WordHashes) -> Iterator[pa.RecordBatch]:
         words = [[*words_of(t), BREAK] for t in texts]
         ends = np.cumsum([len(w) for w in words])
         flat = [w for some in words for w in some]
@@ -111,16 +118,21 @@ def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             doc = np.searchsorted(ends, first, side="right").tolist()
             strings = pa.array([flat[i] for i in first.tolist()], pa.binary())
             strings = strings.cast(pa.string()) if all(_is_utf8(x) for x in texts) else pa.array([x.decode("utf-8", "replace") for x in strings.to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int32)), pa.nulls(len(found)).cast(schema.types[1]), pa.array(found.view(np.int64)), pa.array([langs[d] for d in doc]), strings, pa.array(n)], schema=schema)
+            held.append((found, n, pa.array([langs[d] for d in doc]), strings))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId() % PARTS, WordHashes()
+        part, held, seen = TaskContext.get().partitionId() % PARTS, [], WordHashes()
         for batch in it:
             sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
             cuts = np.flatnonzero(np.diff(sizes // ENCODE_BYTES, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 if a < b:
-                    yield from unit(part, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
+                    yield from unit(part, held, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield words_of_task(part, held)
+                    held.clear()
+        if held:
+            yield words_of_task(part, held)
         release()
 
     path = new_path(docs.sparkSession, "phrases-shards")
@@ -275,6 +287,7 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
             last_new = step
         if step - shards + 1 in counted:
             dropped(spark, counted.pop(step - shards + 1)[1])
+        tidied(spark)
     return written(reduce(DataFrame.unionByName, found), "phrases-all"), _replaced(reached, filters[0])
 
 
