@@ -52,6 +52,20 @@ def test_topk_query(spark, sf_dir, duck):
     assert same(topk.op3_topk(spark, sf_dir), duck.sql(topk.OP3_SQL))
 
 
+def test_topk_query_meets_bounds(spark, sf_dir):
+    """Of the table's own pairs nearly all meet the bounds, and results are those of all exact scores."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("embedding is not null").collect()
+    whole = [(r["vec_id"], np.floor(256 * np.array(r["embedding"], float)).astype(np.int64)) for r in rows if all(x is not None and math.isfinite(x) for x in r["embedding"])]
+    ids, v = np.array([i for i, _ in whole]), np.stack([x for _, x in whole])
+    asked, seen = np.flatnonzero(ids % 50 == 0), [0, 0]
+    place, found, scores = topk.best_of(ids[asked], v[asked], ids, v, 5, seen)
+    assert seen[0] > 0.9 * len(asked) * len(ids) and seen[1] <= seen[0]
+    exact = v[asked] @ v.T
+    exact[np.arange(len(asked)), asked] = -(2**62)
+    want = [(i, ids[j], exact[i, j]) for i in range(len(asked)) for j in np.lexsort((ids, -exact[i]))[:5]]
+    assert list(zip(place.tolist(), found.tolist(), scores.tolist())) == want
+
+
 def test_topk_odd(spark):
     rng = random.Random(2)
     data = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(12)]) for i in range(3000)]

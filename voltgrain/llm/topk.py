@@ -3,7 +3,8 @@
 Vectors are cut to equal segments. For two segments of n components, the inner product is at most
 n * (m1 * m2 + s1 * s2), with means m and deviations s: the distance is at least what these leave.
 From coarse to fine segments, a candidate whose bound falls below a query's k-th best score so far is
-dropped; exact scores, in whole numbers, are computed for the survivors alone.
+dropped; exact scores, in whole numbers, are computed for the survivors alone. The first 4 k candidates of a block set the
+first floor; all others meet the bounds.
 
 Queries and candidates are dealt into blocks of bounded size; each pair of blocks is one group, and
 a group returns k rows a query, so the last step ranks k rows a block for each query: the work is queries
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from voltgrain.llm.common import table, written
 
 QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 2048, 8192, 1024
+#: Candidates, for each place of k, whose exact scores set the first floor.
+START = 4
 FOUND = "query_id long, vec_id long, score long"
 #: Numbers of segments, coarse to fine; those beyond a vector's length are skipped.
 SEGMENTS = (1, 4, 16, 32)
@@ -59,8 +62,9 @@ def best_of(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k:
     norm_q, norm_v = np.linalg.norm(fq, axis=1), np.linalg.norm(fv, axis=1)
     place, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
     floor = np.full(len(q), -np.inf)
-    for at in range(0, len(v), CHUNK):
-        rows = np.arange(at, min(at + CHUNK, len(v)))
+    start = min(len(v), START * k)
+    for at, end in zip([0, *range(start, len(v), CHUNK)], [start, *range(start + CHUNK, len(v), CHUNK), len(v)], strict=False):
+        rows = np.arange(at, end)
         alive = q_id[:, None] != v_id[rows][None, :]
         all_of = int(alive.sum())
         for of_q, of_v in levels if at else ():
