@@ -1,8 +1,7 @@
-"""Operator 8, quality rules: repetition within a document from a suffix array over its symbols.
+"""Operator 8, quality rules: repetition within a document from a suffix array over its words.
 
-Symbols are words; a word of more than LONG_WORD bytes (text without blanks) is taken apart into its bytes, PER_WORD
-of which count as one word. Each batch of texts becomes one symbol sequence in which a symbol of another document is
-another symbol, so that a repeat never crosses documents. Prefix doubling sorts the suffixes (only groups that are
+A word is one symbol, however long: a link written twice repeats one word. Each batch of texts becomes one symbol sequence in
+which a word of another document is another symbol, so that a repeat never crosses documents. Prefix doubling sorts the suffixes (only groups that are
 still tied are sorted again); the ranks of each doubling give the longest common prefix of neighbours in the suffix
 array. A suffix's longest repeat is the longer of its two neighbours' prefixes: these spans are the maximal repeats,
 and their union is the covered part. The verdict limits the covered share and the longest repeat.
@@ -26,11 +25,9 @@ from pyspark.sql import functions as F
 from voltgrain.llm.common import release, table, text_bytes, unused
 
 SYMBOLS = "#*$%&|<>"
-SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long, text_words long"
+SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
 #: Symbols of a batch whose suffixes are sorted together; a longer text makes a batch of its own.
 BATCH_WORDS = 400_000
-#: Bytes of a word that stays whole, and bytes of a longer one that count as a word.
-LONG_WORD, PER_WORD = 64, 6
 
 
 def suffix_ranks(first: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
@@ -102,10 +99,9 @@ def longest_of(symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repetition(texts: list[list[bytes]], min_repeat: int, window: int = 3) -> np.ndarray:
-    """Rows of words in repeated windows, words covered by repeats of min_repeat words or more, words of the longest repeat,
-    words in all; the last three count PER_WORD bytes of long words as one."""
+    """Rows of words in repeated windows, words covered by repeats of min_repeat words or more, words of the longest repeat."""
     sizes = np.array([len(w) for w in texts], np.int64)
-    n, out = int(sizes.sum()), np.zeros((len(texts), 4), np.int64)
+    n, out = int(sizes.sum()), np.zeros((len(texts), 3), np.int64)
     if not n:
         return out
     ids: dict[bytes, int] = {}
@@ -116,33 +112,9 @@ def repetition(texts: list[list[bytes]], min_repeat: int, window: int = 3) -> np
     at = np.flatnonzero(longest >= min_repeat)
     out[:, 1] = np.bincount(doc[union_length(at, longest[at], n)], minlength=len(texts))
     np.maximum.at(out[:, 2], doc, longest)
-    out[:, 3] = sizes
-    apart = [i for i, text in enumerate(texts) if any(len(w) > LONG_WORD for w in text)]
-    if apart:
-        out[apart, 1:] = symbol_repetition([texts[i] for i in apart], ids, min_repeat)
     return out
 
 
-def symbol_repetition(texts: list[list[bytes]], ids: dict[bytes, int], min_repeat: int) -> np.ndarray:
-    """The last three of repetition() for texts with long words: ids number words, bytes follow them."""
-    parts, weights, sizes = [], [], []
-    for text in texts:
-        some = [np.frombuffer(w, np.uint8).astype(np.int64) + len(ids) if len(w) > LONG_WORD else np.array([ids[w]]) for w in text]
-        parts += some
-        sizes.append(sum(map(len, some)))
-    symbol = np.concatenate(parts)
-    weights = np.where(symbol < len(ids), PER_WORD, 1)
-    longest, doc = longest_of(symbol, np.array(sizes))
-    before = np.append(0, np.cumsum(weights))
-    length = before[np.arange(len(symbol)) + longest] - before[:-1]
-    at = np.flatnonzero(length >= min_repeat * PER_WORD)
-    covered = np.where(union_length(at, longest[at], len(symbol)), weights, 0)
-    most = np.zeros(len(texts), np.int64)
-    np.maximum.at(most, doc, length)
-    of = lambda x: -(-np.bincount(doc, weights=x, minlength=len(texts)).astype(np.int64) // PER_WORD)
-    return np.stack([of(covered), most // PER_WORD, of(weights)], axis=1)
-
-
 def _signals(min_repeat: int):
     def batches(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in it:
@@ -160,7 +132,7 @@ def _signals(min_repeat: int):
                 space = sum(map(text.count, " \t\n\v\f\r"))
                 rows.append([len(w), len(text) - space, sum(map(text.count, SYMBOLS)), dup])
                 held.append(w)
-                words += len(raw) if any(len(x) > LONG_WORD for x in w) else len(w)
+                words += len(w)
                 if words >= BATCH_WORDS:
                     _flush(rows, held, min_repeat)
                     held, words = [], 0
@@ -190,7 +162,7 @@ def verdict(q: str = "quality", *, max_covered: float = 0.2, max_longest: int =
     the share covered by repeats and the words of the longest one."""
     s = F.col(q)
     base = (s["n_words"] < min_words) | (s["n_repeat_words"] > max_repeat_share * s["n_words"])
-    return base, ~base & (s["covered_words"] <= max_covered * s["text_words"]) & (s["longest_repeat"] <= max_longest)
+    return base, ~base & (s["covered_words"] <= max_covered * s["n_words"]) & (s["longest_repeat"] <= max_longest)
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -201,5 +173,5 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     base, kept = verdict()
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "text_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
     return quality_signals(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *(F.col("quality")[n].alias(n) for n in names), base.alias("base_failed"), kept.alias("kept"))
