@@ -41,8 +41,8 @@ from voltgrain.llm.blocks import WordHashes, joined
 from voltgrain.llm.common import dropped, new_path, release, stored, table, text_bytes, tidied, written
 
 LONGEST, SHARDS = 5, 2
-#: Bits of the filter for each phrase that may reach the threshold, and the most bytes it takes.
-FILTER_BITS, FILTER_BYTES = 16, 16 << 20
+#: Bits of the filter for each phrase that may reach the threshold (a tenth of these do), and the most bytes it takes.
+FILTER_BITS, FILTER_BYTES = 8, 16 << 20
 #: Bytes of text that are encoded together, words that are scanned together, phrases whose counts a task holds.
 ENCODE_BYTES, SCAN_WORDS, HELD = 4 << 20, 1 << 18, 1 << 19
 #: Parts in which a language's phrases are ranked first.
@@ -128,7 +128,7 @@ def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 if a < b:
                     yield from unit(part, held, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
-                if sum(len(h[0]) for h in held) >= HELD:
+                if sum(len(h[0]) for h in held) >= HELD // 2:
                     yield words_of_task(part, held)
                     held.clear()
         if held:
@@ -346,16 +346,9 @@ def _in(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, keys), len(of) - 1)] == keys
 
 
-def common_words(corpus: DataFrame, threshold: int, reached: Filter) -> DataFrame:
+def common_words(corpus: DataFrame, threshold: int) -> DataFrame:
     """key, lang, word of the words that reach the threshold."""
-    told = corpus.sparkSession.sparkContext.broadcast(reached.words)
-
-    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield batch.filter(pa.array(within(told.value, batch["key"].to_numpy().view(np.uint64))))
-
-    rows = corpus.filter("key is not null").select("key", "lang", "word", "n").mapInArrow(pick, "key long, lang string, word string, n long")
-    same = rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("word").alias("word"))
+    same = corpus.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("word").alias("word"))
     return same.filter(F.col("n") >= threshold).select("key", "lang", "word")
 
 
@@ -395,7 +388,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     closed = phrases.join(longer, "key", "left").filter("longer is null or longer < n").select("key", F.col("n").alias("a"), "words")
     words = corpus.filter("key is not null")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    strings = written(common_words(corpus, threshold, reached), "phrases-strings")
+    strings = written(common_words(corpus, threshold), "phrases-strings")
     of = lambda side: found.select(F.col("key").alias(f"{side}_key"), F.col("n").alias(side))
     langs = strings.select(F.col("key").alias("first"), "lang").join(totals, "lang")
     scored = closed.withColumn("first", F.col("words")[0]).join(langs, "first").drop("first").join(cuts, "key").join(of("l"), "l_key").join(of("r"), "r_key")
