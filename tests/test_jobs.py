@@ -178,7 +178,7 @@ def test_full_pipeline_and_rerun(spark, tmp_path, landed):
     for _ in range(2):  # a rerun gives the same tables
         jobs.full_pipeline(store, **landed, uf="AL", as_of=up(), year=2023, month=12)
         counts = {n: store[n].read().count() for n in jobs.TABLES if store[n].read() is not None}
-        assert counts == {"rede_mt": 2, "religadores": 1, "alimentadores": 1, "indicadores_continuidade": 12, "mapa_risco": 1, "historico_score": 1, "gaps_protecao": 2, "ibge_municipios": 2, "ibge_populacao": 2}
+        assert counts == {"rede_mt": 2, "religadores": 1, "alimentadores": 1, "indicadores_continuidade": 12, "mapa_risco": 1, "historico_score": 1, "gaps_protecao": 2, "ibge_municipios": 2, "ibge_populacao": 2, "somas": 5}
     lines = {r["cod_id"]: r for r in store["rede_mt"].read().collect()}
     assert lines["s1"]["municipio"] == "Maceió" and lines["s2"]["municipio"] == "" and lines["s1"]["data_implant"] == date(2000, 5, 1)
     assert store["alimentadores"].read().first()["comprimento_km"] == 2.5
@@ -222,6 +222,39 @@ def test_geojson_layers(spark, tmp_path):
     assert [r["geom"] is None for r in found["rede_mt"].collect()] == [False, True]
 
 
+def sums(store, table):
+    rows = store["somas"].read().filter(F.col("tabela") == table)
+    return {(r["distribuidora"], r["uf"], r["municipio"], r["data_implant"]): (r["n"], r["comprimento"], r["comprimento_km"]) for r in rows.collect()}
+
+
+def test_sums_follow_their_tables(spark, tmp_path):
+    """A job makes the sums of its own scope anew and leaves the files of all others alone; null dates and towns are keys too."""
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    kind = "cod_id string, municipio string, distribuidora string, uf string, comprimento double, data_implant date, geom array<struct<lon:double,lat:double>>"
+    old, line = date(1990, 1, 1), [(-36.98, -9.45), (-36.95, -9.45)]
+    rows = [("a", "X", "U", "AL", 2.5, old, line), ("b", "X", "U", "AL", None, old, line), ("c", None, "U", "AL", 1.0, None, line), ("d", "X", "V", "PE", 4.0, old, line)]
+    store["rede_mt"].replace_scope(spark.createDataFrame(rows, kind), {}, by=["distribuidora", "uf"])
+    store["religadores"].append(spark.createDataFrame([("r", "X", "V", "PE", None, (-36.98, -9.45))], "cod_id string, municipio string, distribuidora string, uf string, data_implant date, geom struct<lon:double,lat:double>"))
+    for name in ("rede_mt", "religadores"):
+        jobs.summarise(store, name, {})
+    assert sums(store, "rede_mt") == {("U", "AL", "X", old): (2, 2.5, None), ("U", "AL", None, None): (1, 1, None), ("V", "PE", "X", old): (1, 4, None)}
+    jobs.gaps(store)
+    before = sums(store, "gaps_protecao")
+    assert {k[:3]: v[0] for k, v in before.items()} == {("U", "AL", "X"): 2, ("U", "AL", None): 1, ("V", "PE", "X"): 1}
+    jobs.gaps(store, radius_m=1000.0, utility="V", uf="pe")
+    files_of = lambda name, u: {r[0] for r in store[name].read().filter(F.col("distribuidora") == u).select(F.input_file_name()).distinct().collect()}
+    kept = {n: files_of(n, "U") for n in ("gaps_protecao", "somas")}
+    jobs.gaps(store, radius_m=1500.0, utility="V", uf="pe")
+    assert kept["gaps_protecao"] == files_of("gaps_protecao", "U") and kept["somas"] == files_of("somas", "U")
+    after = sums(store, "gaps_protecao")
+    assert {k: v for k, v in after.items() if k[0] == "U"} == {k: v for k, v in before.items() if k[0] == "U"}
+    assert after["V", "PE", "X", None][2] < before["V", "PE", "X", None][2]
+    jobs.clear_state(store, "U", "AL")
+    assert {k[0] for k in sums(store, "rede_mt")} == {"V"} and {k[0] for k in sums(store, "gaps_protecao")} == {"V"}
+    jobs.summarise(store, "chaves", {"uf": "AL"})  # never stored
+    assert sums(store, "chaves") == {}
+
+
 def test_score_without_indicators(spark, tmp_path):
     store = jobs.Store(spark, str(tmp_path / "store"))
     jobs.score(store, up())

@@ -51,11 +51,44 @@ def gap_km(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy(*KEY).agg(F.sum(F.col("comprimento_km").cast("decimal(18,3)")).cast("double").alias("gap_km"))
 
 
+#: What rollups add up.
+MEASURES = {"comprimento": "decimal(18,4)", "potencia_nom": "decimal(18,2)", "comprimento_km": "decimal(18,3)"}
+
+
+def rollup(table: str, rows: DataFrame) -> DataFrame:
+    """A table's sums by municipality, utility, state and date of installation: rows, metres, kVA, kilometres of gaps; what the
+    table doesn't have is null. Ages hang on the day they are asked for, so the dates stay: at most a row for each day of a
+    municipality and utility, however many rows the table has."""
+    value = lambda c, kind: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind)
+    sums = (F.sum(value(c, kind)).cast("decimal(28,4)").alias(c) for c, kind in MEASURES.items())
+    keys = (F.lit(table).alias("tabela"), *KEY, "uf", value("data_implant", "date").alias("data_implant"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+def of_rollup(sums: DataFrame, table: str, **out: Column) -> DataFrame:
+    """out's aggregates of a table's rollup, by municipality and utility."""
+    return sums.filter(F.col("tabela") == table).groupBy(*KEY).agg(*(c.alias(n) for n, c in out.items()))
+
+
 def risk_ranking(scores: DataFrame, boundaries: DataFrame, population: DataFrame, gaps: DataFrame, transformers: DataFrame, history: DataFrame, as_of: Column, *, utility: str | None = None, uf: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
     """A page of the ranking, with the place, the number of rows and of pages."""
+    return _ranking(scores, boundaries, population, [gap_km(gaps), old_transformers(transformers, as_of)], history, utility, uf, page, limit)
+
+
+def risk_ranking_of_sums(scores: DataFrame, boundaries: DataFrame, population: DataFrame, sums: DataFrame, history: DataFrame, as_of: Column, *, utility: str | None = None, uf: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
+    """risk_ranking from rollups of gaps_protecao and transformadores."""
+    old = of_rollup(sums.filter(completed_years("data_implant", as_of) > OLD), "transformadores", n_old=F.sum("n"))
+    return _ranking(scores, boundaries, population, [_gap_sums(sums), old], history, utility, uf, page, limit)
+
+
+def _gap_sums(sums: DataFrame) -> DataFrame:
+    return of_rollup(sums, "gaps_protecao", gap_km=F.sum("comprimento_km").cast("double"))
+
+
+def _ranking(scores: DataFrame, boundaries: DataFrame, population: DataFrame, sides: list[DataFrame], history: DataFrame, utility: str | None, uf: str | None, page: int, limit: int) -> DataFrame:
     rows = with_boundary(scoped(scores, utility, uf), boundaries).drop("boundary")
     rows = rows.join(population.select("codigo_ibge", "populacao"), "codigo_ibge", "left")
-    for side in (gap_km(gaps), old_transformers(transformers, as_of), trend(history).select(*KEY, "tendencia")):
+    for side in (*sides, trend(history).select(*KEY, "tendencia")):
         rows = rows.join(side, list(KEY), "left")
     rows = rows.select(*KEY, "uf", "score_risco", "dec_medio_12m", "meses_violacao", "idade_media_anos", F.coalesce("populacao", F.lit(0)).alias("populacao"), F.coalesce("gap_km", F.lit(0.0)).alias("km_sem_protecao"), F.coalesce("n_old", F.lit(0)).alias("n_transformadores_criticos"), F.coalesce("tendencia", F.lit("estavel")).alias("tendencia"))
     total = scoped(scores, utility, uf).select(F.count(F.lit(1))).scalar()
@@ -98,6 +131,25 @@ def municipality_profile(scores: DataFrame, network: DataFrame, low_voltage: Dat
     bt = low_voltage.groupBy(*KEY).agg(metres("bt_m"))
     tr = transformers.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_tr"), F.sum(F.col("potencia_nom").cast("decimal(18,2)")).alias("kva"), F.count_if(age > OLD).alias("n_old"))
     count = lambda rows, name: rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias(name))
+    return _profiles(scores, [mt, bt, tr, count(reclosers, "n_rec"), count(switches, "n_sw"), gap_km(gaps)], boundaries, population, history, limits)
+
+
+def municipality_profile_of_sums(scores: DataFrame, sums: DataFrame, boundaries: DataFrame, population: DataFrame, history: DataFrame, as_of: Column, *, limits: DataFrame | None = None) -> DataFrame:
+    """municipality_profile from rollups of rede_mt, rede_bt, transformadores, religadores, chaves and gaps_protecao."""
+    age = completed_years("data_implant", as_of)
+    metres, rows = F.sum("comprimento").cast("double"), F.sum("n")
+    sides = [
+        of_rollup(sums, "rede_mt", mt_m=metres, age=F.sum(age * F.col("n")).cast("double") / F.sum(F.when(age.isNotNull(), F.col("n")))),
+        of_rollup(sums, "rede_bt", bt_m=metres),
+        of_rollup(sums, "transformadores", n_tr=rows, kva=F.sum("potencia_nom"), n_old=F.coalesce(F.sum(F.when(age > OLD, F.col("n"))), F.lit(0))),
+        of_rollup(sums, "religadores", n_rec=rows),
+        of_rollup(sums, "chaves", n_sw=rows),
+        _gap_sums(sums),
+    ]
+    return _profiles(scores, sides, boundaries, population, history, limits)
+
+
+def _profiles(scores: DataFrame, sides: list[DataFrame], boundaries: DataFrame, population: DataFrame, history: DataFrame, limits: DataFrame | None) -> DataFrame:
     months = last_months(history).groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("ordem", "ano", "mes", "score_risco", "dec_medio"))), lambda x: x.dropFields("ordem")).alias("historico"))
     rows = with_boundary(scores, boundaries).drop("boundary").join(population.select("codigo_ibge", "populacao", "domicilios", "pib_per_capita", "area_km2"), "codigo_ibge", "left")
     best = best_utility(scores).select(*KEY, "uf", F.lit(True).alias("melhor"))
@@ -106,7 +158,7 @@ def municipality_profile(scores: DataFrame, network: DataFrame, low_voltage: Dat
         rows = rows.join(limits.select(*KEY, "uf", "dec_limite_medio"), [*KEY, "uf"], "left")
     else:
         rows = rows.withColumn("dec_limite_medio", F.lit(None).cast("double"))
-    for side in (mt, bt, tr, count(reclosers, "n_rec"), count(switches, "n_sw"), gap_km(gaps), trend(history).select(*KEY, "tendencia"), months):
+    for side in (*sides, trend(history).select(*KEY, "tendencia"), months):
         rows = rows.join(side, list(KEY), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     rows = rows.withColumns({"comprimento_mt_km": half_up(zero("mt_m") / 1000, 1), "km_sem_protecao": half_up(zero("gap_km"), 1)})

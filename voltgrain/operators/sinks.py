@@ -48,9 +48,9 @@ class Table:
             raise RuntimeError(f"another job has changed {self.path}")
 
     def _parts_by(self, rows: DataFrame, by: list[str]) -> list[dict]:
-        """Write rows once, a part for each combination of values of a few columns."""
+        """Write rows once, a part for each combination of values of a few columns; several tasks share a large one."""
         name, copies = f"parts/{uuid.uuid4().hex}", {f"_by_{c}": F.col(c) for c in by}
-        rows.withColumns(copies).repartition(*copies).write.partitionBy(*copies).parquet(f"{self.path}/{name}")
+        rows.withColumns(copies).hint("rebalance", *map(F.col, copies)).write.partitionBy(*copies).parquet(f"{self.path}/{name}")
         found = [{"name": name, "same": {}}]
         for c in by:
             below = [(p, d) for p in found for d in self._names(p["name"]) if d.startswith(f"_by_{c}=")]
@@ -65,8 +65,12 @@ class Table:
     def _rows(self, parts: list[dict]) -> DataFrame | None:
         return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.path}/{p['name']}" for p in parts)) if parts else None
 
-    def read(self) -> DataFrame | None:
-        return self._rows(self._list()[1])
+    def read(self, scope: dict | None = None) -> DataFrame | None:
+        """All rows, or those in a scope of columns' values, of the parts that may have them alone. None: nothing was ever stored."""
+        parts = self._list()[1]
+        if scope is None or not parts:
+            return self._rows(parts)
+        return self._rows(self._apart(parts, scope)[1] or parts[:1]).filter(scope_column(scope))
 
     def append(self, rows: DataFrame, same: dict | None = None) -> int:
         """Blind: a rerun adds the rows again. The number of rows, counted as they are written. same: values that all rows have."""

@@ -71,10 +71,39 @@ def over(build: Callable[[Domain], DataFrame]) -> Query:
 
 
 def _profile(d: Domain) -> DataFrame:
-    rows = reports.municipality_profile(_scores(d), d.network, d.low_voltage, d.transformers, d.reclosers, d.switches, _gaps(d), d.boundaries, d.population, d.history, d.as_of, limits=risk.recent_means(d.indicators))
+    return _profile_columns(reports.municipality_profile(_scores(d), d.network, d.low_voltage, d.transformers, d.reclosers, d.switches, _gaps(d), d.boundaries, d.population, d.history, d.as_of, limits=risk.recent_means(d.indicators)))
+
+
+def _profile_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_historico", F.coalesce(F.size("historico"), F.lit(0))).drop("historico", "pib_per_capita", "domicilios")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[Domain, jobs.Store]:
+    """A store with scores and sums. Gaps are stored of all utilities with another radius, then of one utility after the other
+    with the right one, so each job replaces the sums of its own scope."""
+    d, store = Domain(spark, sf_dir), jobs.Store(spark, staging_path(spark, "sums"))
+    for name, rows in (("rede_mt", d.network), ("rede_bt", d.low_voltage), ("transformadores", d.transformers), ("religadores", d.reclosers), ("chaves", d.switches)):
+        store[name].replace_scope(rows, {}, by=["distribuidora"])
+        jobs.summarise(store, name, {})
+    store["indicadores_continuidade"].append(d.indicators)
+    jobs.score(store, d.as_of)
+    jobs.gaps(store, radius_m=200.0)
+    for (utility,) in reports.utilities(store["rede_mt"].read()).collect():
+        jobs.gaps(store, utility=utility)
+    return d, store
+
+
+def _ranking_from_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, store = _stored(spark, sf_dir)
+    return reports.risk_ranking_of_sums(store["mapa_risco"].read(), d.boundaries, d.population, store["somas"].read(), d.history, d.as_of, page=2, limit=20)
+
+
+def _profile_from_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, store = _stored(spark, sf_dir)
+    limits = risk.recent_means(store["indicadores_continuidade"].read())
+    return _profile_columns(reports.municipality_profile_of_sums(store["mapa_risco"].read(), store["somas"].read(), d.boundaries, d.population, d.history, d.as_of, limits=limits))
+
+
 def _aging(d: Domain) -> DataFrame:
     return reports.transformer_aging(d.transformers, d.reclosers, d.as_of, n=None).select("cod_id", "potencia_nom", "fabricante", "idade_anos", "vida_util_restante_anos", "status", "score_equipamento", F.col("asset").alias("religador"), C.half_up("distance_m", 0).alias("distancia_m"))
 
@@ -347,6 +376,8 @@ def queries() -> dict[str, Query]:
         "r8_critical_segments": over(lambda d: reports.critical_segments(d.network, _scores(d), min_score=50).select("cod_id", "distribuidora", "municipio", "comprimento", "score_risco")),
         "r9_transformers_with_risk": over(lambda d: reports.transformers_with_risk(d.transformers, _scores(d), n=None).select("cod_id", "distribuidora", "municipio", "potencia_nom", "fabricante", "score_risco")),
         "r10_municipality_profile": over(_profile),
+        "r6_from_sums": _ranking_from_sums,
+        "r10_from_sums": _profile_from_sums,
         "r11_transformer_aging": over(_aging),
         "g2_line_length": over(lambda d: d.network.select("cod_id", C.half_up(geo.line_length_m("geom") / 1000, 3).alias("km"))),
         "g3_polygon_area": over(lambda d: d.boundaries.select("codigo_ibge", C.half_up(geo.polygon_area_km2(F.col("geom")), 4).alias("km2"))),
@@ -412,7 +443,7 @@ near_line2 as (select point, line, case when vx*wx+vy*wy <= 0 then sqrt(wx*wx+wy
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
-    return found | {"s8_containers": found["r14_ingest_network"]}
+    return found | {"s8_containers": found["r14_ingest_network"], "r6_from_sums": found["r6_risk_ranking"], "r10_from_sums": found["r10_municipality_profile"]}
 
 
 def _oracle_sql() -> dict[str, str]:
