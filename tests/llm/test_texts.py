@@ -7,6 +7,7 @@ import struct
 import time
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -267,3 +268,27 @@ def test_toxicity_real_labels(spark):
     area = (sum(toxic) - len(toxic) * (len(toxic) - 1) / 2) / (len(toxic) * (len(got) - len(toxic)))
     print(f"area under the curve {area:.4f} of {len(toxic)} toxic and {len(got) - len(toxic)} other held-out texts")
     assert area > 0.9
+
+
+def test_toxicity_wrong_labels():
+    """A few wrong labels strike out no word that one kind of text has far more often; words that both have stay out."""
+    rng = random.Random(11)
+    rows = [(t.encode(), y) for _, t, y in corpus(rng, 400)]
+    turned = [(t, y ^ (i % 20 == 0)) for i, (t, y) in enumerate(rows)]
+
+    def own(some):
+        seen = {0: Counter(), 1: Counter()}
+        for text, y in some:
+            seen[y].update(toxicity.words_of(text))
+        return seen, toxicity.vocabulary(seen, Counter(y for _, y in some))
+
+    (_, right), (seen, found) = own(rows), own(turned)
+    spoken = {w.encode() for w in TOXIC} & right.toxic
+    assert spoken and any(seen[0][w] for w in spoken)  # texts of the other label have them now
+    assert spoken <= found.toxic and not found.toxic & found.ordinary
+    model = toxicity.fitted(turned, 0.3)
+    asked = [(t.encode(), y) for _, t, y in corpus(random.Random(12), 200)]
+    x = toxicity.features([t for t, _ in asked], toxicity.compressors(model.pairs))
+    score = x @ np.array(model.weights[:-1]) + model.weights[-1]
+    pairs = [a > b for a, (_, y) in zip(score, asked, strict=True) if y for b, (_, z) in zip(score, asked, strict=True) if not z]
+    assert sum(pairs) > 0.9 * len(pairs)

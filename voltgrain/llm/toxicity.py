@@ -1,7 +1,8 @@
 """Operator 4, toxicity by compression distance.
 
-zstandard dictionaries are trained in pairs, on what only toxic and what only ordinary labelled texts say: of each text
-the words that a share of the texts of its label have and none of the other. Both of a pair begin with a dictionary
+zstandard dictionaries are trained in pairs, on what toxic and what ordinary labelled texts say far more often than the
+other kind: of each text the words that a share of the texts of its label have, and at most a MORE-th of that share of the
+other's, so a few wrong labels strike no word out. Both of a pair begin with a dictionary
 trained on the words that both kinds of text use, so that windows of everyday words stay near 0; what the trainer chose
 is used as it is, without its entropy tables. A text is cut into windows of about WINDOW bytes, at blanks, and each
 window is compressed with either dictionary: the difference of the two lengths says which kind of text the window is
@@ -48,6 +49,8 @@ SIZES = [(3 << 10, 600, 16, 6), (8 << 10, 2 << 10, 20, 6), (4 << 10, 1 << 10, 16
 SHARED, PIECES, PIECE = 4000, 20_000, 512
 #: The share of a label's texts that a word must be in to be trained on.
 COMMON = 0.015
+#: By how many times that share must exceed the other label's.
+MORE = 5
 THRESHOLDS, SUM_THRESHOLDS = (3, 4, 5, 6, 7, 8), (6, 8, 10, 12, 14)
 
 
@@ -111,7 +114,7 @@ class Vocabulary(NamedTuple):
 def vocabulary(seen: dict[int, Counter], n: dict[int, int]) -> Vocabulary:
     """seen: in how many texts of a label each word is; n: how many texts of a label there are."""
     both = sorted((w for w in seen[0] if seen[0][w] >= 2 and seen[1][w] >= 2), key=lambda w: (-seen[0][w] - seen[1][w], w))
-    own = lambda y: frozenset(w for w, c in seen[y].items() if c >= least(n[y]) and not seen[1 - y][w])
+    own = lambda y: frozenset(w for w, c in seen[y].items() if c >= least(n[y]) and c * n[1 - y] >= MORE * seen[1 - y][w] * n[y])
     return Vocabulary(frozenset(both[:SHARED]), own(1), own(0))
 
 
