@@ -259,3 +259,13 @@ def test_score_without_indicators(spark, tmp_path):
     store = jobs.Store(spark, str(tmp_path / "store"))
     jobs.score(store, up())
     assert store["mapa_risco"].read() is None
+
+
+def test_long_csv_works_indicators_out_once(spark, sf_dir, monkeypatch):
+    """Consumer sets, values and states each aggregated all of lineitem."""
+    from voltgrain.plans import domain, registry
+
+    before, seen = domain.Domain.__getattr__, []
+    monkeypatch.setattr(domain.Domain, "__getattr__", lambda self, name: seen.append(name) or before(self, name))
+    assert registry.queries()["r12_ingest_continuity"](spark, sf_dir).columns[:3] == ["distribuidora", "municipio", "uf"]
+    assert seen.count("indicators") == 1
