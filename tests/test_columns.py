@@ -75,3 +75,12 @@ def test_trend_needs_four(spark):
         rows = [("A", "U", 2023, m, 10.0 * m, 1.0) for m in range(1, n + 1)]
         found = risk.trend(spark.createDataFrame(rows, "municipio string, distribuidora string, ano int, mes int, score_risco double, dec_medio double")).first()
         assert found["tendencia"] == label
+
+
+def test_trend_of_rounded_means(spark):
+    """Means that differ by 2: the label is that of the four digits shown, not of what lies behind them."""
+    cases = ((0.03, 2.04), (6.03, 0.03), (2.01, 8.01), (8.04, 2.04))  # sums of the three months before, and of the last three
+    rows = [(f"A{i}", "U", 2023, m, (before if m == 1 else last if m == 4 else 0.0), 1.0) for i, (before, last) in enumerate(cases) for m in range(1, 7)]
+    for r in risk.trend(spark.createDataFrame(rows, "municipio string, distribuidora string, ano int, mes int, score_risco double, dec_medio double")).collect():
+        a, b = r["media_recente"], r["media_anterior"]
+        assert r["tendencia"] == ("piorando" if a > b + 2 else "melhorando" if a < b - 2 else "estavel")
