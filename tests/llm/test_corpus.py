@@ -329,3 +329,30 @@ def test_pipeline_odd(spark, odd, docs):
         last = corpus_pipeline.STAGES[-1][1](spark, now, "")
         assert last.count() == now.count() and (now.count() > 0) == (some is rows)
         assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_words_side_by_side():
+    """Words, their number in each text and their hashes are those of bytes.split, whatever their length."""
+    odd = [b"a" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 200)] + [b"a\0", b"\0", b"\0\0", b"b" * 64 + b"c", "\u00a0\u00e9".encode()]
+    texts = [b"", b" \t\x0b", b" ".join(odd), b"A b\nA  a\r\x0cB", b"\n".join(reversed(odd)), b"x"]
+    words = blocks.Words.of(texts)
+    want = [w for t in texts for w in t.lower().split()]
+    assert [words.raw[a:b] for a, b in zip(words.starts, words.ends, strict=True)] == want
+    assert words.per_text().tolist() == [len(t.split()) for t in texts]
+    of = dict(zip(want, words.hashes.tolist(), strict=True))
+    assert [of[w] for w in want] == words.hashes.tolist() and len(set(of.values())) == len(of)
+    assert len(blocks.Words.of([]).hashes) == 0
+
+
+def test_counts_and_places_of_hashes():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        hashes, on = rng.integers(0, 700, n).astype(np.uint64) << np.uint64(50), rng.random(n) < 0.8
+        known, counts = blocks.told_apart(hashes, on)
+        assert known.tolist() == sorted(set(hashes.tolist())) and counts.tolist() == [int(on[hashes == h].sum()) for h in known]
+        at, number = blocks.ranked(hashes)
+        assert hashes[at].tolist() == known.tolist() and known[number].tolist() == hashes.tolist()
+        keys = rng.permutation(20_000)[: n + 1].astype(np.int64)
+        asked = rng.integers(0, 20_000, 3000)
+        place = {k: i for i, k in enumerate(keys.tolist())}
+        assert lm.found(asked, keys, lm.slots_of(keys)).tolist() == [place.get(k, -1) for k in asked.tolist()]

@@ -13,7 +13,8 @@ dealt. Blocks and buckets name the partitions they go to, so that none gets seve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,57 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The bytes of a word's last piece of eight that are its own.
+OWN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word that are hashed by pieces of eight, all words side by side; a longer word is hashed as a whole.
+LONG_WORD = 64
+BLANK = np.zeros(256, bool)
+BLANK[list(b" \t\n\x0b\x0c\r")] = True
+
+
+class Words(NamedTuple):
+    """The words of texts: the bytes they lie in, where each begins and ends, their 64-bit hashes; where each text begins."""
+
+    raw: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    texts: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Iterable[bytes], fold=bytes.lower) -> Words:
+        """fold: what is done to all bytes first; it keeps their number. Texts are parted by line feeds."""
+        parts = list(texts)
+        sizes = np.array([len(x) + 1 for x in parts], np.int64)
+        raw = fold(b"\n".join([*parts, b" " * 8]))
+        flags = np.append(True, BLANK[np.frombuffer(raw, np.uint8)])
+        edges = np.flatnonzero(flags[1:] != flags[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        return cls(raw, starts, ends, hashes_of(raw, starts, ends), np.cumsum(sizes) - sizes)
+
+    def per_text(self) -> np.ndarray:
+        """How many words each text has."""
+        return np.diff(np.append(np.searchsorted(self.starts, self.texts), len(self.starts)))
+
+
+def hashes_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of one byte or more in raw, which goes on for eight bytes after the last."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray(len(raw) - 7, np.dtype("<u8"), raw, strides=(1,))
+    sizes = ends - starts
+    with np.errstate(over="ignore"):
+        out = mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts] & OWN[np.minimum(sizes, 8)]))
+        who = np.flatnonzero((sizes > 8) & (sizes <= LONG_WORD))
+        for at in range(8, LONG_WORD, 8):
+            who = who[sizes[who] > at]
+            piece = eight[starts[who] + at] & OWN[np.minimum(sizes[who] - at, 8)]
+            out[who] = mixed(out[who] * np.uint64(0x9E3779B97F4A7C15) + piece)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
+
+
 def joined(hashes: list[np.ndarray]) -> np.ndarray:
     """One hash for each row of equally long columns, by the order of the columns."""
     out = hashes[0]
@@ -146,6 +198,26 @@ def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
+def told_apart(hashes: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, sorted, and how often each is on. Two plain sorts are faster than an order of all."""
+    flat = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+    counts, flat = np.diff(np.append(first, len(flat))), flat[first]
+    off, times = np.unique(hashes[~on], return_counts=True)
+    counts[np.searchsorted(flat, off)] -= times
+    return flat, counts
+
+
+def ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct hash, in the order of hashes, and the number of each place's hash in that order."""
+    by = np.argsort(hashes)
+    flat = hashes[by]
+    new = np.append(True, flat[1:] != flat[:-1])[: len(flat)]
+    number = np.empty(len(by), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    return by[new], number
+
+
 def _added(rows: pa.Table, level: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
     """Of one bucket and level: the blocks, how many hashes each has sent, an order of all of them, where another hash begins
     in it, and its total."""

@@ -29,14 +29,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltgrain.llm import blocks as B
 from voltgrain.llm.common import release, table, text_bytes
 
-#: The end token; no word holds a line feed.
-END = b"\n"
+#: The end token's hash: that of a line feed, which no word holds.
+END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 STRETCH = 512
 #: K for contexts of one token, two tokens, ...
 STRENGTHS = (1000.0, 100.0)
@@ -47,13 +48,13 @@ class Texts:
     """The texts of a block as hashed tokens, each with an end token before and after."""
 
     def __init__(self, rows: pa.Table) -> None:
-        seen = B.WordHashes()
-        words = [seen.of([END, *text.lower().split(), END]) for text in B.texts_of(rows)]
-        self.sizes = np.array([len(w) for w in words], np.int64)
+        words = B.Words.of(B.texts_of(rows))
+        self.sizes = words.per_text() + 2
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate([np.zeros(0, np.uint64), *words])
-        self.place = np.arange(len(self.flat)) - np.repeat(self.starts, self.sizes)
-        self.train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.sizes).view(np.uint8)
+        self.place = np.arange(self.sizes.sum()) - np.repeat(self.starts, self.sizes)
+        self.flat = np.full(len(self.place), END)
+        self.flat[(self.place > 0) & (self.place < np.repeat(self.sizes - 1, self.sizes))] = words.hashes
+        self.train = np.repeat(~rows["held_out"].to_numpy(zero_copy_only=False).astype(bool), self.sizes)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Where n-grams of k + 1 tokens end, and their hashes. The first end token of a text is a context only."""
@@ -67,7 +68,8 @@ class Automaton(NamedTuple):
     words: np.ndarray  # the token at each place of the texts, as a number
     start: int  # the state in which texts begin
     base: list[int]
-    keys: list[np.ndarray]  # sorted state * number of words + word, for states of 1, 2, ... tokens
+    keys: list[np.ndarray]  # state * number of words + word of each arc, for states of 1, 2, ... tokens
+    slots: list[np.ndarray]  # which arc lies where, by a hash of its key
     logs: list[np.ndarray]
     then: list[np.ndarray]
     root: np.ndarray  # the root's arcs, by word
@@ -81,7 +83,7 @@ def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
         block, texts, out = rows["block"][0].as_py(), Texts(rows), []
         for k in range(order):
             at, hashes = texts.grams(k)
-            out += B.sent(block, k, *B.totals(hashes, texts.train[at]), bits)
+            out += B.sent(block, k, *B.told_apart(hashes, texts.train[at]), bits)
             release()
         return B.rows_of(out, B.SENT)
 
@@ -91,30 +93,27 @@ def counted(docs: DataFrame, order: int, bits: int) -> DataFrame:
 def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int, distinct: int, strengths: tuple[float, ...]) -> tuple[Automaton, np.ndarray]:
     """The states and arcs that the texts can reach, and each word's count. told: of a length less one and a number of n-grams,
     their totals in the order of their hashes."""
-    known, words = np.unique(texts.flat, return_inverse=True)
-    words = words.astype(np.int32)
+    known, words = B.ranked(texts.flat)
     n_words, c = len(known), told(0, len(known))  # the end tokens before texts end texts too: they add no word
     p = (c + 1) / (total + distinct + 1)
     word_counts, root, of = c, np.log10(p), words
     base, fail, weight, to = [1], [np.zeros(1, np.int64)], [np.zeros(1)], np.zeros(n_words, np.int64)
-    keys, logs, then = [], [], []
+    keys, slots, logs, then = [], [], [], []
     for k, strength in enumerate(strengths, 1):
         # of: the n-gram of k tokens that ends at each place (-1: none); c, p, to: its count, probability and failure state
         fail.append(to)
         weight.append(np.log10(strength / (c + strength)))
         base.append(base[-1] + len(c))
         at, hashes = texts.grams(k)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        first, inverse = B.ranked(hashes)
         del hashes
         end = at[first]  # a place where each n-gram of k + 1 tokens ends
         del first
         context, below, count = of[end - 1], of[end], told(k, len(end))
         p = np.where(count > 0, (count + strength * p[below]) / (c[context] + strength), 1)
         on = np.flatnonzero(count > 0)
-        key = (base[k - 1] + context[on].astype(np.int64)) * n_words + words[end[on]]
-        by = np.argsort(key)
-        on = on[by]
-        keys.append(key[by])
+        keys.append((base[k - 1] + context[on].astype(np.int64)) * n_words + words[end[on]])
+        slots.append(slots_of(keys[-1]))
         logs.append(np.log10(p[on]))
         to = base[k - 1] + below
         then.append((base[k] + on if k < len(strengths) else to[on]).astype(np.int32))
@@ -125,7 +124,35 @@ def automaton(texts: Texts, told: Callable[[int, int], np.ndarray], total: int,
         c = count
     root_then = np.where(word_counts > 0, base[0] + np.arange(n_words), 0) if strengths else np.zeros(n_words, np.int64)
     start = int(root_then[words[-1]]) if len(words) else 0
-    return Automaton(words, start, base, keys, logs, then, root, root_then, np.concatenate(fail), np.concatenate(weight)), word_counts
+    return Automaton(words, start, base, keys, slots, logs, then, root, root_then, np.concatenate(fail), np.concatenate(weight)), word_counts
+
+
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    """A hash table of distinct keys: each slot holds a key's place, or -1; a key lies in the first free slot from its own on."""
+    bits = max(4, (2 * len(keys)).bit_length())
+    out, left, at = np.full(1 << bits, -1, np.int32), np.arange(len(keys), dtype=np.int32), _slot(keys, bits)
+    while len(left):
+        free = out[at] < 0
+        out[at[free]] = left[free]
+        more = out[at] != left
+        left, at = left[more], (at[more] + 1) & ((1 << bits) - 1)
+    return out
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def found(want: np.ndarray, keys: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The place of each key that is wanted; -1 if there is none."""
+    at = _slot(want, len(slots).bit_length() - 1)
+    out = slots[at]
+    again = np.flatnonzero((out >= 0) & (keys[out] != want))
+    while len(again):
+        at[again] = (at[again] + 1) & (len(slots) - 1)
+        out[again] = there = slots[at[again]]
+        again = again[(there >= 0) & (keys[there] != want[again])]
+    return out
 
 
 def traversed(a: Automaton, texts: Texts) -> np.ndarray:
@@ -153,8 +180,8 @@ def traversed(a: Automaton, texts: Texts) -> np.ndarray:
                 s[who] = a.fail[s[who]]
                 continue
             want = s[who].astype(np.int64) * len(a.root) + word[who]
-            arc = np.minimum(np.searchsorted(a.keys[k], want), len(a.keys[k]) - 1)
-            there = a.keys[k][arc] == want
+            arc = found(want, a.keys[k], a.slots[k])
+            there = arc >= 0
             yes, no, arc = who[there], who[~there], arc[there]
             log[yes] += a.logs[k][arc]
             s[yes] = a.then[k][arc]
