@@ -81,3 +81,24 @@ def test_score_is_exact(spark):
     df = spark.createDataFrame(rows, "a long, n long, l long, r long")
     for r in df.withColumn("s", phrases.score("a", "n", "l", "r")).collect():
         assert r["s"] == 1000 * r["a"] * r["n"] // (r["l"] * r["r"])
+
+
+def test_counts_are_packed(spark):
+    """A scan's counts travel as a row for each bucket, not one for each phrase; what has been met once in a task waits for the end."""
+    words = spark.range(4000).selectExpr("(id % 1000) * 4611686018427387 as key", "id % 3 + 1 as n").coalesce(2)
+    packed = phrases.words_counted(words, 1, 2).persist()
+    assert packed.count() <= 2 * 4
+    want = {(r["key"], r["n"]) for r in words.groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 8").collect()}
+    found = phrases.added([packed], [packed.withColumn("phase", F.lit(2))], 8, 2).collect()
+    assert {(r["key"], r["n"]) for r in found if not r["early"]} == want and 0 < len(want) < 1000
+    assert {(r["key"], r["n"]) for r in found if r["early"]} <= want
+    packed.unpersist()
+
+
+def test_encoded_words(spark):
+    rows = [(1, "A b. b\ta", "x"), (2, None, "x"), (3, "..", None), (4, "", "x"), (5, "!b " + "q" * 70, "x"), (6, None, "y")]
+    corpus = phrases.encoded(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), "text", "lang")
+    of = {r["key"]: (r["lang"], r["word"], r["n"]) for r in corpus.filter("key is not null").collect()}
+    assert sorted(of.values()) == [("x", "a", 2), ("x", "b", 3), ("x", "q" * 70, 1)]
+    flat = [of[w][1] if w else "" for r in corpus.filter("words is not null").collect() for w in r["words"]]
+    assert flat == ["a", "b", "", "b", "a", "", "b", "q" * 70, ""]

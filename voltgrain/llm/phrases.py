@@ -9,7 +9,8 @@ A scan has to know which phrases have reached the threshold. It gets them as a f
 FILTER_BYTES, however many phrases there are), which only grows from stop to stop. Its false hits activate some phrases
 early, never late, and a phrase is counted in one full cycle from its activation all the same: what counts as
 activated is a function of the phrase and the stop's filter alone. A filter that is too small for a corpus lets more phrases
-be counted; counts stay exact. Counts are added up by Spark, pre-aggregated in each task, so no phrase is hot.
+be counted; counts stay exact. Counts are pre-aggregated in each task, so no phrase is hot, and shuffled packed, a row for each
+bucket of keys (voltgrain.llm.blocks); each bucket is added up alone.
 
 A scan's counts are written as its tasks make them, with the phrase's phase: which scan of its cycle this is. The stop that
 ends a phrase's cycle adds its counts up, once. Stops before that add up what tasks have met twice or more: what reaches the
@@ -37,7 +38,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltgrain.llm.blocks import WordHashes, joined
+from voltgrain.llm import blocks as B
+from voltgrain.llm.blocks import joined
 from voltgrain.llm.common import dropped, new_path, release, stored, table, text_bytes, tidied, written
 
 LONGEST, SHARDS = 5, 2
@@ -52,7 +54,9 @@ BREAKS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\t"
 #: Parts of the corpus, and up to which of them each search for words goes.
 PARTS, SEARCHES = 64, (0, 1, 4, 16, 64)
 ENCODED = "part int, words array<long>, key long, lang string, word string, n long"
-COUNTED = "key long, n long, phase int"
+COUNTED = "bucket int, phase int, hashes binary, counts binary"
+#: Words for each bucket of phrases; a scan has at most a few times as many counts.
+BUCKET_WORDS = 1 << 21
 SEEN = "key long, words array<long>"
 
 
@@ -67,12 +71,6 @@ def _translation() -> bytes:
 
 
 FOLDED = _translation()
-NO_WORD = np.uint64(xxhash.xxh3_64_intdigest(BREAK))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words and breaks of a text."""
-    return list(filter(None, text.translate(FOLDED).replace(BREAK, b" \n ").split(b" ")))
 
 
 def tagged(keys: np.ndarray, length: int) -> np.ndarray:
@@ -96,38 +94,44 @@ def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def words_of_task(part: int, held: list[tuple]) -> pa.RecordBatch:
         """Words that were met in several units, once."""
-        keys, first, place = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        keys = np.concatenate([h[0] for h in held])
+        first, place = B.ranked(keys)
+        keys = keys[first]
         n = np.bincount(place, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
         take = lambda i: pa.concat_arrays([h[i] for h in held]).take(pa.array(first))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.nulls(len(keys)).cast(schema.types[1]), pa.array(keys.view(np.int64)), take(2), take(3), pa.array(n)], schema=schema)
 
-    def unit(part: int, held: list[tuple], langs: list[str], texts: list[bytes], seen: WordHashes) -> Iterator[pa.RecordBatch]:
-        words = [[*words_of(t), BREAK] for t in texts]
-        ends = np.cumsum([len(w) for w in words])
-        flat = [w for some in words for w in some]
-        hashes = seen.of(flat)
+    def unit(part: int, held: list[tuple], langs: list[str], texts: list[bytes]) -> pa.RecordBatch:
+        words = B.Words.of(texts, lambda raw: raw.translate(FOLDED))
+        n_words, per_text = len(words.starts), words.per_text()
         of = {lang: np.uint64(xxhash.xxh3_64_intdigest(lang.encode())) for lang in set(langs)}
-        lang = np.repeat(np.array([of[x] for x in langs], np.uint64), np.diff(ends, prepend=0))
-        keys = np.where(hashes == NO_WORD, np.uint64(0), tagged(joined([lang, hashes]), 1))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(keys.view(np.int64)))
+        keys = tagged(joined([np.repeat(np.array([of[x] for x in langs], np.uint64), per_text), words.hashes]), 1)
+        # Where each word goes: behind a 0 if a break is before it, which may end the text before. Another 0 ends the last text.
+        breaks = np.cumsum(np.frombuffer(words.raw, np.uint8) == BREAK[0], dtype=np.int32)[words.starts]
+        place = np.arange(n_words) + np.cumsum(np.diff(breaks, prepend=breaks[:1]) > 0)
+        size = int(place[-1]) + 2 if n_words else 0
+        flat = np.zeros(size, np.uint64)
+        flat[place] = keys
+        begins = np.cumsum(per_text) - per_text
+        lists = pa.ListArray.from_arrays(pa.array(np.append(place, size)[np.append(begins, n_words)].astype(np.int32)), pa.array(flat.view(np.int64)))
+        by = np.argsort(keys)
+        ordered = keys[by]
+        new = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:n_words])
+        if len(new):
+            first = by[new]
+            doc = np.searchsorted(begins, first, side="right") - 1
+            held.append((ordered[new], np.diff(np.append(new, n_words)), pa.array(langs).take(pa.array(doc)), strings(words, first)))
         rows = pa.nulls(len(texts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part, np.int32)), lists, *(rows.cast(t) for t in schema.types[2:])], schema=schema)
-        found, first, n = np.unique(keys, return_index=True, return_counts=True)
-        found, first, n = found[found > 0], first[found > 0], n[found > 0]
-        if len(found):
-            doc = np.searchsorted(ends, first, side="right").tolist()
-            strings = pa.array([flat[i] for i in first.tolist()], pa.binary())
-            strings = strings.cast(pa.string()) if all(_is_utf8(x) for x in texts) else pa.array([x.decode("utf-8", "replace") for x in strings.to_pylist()])
-            held.append((found, n, pa.array([langs[d] for d in doc]), strings))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part, np.int32)), lists, *(rows.cast(t) for t in schema.types[2:])], schema=schema)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, seen = TaskContext.get().partitionId() % PARTS, [], WordHashes()
+        part, held = TaskContext.get().partitionId() % PARTS, []
         for batch in it:
             sizes = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False))
             cuts = np.flatnonzero(np.diff(sizes // ENCODE_BYTES, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
                 if a < b:
-                    yield from unit(part, held, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist(), seen)
+                    yield unit(part, held, batch["lang"][a:b].to_pylist(), batch["text"][a:b].to_pylist())
                 if sum(len(h[0]) for h in held) >= HELD // 2:
                     yield words_of_task(part, held)
                     held.clear()
@@ -141,12 +145,16 @@ def encoded(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.sparkSession.read.schema(ENCODED).parquet(path)
 
 
-def _is_utf8(raw: bytes) -> bool:
+def strings(words: B.Words, some: np.ndarray) -> pa.Array:
+    """Some of the words as strings."""
+    sizes = words.ends[some] - words.starts[some]
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(words.raw, np.uint8)[np.arange(ends[-1]) + np.repeat(words.starts[some] - (ends - sizes), sizes)]
+    found = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
     try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()])
 
 
 class Filter:
@@ -208,33 +216,48 @@ def stretches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
 
 
 class Held:
-    """Keys of phrases of one phase until there are enough to count."""
+    """Keys of phrases of one phase, and how often each was met, until there are enough to count."""
 
-    def __init__(self, phase: int) -> None:
-        self.phase, self.keys, self.n = phase, [], 0
+    def __init__(self, phase: int, bits: int) -> None:
+        self.phase, self.bits, self.keys, self.times, self.n = phase, bits, [], [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, times: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)
+        if times is not None:
+            self.times.append(times)
         self.n += len(keys)
         if self.n >= HELD:
             yield from self.counts()
 
     def counts(self) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket that has any."""
         if self.n:
-            keys, self.keys, self.n = np.concatenate(self.keys), [], 0
-            keys.sort()
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            times = np.diff(np.append(first, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.full(len(first), self.phase, np.int32))], names=["key", "n", "phase"])
+            keys, times, self.keys, self.times, self.n = np.concatenate(self.keys), self.times, [], [], 0
+            found = B.totals(keys, np.concatenate(times)) if times else B.told_apart(keys, np.ones(len(keys), bool))
+            rows = [(bucket, self.phase, hashes, n) for _, _, bucket, hashes, n in B.sent(0, 0, *found, self.bits)]
+            yield B.rows_of(rows, COUNTED).to_batches()[0]
+
 
+def words_counted(words: DataFrame, phase: int, bits: int) -> DataFrame:
+    """COUNTED from words (key, n)."""
 
-def scanned(shard: DataFrame, told: Broadcast) -> DataFrame:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(phase, bits)
+        for batch in it:
+            yield from held.add(batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy())
+        yield from held.counts()
+        release()
+
+    return words.mapInArrow(count, COUNTED)
+
+
+def scanned(shard: DataFrame, told: Broadcast, bits: int) -> DataFrame:
     """Counts, by task and phase, of the shard's phrases that are activated and have not completed their cycle. told: the newest
     filter and one for each stop of the cycle before."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = told.value
-        held = {(k, age): Held(age + 1) for k in range(2, LONGEST + 1) for age in range(len(filters) - 1)}
+        held = {(k, age): Held(age + 1, bits) for k in range(2, LONGEST + 1) for age in range(len(filters) - 1)}
         for flat, n in stretches(it):
             for length, at, keys, age in activated(flat, filters):
                 age = np.where(at < n, age, len(filters))
@@ -247,9 +270,27 @@ def scanned(shard: DataFrame, told: Broadcast) -> DataFrame:
     return shard.mapInArrow(count, COUNTED)
 
 
-def added(counts: list[DataFrame], threshold: int) -> DataFrame:
-    rows = reduce(DataFrame.unionByName, counts)
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
+def added(complete: list[DataFrame], early: list[DataFrame], threshold: int, bits: int) -> DataFrame:
+    """key, n, early of what reaches the threshold in complete counts, and in early ones (early), of which those of what a task
+    has met once only are left for the end of the cycle."""
+    mark = lambda rows, early: [x.withColumn("early", F.lit(early)) for x in rows]
+    rows = reduce(DataFrame.unionByName, [*mark(complete, False), *mark(early, True)])
+
+    def add(rows: pa.Table) -> pa.Table:
+        is_early, out = rows["early"].to_pylist(), []
+        for kind in sorted(set(is_early)):
+            some = [i for i, x in enumerate(is_early) if x == kind]
+            keys = np.concatenate([B.unpacked(rows["hashes"][i].as_py()) for i in some])
+            times = np.concatenate([B.unpacked_counts(rows["counts"][i].as_py()) for i in some])
+            if kind:
+                keys, times = keys[times > 1], times[times > 1]
+            keys, times = B.totals(keys, times)
+            on = times >= threshold
+            out.append(pa.table({"key": keys[on].view(np.int64), "n": times[on], "early": np.full(int(on.sum()), kind)}))
+        release()
+        return pa.concat_tables(out)
+
+    return B.spread(rows, bits).groupBy(*B.BUCKET).applyInArrow(add, "key long, n long, early boolean")
 
 
 def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataFrame, Filter]:
@@ -258,6 +299,7 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
     spark = corpus.sparkSession
     words = corpus.filter("key is not null")
     total = words.agg(F.sum("n")).first()[0] or 0
+    bits = max(1, (total // BUCKET_WORDS).bit_length())
     reached = Filter(LONGEST * total // threshold + 1)  # no more phrases can reach the threshold
     none = reached.words
     filters = [none] * (shards + 1)  # the newest first
@@ -267,22 +309,22 @@ def phrase_counts(corpus: DataFrame, threshold: int, shards: int) -> tuple[DataF
     while step < max(last_new, 1) + shards:
         step += 1
         own = F.col("part") % shards == (step - 1) % shards
-        rows = [words.filter(own).select("key", "n", F.lit(step).alias("phase"))] if step <= shards else []
+        rows = [words_counted(words.filter(own).select("key", "n"), step, bits)] if step <= shards else []
         if last_new:
             told = spark.sparkContext.broadcast(filters)
-            rows.append(scanned(corpus.filter(own & F.col("words").isNotNull()).select("words"), told))
+            rows.append(scanned(corpus.filter(own & F.col("words").isNotNull()).select("words"), told, bits))
         if not rows:
             break
         counted[step] = stored(reduce(DataFrame.unionByName, rows), "phrases-counts")
         if told:
             told.destroy()
-        of = lambda ago, phase: counted[step - ago][0].filter(F.col("phase") == phase).select("key", "n")  # noqa: B023, E731
-        found.append(written(added([of(shards - j, j) for j in range(1, shards + 1) if step - shards + j in counted], threshold), "phrases-found"))
-        # Of phrases within their cycle: what was met once only in a task is left for its end.
-        early = [of(ago, phase).filter("n > 1") for ago in range(shards - 1) for phase in range(1, shards - ago) if step - ago in counted]
-        keys = [found[-1], *([added(early, threshold)] if early else [])]
-        bits, new = _replaced(reached, filters[0]).with_(reduce(DataFrame.unionByName, keys).filter(length_of() < LONGEST))
-        filters = [bits, *filters[:-1]]
+        of = lambda ago, phase: counted[step - ago][0].filter(F.col("phase") == phase)  # noqa: B023, E731
+        complete = [of(shards - j, j) for j in range(1, shards + 1) if step - shards + j in counted]
+        early = [of(ago, phase) for ago in range(shards - 1) for phase in range(1, shards - ago) if step - ago in counted]
+        stop = written(added(complete, early, threshold, bits), "phrases-found")
+        found.append(stop.filter("not early").select("key", "n"))
+        now, new = _replaced(reached, filters[0]).with_(stop.filter(length_of() < LONGEST))
+        filters = [now, *filters[:-1]]
         if new:
             last_new = step
         if step - shards + 1 in counted:
