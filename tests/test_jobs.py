@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from voltgrain.operators import sinks
+from voltgrain.operators import reports, sinks
 from voltgrain.plans import jobs
 from voltgrain.sources import files
 
@@ -255,6 +255,25 @@ def test_sums_follow_their_tables(spark, tmp_path):
     assert sums(store, "chaves") == {}
 
 
+def test_tables_of_municipalities_are_not_broadcast(spark, tmp_path):
+    """What has a row for each municipality went to the driver, several tables at once, to be broadcast."""
+    scores = spark.createDataFrame([("X", "U", "AL", 50.0, 1.0, 0.5, 2, 10.0)], "municipio string, distribuidora string, uf string, score_risco double, dec_medio_12m double, ratio_dec double, meses_violacao long, idade_media_anos double")
+    sums = spark.createDataFrame([("gaps_protecao", "X", "U", "AL", None, 3, None, None, 1.5)], "tabela string, municipio string, distribuidora string, uf string, data_implant date, n long, comprimento decimal(28,4), potencia_nom decimal(28,4), comprimento_km double").withColumn("comprimento_km", F.col("comprimento_km").cast("decimal(28,4)"))
+    boundaries = spark.createDataFrame([("1", "X", "x", "AL", None)], "codigo_ibge string, nome string, nome_norm string, uf string, geom string")
+    population = spark.createDataFrame([("1", 100, 35, None, 10.0)], "codigo_ibge string, populacao int, domicilios int, pib_per_capita double, area_km2 double")
+    history = spark.createDataFrame([("X", "U", "AL", 2001, 12, 50.0, 1.0)], "municipio string, distribuidora string, uf string, ano int, mes int, score_risco double, dec_medio double")
+    tables = []
+    for i, rows in enumerate((scores, sums, boundaries, population, history)):
+        rows.write.parquet(f"{tmp_path}/{i}")  # a stored table's size is known to Spark
+        tables.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    scores, sums, boundaries, population, history = tables
+    profile = reports.municipality_profile_of_sums(scores, sums, boundaries, population, history, up())
+    ranking = reports.risk_ranking_of_sums(scores, boundaries, population, sums, history, up())
+    for found in (profile, ranking):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert [(r["populacao"], r["km_sem_protecao"]) for r in found.collect()] == [(100, 1.5)]
+
+
 def test_score_without_indicators(spark, tmp_path):
     store = jobs.Store(spark, str(tmp_path / "store"))
     jobs.score(store, up())
